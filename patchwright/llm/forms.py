@@ -261,10 +261,9 @@ def patterns() -> tuple[str, str]:
             elif not gaps(cp):
                 open_range = False
     plain = "^[ -~" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in sorted(ranges, key=lambda r: (r[0] < 0x900, r[0] - r[1]))) + "]*+\\z"
-    firsts = "".join(sorted({k[0] for k in DEVANAGARI_PIECES if len(k) == 2}))
-    seconds = "".join(sorted({k[1] for k in DEVANAGARI_PIECES if len(k) == 2}))
-    pairs = ["\u09c7[\u09be\u09d7]", "[\u0bc6\u0bc7\u0b92][\u0bbe\u0bd7]", ":[\u0904-\u0939]", f"[{firsts}][{seconds}]", "\u094d\u0907"]
-    return plain, "|".join(pairs)
+    pieces = [*DEVANAGARI_PIECES, "\u094d\u0907", "\u09c7\u09be", "\u09c7\u09d7", "\u0bc6\u0bbe", "\u0bc6\u0bd7", "\u0bc7\u0bbe", "\u0b92\u0bd7"]
+    firsts, seconds = ("".join(sorted({k[i] for k in pieces if len(k) == 2})) for i in (0, 1))
+    return plain, f"[{firsts}][{seconds}]|:[\u0904-\u0939]"  # a few more pairs than there are pieces: they only go to Python
 
 
 @F.pandas_udf(T.StringType())
@@ -275,7 +274,7 @@ def _consistent_udf(texts: pd.Series) -> pd.Series:
 def needs_work(col: Column) -> Column:
     """Whether a text might differ from its consistent form; null for null."""
     plain, pieces = patterns()
-    return ~col.rlike(plain) | col.rlike(pieces)
+    return ~col.rlike(r"^[\t\n\r -~]*+\z") & (~col.rlike(plain) | col.rlike(pieces))
 
 
 def consistent(col: Column) -> Column:
@@ -285,7 +284,7 @@ def consistent(col: Column) -> Column:
 
 def words(col: Column) -> Column:
     """The words of a text that is already in the consistent form; an empty array for null."""
-    found = F.regexp_extract_all(F.lower(col), F.lit(r"[\p{L}\p{M}\p{Nd}]+"), F.lit(0))
+    found = F.array_remove(F.split(F.lower(col), r"[^\p{L}\p{M}\p{Nd}]+"), "")
     return F.coalesce(found, F.array().cast("array<string>"))
 
 

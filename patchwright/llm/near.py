@@ -38,8 +38,8 @@ from .workspace import written
 
 #: A set and its partner share at least SHARED of the size of the larger.
 NUM, DEN = 4, 5
-TARGET_RECALL = 0.998
-FANOUT = (4, 2, 1, 1)
+TARGET_RECALL = 0.997
+FANOUT = (5, 2, 1, 1)
 LIMIT = 64
 MORE_ROUNDS = 3
 SLOTS = 1 << 17

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import copies, forms, near
+from . import copies, forms, language, leak, near
 from .workspace import written
 
 
@@ -15,6 +15,38 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> list[tuple[DataFrame, str, str, str, str]]:
+    """(table, its name, id, text, label) of the texts whose language is wanted."""
+    return [
+        (_table(spark, sf_dir, "parallel_examples"), "parallel_examples", "pair_id", "target", "target_lang"),
+        (_table(spark, sf_dir, "failure_sentences_100"), "failure_sentences_100", "failure_id", "text_preview", "preview_lang"),
+    ]
+
+
+def _fitted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, language.Filter]:
+    panel = _table(spark, sf_dir, "language_panel")
+    return panel, language.fitted(_table(spark, sf_dir, "language_samples"), panel)
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The languages of records with a missing or wrong label or with several languages."""
+    panel, fit = _fitted(spark, sf_dir)
+    a, b = (language.cases(df, tbl, record, text, label, panel, fit) for df, tbl, record, text, label in _texts(spark, sf_dir))
+    return a.unionByName(b)
+
+
+def p1_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stretch of every text with its language and confidence."""
+    _, fit = _fitted(spark, sf_dir)
+    parts = [
+        language.stretches(df, record, text, fit)
+        .select(F.lit(tbl).alias("tbl"), "rec_id", F.posexplode("stretches").alias("stretch", "x"))
+        .select("tbl", "rec_id", "stretch", "x.first_word", "x.n_words", "x.lang", F.round("x.confidence", 6).alias("confidence"))
+        for df, tbl, record, text, _ in _texts(spark, sf_dir)
+    ]
+    return parts[0].unionByName(parts[1])
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Field values that differ from their consistent form."""
     pairs, previews = _table(spark, sf_dir, "parallel_examples"), _table(spark, sf_dir, "failure_sentences_100")
@@ -31,6 +63,27 @@ def p2_consistent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("pair_id", forms.consistent(F.col("source")).alias("source"), forms.consistent(F.col("target")).alias("target"))
 
 
+def _leak_parts(spark: SparkSession, sf_dir: str) -> tuple:
+    pairs, items = _table(spark, sf_dir, "parallel_examples"), _table(spark, sf_dir, "eval_nway")
+    return pairs, "pair_id", ["source", "target"], items, "item_id", ["eng_latn", "mar_deva", "hin_deva"]
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs and the test items that leaked into them."""
+    return leak.leaks(*_leak_parts(spark, sf_dir)).select(F.col("record").alias("pair_id"), "item_id").distinct()
+
+
+def p3_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every leaked stretch: where it is, how long, and how much of its field it covers."""
+    spans = leak.leaks(*_leak_parts(spark, sf_dir))
+    return spans.select(F.col("record").alias("pair_id"), "field", "first_word", "n_words", F.round(F.col("n_words") / F.col("words"), 6).alias("coverage"), "item_id")
+
+
+def p3_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs without what leaked into them."""
+    return leak.cleaned(*_leak_parts(spark, sf_dir)).withColumnRenamed("record", "pair_id")
+
+
 def _keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written(copies.keyed(_table(spark, sf_dir, "parallel_examples")), "copy-keys")
 
@@ -52,7 +105,7 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_consistent, p4_found, p4_groups, p5_found, p5_collapsed)}
+    return {f.__name__: f for f in (p1_found, p1_stretches, p2_found, p2_consistent, p3_found, p3_spans, p3_cleaned, p4_found, p4_groups, p5_found, p5_collapsed)}
 
 
 def oracle_sql() -> dict[str, str]:
