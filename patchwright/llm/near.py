@@ -64,12 +64,12 @@ def prepared(pairs: DataFrame, record: str = "pair_id", source: str = "source",
         F.col(record).cast("bigint").alias("id"), words(consistent(F.col(source))).alias("s"), words(consistent(F.col(target))).alias("t")
     )
     form = canonical(F.array_join("s", " "), F.array_join("t", " "))
-    out = sides.where((F.size("s") > 0) | (F.size("t") > 0)).select(
+    out = sides.select(  # a filter here, or the set key, would bring the words in twice
         "id",
         F.array_sort(F.transform(F.array_distinct(F.concat("s", "t")), lambda w: F.xxhash64(w))).alias("tokens"),
         F.xxhash64(F.lit(7), form).alias("seq_key"),
     )
-    return written(out.select("id", "tokens", F.xxhash64("tokens").alias("set_key"), "seq_key"), "near-sets")
+    return written(out, "near-sets").withColumn("set_key", F.xxhash64("tokens"))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -166,8 +166,9 @@ def entries(sets: DataFrame, counts: np.ndarray, records: int) -> DataFrame:
         ln_f, inv_w, end = _weights(held.value, records)
         for b in batches:
             keys = b.column(1).to_numpy(zero_copy_only=False)
-            keys, once = np.unique(keys, return_index=True)  # copies walk alike
-            column = b.column(0).take(pa.array(once))
+            some = np.flatnonzero(b.column(0).value_lengths().to_numpy(zero_copy_only=False) > 0)
+            keys, once = np.unique(keys[some], return_index=True)  # copies walk alike
+            column = b.column(0).take(pa.array(some[once]))
             tokens = column.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
             lens = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
             if not len(lens):
