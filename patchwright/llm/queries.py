@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import copies, forms, language, leak, near
+from . import copies, forms, language, leak, mix, near, pii, ranks, tokens
 from .workspace import written
 
 
@@ -104,8 +104,63 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.groups(near.links(near.prepared(_table(spark, sf_dir, "parallel_examples"))))
 
 
+_MEASURES = (["num_bytes", "num_patches", "avg_patch_length"], ["patch_lengths"])
+
+
+def _day_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = ranks.partials(_table(spark, sf_dir, "blt_marathi_patched"), ["run_name", "shard_day"], *_MEASURES)
+    return ranks.merged(parts, ["run_name", "shard_day"])
+
+
+def p6_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles of every run and of every run's days; the days' summaries combine to those of the run."""
+    days = written(_day_summaries(spark, sf_dir), "day-summaries")
+    runs = ranks.merged(days, ["run_name"])
+    by_day = ranks.percentiles(days, ["run_name", "shard_day"])
+    by_run = ranks.percentiles(runs, ["run_name"]).withColumn("shard_day", F.lit(None).cast("date"))
+    return by_day.unionByName(by_run)
+
+
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token ids of every document."""
+    return tokens.encoded(_table(spark, sf_dir, "documents"))
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    sized = written(tokens.sized(_table(spark, sf_dir, "documents"), ["doc_id", "source"]), "token-sizes")
+    docs = sized.withColumn("members", F.array("source"))
+    return mix.mixed(docs, _table(spark, sf_dir, "mix_targets"))
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of every mix, with how often each is taken."""
+    return _mixed(spark, sf_dir)[0]
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares that every mix reaches."""
+    return _mixed(spark, sf_dir)[1]
+
+
+def _names(spark: SparkSession, sf_dir: str) -> pii.Names:
+    people = _table(spark, sf_dir, "contributors")
+    return pii.listed(people, ["given_name", "given_name_deva"], ["family_name", "family_name_deva"])
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The personal information in every document."""
+    return pii.found(_table(spark, sf_dir, "documents"), _names(spark, sf_dir))
+
+
+def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal information replaced."""
+    return pii.replaced(_table(spark, sf_dir, "documents"), _names(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_stretches, p2_found, p2_consistent, p3_found, p3_spans, p3_cleaned, p4_found, p4_groups, p5_found, p5_collapsed)}
+    own = (p1_found, p1_stretches, p2_found, p2_consistent, p3_found, p3_spans, p3_cleaned, p4_found, p4_groups, p5_found, p5_collapsed)
+    own += (p6_percentiles, p7_ids, p8_mix, p8_shares, p9_found, p9_redacted)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
