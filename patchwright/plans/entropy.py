@@ -52,7 +52,7 @@ def _totals(swept: DataFrame) -> DataFrame:
 
 
 def tau_by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _swept(spark, sf_dir).withColumn("avg_patch_size", F.round(F.col("n_bytes") / F.col("num_patches"), 6))
+    return _swept(spark, sf_dir).withColumn("avg_patch_size", F.col("n_bytes") / F.col("num_patches"))
 
 
 def tau_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,7 +146,7 @@ SQL = {
     "byte_bigrams": f"WITH {_P} SELECT ('0x' || prev)::INT AS prev, ('0x' || nxt)::INT AS next, n, round(p, 9) AS p FROM p",
     "byte_bigram_entropy": f"WITH {_H} SELECT ('0x' || prev)::INT AS prev, n::BIGINT AS n, round(h, 8) AS entropy FROM h",
     "bigram_tau_sweep": f"WITH {_T} SELECT * FROM t",
-    "tau_by_document": f"WITH {_S} SELECT doc_id, n_bytes, tau, num_patches, round(n_bytes / num_patches, 6) AS avg_patch_size FROM s",
+    "tau_by_document": f"WITH {_S} SELECT doc_id, n_bytes, tau, num_patches, n_bytes / num_patches AS avg_patch_size FROM s",
     "tau_stats": f"WITH {_S} SELECT tau, round(avg(num_patches), 6) AS mean, round(median(num_patches::DOUBLE), 6) AS median, round(stddev_pop(num_patches), 6) AS std, min(num_patches) AS least, max(num_patches) AS most FROM s GROUP BY tau",
     "tau_nearest_rank_quantiles": f"WITH {_S}, r AS (SELECT tau, list_sort(list(num_patches)) AS v, count(*) AS n FROM s GROUP BY tau) SELECT tau, "
     + ", ".join(f"v[floor(n * {q})::INT + 1] AS {name}" for name, q in QUANTILES.items())
