@@ -18,6 +18,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -105,30 +106,35 @@ _INITIAL = r"[A-Z]\."
 NAME = rf"(?:(?:{_INITIAL} ?)+{_CAP}|{_CAP}(?: {_INITIAL})? {_CAP}|[A-Z]{{2,}}\.? [A-Z]{{3,}})"
 REVERSED = rf"{_CAP}, (?:{_CAP}|{_INITIAL})"
 _NL = r"[ \t]*\r?\n[ \t]*"
+#: Each with what has to be in a text for the pattern to be tried at all.
 CUED_NAMES = [
     # after a title
-    re.compile(rf"\b(?:Mr|Ms|Mrs|Miss|Dr|Prof|Shri|Smt)\.? (?:({REVERSED})(?= [a-z])|({NAME})|({_CAP})(?= [a-z]))"),
+    (("Mr", "Ms", "Miss", "Dr", "Prof", "Shri", "Smt"), re.compile(rf"\b(?:Mr|Ms|Mrs|Miss|Dr|Prof|Shri|Smt)\.? (?:({REVERSED})(?= [a-z])|({NAME})|({_CAP})(?= [a-z]))")),
     # a copy, a role, someone to ask
-    re.compile(rf"\b(?:[Cc]c|CC|Annotator|Translator|Reviewer|Editor|Author|Speaker|Proofreader|Signed|Contact|Attn)\.?: ({REVERSED}|{NAME})"),
-    re.compile(rf"\b(?:done by|reviewed by|written by|checked by|translated by|ask|asked|told|thank|thanks to) ({REVERSED}|{NAME})"),
+    (("cc:", "Cc:", "CC:", "tator:", "lator:", "iewer:", "ditor:", "thor:", "peaker:", "reader:", "igned:", "ontact:", "ttn"), re.compile(rf"\b(?:[Cc]c|CC|Annotator|Translator|Reviewer|Editor|Author|Speaker|Proofreader|Signed|Contact|Attn)\.?: ({REVERSED}|{NAME})")),
+    (("done by", "ed by", "itten by", "ask ", "asked ", "told ", "thank"), re.compile(rf"\b(?:done by|reviewed by|written by|checked by|translated by|ask|asked|told|thank|thanks to) ({REVERSED}|{NAME})")),
     # what a person does
-    re.compile(rf"(?<![\w.])({REVERSED}|{NAME})(?= (?:wrote|disagrees|disagreed|rejected|reviewed|approved the|asked|said|thinks|agrees|agreed|replied|suggested|annotated|translated the)\b)"),
+    ((" wrote", " disagree", " rejected", " reviewed", " approved", " asked", " said", " thinks", " agree", " replied", " suggested", " annotated", " translated"), re.compile(rf"(?<![\w.])({REVERSED}|{NAME})(?= (?:wrote|disagrees|disagreed|rejected|reviewed|approved the|asked|said|thinks|agrees|agreed|replied|suggested|annotated|translated the)\b)")),
     # greetings and signatures; here a given name alone counts
-    re.compile(rf"\b(?:Hi|Hello|Dear|Hey),? ({NAME}|{_CAP})(?=,|[ \t]*[\r\n])"),
-    re.compile(rf"\b(?:Thanks|Regards|Best|Cheers|Sincerely|Yours|Best regards|Kind regards|Warm regards|Many thanks),{_NL}({REVERSED}|{NAME}|{_CAP})(?=[ \t]*(?:[\r\n]|$))"),
-    re.compile(rf"(?:^|\n)--{_NL}({REVERSED}|{NAME}|{_CAP})(?=[ \t]*(?:[\r\n]|$))"),
-    # before contact details
-    re.compile(rf"(?<![\w.])({REVERSED}|{NAME})(?= \| [\w.+-]+ ?(?:[@＠]|\(at\)|\[at\]))"),
-    re.compile(rf"(?<![\w.])({REVERSED}|{NAME})(?=, [\w.+-]+ ?(?:[@＠]|\(at\)|\[at\]))"),
+    (("Hi", "Hello", "Dear", "Hey"), re.compile(rf"\b(?:Hi|Hello|Dear|Hey),? ({NAME}|{_CAP})(?=,|[ \t]*[\r\n])")),
+    (("Thanks,", "egards,", "Best,", "Cheers,", "Sincerely,", "Yours,", "thanks,"), re.compile(rf"\b(?:Thanks|Regards|Best|Cheers|Sincerely|Yours|Best regards|Kind regards|Warm regards|Many thanks),{_NL}({REVERSED}|{NAME}|{_CAP})(?=[ \t]*(?:[\r\n]|$))")),
+    (("--",), re.compile(rf"(?:^|\n)--{_NL}({REVERSED}|{NAME}|{_CAP})(?=[ \t]*(?:[\r\n]|$))")),
 ]
 _DNAME = rf"(?:(?:{_DEVA}\. ?)+{_DEVA}|{_DEVA},? {_DEVA})"
 CUED_DEVA = [
-    (2, re.compile(rf"(?<![ऀ-ॿ])(?:श्रीमती|श्री|सौ\.|डॉ\.|प्रा\.|कु\.|सुश्री|श्रीमान) ({_DNAME})")),
-    (2, re.compile(rf"(?<![ऀ-ॿ])(?:भाषांतरकार|अनुवादक|संपादक|संपर्क|लेखक|परीक्षक|समीक्षक|प्रति|टंकलेखक): ({_DNAME})")),
-    (2, re.compile(rf"({_DNAME})(?=(?:,| \|) [\w.+-]+ ?(?:[@＠]|\(at\)|\[at\]))")),
-    (2, re.compile(rf"(?<![ऀ-ॿ])कृपया ({_DNAME})(?= (?:यांना|से|को|यांच्याशी))")),
-    (2, re.compile(rf"(?<![ऀ-ॿ])({_DNAME})(?= (?:यांनी|यांना|यांच्याशी|यांच्याकडे|ने यह|ने इस|से पूछ|जी ने))")),
+    (("श्री", "सौ.", "डॉ.", "प्रा.", "कु.", "सुश्री"), re.compile(rf"(?<![ऀ-ॿ])(?:श्रीमती|श्री|सौ\.|डॉ\.|प्रा\.|कु\.|सुश्री|श्रीमान) ({_DNAME})")),
+    (("कार:", "वादक:", "पादक:", "संपर्क:", "लेखक:", "क्षक:", "प्रति:"), re.compile(rf"(?<![ऀ-ॿ])(?:भाषांतरकार|अनुवादक|संपादक|संपर्क|लेखक|परीक्षक|समीक्षक|प्रति): ({_DNAME})")),
+    (("कृपया ",), re.compile(rf"(?<![ऀ-ॿ])कृपया ({_DNAME})(?= (?:यांना|से|को|यांच्याशी))")),
 ]
+#: What follows a name in Devanagari; the name is looked for backwards from it.
+AFTER_DEVA = re.compile(r" (?:यांनी|यांना|यांच्याशी|यांच्याकडे|ने यह|ने इस|से पूछ|जी ने)(?![ऀ-ॿ])")
+_DNAME_BEFORE = re.compile(rf"(?:^|(?<![ऀ-ॿ]))({_DEVA}\. ?{_DEVA}|{_DEVA},? {_DEVA})$")
+_NAME_BEFORE = re.compile(rf"(?:^|(?<![\w.]))({REVERSED}|{NAME})$")
+_STREETS = ("Road", "Rd", "Street", "St", "Lane", "Ln", "Avenue", "Ave", "Marg", "Nagar", "Cross", "Path", "Colony", "Drive", "Dr", "Way", "Close", "Court", "Square", "Terrace")
+_DEVA_STREETS = ("मार्ग,", "गल्ली,", "गली,", "रोड,", "रस्ता,", "पथ,", "अपार्टमेंट,", "अपार्टमेंट्स,", "सोसायटी,", "सोसाइटी,", "नगर,", "चौक,", "पेठ,", "सड़क,", "मार्ग ,", "गल्ली ,")
+#: Stretches that may hold a phone or an identity number: all their patterns need one of these.
+_NUMBERS = re.compile(r"[+(]?\d[\d().\- ]{7,}\d|[A-Z]{1,5}\d{4,}[A-Z]?")
+_DEVA_DIGIT = re.compile("[०-९]")
 NOT_NAMES = frozenset("The A An This That These Those There It Its We Their Our My Your Nobody Run Section Figure Table Old New Near House Flat No In On At Of And But Or".split())
 
 
@@ -137,6 +143,11 @@ class Names:
 
     def __init__(self, given: list[str], family: list[str]):
         self.given, self.family = frozenset(given), frozenset(family)
+        self.words = ahocorasick.Automaton()
+        for w in self.given | self.family:
+            self.words.add_word(w, len(w))
+        if len(self.words):
+            self.words.make_automaton()
         counts = Counter(x[-n:] for x in self.family for n in (2, 3, 4) if len(x) > n + 1)
         enough = max(4, len(self.family) // 60)
         often = {e: n for e, n in counts.items() if n >= enough}
@@ -145,6 +156,16 @@ class Names:
     def family_like(self, word: str) -> bool:
         return word in self.family or (len(word) >= 4 and word.endswith(self.endings))
 
+    def listed(self, text: str) -> Iterator[tuple[int, int]]:
+        """Where names of the list stand as whole words."""
+        for end, n in self.words.iter(text) if len(self.words) else ():
+            a, b = end - n + 1, end + 1
+            if not (a and _WORD.match(text, a - 1)) and not (b < len(text) and _WORD.match(text, b)):
+                yield a, b
+
+
+_WORD = re.compile(r"[\w@\u0900-\u0963]")
+
 
 def _parts(name: str) -> list[str]:
     return [x for x in re.split(r"[ ,]+", name) if x and not x.endswith(".")]
@@ -152,61 +173,78 @@ def _parts(name: str) -> list[str]:
 
 def finds(text: str, names: Names) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the personal information in a text, in order, without overlaps."""
-    plain = text.translate(_DIGITS)  # one digit for one: the positions stay
+    plain = text.translate(_DIGITS) if _DEVA_DIGIT.search(text) else text  # one digit for one: the positions stay
     spans: list[tuple[int, int, int, str]] = []
-    low = plain.lower()
-    if "@" in plain or "＠" in plain or "at)" in low or "at]" in low or "at}" in low or " dot " in low:
-        spans += [(9, m.start(), m.end(), "email") for p in EMAILS for m in p.finditer(plain)]
-    if any(c in plain for c in "0123456789"):
-        for p in ADDRESSES:
+    if "@" in text or "＠" in text or "at)" in text or "at]" in text or " dot " in text or "AT" in text or "at}" in text or "at>" in text:
+        for p in EMAILS:
             for m in p.finditer(plain):
-                spans.append((6, m.start(), m.end(), "address"))
+                spans.append((9, m.start(), m.end(), "email"))
+                at = m.start() - 3 if text.startswith(" | ", m.start() - 3) else m.start() - 2 if text.startswith(", ", m.start() - 2) else -1
+                if at > 0:  # a name before its contact details
+                    start = max(0, at - 80)
+                    if n := _NAME_BEFORE.search(text[start:at]):
+                        if _parts(n[1]) and _parts(n[1])[0].capitalize() not in NOT_NAMES:
+                            spans.append((4, start + n.start(1), at, "name"))
+                    elif n := _DNAME_BEFORE.search(text[start:at]):
+                        _deva(spans, names, n[1], start + n.start(1))
+    if any(x in text for x in _STREETS):
+        spans += [(6, m.start(), m.end(), "address") for p in ADDRESSES[:3] for m in p.finditer(plain)]
+    if any(x in text for x in _DEVA_STREETS):
+        spans += [(6, m.start(), m.end(), "address") for m in ADDRESSES[3].finditer(plain)]
+    for region in _NUMBERS.finditer(plain):
+        a, b = region.start(), min(len(plain), region.end() + 2)
         for score, check, p in IDS:
-            for m in p.finditer(plain):
+            for m in p.finditer(plain, a, b):
                 before = plain[max(0, m.start() - 36) : m.start()]
                 near = re.split(r"[.!?।\n](?=\s)|\n", before.replace("क्र. ", "क्र  ").replace("no. ", "no  ").replace("No. ", "No  "))[-1]
-                digits = re.sub(r"\D", "", m[0])
                 score_now = score + 2 * bool(ID_CONTEXT.search(near)) + bool(ID_AFTER.search(plain[m.end() : m.end() + 24])) - 4 * bool(NOT_PERSONAL.search(near))
                 if check is not None:
-                    score_now += check(digits)
+                    score_now += check(re.sub(r"\D", "", m[0]))
                 if score_now >= ACCEPT + 1 or (score == 2 and score_now >= ACCEPT):
                     spans.append((score_now + 2, m.start(), m.end(), "id_number"))
         for score, p in PHONES:
-            for m in p.finditer(plain):
-                n = sum(c.isdigit() for c in m[0])
+            for m in p.finditer(plain, a, b):
                 before = plain[max(0, m.start() - 30) : m.start()]
                 score_now = score + bool(PHONE_CONTEXT.search(before)) - 3 * bool(NOT_PERSONAL.search(before))
-                if 10 <= n <= 15 and score_now >= ACCEPT:
+                if 10 <= sum(c.isdigit() for c in m[0]) <= 15 and score_now >= ACCEPT:
                     spans.append((score_now, m.start(), m.end(), "phone"))
-    for p in CUED_NAMES:
-        for m in p.finditer(text):
-            g = next(i for i in range(1, (m.lastindex or 0) + 1) if m[i])
-            parts = _parts(m[g])
-            if parts and parts[0].capitalize() not in NOT_NAMES:
-                spans.append((4, *m.span(g), "name"))
-    for m in _PAIR.finditer(text):  # people of the list, and those with a listed given name or a family name like theirs
-        a, b = m[1], m[2]
-        if a not in NOT_NAMES and (b in names.family and (a in names.given or a[1:] == ".") or (a in names.given and names.family_like(b))):
-            spans.append((3, m.start(), m.end(), "name"))
-    for score, p in CUED_DEVA:
-        for m in p.finditer(text):
-            parts = _parts(m[1])
-            known = sum(x in names.given for x in parts[:1]) + sum(names.family_like(x) for x in parts[-1:]) + any(x in names.family for x in parts)
-            if score + min(known, 2) >= ACCEPT + 1:
-                spans.append((3 + known, *m.span(1), "name"))
-    for m in _TURNED.finditer(text):
-        if m[1] in names.family and m[2] in names.given:
-            spans.append((3, m.start(), m.end(), "name"))
-    for m in _DEVA_WORD.finditer(text):
-        if m[0] in names.given and (n := _DEVA_NEXT.match(text, m.end())) and n[1] in names.family:
-            spans.append((3, m.start(), n.end(), "name"))
+    for cues, p in CUED_NAMES:
+        if any(c in text for c in cues):
+            for m in p.finditer(text):
+                g = next(i for i in range(1, (m.lastindex or 0) + 1) if m[i])
+                parts = _parts(m[g])
+                if parts and parts[0].capitalize() not in NOT_NAMES:
+                    spans.append((4, *m.span(g), "name"))
+    for cues, p in CUED_DEVA:
+        if any(c in text for c in cues):
+            for m in p.finditer(text):
+                _deva(spans, names, m[1], m.start(1))
+    for m in AFTER_DEVA.finditer(text):
+        start = max(0, m.start() - 60)
+        if n := _DNAME_BEFORE.search(text[start : m.start()]):
+            _deva(spans, names, n[1], start + n.start(1))
+    for a, b in names.listed(text):  # people of the list, and those with a listed given name and a family name like theirs
+        word = text[a:b]
+        if word in names.given and (n := _NEXT.match(text, b)):
+            if n[1] in names.family or (n[1][0].isupper() and names.family_like(n[1]) and word not in NOT_NAMES):
+                spans.append((3, a, n.end(), "name"))
+        if word in names.family and (n := _TURNED.match(text, b)) and n[1] in names.given:
+            spans.append((3, a, n.end(), "name"))
+        if word in names.family and a > 2 and text[a - 2 : a] == ". " and text[a - 3].isupper() and not (a > 3 and _WORD.match(text, a - 4)):
+            spans.append((3, a - 3, b, "name"))
     return _apart(spans)
 
 
-_PAIR = re.compile(rf"(?<![\w.@])({_CAP}|{_INITIAL}) ({_CAP})(?![\w@])")
-_TURNED = re.compile(rf"(?<![\w.@])({_CAP}), ({_CAP})(?![\w@])")
-_DEVA_WORD = re.compile(_DEVA)
-_DEVA_NEXT = re.compile(rf" ({_DEVA})")
+_NEXT = re.compile(rf" ({_CAP}|{_DEVA})(?![\w@])")
+_TURNED = re.compile(rf", ({_CAP}|{_DEVA})(?![\w@])")
+
+
+def _deva(spans: list[tuple[int, int, int, str]], names: Names, name: str, start: int) -> None:
+    """A name in Devanagari beside a cue: it counts if one of its parts is listed or like a listed one."""
+    parts = _parts(name)
+    known = sum(x in names.given for x in parts[:1]) + sum(names.family_like(x) for x in parts[-1:]) + any(x in names.family for x in parts)
+    if known:
+        spans.append((3 + known, start, start + len(name), "name"))
 
 
 def _apart(spans: list[tuple[int, int, int, str]]) -> list[tuple[int, int, str]]:
