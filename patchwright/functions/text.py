@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 DEVANAGARI = r"[\x{0900}-\x{097F}]"
 LATIN_WORD = r"[A-Za-z]{2,}"
 SENTENCE_END = r"[.!?\x{0964}]+"
+#: White space of any kind.
+WHITE = r"[\s\x{1c}-\x{1f}\x{85}\p{Z}]"
 
 # Code points counted as rare.
 RARE = (
@@ -46,20 +48,25 @@ SECRETS = [
 ]
 
 
+def stripped(col: Column) -> Column:
+    """Without outer white space of any kind."""
+    return F.regexp_replace(col, f"^{WHITE}+|{WHITE}+$", "")
+
+
 def long_enough(col: Column, least: int = 5) -> Column:
     """More than so many characters without outer spaces."""
-    return F.length(F.trim(col)) > least
+    return F.length(stripped(col)) > least
 
 
 def words(col: Column) -> Column:
     """Runs between white space; an empty array for a blank text."""
-    return F.filter(F.split(col, r"\s+"), lambda w: w != "")
+    return F.filter(F.split(col, f"{WHITE}+"), lambda w: w != "")
 
 
 def sentences(col: Column, end: str = SENTENCE_END, newline_is_space: bool = True) -> Column:
     """Trimmed parts between sentence ends, without empty ones."""
     text = F.translate(col, "\n", " ") if newline_is_space else col
-    return F.filter(F.transform(F.split(text, end), lambda s: F.trim(s)), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, end), lambda s: stripped(s)), lambda s: s != "")
 
 
 def preview(col: Column, n: int) -> Column:
@@ -177,6 +184,6 @@ def noised(col: Column, key: Column, share: float, seed: int) -> Column:
         part = lambda k: F.conv(F.substring(digits, 1 + 8 * k, 8), 16, 10).cast("bigint")
         pick = lambda letters: F.substring(F.lit(letters), (part(2) % len(letters)).cast("int") + 1, F.lit(1))
         deva = F.when((F.instr(F.lit(MATRAS), c) > 0) & (part(1) % 2 == 0), F.lit("")).otherwise(pick(DEVANAGARI_NOISE))
-        return F.when(c.rlike(r"^\s$") | (part(0) >= limit), c).when(c.rlike(DEVANAGARI), deva).otherwise(pick(ASCII_NOISE))
+        return F.when(c.rlike(f"^{WHITE}$") | (part(0) >= limit), c).when(c.rlike(DEVANAGARI), deva).otherwise(pick(ASCII_NOISE))
 
     return F.array_join(F.transform(F.regexp_extract_all(col, F.lit("(?s)."), F.lit(0)), one), "")
