@@ -91,7 +91,7 @@ def windows(n: Column, length: int) -> Column:
     rest = F.transform(
         more,
         lambda i: F.struct(
-            (F.least(length + (i + 1) * half, n) - length).alias("src"), (length + i * half).alias("dst_start"), F.least(length + (i + 1) * half, n).alias("dst_end")
+            (length + i * half - half).alias("src"), (length + i * half).alias("dst_start"), F.least(length + (i + 1) * half, n).alias("dst_end")
         ),
     )
     return F.when(n > 0, F.concat(first, rest)).otherwise(F.slice(first, 1, 0))

@@ -179,7 +179,7 @@ SQL = {
     "newline_reset_segments": f"WITH {_DOCS}, s AS (SELECT doc_id, string_split(text, chr(10)) AS p FROM d), t AS (SELECT doc_id, unnest(p) AS x, unnest(range(len(p))) AS segment, len(p) AS k FROM s) SELECT doc_id, segment::INT AS segment, (strlen(x) + CASE WHEN segment < k - 1 THEN 1 ELSE 0 END)::INT AS n_bytes FROM t WHERE segment < k - 1 OR x <> ''",
     "training_chunks": f"WITH {_DOCS}, s AS (SELECT doc_id, n, unnest(range(0, n, 512)) AS start FROM d) SELECT doc_id, start::INT AS start, least(513, n - start)::INT AS size FROM s WHERE least(513, n - start) >= 2",
     "teacher_forced_pairs": f"WITH {_DOCS}, b AS (SELECT doc_id, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::INT + 4) AS t FROM d), p AS (SELECT doc_id, list_concat([1], t)[:512] AS i, list_concat(t, [2])[:512] AS o FROM b) SELECT doc_id, len(i)::INT AS n, list_sum(i)::BIGINT AS inputs, list_sum(o)::BIGINT AS targets FROM p",
-    "window_plan": f"WITH {_DOCS}, k AS (SELECT doc_id, n, unnest(range(0, 1 + CASE WHEN n > 256 THEN ceil((n - 256) / 128)::INT ELSE 0 END)) AS i FROM d) SELECT doc_id, CASE WHEN i = 0 THEN 0 ELSE least(256 + i * 128, n) - 256 END::INT AS src, CASE WHEN i = 0 THEN 0 ELSE 256 + (i - 1) * 128 END::INT AS dst_start, least(256 + i * 128, n)::INT AS dst_end FROM k",
+    "window_plan": f"WITH {_DOCS}, k AS (SELECT doc_id, n, unnest(range(0, 1 + CASE WHEN n > 256 THEN ceil((n - 256) / 128)::INT ELSE 0 END)) AS i FROM d) SELECT doc_id, CASE WHEN i = 0 THEN 0 ELSE i * 128 END::INT AS src, CASE WHEN i = 0 THEN 0 ELSE 256 + (i - 1) * 128 END::INT AS dst_start, least(256 + i * 128, n)::INT AS dst_end FROM k",
     "patch_index_plan": f"SELECT run_name, sentence_index, written_at, unnest(range(len(patch_lengths)))::INT AS slot, unnest(patch_boundaries) AS start, unnest(patch_lengths) AS length {_RUNS} WHERE patch_lengths IS NOT NULL",
     "utf8_roundtrip": f"WITH {_DOCS} SELECT doc_id, n, decode(encode(text)) = text AS same FROM d",
 }
