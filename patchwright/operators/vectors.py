@@ -28,7 +28,7 @@ def norm(a: Column) -> Column:
 def normalised(a: Column) -> Column:
     """Of length 1; a zero vector stays."""
     n = norm(a)
-    return F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n)).otherwise(F.transform(a, lambda x: x.cast("double")))
+    return F.zip_with(a, F.array_repeat(F.when(n > 0, n).otherwise(1.0), F.size(a)), lambda x, y: x.cast("double") / y)  # the norm is found once
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -78,9 +78,9 @@ def normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
 def logit_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shannon entropy in nats of the softmax of each vector."""
     x = F.transform("embedding", lambda a: a.cast("double"))
-    z = F.transform(x, lambda a: a - F.array_max(x))
-    total = F.aggregate(F.transform(z, lambda a: F.exp(a)), F.lit(0.0), lambda s, a: s + a)
-    h = F.aggregate(F.transform(z, lambda a: F.exp(a) / total * (F.ln(total) - a)), F.lit(0.0), lambda s, a: s + a)
+    z = F.zip_with(x, F.array_repeat(F.array_max(x), F.size(x)), lambda a, m: a - m)
+    sums = F.aggregate(z, F.struct(F.lit(0.0).alias("t"), F.lit(0.0).alias("u")), lambda s, a: F.struct((s["t"] + F.exp(a)).alias("t"), (s["u"] + F.exp(a) * a).alias("u")))
+    h = F.ln(sums["t"]) - sums["u"] / sums["t"]
     return _vecs(spark, sf_dir).select("vec_id", F.round(h, 7).alias("entropy"))
 
 
