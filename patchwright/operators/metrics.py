@@ -1,7 +1,7 @@
 """Quality of hypotheses against references: corpus BLEU, chrF++, TER, WER and exact-match METEOR.
 
 Everything a score needs is counted by segment in one pass over (hyp, ref) rows; corpus scores are sums of those
-counts, so no n-gram is ever shuffled. A null side makes a segment null; it isn't counted.
+counts, so no n-gram is ever shuffled; n-grams of a batch are compared as 64-bit hashes. A null side makes a segment null; it isn't counted.
 
 BLEU follows Papineni et al. 2002 with the 13a word splitting and exponential smoothing of zero counts; chrF++
 follows Popovic 2017 (characters to order 6 without white space, words to order 2, beta 2, precision and recall averaged over
@@ -11,15 +11,16 @@ the orders both sides have). METEOR matches words exactly only, without stems or
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CHARS, WORDS, BETA = 6, 2, 2
 GRAMS = 4
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 # The 13a word splitting, as (pattern, replacement) in order.
 SPLITTING = [
     (r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", " {0} "),
@@ -52,33 +53,60 @@ def chrf_words(text: str) -> list[str]:
     return out
 
 
-def _overlap(a: Counter, b: Counter) -> int:
-    return sum((a & b).values())
+def _hashed(codes: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of n codes and their row, row) at every place of a row where n codes begin."""
+    size = np.diff(offsets)
+    row = np.repeat(np.arange(len(size)), size)
+    inner = np.arange(len(codes)) - offsets[:-1][row]
+    at = np.flatnonzero(inner + n <= size[row])
+    h = row[at].astype(np.uint64) + np.uint64(n)
+    for k in range(n):
+        h = (h ^ (h >> np.uint64(29))) * _ODD + codes[at + k]
+    return h ^ (h >> np.uint64(32)), row[at]
 
 
-def _ngrams(items: list | str, n: int) -> Counter:
-    if isinstance(items, str):
-        return Counter(items[i : i + n] for i in range(len(items) - n + 1))
-    return Counter(tuple(items[i : i + n]) for i in range(len(items) - n + 1))
+def overlaps(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For rows of codes (flat, offsets) on two sides: n-grams of each side, and in both (each as often as in the side with fewer)."""
+    rows = len(a[1]) - 1
+    (ha, ra), (hb, rb) = _hashed(*a, n), _hashed(*b, n)
+    ua, first, ca = np.unique(ha, return_index=True, return_counts=True)
+    ub, cb = np.unique(hb, return_counts=True)
+    _, ia, ib = np.intersect1d(ua, ub, assume_unique=True, return_indices=True)
+    both = np.bincount(ra[first[ia]], weights=np.minimum(ca[ia], cb[ib]), minlength=rows).astype(np.int64)
+    return np.bincount(ra, minlength=rows), np.bincount(rb, minlength=rows), both
 
 
-def chrf_counts(hyp: str, ref: str) -> list[tuple[int, int, int]]:
-    """(in hyp, in ref, in both) for each order of characters, then of words."""
-    out = []
-    for h, r, orders in ((re.sub(r"\s+", "", hyp), re.sub(r"\s+", "", ref), CHARS), (chrf_words(hyp), chrf_words(ref), WORDS)):
-        for n in range(1, orders + 1):
-            a, b = _ngrams(h, n), _ngrams(r, n)
-            out.append((a.total(), b.total(), _overlap(a, b)))
-    return out
+def _offsets(sizes: list[int]) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]).astype(np.int64)
+
+
+def _points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64), _offsets([len(t) for t in texts])
+
+
+def _coded(sides: tuple[list[list[str]], list[list[str]]]) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """Lists of words on two sides as numbers, the same number for the same word."""
+    known: dict[str, int] = {}
+    out = [(np.array([known.setdefault(w, len(known)) for ws in side for w in ws], np.uint64), _offsets([len(ws) for ws in side])) for side in sides]
+    return out[0], out[1]
+
 
+def chrf_counts(hyps: list[str], refs: list[str]) -> np.ndarray:
+    """rows x orders x (in hyp, in ref, in both): orders of characters, then of words."""
+    flat = [_points([re.sub(r"\s+", "", t) for t in side]) for side in (hyps, refs)]
+    words = _coded(([chrf_words(t) for t in hyps], [chrf_words(t) for t in refs]))
+    parts = [overlaps(*flat, n) for n in range(1, CHARS + 1)] + [overlaps(*words, n) for n in range(1, WORDS + 1)]
+    return np.stack([np.stack(p, 1) for p in parts], 1)
 
-def bleu_counts(hyp: list[str], ref: list[str]) -> list[int]:
-    """Words of hyp and ref, then for each order the n-grams of hyp and those in both."""
-    out = [len(hyp), len(ref)]
+
+def bleu_counts(hyps: list[list[str]], refs: list[list[str]]) -> np.ndarray:
+    """rows x (words of hyp, of ref, then for each order the n-grams of hyp and those in both)."""
+    a, b = _coded((hyps, refs))
+    cols = [np.diff(a[1]), np.diff(b[1])]
     for n in range(1, GRAMS + 1):
-        a, b = _ngrams(hyp, n), _ngrams(ref, n)
-        out += [a.total(), _overlap(a, b)]
-    return out
+        of_hyp, _, both = overlaps(a, b, n)
+        cols += [of_hyp, both]
+    return np.stack(cols, 1)
 
 
 def edits(hyp: list[str], ref: list[str]) -> int:
@@ -129,30 +157,61 @@ def meteor_exact(hyp: list[str], ref: list[str]) -> float:
     return 10 * p * r / (r + 9 * p) * (1 - 0.5 * (chunks / m) ** 3)
 
 
-CHRF = "chrf array<struct<hyp:bigint,ref:bigint,both:bigint>>"
+COUNTS = {
+    "chrf": "array<struct<hyp:bigint,ref:bigint,both:bigint>>",
+    "bleu": "array<bigint>",
+    "wer": "bigint",
+    "ter": "bigint",
+    "meteor": "double",
+}
+#: Characters counted at once in a worker.
+BLOCK = 2_000_000
+
+
+def _blocks(texts: list[str]) -> Iterator[slice]:
+    start = n = 0
+    for i, t in enumerate(texts):
+        n += len(t)
+        if n >= BLOCK:
+            yield slice(start, i + 1)
+            start, n = i + 1, 0
+    if start < len(texts):
+        yield slice(start, len(texts))
+
+
+def _lists(counts: np.ndarray) -> pa.Array:
+    """rows x n, or rows x n x 3 as structs."""
+    offsets = pa.array(np.arange(len(counts) + 1, dtype=np.int32) * counts.shape[1])
+    if counts.ndim == 2:
+        return pa.ListArray.from_arrays(offsets, pa.array(counts.ravel().astype(np.int64)))
+    flat = counts.reshape(-1, 3).astype(np.int64)
+    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(flat[:, i].copy()) for i in range(3)], ["hyp", "ref", "both"]))
 
 
-def counted(df: DataFrame, keep: list[str], hyp: str, ref: str, edit: bool = False) -> DataFrame:
-    """The columns kept; chrf: counts by order; bleu: counts; with edit also wer, ter (edits) and meteor."""
+def counted(df: DataFrame, keep: list[str], hyp: str, ref: str, what: tuple[str, ...] = ("chrf",)) -> DataFrame:
+    """The columns kept, and the counts asked for: chrf and bleu by order, wer and ter (edits), meteor."""
     kinds = dict(df.dtypes)
-    chrf_kind = pa.list_(pa.struct([("hyp", pa.int64()), ("ref", pa.int64()), ("both", pa.int64())]))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             k = len(keep)
-            h, r, hw, rw = (b.column(k + i).to_pylist() for i in range(4))
-            cols = [
-                pa.array([[{"hyp": x, "ref": y, "both": z} for x, y, z in chrf_counts(a, c)] for a, c in zip(h, r)], chrf_kind),
-                pa.array([bleu_counts(a, c) for a, c in zip(hw, rw)], pa.list_(pa.int64())),
-            ]
-            if edit:
-                cols += [pa.array([edits(a, c) for a, c in zip(hw, rw)], pa.int64()), pa.array([ter_edits(a, c) for a, c in zip(hw, rw)], pa.int64()), pa.array([meteor_exact(a, c) for a, c in zip(hw, rw)], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*b.columns[:k], *cols], names=[*keep, "chrf", "bleu", *(["wer", "ter", "meteor"] if edit else [])])
+            hyps, refs, hyp_words, ref_words = (b.column(k + i).to_pylist() for i in range(4))
+            for s in _blocks(hyps):
+                h, r, hw, rw = hyps[s], refs[s], hyp_words[s], ref_words[s]
+                made = {
+                    "chrf": lambda: _lists(chrf_counts(h, r)),  # noqa: B023
+                    "bleu": lambda: _lists(bleu_counts(hw, rw)),  # noqa: B023
+                    "wer": lambda: pa.array([edits(x, y) for x, y in zip(hw, rw)], pa.int64()),  # noqa: B023
+                    "ter": lambda: pa.array([ter_edits(x, y) for x, y in zip(hw, rw)], pa.int64()),  # noqa: B023
+                    "meteor": lambda: pa.array([meteor_exact(x, y) for x, y in zip(hw, rw)], pa.float64()),  # noqa: B023
+                }
+                yield pa.RecordBatch.from_arrays([*(c.slice(s.start, s.stop - s.start) for c in b.columns[:k]), *(made[w]() for w in what)], names=[*keep, *what])
 
     both = df.where(F.col(hyp).isNotNull() & F.col(ref).isNotNull())
-    texts = both.select(*keep, F.col(hyp).alias("_h"), F.col(ref).alias("_r"), split_13a(F.col(hyp)).alias("_hw"), split_13a(F.col(ref)).alias("_rw"))
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + f", {CHRF}, bleu array<bigint>" + (", wer bigint, ter bigint, meteor double" if edit else "")
-    return texts.mapInArrow(count, schema)
+    split = any(w != "chrf" for w in what)
+    words = lambda c: split_13a(F.col(c)) if split else F.array().cast("array<string>")
+    texts = both.select(*keep, F.col(hyp).alias("_h"), F.col(ref).alias("_r"), words(hyp).alias("_hw"), words(ref).alias("_rw"))
+    return texts.mapInArrow(count, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), *(f"{w} {COUNTS[w]}" for w in what)]))
 
 
 def chrf_score(sums: list[tuple[Column, Column, Column]]) -> Column:

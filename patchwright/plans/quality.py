@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import stats as S
 from ..functions import text as X
 from ..operators import metrics as M
-from ..sources.tables import table
+from ..sources.tables import spread, table
 from .texts import _noise_sql
 
 NOISES, SEEDS, REPLICATES = [0.0, 0.1, 0.2], [42, 43, 44], 100
@@ -16,13 +16,13 @@ NOISES, SEEDS, REPLICATES = [0.0, 0.1, 0.2], [42, 43, 44], 100
 
 def _grid(spark: SparkSession, sf_dir: str, seeds: list[int] = SEEDS, noises: list[float] = NOISES) -> DataFrame:
     """failure_id, seed, noise, hyp, ref: every preview, noised for each cell of the grid."""
-    f = table(spark, sf_dir, "failure_sentences_100").where("text_preview is not null")
+    f = spread(table(spark, sf_dir, "failure_sentences_100").where("text_preview is not null").select("failure_id", "text_preview"))
     cells = [F.struct(F.lit(s).alias("seed"), F.lit(p).alias("noise"), X.noised(F.col("text_preview"), F.col("failure_id"), p, s).alias("hyp")) for s in seeds for p in noises]
     return f.select("failure_id", F.explode(F.array(*cells)).alias("c"), F.col("text_preview").alias("ref")).select("failure_id", "c.seed", "c.noise", "c.hyp", "ref")
 
 
-def _counts(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:
-    return M.counted(_grid(spark, sf_dir, **kw), ["failure_id", "seed", "noise"], "hyp", "ref")
+def _counts(spark: SparkSession, sf_dir: str, what: str = "chrf", **kw) -> DataFrame:
+    return M.counted(_grid(spark, sf_dir, **kw), ["failure_id", "seed", "noise"], "hyp", "ref", (what,))
 
 
 def chrfpp_by_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,12 +30,12 @@ def chrfpp_by_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bleu_by_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _counts(spark, sf_dir).groupBy("seed", "noise").agg(F.round(M.bleu_score(), 7).alias("bleu"))
+    return _counts(spark, sf_dir, "bleu").groupBy("seed", "noise").agg(F.round(M.bleu_score(), 7).alias("bleu"))
 
 
 def edit_metrics_by_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WER, TER (with shifts) and exact-match METEOR in per cent."""
-    c = M.counted(_grid(spark, sf_dir, seeds=[42]), ["failure_id", "noise"], "hyp", "ref", edit=True)
+    c = M.counted(_grid(spark, sf_dir, seeds=[42]), ["failure_id", "noise"], "hyp", "ref", ("bleu", "wer", "ter", "meteor"))
     words = F.sum(F.get("bleu", F.lit(1)))
     return c.groupBy("noise").agg(F.round(100 * F.sum("wer") / words, 7).alias("wer"), F.round(100 * F.sum("ter") / words, 7).alias("ter"), F.round(100 * F.avg("meteor"), 7).alias("meteor"))
 

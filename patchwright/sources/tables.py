@@ -24,6 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer partitions than there are cores, spread over them before costly work; others as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def json_array(spark: SparkSession, path: str) -> DataFrame:
     """sentence_id, text: a file that is one JSON array of strings; the position is the key."""
     whole = spark.read.text(path, wholetext=True)
