@@ -202,7 +202,8 @@ def stretches(df: DataFrame, record: str, text: str, fit: Filter, keep: list[str
             cols = [b.column(k).take(at) for k in range(b.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(out, KIND)], names=["rec_id", *keep, "stretches"])
 
-    schema = "rec_id bigint, " + "".join(f"`{k}` string, " for k in keep) + "stretches array<struct<first_word:int,n_words:int,lang:string,confidence:double>>"
+    kinds = dict(df.dtypes)
+    schema = "rec_id bigint, " + "".join(f"`{k}` {kinds[k]}, " for k in keep) + "stretches array<struct<first_word:int,n_words:int,lang:string,confidence:double>>"
     return df.select(F.col(record).cast("bigint").alias("rec_id"), *keep, tokens(F.col(text)).alias("_tokens")).mapInArrow(tag, schema)
 
 

@@ -90,7 +90,7 @@ def mixed(docs: DataFrame, targets: DataFrame, members: str = "members", record:
     spark = docs.sparkSession
     base = docs.where(F.col(size) > 0).select(
         F.col(record).alias("record"),
-        F.array_sort(F.array_distinct(F.filter(members, lambda x: x.isNotNull()))).alias("pattern"),
+        F.array_sort(F.array_distinct(F.filter(F.coalesce(members, F.array().cast("array<string>")), lambda x: x.isNotNull()))).alias("pattern"),
         F.col(size).cast("bigint").alias("n"),
         F.xxhash64(F.lit(seed), record).alias("h"),
     )

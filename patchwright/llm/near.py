@@ -44,6 +44,8 @@ LIMIT = 64
 MORE_ROUNDS = 3
 SLOTS = 1 << 17
 STEPS = 1_500_000
+#: The weight of a token in (nearly) every set; one in 55 sets or fewer weighs 1.
+LEAST_WEIGHT = 0.5
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -155,7 +157,7 @@ def _entries(path: np.ndarray, own: np.ndarray, keys: np.ndarray, lens: np.ndarr
 
 def _weights(counts: np.ndarray, records: int) -> tuple[np.ndarray, np.ndarray, float]:
     ln_f = np.log(np.maximum(counts, 1) / max(records, 1))
-    return ln_f, 1 / np.maximum(np.minimum(-ln_f / 4, 1), 1e-3), math.log(LIMIT / 8 / max(records, 1))
+    return ln_f, 1 / np.clip(-ln_f / 4, LEAST_WEIGHT, 1), math.log(LIMIT / 8 / max(records, 1))
 
 
 def entries(sets: DataFrame, counts: np.ndarray, records: int) -> DataFrame:
@@ -197,7 +199,7 @@ def _deeper(large: DataFrame, sets: DataFrame, counts: np.ndarray, records: int)
             lens = b.column(0).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
             starts = np.concatenate([[0], np.cumsum(lens)[:-1]])
             path = b.column(2).to_numpy(zero_copy_only=False).view(np.uint64)
-            walked = _walk(flat, starts, lens, path, np.arange(len(lens)), np.zeros(len(lens)), (3, 1), ln_f, inv_w, -math.inf)
+            walked = _walk(flat, starts, lens, path, np.arange(len(lens)), np.zeros(len(lens)), FANOUT[:2], ln_f, inv_w, -math.inf)
             yield _entries(*walked, b.column(1).to_numpy(zero_copy_only=False), lens, sketches(flat, starts))
 
     return large.select("path", "set_key").join(tokens, "set_key").select("tokens", "set_key", "path").mapInArrow(emit, ENTRY)

@@ -51,13 +51,13 @@ class Merges:
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]]):
         self.bytes = [vocab[c] for c in _byte_characters()]
         self.pairs: dict[tuple[int, int], tuple[int, int]] = {}
-        made: dict[int, int] = {}
+        made: dict[str, int] = {}
         for rank, (a, b) in enumerate(merges):
-            left, right, out = vocab[a], vocab[b], vocab[a + b]
-            if max(made.get(left, -1), made.get(right, -1)) >= rank:
+            made.setdefault(a + b, rank)
+            self.pairs[vocab[a], vocab[b]] = (rank, vocab[a + b])
+        for rank, parts in enumerate(merges):
+            if any(made.get(x, -1) >= rank for x in parts):
                 raise ValueError("a merge comes before its parts")
-            made.setdefault(out, rank)
-            self.pairs[left, right] = (rank, out)
         self.forget()
 
     def forget(self) -> None:
