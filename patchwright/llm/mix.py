@@ -118,9 +118,9 @@ def mixed(docs: DataFrame, targets: DataFrame, members: str = "members", record:
     routes = spark.createDataFrame(flows, "mix_name string, source string, pattern array<string>, first bigint, amount bigint, total bigint")
     within = Window.partitionBy("pattern", "bucket").orderBy("h", "record")
     placed = (
-        base.join(F.broadcast(sums.select("pattern", "bucket", "start")), ["pattern", "bucket"])  # at most BUCKETS rows a pattern
+        base.join(sums.select("pattern", "bucket", "start"), ["pattern", "bucket"])  # the window then needs no shuffle of its own
         .withColumn("middle", 2 * (F.col("start") + F.sum("n").over(within) - F.col("n")) + F.col("n"))
-        .join(F.broadcast(routes), "pattern")  # at most a row for each pattern, source and mix
+        .join(routes, "pattern")
     )
     turns = lambda end: F.expr(f"-floor((middle - 2 * ({end})) / (2 * total))")  # noqa: E731  how often the circle's point came up before end
     chosen = placed.withColumn("repeats", (turns("first + amount") - turns("first")).cast("int")).where("repeats > 0")
