@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats as S
 from ..functions import text as X
+from ..operators import compare as C
 from ..operators import metrics as M
 from ..sources.tables import spread, table
 from .texts import _noise_sql
@@ -115,6 +116,40 @@ def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("significant", (F.col("p_value") < 0.05) & (F.abs("delta") >= 1e-6))
 
 
+def approximate_randomisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same question by swapping the two systems' outputs of segments at random: how often is the gap as large as it is?"""
+    c = _counts(spark, sf_dir, seeds=[42], noises=[0.1, 0.2])
+    reps = c.select("failure_id", "noise", "chrf", F.explode(F.sequence(F.lit(-1), F.lit(REPLICATES - 1))).alias("rep"))
+    swap = (F.col("rep") >= 0) & (X.draw(F.lit("ar"), F.col("rep").cast("string"), F.col("failure_id").cast("string")) % 2 == 1)
+    first = F.when(swap, F.col("noise") == 0.2).otherwise(F.col("noise") == 0.1)
+    s = reps.groupBy("rep", first.alias("first")).agg(M.chrf_score(M.chrf_sums()).alias("s"))
+    d = s.groupBy("rep").agg(F.abs(F.max(F.when(F.col("first"), F.col("s"))) - F.max(F.when(~F.col("first"), F.col("s")))).alias("d"))
+    real = F.max(F.when(F.col("rep") == -1, F.col("d"))).over(Window.partitionBy())
+    g = d.withColumn("real", real).where("rep >= 0").agg(F.count(F.lit(1)).alias("replicates"), F.round(F.max("real"), 6).alias("delta"), F.round((F.count_if(F.col("d") >= F.col("real")) + 1) / (F.count(F.lit(1)) + 1), 9).alias("p_value"))
+    verdict = C.significance(F.col("delta"), F.col("p_value"), F.lit(False))
+    return g.select("replicates", "delta", "p_value", verdict["significant"].alias("significant"), verdict["note"].alias("note"))
+
+
+def metric_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All scores of every cell of the grid in one pass; COMET needs a neural model and is always missing."""
+    c = M.counted(_grid(spark, sf_dir, seeds=[42]), ["noise"], "hyp", "ref", ("chrf", "bleu", "ter", "meteor"))
+    words = F.sum(F.get("bleu", F.lit(1)))
+    return c.groupBy("noise").agg(
+        F.round(M.bleu_score(), 6).alias("bleu"), F.round(M.chrf_score(M.chrf_sums()), 6).alias("chrfpp"), F.round(100 * F.sum("ter") / words, 6).alias("ter"),
+        F.round(100 * F.avg("meteor"), 6).alias("meteor"), F.lit(None).cast("double").alias("comet"),
+    )
+
+
+def best_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.best_row(chrfpp_by_noise(spark, sf_dir).where("noise > 0").select("seed", "noise", "chrfpp"), "chrfpp")
+
+
+def ablation_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Last and least value and length of each record's entropies, as of a history of losses."""
+    r = table(spark, sf_dir, "blt_marathi_patched").select("run_name", "sentence_index", "written_at", "entropy_per_byte")
+    return C.history_rollup(r, "entropy_per_byte").drop("entropy_per_byte")
+
+
 def _numbered(df: DataFrame, key: str) -> DataFrame:
     """key, i: consecutive numbers from 0 in key order, by blocks of keys and then within a block."""
     d = df.select(key, F.floor(F.col(key) / 10000).alias("block"))
@@ -202,6 +237,9 @@ SQL = {
     "missing_cells": f"WITH g AS ({_CELLS(SEEDS, NOISES)}), have AS (SELECT DISTINCT seed, noise FROM g WHERE NOT (seed = 44 AND noise = 0.2)), want AS (SELECT seed, noise FROM (SELECT unnest({SEEDS}) AS seed) CROSS JOIN (SELECT unnest({NOISES})::DOUBLE AS noise)) SELECT printf('seed_%d@%.1f', seed, noise) AS cell FROM want ANTI JOIN have USING (seed, noise)",
     "noise_curve": f"WITH {_BY}, m AS (SELECT noise, avg(round(s, 7)) AS m FROM cs GROUP BY 1) SELECT noise, round(m, 6) AS chrfpp, round(max(CASE WHEN noise = 0 THEN m END) OVER () - m, 6) AS lost FROM m",
     "class_gain_bound": f"WITH {_TWO}, f AS (SELECT failure_id, blt_fertility, unnest(string_split(categories, '; ')) AS class FROM failure_sentences_100), lam AS (SELECT class, avg(blt_fertility) AS lam FROM f GROUP BY 1), kc AS (SELECT k.*, class FROM k JOIN f USING (failure_id)), {_chrf_sql('kc', 'class, noise', 'cc')}, two AS (SELECT class, max(CASE WHEN noise = 0.2 THEN s END) AS a, max(CASE WHEN noise = 0.1 THEN s END) AS b FROM cc GROUP BY 1) SELECT class, round(a, 6) AS score_a, round(b, 6) AS score_b, round(b - a, 6) AS gain, round(CASE WHEN lam > 0 THEN pow(lam, -1.0) END, 6) AS factor, round(greatest(0, 100 - b) / nullif(greatest(0, 100 - a), 0), 6) AS error_ratio, greatest(0, 100 - b) <= pow(lam, -1.0) * greatest(0, 100 - a) AS satisfied FROM two JOIN lam USING (class)",
+    "best_cell": f"WITH {_BY} SELECT seed, noise, round(s, 7) AS chrfpp FROM cs WHERE noise > 0 ORDER BY round(s, 7) DESC, seed, noise LIMIT 1",
+    "ablation_rollup": "SELECT run_name, sentence_index, written_at, entropy_per_byte[-1] AS final_loss, list_min(entropy_per_byte) AS best_loss, len(entropy_per_byte)::INT AS epochs FROM blt_marathi_patched",
+    "approximate_randomisation": f"WITH {_TWO}, x AS (SELECT rep, o, h, r, m, CASE WHEN rep >= 0 AND ('0x' || md5('ar|' || rep || '|' || failure_id)[1:8])::BIGINT % 2 = 1 THEN noise = 0.2 ELSE noise = 0.1 END AS first FROM k CROSS JOIN (SELECT unnest(range(-1, {REPLICATES})) AS rep)), {_chrf_sql('x', 'rep, first', 'cx')}, d AS (SELECT rep, abs(max(CASE WHEN first THEN s END) - max(CASE WHEN NOT first THEN s END)) AS d FROM cx GROUP BY 1), z AS (SELECT rep, d, max(CASE WHEN rep = -1 THEN d END) OVER () AS real FROM d), a AS (SELECT count(*) AS replicates, round(max(real), 6) AS delta, round((count(*) FILTER (WHERE d >= real) + 1) / (count(*) + 1), 9) AS p_value FROM z WHERE rep >= 0) SELECT *, abs(delta) >= 1e-6 AND p_value < 0.05 AS significant, CASE WHEN abs(delta) < 1e-6 THEN 'no measurable difference; p-value not meaningful' ELSE '' END AS note FROM a",
     "pearson_spearman": "WITH f AS (SELECT n_words::DOUBLE AS x, n_patches::DOUBLE AS y FROM failure_sentences_100 WHERE n_words IS NOT NULL AND n_patches IS NOT NULL), r AS (SELECT x, y, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2 AS ry FROM f) SELECT count(*) AS n, round(corr(x, y), 7) AS pearson, round(corr(rx, ry), 7) AS spearman FROM r",
     "paired_bootstrap": f"WITH {_TWO}, ids AS (SELECT failure_id, row_number() OVER (ORDER BY failure_id) - 1 AS i, count(*) OVER () AS n FROM failure_sentences_100 WHERE text_preview IS NOT NULL), dr AS (SELECT rep, ('0x' || md5(rep || '|' || i)[1:8])::BIGINT % n AS i FROM ids CROSS JOIN (SELECT unnest(range({REPLICATES})) AS rep)), pk AS (SELECT rep, i, count(*) AS times FROM dr GROUP BY 1, 2), kw AS (SELECT rep, noise, o, h * times AS h, r * times AS r, m * times AS m FROM pk JOIN ids USING (i) JOIN k USING (failure_id)), {_chrf_sql('kw', 'rep, noise', 'cr')}, de AS (SELECT rep, max(CASE WHEN noise = 0.1 THEN s END) - max(CASE WHEN noise = 0.2 THEN s END) AS d FROM cr GROUP BY 1), o AS (SELECT count(*) AS replicates, round(avg(d), 6) AS delta, round((count(*) FILTER (WHERE d <= 0) + 1) / (count(*) + 1), 9) AS p_value FROM de) SELECT *, p_value < 0.05 AND abs(delta) >= 1e-6 AS significant FROM o",
 }
@@ -210,6 +248,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         chrfpp_by_noise, bleu_by_noise, edit_metrics_by_noise, length_delta, identical_outputs, seed_summary, formatted_cells, metric_pivot, missing_cells, noise_curve, class_gain_bound,
-        pearson_spearman, paired_bootstrap,
+        pearson_spearman, paired_bootstrap, approximate_randomisation, metric_suite, best_cell, ablation_rollup,
     )
 }

@@ -253,7 +253,7 @@ def language_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = panel.select("lang_code", "display_name", F.explode(F.concat(F.array("lang_code"), "aliases")).alias("name")).select("lang_code", "display_name", F.lower("name").alias("name"))
     pairs = table(spark, sf_dir, "parallel_examples").select(F.lower(F.trim("target_lang")).alias("name"))
     counts = pairs.groupBy("name").agg(F.count(F.lit(1)).alias("n"))  # labels are few; the join comes after the count
-    return counts.join(F.broadcast(names), "name", "left").select("name", "lang_code", "display_name", F.split_part("lang_code", F.lit("_"), F.lit(2)).alias("script"), "n")
+    return counts.join(names, "name", "left").select("name", "lang_code", "display_name", F.split_part("lang_code", F.lit("_"), F.lit(2)).alias("script"), "n")
 
 
 _W = X.WHITE

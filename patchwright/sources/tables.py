@@ -151,3 +151,38 @@ def fingerprint(config: dict, ignore: Iterable[str] = ()) -> str:
     """16 hexadecimal digits of what affects results: the sorted JSON without the ignored keys."""
     kept = {k: v for k, v in config.items() if k not in set(ignore)}
     return hashlib.sha1(json.dumps(kept, sort_keys=True, default=str).encode()).hexdigest()[:16]
+
+
+# Suffixes that tell text from other files.
+TEXT_SUFFIXES = [".txt", ".md", ".json", ".jsonl", ".csv", ".py", ".sh", ".log", ".yaml", ".yml", ".tex"]
+BINARY_SUFFIXES = [".pth", ".pt", ".png", ".pdf", ".gz", ".zip", ".parquet", ".bin"]
+
+
+def sniffed(spark: SparkSession, path: str) -> DataFrame:
+    """path, is_text: by the suffix, else text if the first 8 KiB have no NUL and are UTF-8 (a character cut at their end aside). Empty files aren't listed."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    suffix = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
+    head = F.substring("content", 1, 8192)
+    whole = F.coalesce(*(F.when(F.is_valid_utf8(F.substring(head, F.lit(1), F.length(head) - k).cast("string")), True) for k in range(4)), F.lit(False))
+    plain = ~F.hex(head).rlike("^(..)*?00")
+    return files.select("path", F.when(suffix.isin(TEXT_SUFFIXES), True).when(suffix.isin(BINARY_SUFFIXES), False).otherwise(plain & whole).alias("is_text"))
+
+
+def fertility_summary(spark: SparkSession, path: str) -> DataFrame:
+    """class, fertility_lambda, num_words of a summary file; raises without its `classes`."""
+    kinds = "classes map<string, struct<fertility_lambda:double, num_words:bigint>>"
+    df = spark.read.schema(kinds).option("multiLine", True).json(path).select(F.assert_true(F.col("classes").isNotNull(), F.lit("no classes in the summary")).alias("ok"), "classes")
+    return df.where("ok is null").select(F.explode("classes").alias("class", "x")).select("class", "x.fertility_lambda", "x.num_words")
+
+
+def language(code: str, panel: dict[str, list[str]]) -> str:
+    """The code that a name stands for; one with an underscore stands for itself; an empty one raises."""
+    name = code.strip()
+    if not name:
+        raise ValueError("no language given")
+    if "_" in name:
+        return name
+    for full, aliases in panel.items():
+        if name.lower() in (a.lower() for a in aliases):
+            return full
+    raise ValueError(f"unknown language {code}")
