@@ -40,7 +40,9 @@ from .workspace import written
 NUM, DEN = 4, 5
 TARGET_RECALL = 0.997
 FANOUT = (5, 2, 1, 1)
-LIMIT = 64
+#: Sets that a path's bucket should hold by its tokens' frequencies, and those it may hold before it is split further.
+EXPECTED = 8
+LIMIT = 512
 MORE_ROUNDS = 3
 SLOTS = 1 << 17
 STEPS = 1_500_000
@@ -157,7 +159,7 @@ def _entries(path: np.ndarray, own: np.ndarray, keys: np.ndarray, lens: np.ndarr
 
 def _weights(counts: np.ndarray, records: int) -> tuple[np.ndarray, np.ndarray, float]:
     ln_f = np.log(np.maximum(counts, 1) / max(records, 1))
-    return ln_f, 1 / np.clip(-ln_f / 4, LEAST_WEIGHT, 1), math.log(LIMIT / 8 / max(records, 1))
+    return ln_f, 1 / np.clip(-ln_f / 4, LEAST_WEIGHT, 1), math.log(EXPECTED / max(records, 1))
 
 
 def entries(sets: DataFrame, counts: np.ndarray, records: int) -> DataFrame:
@@ -286,7 +288,7 @@ def _bucketed(df: DataFrame) -> DataFrame:
 
 def _in_blocks(large: DataFrame) -> DataFrame:
     """Buckets that the tree can't split: blocks of at most about LIMIT sets, every two blocks of a bucket in one group."""
-    sizes = large.groupBy("path").agg(F.ceil(F.count(F.lit(1)) / F.lit(LIMIT // 2)).cast("int").alias("blocks"))
+    sizes = large.groupBy("path").agg(F.ceil(F.count(F.lit(1)) / F.lit(max(1, LIMIT // 2))).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("set_key", F.lit(3)), F.col("blocks")).cast("int")
     placed = large.join(sizes, "path").withColumn("own", own)
     spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
