@@ -62,7 +62,10 @@ EMAILS = [
     re.compile(rf"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*(?:{_AT}|[@＠])(?:{_LABEL}(?:\.|{_DOT}))+[A-Za-z]{{2,}}(?![\w@])"),
     re.compile(rf"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*(?:{_AT}| at | AT ){_LABEL}(?:(?:{_DOT}| dot | DOT ){_LABEL})+(?![\w@])"),
 ]
-PHONES = [
+PHONES = [  # numbers of known length first: what follows them may be a number of its own
+    (5, re.compile(r"(?<![\w+])\+1[ .\-]?\(?\d{3}\)?[ .\-]?\d{3}[ .\-]?\d{4}(?![\w-])")),
+    (5, re.compile(r"(?<![\w+])\+91[ .\-]?\d{5}[ .\-]?\d{5}(?![\w-])")),
+    (5, re.compile(r"(?<![\w+])\+44[ .\-]?\d{4}[ .\-]?\d{3}[ .\-]?\d{3}(?![\w-])")),
     (4, re.compile(r"(?<![\w+])\+\d{1,3}(?:[ .\-]?\(?\d{2,5}\)?){2,4}(?![\w-])")),
     (3, re.compile(r"(?<![\w(])\(\d{3}\) ?\d{3}[-. ]\d{4}(?![\w-])")),
     (2, re.compile(r"(?<![\w.+-])0\d{2,5}[ -]\d{5,8}(?![\w-])")),

@@ -54,6 +54,7 @@ CASES = {
     "Write to a.b+c@example.com, or x_y [at] lab [dot] example [dot] com.": [("email", "a.b+c@example.com"), ("email", "x_y [at] lab [dot] example [dot] com")],
     "see @river and blt_lcm@0.1 #x": [],
     "Tel. +91-5551835007 or (212) 555-0107, मो. ०५५५५६ ०५७९६ / 055582-54804": [("phone", "+91-5551835007"), ("phone", "(212) 555-0107"), ("phone", "०५५५५६ ०५७९६"), ("phone", "055582-54804")],
+    "+1 312 555 0143 3899 trains, +91 55598 19847 12 cars": [("phone", "+1 312 555 0143"), ("phone", "+91 55598 19847")],
     "Checksum 976494424000 for shard 1. Ticket 2025-8567-5922 is open. Bytes 8803 4506 7935 per worker.": [],
     "For it: national ID 6521 7649 6813. ओळख क्रमांक २१७१ ७६५७ ९३६३": [("id_number", "6521 7649 6813"), ("id_number", "२१७१ ७६५७ ९३६३")],
     "passport Q1234567, Tax code ABCDE1234F, ID no. 000-12-3456": [("id_number", "Q1234567"), ("id_number", "ABCDE1234F"), ("id_number", "000-12-3456")],
