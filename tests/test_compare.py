@@ -6,27 +6,27 @@ from pyspark.sql import functions as F
 from patchwright.operators import compare as C
 from patchwright.sources import tables as R
 
-ROWS = [("BPE-LCM", 0.25, n, 40 - 50 * n, i) for i, n in enumerate((0.0, 0.1, 0.2))] + [("blt_lcm", 0.25, n, 44 - 50 * n, 9 + i) for i, n in enumerate((0.0, 0.1, 0.2))]
+ROWS = [("Sys-A", 0.25, n, 40 - 50 * n, i) for i, n in enumerate((0.0, 0.1, 0.2))] + [("sys_b", 0.25, n, 44 - 50 * n, 9 + i) for i, n in enumerate((0.0, 0.1, 0.2))]
 
 
 @pytest.fixture
 def cells(spark):
-    return spark.createDataFrame([*ROWS, ("bpe_lcm", 0.25, 0.0, 41.0, 50), ("blt_lcm", 0.5, 0.0, 1.0, 51)], "model string, fraction double, noise double, score double, line int")
+    return spark.createDataFrame([*ROWS, ("sys_a", 0.25, 0.0, 41.0, 50), ("sys_b", 0.5, 0.0, 1.0, 51)], "model string, fraction double, noise double, score double, line int")
 
 
 def test_curve(cells):
-    got = [tuple(r) for r in C.curve(cells.where("line < 50"), ["bpe_lcm", "blt_lcm"], [0, 0.1, 0.2], "score", "line").collect()]
-    assert len(got) == 6 and got[0] == ("bpe_lcm", 0.0, 40.0) and got[-1][:2] == ("blt_lcm", 0.2)
-    with pytest.raises(ValueError, match="blt_lcm@0.1"):
-        C.curve(cells.where("not (model = 'blt_lcm' and noise = 0.1)"), ["bpe_lcm", "blt_lcm"], [0, 0.1, 0.2], "score", "line")
+    got = [tuple(r) for r in C.curve(cells.where("line < 50"), ["sys_a", "sys_b"], [0, 0.1, 0.2], "score", "line").collect()]
+    assert len(got) == 6 and got[0] == ("sys_a", 0.0, 40.0) and got[-1][:2] == ("sys_b", 0.2)
+    with pytest.raises(ValueError, match="sys_b@0.1"):
+        C.curve(cells.where("not (model = 'sys_b' and noise = 0.1)"), ["sys_a", "sys_b"], [0, 0.1, 0.2], "score", "line")
 
 
 def test_pivot(cells):
-    got = {r["noise"]: r.asDict() for r in C.metric_pivot(cells.where("not (model = 'blt_lcm' and noise = 0.2)"), 0.25, ["bpe_lcm", "blt_lcm"], ["score"], "line").collect()}
-    assert got[0.0] == {"noise": 0.0, "models_present": "blt_lcm;bpe_lcm", "bpe_lcm_score": 41.0, "blt_lcm_score": 44.0}
-    assert got[0.2]["blt_lcm_score"] is None and got[0.2]["models_present"] == "bpe_lcm"
-    with pytest.raises(ValueError, match="blt_lcm@0.2"):
-        C.metric_pivot(cells.where("not (model = 'blt_lcm' and noise = 0.2)"), 0.25, ["bpe_lcm", "blt_lcm"], ["score"], "line", strict=True)
+    got = {r["noise"]: r.asDict() for r in C.metric_pivot(cells.where("not (model = 'sys_b' and noise = 0.2)"), 0.25, ["sys_a", "sys_b"], ["score"], "line").collect()}
+    assert got[0.0] == {"noise": 0.0, "models_present": "sys_b;sys_a", "sys_a_score": 41.0, "sys_b_score": 44.0}
+    assert got[0.2]["sys_b_score"] is None and got[0.2]["models_present"] == "sys_a"
+    with pytest.raises(ValueError, match="sys_b@0.2"):
+        C.metric_pivot(cells.where("not (model = 'sys_b' and noise = 0.2)"), 0.25, ["sys_a", "sys_b"], ["score"], "line", strict=True)
 
 
 def test_significance(spark):
