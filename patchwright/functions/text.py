@@ -155,6 +155,18 @@ def text_of_tokens(tokens: Column, offset: int = 4) -> Column:
     return F.make_valid_utf8(F.unhex(digits).cast("string"))
 
 
+def byte_offsets(col: Column) -> Column:
+    """Where each character begins in the text's bytes."""
+    sizes = F.transform(F.regexp_extract_all(col, F.lit("(?s)."), F.lit(0)), lambda c: F.octet_length(c))
+    start = F.struct(F.array().cast("array<int>").alias("o"), F.lit(0).alias("n"))
+    return F.aggregate(sizes, start, lambda a, n: F.struct(F.array_append(a["o"], a["n"]).alias("o"), (a["n"] + n).alias("n")), lambda a: a["o"])
+
+
+def sentence_seed(doc: Column, position: Column) -> Column:
+    """The seed of a sentence's noise: a document has a thousand of them."""
+    return doc * 1000 + position
+
+
 def model_name(col: Column) -> Column:
     """Lower case, underscores for spaces and hyphens."""
     return F.translate(F.lower(F.trim(col)), "- ", "__")

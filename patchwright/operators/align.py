@@ -9,7 +9,8 @@ Null and empty texts give no row.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -94,15 +95,60 @@ def aligned(df: DataFrame, record: str, text: str, table: np.ndarray, taus: list
     return df.select(record, text).mapInArrow(score, schema)
 
 
-def with_prf(df: DataFrame) -> DataFrame:
-    """precision, recall, f1 from the counts: all 1 if both sides are empty, all 0 if one is."""
+def with_prf(df: DataFrame, both_empty: float = 1.0) -> DataFrame:
+    """precision, recall, f1 from the counts: all `both_empty` if both sides are empty, all 0 if one is."""
     none, one = (F.col("n_pred") == 0) & (F.col("n_gold") == 0), (F.col("n_pred") == 0) | (F.col("n_gold") == 0)
-    fill = lambda x: F.when(none, 1.0).when(one, 0.0).otherwise(x)
+    fill = lambda x: F.when(none, both_empty).when(one, 0.0).otherwise(x)
     out = df.withColumn("precision", fill(F.try_divide("hit_pred", "n_pred"))).withColumn("recall", fill(F.try_divide("hit_gold", "n_gold")))
     f1 = F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))
     return out.withColumn("f1", F.coalesce(f1, F.lit(0.0)))
 
 
+def split_suffix(word: str) -> list[str]:
+    """A stand-in for a morphological analyzer: a listed suffix comes off a word longer by two characters or more."""
+    for s in sorted(SUFFIXES, key=len, reverse=True):
+        if word.endswith(s) and len(word) > len(s) + 1:
+            return [word[: -len(s)], s]
+    return [word]
+
+
+def morpheme_gold(text: str, analyse: Callable[[str], list[str]] = split_suffix) -> list[int]:
+    """Byte offsets inside the text where a morpheme or a word ends. Words are runs of letters, marks and digits, and
+    single other characters; one the analyzer fails on is taken whole."""
+    raw = text.encode()
+    found: set[int] = set()
+    at = 0
+    for token in re.findall(r"[\w\u0900-\u0963]+|[^\w\s]", text):
+        piece = token.encode()
+        start = raw.find(piece, at)
+        if start < 0:
+            at += len(piece)
+            continue
+        try:
+            parts = analyse(token)
+        except Exception:  # noqa: BLE001
+            parts = [token]
+        end = start
+        for part in parts[:-1]:
+            end += len(part.encode())
+            found.add(end)
+        at = start + len(piece)
+        found.add(at)
+    return sorted(x for x in found if x < len(raw))
+
+
+def gold_by_morphemes(df: DataFrame, record: str, text: str, analyse: Callable[[str], list[str]] = split_suffix) -> DataFrame:
+    """record, gold: the boundaries of every text; null for null."""
+    kind = dict(df.dtypes)[record]
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            gold = [None if t is None else morpheme_gold(t, analyse) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(gold, pa.list_(pa.int32()))], names=[record, "gold"])
+
+    return df.select(record, text).mapInArrow(find, f"`{record}` {kind}, gold array<int>")
+
+
 def four_places(col: Column) -> Column:
     """Rounded to four decimals, halves up, by the same arithmetic everywhere."""
     return F.floor(col * 10000 + 0.5) / 10000

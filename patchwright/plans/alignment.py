@@ -71,6 +71,12 @@ def greedy_boundary_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("doc_id", "n_pred", "n_gold", "hits", p.alias("precision"), r.alias("recall"), F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)).alias("f1"))
 
 
+def morpheme_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boundaries of words and morphemes of every document: how many, and the last."""
+    g = A.gold_by_morphemes(_docs(spark, sf_dir), "doc_id", "text")
+    return g.select("doc_id", F.size("gold").alias("n_gold"), F.array_max("gold").alias("last"))
+
+
 def _list(values: list) -> str:
     return "[" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in values) + "]"
 
@@ -125,5 +131,5 @@ SQL = {
 
 QUERIES = {
     f.__name__: f
-    for f in (proxy_boundaries, alignment_by_document, boundary_prf, best_tau, tolerance_sensitivity, boundary_efficiency, sweep_alignment_table, greedy_boundary_f1)
+    for f in (proxy_boundaries, alignment_by_document, boundary_prf, best_tau, tolerance_sensitivity, boundary_efficiency, sweep_alignment_table, greedy_boundary_f1, morpheme_gold)
 }

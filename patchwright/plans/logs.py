@@ -44,6 +44,12 @@ def resume_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.join(done, "event_id", "left_anti").groupBy("event_type").agg(F.count(F.lit(1)).alias("pending"))
 
 
+def adopted_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's newest record of the wanted type, whatever came after it."""
+    wanted = _events(spark, sf_dir).where("event_type = 'purchase' and value is not null")
+    return L.latest(wanted, ["user_id"], [F.col("ts"), F.col("event_id")]).select("user_id", "event_id", F.round("value", 6).alias("value"))
+
+
 def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three newest checkpoints of each user, named by the event's number."""
     c = _events(spark, sf_dir).select("user_id", F.concat(F.lit("epoch"), F.col("event_id").cast("string"), F.lit(".pth")).alias("name"))
@@ -129,6 +135,7 @@ SQL = {
     "upsert_by_key": f"WITH a AS {_HALF.format(op='<')}, b AS {_HALF.format(op='>=')} SELECT user_id, event_id, round(value, 6) AS value FROM b UNION ALL SELECT user_id, event_id, round(value, 6) FROM a WHERE user_id NOT IN (SELECT user_id FROM b WHERE user_id IS NOT NULL)",
     "mirror_prune": "SELECT user_id FROM events WHERE ts < TIMESTAMP '2024-01-16' INTERSECT SELECT user_id FROM events WHERE ts >= TIMESTAMP '2024-01-16'",
     "resume_anti_join": "SELECT event_type, count(*) AS pending FROM events e WHERE NOT EXISTS (SELECT 1 FROM events f WHERE f.event_id = e.event_id AND f.event_id % 2 = 0) GROUP BY 1",
+    "adopted_records": "SELECT user_id, event_id, round(value, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events WHERE event_type = 'purchase' AND value IS NOT NULL) WHERE r = 1",
     "retention": "SELECT user_id, 'epoch' || event_id || '.pth' AS name FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r <= 3",
     "epoch_order": "SELECT event_id FROM events ORDER BY md5('42|3|' || event_id), event_id LIMIT 100 OFFSET 50",
     "ema_series": f"WITH {_DAILY}, s AS (SELECT user_id, list(loss ORDER BY day) AS s FROM d GROUP BY 1) SELECT user_id, len(s)::INT AS n, round(list_reduce(s, lambda a, x: 0.1::DOUBLE * x + 0.9::DOUBLE * a), 7) AS ema FROM s",
@@ -145,7 +152,7 @@ SQL = {
 QUERIES = {
     f.__name__: f
     for f in (
-        latest_event_per_user, status_counts, upsert_by_key, mirror_prune, resume_anti_join, retention, epoch_order, plateau_stop, ema_series, running_best, events_tumbling, events_sliding,
+        latest_event_per_user, status_counts, upsert_by_key, mirror_prune, resume_anti_join, adopted_records, retention, epoch_order, plateau_stop, ema_series, running_best, events_tumbling, events_sliding,
         events_session, props_json, finite_values, summary_union, set_operations,
     )
 }

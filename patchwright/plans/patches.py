@@ -66,6 +66,23 @@ def patch_number_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def patch_distributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean, median, deviation and extremes of bytes, patches, patch lengths and entropies by mode."""
+    r = _runs(spark, sf_dir)
+    one = lambda name, col: r.select("patching_mode", F.lit(name).alias("measure"), F.col(col).cast("double").alias("x"))
+    many = lambda name, col: r.select("patching_mode", F.lit(name).alias("measure"), F.explode(F.col(col).cast("array<double>")).alias("x"))
+    every = one("bytes", "num_bytes").unionByName(one("patches", "num_patches")).unionByName(many("lengths", "patch_lengths")).unionByName(many("entropies", "entropy_per_byte"))
+    return every.where("x is not null and not isnan(x)").groupBy("patching_mode", "measure").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("x"), 7).alias("mean"), F.median("x").alias("median"), F.round(F.stddev_pop("x"), 7).alias("std"), F.min("x").alias("least"), F.max("x").alias("most")
+    )
+
+
+def position_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean entropy at each byte position over all records."""
+    p = _runs(spark, sf_dir).select(F.posexplode("entropy_per_byte").alias("pos", "h"))
+    return p.groupBy("pos").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("h"), 7).alias("mean"))
+
+
 def patch_length_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _runs(spark, sf_dir).select(F.explode("patch_lengths").alias("length")).groupBy("length").agg(F.count(F.lit(1)).alias("n"))
 
@@ -169,6 +186,8 @@ SQL = {
     "patch_records_monotonic": _records_sql(_MONO.format(t="0.6")),
     "patch_stats": f"SELECT run_name, count(*) AS sentences, sum(num_bytes)::BIGINT AS bytes, sum(num_patches)::BIGINT AS patches, round(sum(num_bytes) / nullif(sum(num_patches), 0), 8) AS micro, round(avg(coalesce(num_bytes / nullif(num_patches, 0), 0.0)), 8) AS macro, round(1 - sum(num_patches) / nullif(sum(num_bytes), 0), 8) AS reduction {_RUNS} GROUP BY run_name",
     "patch_number_summary": f"SELECT run_name, round(avg(num_patches), 8) AS mean, median(num_patches::DOUBLE) AS median, round(stddev_pop(num_patches), 8) AS std, min(num_patches) AS least, max(num_patches) AS most {_RUNS} GROUP BY run_name",
+    "patch_distributions": "WITH e AS (SELECT patching_mode, 'bytes' AS measure, num_bytes::DOUBLE AS x FROM blt_marathi_patched UNION ALL SELECT patching_mode, 'patches', num_patches FROM blt_marathi_patched UNION ALL SELECT patching_mode, 'lengths', unnest(patch_lengths) FROM blt_marathi_patched UNION ALL SELECT patching_mode, 'entropies', unnest(entropy_per_byte) FROM blt_marathi_patched) SELECT patching_mode, measure, count(*) AS n, round(avg(x), 7) AS mean, median(x) AS median, round(stddev_pop(x), 7) AS std, min(x) AS least, max(x) AS most FROM e WHERE x IS NOT NULL AND NOT isnan(x) GROUP BY 1, 2",
+    "position_entropy": "SELECT pos::INT AS pos, count(*) AS n, round(avg(h), 7) AS mean FROM (SELECT unnest(range(len(entropy_per_byte))) AS pos, unnest(entropy_per_byte) AS h FROM blt_marathi_patched) GROUP BY 1",
     "patch_length_tally": f"SELECT length, count(*) AS n FROM (SELECT unnest(patch_lengths) AS length {_RUNS}) GROUP BY 1",
     "patch_length_sample": f"WITH t AS (SELECT length, count(*) AS n FROM (SELECT unnest(patch_lengths) AS length {_RUNS}) GROUP BY 1) SELECT length, greatest(1, floor(n * least(1.0::DOUBLE, 1000 / sum(n) OVER ()) + 0.5))::BIGINT AS kept FROM t",
     "upper_median_patches": f"SELECT run_name, v[n // 2 + 1] AS upper_median FROM (SELECT run_name, list_sort(list(num_patches)) AS v, count(*) AS n {_RUNS} WHERE num_patches IS NOT NULL GROUP BY 1)",
@@ -187,7 +206,7 @@ SQL = {
 QUERIES = {
     f.__name__: f
     for f in (
-        patch_boundaries, patch_records_global, patch_records_monotonic, patch_stats, patch_number_summary, patch_length_tally, patch_length_sample, upper_median_patches, example_patches,
+        patch_boundaries, patch_records_global, patch_records_monotonic, patch_stats, patch_number_summary, patch_distributions, position_entropy, patch_length_tally, patch_length_sample, upper_median_patches, example_patches,
         latest_patch_record, run_completeness, fixed_chunk_boundaries, newline_reset_segments, training_chunks, teacher_forced_pairs, window_plan, patch_index_plan, utf8_roundtrip,
     )
 }

@@ -93,6 +93,12 @@ def class_gain_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("class", *(F.round(x, 6).alias(n) for x, n in ((F.col("a"), "score_a"), (F.col("b"), "score_b"), (F.col("b") - F.col("a"), "gain"), (factor, "factor"), (F.try_divide(eb, ea), "error_ratio"))), (eb <= factor * ea).alias("satisfied"))
 
 
+def bound_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many categories there are, and for how many and what share the bound holds."""
+    b = class_gain_bound(spark, sf_dir)
+    return b.agg(F.count(F.lit(1)).alias("classes"), F.count_if("satisfied").alias("satisfied"), F.round(F.avg(F.col("satisfied").cast("int")), 9).alias("share"))
+
+
 def pearson_spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Correlation of words with patches over the previews, of values and of their average ranks; null without variance."""
     f = table(spark, sf_dir, "failure_sentences_100").where("n_words is not null and n_patches is not null").select(F.col("n_words").cast("double").alias("x"), F.col("n_patches").cast("double").alias("y"))
@@ -244,10 +250,12 @@ SQL = {
     "paired_bootstrap": f"WITH {_TWO}, ids AS (SELECT failure_id, row_number() OVER (ORDER BY failure_id) - 1 AS i, count(*) OVER () AS n FROM failure_sentences_100 WHERE text_preview IS NOT NULL), dr AS (SELECT rep, ('0x' || md5(rep || '|' || i)[1:8])::BIGINT % n AS i FROM ids CROSS JOIN (SELECT unnest(range({REPLICATES})) AS rep)), pk AS (SELECT rep, i, count(*) AS times FROM dr GROUP BY 1, 2), kw AS (SELECT rep, noise, o, h * times AS h, r * times AS r, m * times AS m FROM pk JOIN ids USING (i) JOIN k USING (failure_id)), {_chrf_sql('kw', 'rep, noise', 'cr')}, de AS (SELECT rep, max(CASE WHEN noise = 0.1 THEN s END) - max(CASE WHEN noise = 0.2 THEN s END) AS d FROM cr GROUP BY 1), o AS (SELECT count(*) AS replicates, round(avg(d), 6) AS delta, round((count(*) FILTER (WHERE d <= 0) + 1) / (count(*) + 1), 9) AS p_value FROM de) SELECT *, p_value < 0.05 AND abs(delta) >= 1e-6 AS significant FROM o",
 }
 
+SQL["bound_summary"] = f"SELECT count(*) AS classes, count(*) FILTER (WHERE satisfied) AS satisfied, round(avg(satisfied::INT), 9) AS share FROM ({SQL['class_gain_bound']})"
+
 QUERIES = {
     f.__name__: f
     for f in (
-        chrfpp_by_noise, bleu_by_noise, edit_metrics_by_noise, length_delta, identical_outputs, seed_summary, formatted_cells, metric_pivot, missing_cells, noise_curve, class_gain_bound,
+        chrfpp_by_noise, bleu_by_noise, edit_metrics_by_noise, length_delta, identical_outputs, seed_summary, formatted_cells, metric_pivot, missing_cells, noise_curve, class_gain_bound, bound_summary,
         pearson_spearman, paired_bootstrap, approximate_randomisation, metric_suite, best_cell, ablation_rollup,
     )
 }

@@ -44,20 +44,30 @@ def pair_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_regroup_20(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stream of all sentences in document order cut into groups of 20; a tail of one sentence is left out.
+    """The stream of all sentences in document order cut into groups of 20; a tail of one sentence is left out."""
+    return regrouped(_docs(spark, sf_dir), 20).where("sentences >= 2")
+
+
+def doc_regroup_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with every tail kept, and no more than the first 500 groups."""
+    return regrouped(_docs(spark, sf_dir), 20).where("grp < 500")
+
+
+def regrouped(docs: DataFrame, size: int) -> DataFrame:
+    """grp, sentences, documents, first_doc: the sentences of all documents by id, in groups of `size`.
 
     Positions come from running totals of sentences by document, so only those totals are ordered globally, in
     two steps: by blocks of ids, then within a block."""
-    s = _docs(spark, sf_dir).withColumn("x", X.sentences(F.col("text"))).where("size(x) > 0").select("doc_id", F.size("x").alias("n"))
+    s = docs.withColumn("x", X.sentences(F.col("text"))).where("size(x) > 0").select("doc_id", F.size("x").alias("n"))
     s = s.withColumn("block", F.floor(F.col("doc_id") / 1000))
     blocks = s.groupBy("block").agg(F.sum("n").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = blocks.select("block", before.alias("before"))  # one row for a thousand ids
     upto = F.coalesce(F.sum("n").over(Window.partitionBy("block").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = s.join(starts, "block").withColumn("first", F.col("before") + upto)
-    groups = placed.select("doc_id", "first", "n", F.explode(F.sequence(F.floor(F.col("first") / 20), F.floor((F.col("first") + F.col("n") - 1) / 20))).alias("grp"))
-    part = F.least(F.col("first") + F.col("n"), (F.col("grp") + 1) * 20) - F.greatest(F.col("first"), F.col("grp") * 20)
-    return groups.groupBy("grp").agg(F.sum(part).alias("sentences"), F.count(F.lit(1)).alias("documents"), F.min("doc_id").alias("first_doc")).where("sentences >= 2")
+    groups = placed.select("doc_id", "first", "n", F.explode(F.sequence(F.floor(F.col("first") / size), F.floor((F.col("first") + F.col("n") - 1) / size))).alias("grp"))
+    part = F.least(F.col("first") + F.col("n"), (F.col("grp") + 1) * size) - F.greatest(F.col("first"), F.col("grp") * size)
+    return groups.groupBy("grp").agg(F.sum(part).alias("sentences"), F.count(F.lit(1)).alias("documents"), F.min("doc_id").alias("first_doc"))
 
 
 def hash_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,8 +85,15 @@ def _fraction(df: DataFrame, key: str, share: float, seed: int) -> DataFrame:
 
 
 def tail_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last hundred documents by id are for evaluation; raises if there are no others."""
-    return _docs(spark, sf_dir).orderBy(F.desc("doc_id")).limit(100).select("doc_id")
+    """The last fifty documents by id are for evaluation."""
+    return tail(_docs(spark, sf_dir), "doc_id", 50).select("doc_id")
+
+
+def tail(df: DataFrame, key: str, k: int) -> DataFrame:
+    """The last k rows by key; raises if that leaves none."""
+    if df.limit(k + 1).count() <= k:
+        raise ValueError(f"no more than {k} rows: nothing is left to train on")
+    return df.orderBy(F.desc(key)).limit(k)
 
 
 def positional_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -236,6 +253,12 @@ def token_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("failure_id", F.size("noisy").alias("n"), F.size(F.filter("noisy", lambda t: t == 3)).alias("replaced"), F.aggregate("noisy", F.lit(0).cast("bigint"), lambda a, t: a + t).alias("total"))
 
 
+def byte_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the characters of every preview begin in its bytes: how many, the last, and their sum."""
+    o = _failures(spark, sf_dir).where("text_preview <> ''").withColumn("o", X.byte_offsets(F.col("text_preview")))
+    return o.select("failure_id", F.size("o").alias("n"), F.element_at("o", -1).alias("last"), F.aggregate("o", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"))
+
+
 def redact_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Credentials masked in documents with three planted lines, and how many; the hash stands for the text."""
     planted = F.concat(F.col("text"), F.lit("\napi_key = abcdef123456\nhttps://me:secret@host/x\nghp_0123456789abcdefXYZ"))
@@ -341,8 +364,9 @@ SQL = {
     "long_texts": "SELECT doc_id, substring(text, 1, 80) AS preview FROM documents WHERE length(" + _strip_sql("text") + ") > 5 ORDER BY doc_id LIMIT 500",
     "pair_filters": "WITH p AS (SELECT corpus_key, trim(source) AS s, trim(target) AS t FROM parallel_examples) SELECT corpus_key, count(*) AS pairs, count(*) FILTER (WHERE length(s) > 0 AND length(t) > 0) AS filled, count(*) FILTER (WHERE length(s) > 2 AND length(t) > 2 AND s <> t) AS kept FROM p GROUP BY 1",
     "doc_regroup_20": f"WITH s AS (SELECT doc_id, len({_SFULL}) AS n FROM documents WHERE text IS NOT NULL), x AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id, i) - 1 AS k FROM (SELECT doc_id, unnest(range(n)) AS i FROM s)) SELECT k // 20 AS grp, count(*) AS sentences, count(DISTINCT doc_id) AS documents, min(doc_id) AS first_doc FROM x GROUP BY 1 HAVING count(*) >= 2",
+    "doc_regroup_kept": f"WITH s AS (SELECT doc_id, len({_SFULL}) AS n FROM documents WHERE text IS NOT NULL), x AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id, i) - 1 AS k FROM (SELECT doc_id, unnest(range(n)) AS i FROM s)) SELECT k // 20 AS grp, count(*) AS sentences, count(DISTINCT doc_id) AS documents, min(doc_id) AS first_doc FROM x GROUP BY 1 HAVING k // 20 < 500",
     "hash_fraction": "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY md5(doc_id || '|42'), doc_id) AS r, count(*) OVER () AS n FROM documents) WHERE r <= floor(n * 0.25)",
-    "tail_split": "SELECT doc_id FROM documents ORDER BY doc_id DESC LIMIT 100",
+    "tail_split": "SELECT doc_id FROM documents ORDER BY doc_id DESC LIMIT 50",
     "positional_split": "SELECT lang, count(*) FILTER (WHERE r <= floor(n * 0.8)) AS train, count(*) FILTER (WHERE r > floor(n * 0.8)) AS test FROM (SELECT lang, row_number() OVER (ORDER BY doc_id) AS r, count(*) OVER () AS n FROM documents) GROUP BY lang",
     "leakage_guard": "WITH i AS (SELECT item_id, trim(unnest([eng_latn, mar_deva, hin_deva])) AS t FROM eval_nway), p AS (SELECT pair_id, trim(unnest([source, target])) AS t FROM parallel_examples) SELECT DISTINCT pair_id, item_id FROM p JOIN i ON p.t = i.t",
     "text_categories": f"SELECT failure_id, array_to_string({_labels_sql('text_preview')}, '; ') AS labels, len(regexp_extract_all(text_preview, '{_U}'))::INT AS devanagari FROM failure_sentences_100 WHERE text_preview IS NOT NULL",
@@ -360,6 +384,7 @@ SQL = {
     "class_words_json": f"WITH {_CW}, c2 AS (SELECT doc_id, class, count(*) AS k FROM cw GROUP BY 1, 2) SELECT doc_id, '{{' || string_agg('\"' || class || '\":' || k, ',' ORDER BY class) || '}}' AS classes FROM c2 GROUP BY 1",
     "char_noise": "SELECT failure_id, " + ", ".join(f"{_noise_sql(p)} AS noise_{round(100 * p)}" for p in (0.0, 0.1, 0.2)) + " FROM failure_sentences_100 WHERE text_preview IS NOT NULL",
     "token_noise": f"WITH f AS (SELECT failure_id, list_transform(regexp_extract_all(hex(encode(text_preview)), '..'), lambda x, i: CASE WHEN ('0x' || md5('7|' || failure_id || '|' || (i - 1))[1:8])::BIGINT < {int(0.1 * 2**32)} THEN 3 ELSE ('0x' || x)::INT + 4 END) AS t FROM failure_sentences_100 WHERE text_preview IS NOT NULL) SELECT failure_id, len(t)::INT AS n, len(list_filter(t, lambda x: x = 3))::INT AS replaced, coalesce(list_sum(t), 0)::BIGINT AS total FROM f",
+    "byte_offsets": "WITH c AS (SELECT failure_id, unnest(regexp_extract_all(text_preview, '(?s).')) AS c, unnest(range(length(text_preview))) AS i FROM failure_sentences_100 WHERE text_preview <> ''), o AS (SELECT failure_id, i, sum(strlen(c)) OVER (PARTITION BY failure_id ORDER BY i) - strlen(c) AS o FROM c) SELECT failure_id, count(*)::INT AS n, max(o)::INT AS last, sum(o)::BIGINT AS total FROM o GROUP BY 1",
     "redact_counts": f"WITH d AS (SELECT doc_id, {_PLANT} AS t FROM documents WHERE text IS NOT NULL) SELECT doc_id, ({_HITS})::INT AS hits, md5({_REDACTED}) AS digest FROM d",
     "tail_lines": "SELECT doc_id, md5(array_to_string(string_split(text, chr(10))[-3:], chr(10))) AS digest FROM documents WHERE text IS NOT NULL",
     "language_aliases": "WITH n AS (SELECT lang_code, display_name, lower(unnest(list_concat([lang_code], aliases))) AS name FROM language_panel), c AS (SELECT lower(trim(target_lang)) AS name, count(*) AS n FROM parallel_examples GROUP BY 1) SELECT c.name, lang_code, display_name, split_part(lang_code, '_', 2) AS script, c.n FROM c LEFT JOIN n ON n.name = c.name",
@@ -368,8 +393,8 @@ SQL = {
 QUERIES = {
     f.__name__: f
     for f in (
-        sentence_split, sentence_split_variants, long_texts, pair_filters, doc_regroup_20, hash_fraction, tail_split, positional_split, leakage_guard, text_categories, category_counts,
+        sentence_split, sentence_split_variants, long_texts, pair_filters, doc_regroup_20, doc_regroup_kept, hash_fraction, tail_split, positional_split, leakage_guard, text_categories, category_counts,
         top_regressions, win_tie_loss, length_buckets, fertility, class_fertility, global_fertility, class_examples, capped_histogram, patch_vs_token, class_compression, class_words_json,
-        char_noise, token_noise, redact_counts, tail_lines, language_aliases,
+        char_noise, token_noise, byte_offsets, redact_counts, tail_lines, language_aliases,
     )
 }

@@ -96,6 +96,32 @@ def test_alignment_against_brute_force(spark):
         assert g["hits"] == A.greedy_match([k for k, x in enumerate(h) if x > 1.5], sorted(gold), 2)
 
 
+def test_morpheme_gold(spark):
+    assert A.morpheme_gold("walked on.") == [4, 6, 9]
+    assert A.morpheme_gold("मुलाला") == [len("मुला".encode())]
+    assert A.morpheme_gold("") == [] and A.morpheme_gold("ab", lambda w: 1 / 0) == []
+    df = spark.createDataFrame([(1, "walked on."), (2, None)], "id int, t string")
+    assert [r["gold"] for r in A.gold_by_morphemes(df, "id", "t").orderBy("id").collect()] == [[4, 6, 9], None]
+
+
+def test_empty_sides(spark):
+    df = spark.createDataFrame([(0, 0, 0, 0)], "n_pred bigint, n_gold bigint, hit_pred bigint, hit_gold bigint")
+    assert A.with_prf(df).first()["f1"] == 1.0 and A.with_prf(df, 0.0).first()["f1"] == 0.0
+
+
+def test_tail(spark):
+    from patchwright.plans.texts import tail
+
+    assert sorted(r["id"] for r in tail(spark.range(5), "id", 2).collect()) == [3, 4]
+    with pytest.raises(ValueError):
+        tail(spark.range(2), "id", 2)
+
+
+def test_offsets(spark):
+    assert one(spark, X.byte_offsets(F.col("t")), t="aéम") == [0, 1, 3]
+    assert one(spark, X.sentence_seed(F.lit(3), F.lit(4))) == 3004
+
+
 def test_greedy_is_one_to_one():
     assert A.greedy_match([1, 2], [1], 2) == 1
 
