@@ -78,10 +78,12 @@ def hash_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _fraction(df: DataFrame, key: str, share: float, seed: int) -> DataFrame:
     h = df.withColumn("h", F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed))))).withColumn("bucket", F.substring("h", 1, 3))
     sizes = h.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))  # 4096 rows at most
-    w = Window.orderBy("bucket")
-    before = sizes.select("bucket", (F.sum("n").over(w) - F.col("n")).alias("before"), F.floor(F.sum("n").over(Window.partitionBy()) * share).alias("wanted"))
+    upto = F.sum("n").over(Window.orderBy("bucket"))
+    cuts = sizes.select("bucket", (upto - F.col("n")).alias("before"), upto.alias("upto"), F.floor(F.sum("n").over(Window.partitionBy()) * share).alias("wanted"))
+    placed = h.join(F.broadcast(cuts.where("before < wanted")), "bucket")
     rank = F.col("before") + F.row_number().over(Window.partitionBy("bucket").orderBy("h", key))
-    return h.join(F.broadcast(before), "bucket").withColumn("rank", rank).where("rank <= wanted").select(key)
+    cut = placed.where("upto > wanted").withColumn("rank", rank).where("rank <= wanted")  # only the bucket that is cut is sorted
+    return placed.where("upto <= wanted").select(key).unionByName(cut.select(key))
 
 
 def tail_split(spark: SparkSession, sf_dir: str) -> DataFrame:
