@@ -15,6 +15,7 @@ the same finds; everything outside the spans stays as it is, byte for byte.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -252,11 +253,14 @@ def _deva(spans: list[tuple[int, int, int, str]], names: Names, name: str, start
 
 def _apart(spans: list[tuple[int, int, int, str]]) -> list[tuple[int, int, str]]:
     """Of spans that overlap, the one with the higher score, then the longer; in order."""
+    starts: list[int] = []
     kept: list[tuple[int, int, str]] = []
     for _, a, b, kind in sorted(set(spans), key=lambda x: (-x[0], x[1] - x[2], x[1], x[3])):
-        if all(b <= x or a >= y for x, y, _ in kept):
-            kept.append((a, b, kind))
-    return sorted(kept)
+        i = bisect_left(starts, a)
+        if (i == 0 or kept[i - 1][1] <= a) and (i == len(starts) or b <= starts[i]):
+            starts.insert(i, a)
+            kept.insert(i, (a, b, kind))
+    return kept
 
 
 def redacted(text: str, names: Names) -> str:
