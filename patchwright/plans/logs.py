@@ -38,9 +38,9 @@ def mirror_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def resume_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events still to be done by type when those with an even id are."""
+    """Events still to be done by type when those of the first half of the month are."""
     e = _events(spark, sf_dir)
-    done = e.where("event_id % 2 = 0").select("event_id")
+    done = e.where(F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz")).select("event_id")
     return e.join(done, "event_id", "left_anti").groupBy("event_type").agg(F.count(F.lit(1)).alias("pending"))
 
 
@@ -134,7 +134,7 @@ SQL = {
     "status_counts": f"WITH {_LATEST} SELECT event_type, count(*) AS n FROM l GROUP BY 1",
     "upsert_by_key": f"WITH a AS {_HALF.format(op='<')}, b AS {_HALF.format(op='>=')} SELECT user_id, event_id, round(value, 6) AS value FROM b UNION ALL SELECT user_id, event_id, round(value, 6) FROM a WHERE user_id NOT IN (SELECT user_id FROM b WHERE user_id IS NOT NULL)",
     "mirror_prune": "SELECT user_id FROM events WHERE ts < TIMESTAMP '2024-01-16' INTERSECT SELECT user_id FROM events WHERE ts >= TIMESTAMP '2024-01-16'",
-    "resume_anti_join": "SELECT event_type, count(*) AS pending FROM events e WHERE NOT EXISTS (SELECT 1 FROM events f WHERE f.event_id = e.event_id AND f.event_id % 2 = 0) GROUP BY 1",
+    "resume_anti_join": "SELECT event_type, count(*) AS pending FROM events e WHERE NOT EXISTS (SELECT 1 FROM events f WHERE f.event_id = e.event_id AND f.ts < TIMESTAMP '2024-01-16') GROUP BY 1",
     "adopted_records": "SELECT user_id, event_id, round(value, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events WHERE event_type = 'purchase' AND value IS NOT NULL) WHERE r = 1",
     "retention": "SELECT user_id, 'epoch' || event_id || '.pth' AS name FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r <= 3",
     "epoch_order": "SELECT event_id FROM events ORDER BY md5('42|3|' || event_id), event_id LIMIT 100 OFFSET 50",
