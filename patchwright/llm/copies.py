@@ -6,7 +6,7 @@ independent 64-bit hash and the length go along in the key: records that only co
 stay apart, and ``collisions`` counts them.
 
 Defined results: a null side has no words and equals an empty or blank one; sides without words are
-copies of one another; a null id is kept as any other value of the id column; an empty table gives an
+copies of one another; a record without an id counts as a copy but gives no row of its own; an empty table gives an
 empty result; columns beside those named are neither needed nor touched.
 """
 

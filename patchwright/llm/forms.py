@@ -316,3 +316,12 @@ def found(parts: list[DataFrame]) -> DataFrame:
     for part in parts[1:]:
         out = out.unionByName(part)
     return out.distinct()
+
+
+def rewritten(df: DataFrame, tbl: str, record: str, fields: list[str]) -> DataFrame:
+    """tbl, rec_id, field, text: every value of the fields in the consistent form."""
+    values = df.select(
+        F.col(record).cast("bigint").alias("rec_id"),
+        F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields))).alias("x"),
+    )
+    return values.select(F.lit(tbl).alias("tbl"), "rec_id", "x.field", consistent(F.col("x.value")).alias("text"))

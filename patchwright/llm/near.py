@@ -351,10 +351,12 @@ def id_pairs(linked: tuple[DataFrame, DataFrame]) -> DataFrame:
     return both.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).distinct()
 
 
-def groups(linked: tuple[DataFrame, DataFrame], most_rounds: int = 30) -> DataFrame:
-    """id, group_id (the smallest id of the group), links (classes linked to the record's class): connected
-    groups of near-duplicates, by alternating large-star and small-star steps on the links of classes."""
-    pairs, members = linked
+def groups(sets: DataFrame, linked: tuple[DataFrame, DataFrame], most_rounds: int = 30) -> DataFrame:
+    """A row for every record: id, group_id (the smallest id of the group), links (classes linked to the record's).
+
+    A group holds the copies of a record and what is connected to them by links, found by alternating large-star and
+    small-star steps on the links of classes; a record without any is a group of its own. Records without words are copies."""
+    pairs, _ = linked
     name = lambda x: F.struct(F.col(f"set_{x}").alias("s"), F.col(f"seq_{x}").alias("q"))
     both = pairs.select(name("a").alias("u"), name("b").alias("v"))
     degree = both.select(F.explode(F.array("u", "v")).alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("links"))
@@ -375,7 +377,8 @@ def groups(linked: tuple[DataFrame, DataFrame], most_rounds: int = 30) -> DataFr
             break
         before = now
     root = edges.select(F.col("u").alias("c"), F.col("v").alias("root"))
-    named = members.select(F.struct(F.col("set_key").alias("s"), F.col("seq_key").alias("q")).alias("c"), "id")
-    joined = named.join(degree, "c").join(root, "c", "left").withColumn("root", F.coalesce("root", "c"))
-    ids = joined.groupBy("root").agg(F.min("id").alias("group_id"))
-    return joined.join(ids, "root").select("id", "group_id", "links")
+    named = sets.select(F.struct(F.col("set_key").alias("s"), F.col("seq_key").alias("q")).alias("c"), "id")
+    rooted = named.join(degree, "c", "left").join(root, "c", "left").select("id", F.coalesce("root", "c").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
+    rooted = written(rooted, "near-roots")
+    ids = rooted.groupBy("root").agg(F.min("id").alias("group_id"))
+    return rooted.join(ids, "root").select("id", "group_id", "links")

@@ -58,9 +58,9 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_consistent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every pair with both sides in the consistent form."""
-    pairs = _table(spark, sf_dir, "parallel_examples")
-    return pairs.select("pair_id", forms.consistent(F.col("source")).alias("source"), forms.consistent(F.col("target")).alias("target"))
+    """Every source, target and preview in the consistent form; null stays null."""
+    pairs, previews = _table(spark, sf_dir, "parallel_examples"), _table(spark, sf_dir, "failure_sentences_100")
+    return forms.rewritten(pairs, "parallel_examples", "pair_id", ["source", "target"]).unionByName(forms.rewritten(previews, "failure_sentences_100", "failure_id", ["text_preview"]))
 
 
 def _leak_parts(spark: SparkSession, sf_dir: str) -> tuple:
@@ -101,7 +101,9 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near.groups(near.links(near.prepared(_table(spark, sf_dir, "parallel_examples"))))
+    """Every pair with its group of copies and near-duplicates."""
+    sets = near.prepared(_table(spark, sf_dir, "parallel_examples"))
+    return near.groups(sets, near.links(sets))
 
 
 _MEASURES = (["num_bytes", "num_patches", "avg_patch_length"], ["patch_lengths"])

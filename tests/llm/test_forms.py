@@ -37,6 +37,8 @@ def test_defined_results(spark):
     by = {r["id"]: r for r in got}
     assert by[1]["x"] is None and by[1]["w"] == [] and by[2]["x"] == "" and by[2]["w"] == []
     assert by[3]["x"] == "आणि " * 50_000 and len(by[3]["w"]) == 50_000
+    out = {r["rec_id"]: r["text"] for r in forms.rewritten(df, "t", "id", ["t"]).collect()}
+    assert out[1] is None and out[2] == "" and out[3] == "आणि " * 50_000 and out[4] == "a b"
     case = forms.found([forms.changed(df, "t", "id", ["t"]), forms.changed(df, "t", "id", ["t"])])
     assert [tuple(r) for r in case.collect()] == [("t", 3, "t")]
     assert forms.changed(df.limit(0), "t", "id", ["t"]).count() == 0

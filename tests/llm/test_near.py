@@ -76,8 +76,10 @@ def test_large_buckets_are_split(spark, monkeypatch):
 
 def test_groups(spark):
     rows = [(10, "a b c d e f g h i j", None), (11, "a b c d e f g h i x", None), (12, "a b c d e f g h y x", None), (13, "q r s", None), (9, "a b c d e f g h i j", "")]
-    got = {r["id"]: (r["group_id"], r["links"]) for r in near.groups(near.links(near.prepared(frame(spark, rows)))).collect()}
-    assert got == {9: (9, 1), 10: (9, 1), 11: (9, 2), 12: (9, 1)}
+    rows += [(14, "m n o p", "q"), (15, "Q!", "m n, o p"), (16, None, ""), (17, "?", None)]
+    sets = near.prepared(frame(spark, rows))
+    got = {r["id"]: (r["group_id"], r["links"]) for r in near.groups(sets, near.links(sets)).collect()}
+    assert got == {9: (9, 1), 10: (9, 1), 11: (9, 2), 12: (9, 1), 13: (13, 0), 14: (14, 0), 15: (14, 0), 16: (16, 0), 17: (16, 0)}
 
 
 def test_batches_cut_anywhere():
