@@ -56,13 +56,10 @@ class Filter:
     def __init__(self, samples: list[tuple[str, str]], langs: list[str]):
         self.langs = langs
         self.slots = np.zeros(SLOTS, np.uint32)
-        for lang, text in samples:
-            bit = np.uint32(1 << langs.index(lang))
-            for w in words_of(text):
-                if not w.isnumeric():
-                    for g in grams(w):
-                        for s in self._slots(g):
-                            self.slots[s] |= bit
+        for k, lang in enumerate(langs):
+            found = {w for own, text in samples if own == lang for w in words_of(text) if not w.isnumeric()}
+            at = [s for g in {g for w in found for g in grams(w)} for s in self._slots(g)]
+            self.slots[at] |= np.uint32(1 << k)
         bits = [(self.slots >> np.uint32(k)) & np.uint32(1) for k in range(len(langs))]
         #: The chance that a filter claims an n-gram it doesn't hold.
         self.false = [float(b.mean()) ** HASHES for b in bits]

@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import spread
 from . import copies, forms, language, leak, mix, near, pii, ranks, tokens
 from .workspace import written
 
 
+_CORPORA = ("parallel_examples", "failure_sentences_100", "documents", "blt_marathi_patched")
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in _CORPORA else df
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> list[tuple[DataFrame, str, str, str, str]]:
