@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import entropy as E
-from ..sources.tables import table
+from ..sources.tables import spread, table
 
 TAUS = [0.5, 1.0, 1.5, 2.0, 2.5]
 QUANTILES = {"p5": 0.05, "q1": 0.25, "median": 0.5, "q3": 0.75, "p95": 0.95}
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", "text", "lang", "source")
+    return spread(table(spark, sf_dir, "documents")).where("text <> ''").select("doc_id", "text", "lang", "source")
 
 
 def _swept(spark: SparkSession, sf_dir: str) -> DataFrame:
