@@ -207,6 +207,7 @@ SQL = {
     "robust_scale": f"WITH {_Q} SELECT vec_id, round(max(CASE WHEN u.dim = 0 THEN (x - median) / iqr END), 6) AS first, round(max(CASE WHEN u.dim = 63 THEN (x - median) / iqr END), 6) AS last, max(abs((x - median) / iqr * iqr + median - x)) < 1e-6 AS returns FROM u JOIN q ON u.dim = q.dim GROUP BY 1",
     "mean_pool_by_label": "WITH u AS (SELECT label, unnest(range(len(embedding)))::INT AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings) SELECT label, dim, round(avg(x), 7) AS mean FROM u GROUP BY 1, 2",
     "masked_pool": "SELECT vec_id, round(coalesce(list_sum(list_filter(embedding::DOUBLE[], lambda x: x > 0)), 0) / greatest(1, len(list_filter(embedding, lambda x: x > 0))), 7) AS pooled FROM embeddings",
+    "running_robust_stats": "WITH b AS (SELECT vec_id // 50 AS batch, median(embedding[1]::DOUBLE) AS m FROM embeddings GROUP BY 1), s AS (SELECT list(m ORDER BY batch) AS s FROM b) SELECT round(list_reduce(s, lambda a, x: 0.9::DOUBLE * a + 0.1::DOUBLE * x), 7) AS median, len(s)::INT AS batches FROM s",
     "noise_schedules": f"WITH {_SCHEDULE} SELECT schedule, step, round(pow((r - l) * f / (f - l), 2), 8) AS alpha_bar FROM e",
     "parameter_counts": "WITH g AS (SELECT l AS layers, w * 64 AS width FROM range(1, 13) a(l), range(2, 17) b(w)), c AS (SELECT *, 260 * width + layers * (12 * width * width + 13 * width) + 2 * width AS parameters FROM g) SELECT layers, width::INT AS width, parameters, round(abs(parameters - 10000000) / 10000000, 8) AS error FROM c ORDER BY abs(parameters - 10000000), layers, width LIMIT 1",
     "byte_perplexity": "SELECT run_name, round(exp(avg(h)), 7) AS perplexity, round(avg(h) / ln(2.0), 7) AS bits_per_byte FROM (SELECT run_name, unnest(entropy_per_byte) AS h FROM blt_marathi_patched) GROUP BY 1",
