@@ -128,6 +128,12 @@ def partials(df: DataFrame, keys: list[str], columns: list[str], arrays: list[st
     return df.select(*keys, *columns, *arrays).mapInArrow(summarise, schema)
 
 
+def _rows(column: pa.ListArray) -> list[np.ndarray]:
+    """The lists of a column as arrays, without a copy of their values."""
+    values, at = column.flatten().to_numpy(zero_copy_only=False), np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))
+    return np.split(values, at[:-1]) if len(at) else []
+
+
 def merged(parts: DataFrame, keys: list[str]) -> DataFrame:
     """One summary for each group of the keys and measure. Groups of many parts are merged in two steps."""
     groups = [*keys, "measure"]
@@ -135,14 +141,23 @@ def merged(parts: DataFrame, keys: list[str]) -> DataFrame:
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in groups) + f", {SUMMARY}"
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [*groups, "v", "lo", "hi", "n"]
         for b in batches:
-            out: list[list] = [[], [], [], []]
-            for x in b.column(len(groups)).to_pylist():
-                done = merge([(np.array(p["v"]), np.array(p["lo"]), np.array(p["hi"]), p["n"]) for p in x])
-                for c, value in zip(out, done):
-                    c.append(value)
-            cols = [pa.array(c, t) for c, t in zip(out, [*_LISTS, pa.int64()])]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(groups))), *cols], names=[*groups, "v", "lo", "hi", "n"])
+            column = b.column(len(groups))
+            count = column.value_lengths().to_numpy(zero_copy_only=False)
+            first = np.cumsum(count) - count
+            flat = column.flatten()
+            fields = [flat.field(x) for x in ("v", "lo", "hi", "n")]
+            one = np.flatnonzero(count == 1)
+            if len(one):  # nothing to merge
+                at = pa.array(first[one])
+                yield pa.RecordBatch.from_arrays([*(b.column(i).take(pa.array(one)) for i in range(len(groups))), *(f.take(at) for f in fields)], names=names)
+            several = np.flatnonzero(count > 1)
+            if len(several):
+                parts = list(zip(*(_rows(f) for f in fields[:3]), fields[3].to_numpy(zero_copy_only=False).tolist()))
+                done = [merge(parts[first[i] : first[i] + count[i]]) for i in several]
+                cols = [pa.array([d[k] for d in done], t) for k, t in enumerate([*_LISTS, pa.int64()])]
+                yield pa.RecordBatch.from_arrays([*(b.column(i).take(pa.array(several)) for i in range(len(groups))), *cols], names=names)
 
     packed = F.collect_list(F.struct("v", "lo", "hi", "n")).alias("parts")  # bounded: SPREAD or fewer summaries at the second step
     others = [c for c in parts.columns if c not in (*groups, "v", "lo", "hi")]
@@ -160,10 +175,11 @@ def percentiles(summaries: DataFrame, keys: list[str], at: tuple[float, ...] = P
         for b in batches:
             rows: list[int] = []
             out: list[list] = [[], [], [], []]
-            v, lo, hi, n = (b.column(len(groups) + i).to_pylist() for i in range(4))
+            v, lo, hi = (_rows(b.column(len(groups) + i)) for i in range(3))
+            n = b.column(len(groups) + 3).to_pylist()
             for i in range(b.num_rows):
                 for q in at:
-                    value, off = query(np.array(v[i]), np.array(lo[i]), np.array(hi[i]), n[i], q)
+                    value, off = query(v[i], lo[i], hi[i], n[i], q)
                     rows.append(i)
                     for c, x in zip(out, (q, value, n[i], off)):
                         c.append(x)
