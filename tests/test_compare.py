@@ -23,7 +23,7 @@ def test_curve(cells):
 
 def test_pivot(cells):
     got = {r["noise"]: r.asDict() for r in C.metric_pivot(cells.where("not (model = 'sys_b' and noise = 0.2)"), 0.25, ["sys_a", "sys_b"], ["score"], "line").collect()}
-    assert got[0.0] == {"noise": 0.0, "models_present": "sys_b;sys_a", "sys_a_score": 41.0, "sys_b_score": 44.0}
+    assert got[0.0] == {"noise": 0.0, "models_present": "sys_a;sys_b", "sys_a_score": 41.0, "sys_b_score": 44.0}
     assert got[0.2]["sys_b_score"] is None and got[0.2]["models_present"] == "sys_a"
     with pytest.raises(ValueError, match="sys_b@0.2"):
         C.metric_pivot(cells.where("not (model = 'sys_b' and noise = 0.2)"), 0.25, ["sys_a", "sys_b"], ["score"], "line", strict=True)
