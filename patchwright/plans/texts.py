@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..sources.tables import table
+from ..sources.tables import spread, table
 
 # Suffixes that the default morpheme splitter takes off, and words it takes for postpositions.
 SUFFIXES = ["च्या", "साठी", "बद्दल", "पासून", "पर्यंत", "खाली", "मागे", "जवळ", "समोर", "मुळे", "ला", "ने", "ची", "चे", "चा", "वर", "कडे", "शी", "तून", "त"]
@@ -20,7 +20,7 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", F.posexplode(X.sentences(F.col("text"))).alias("pos", "sentence"))
+    return spread(_docs(spark, sf_dir)).select("doc_id", F.posexplode(X.sentences(F.col("text"))).alias("pos", "sentence"))
 
 
 def sentence_split_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,12 +45,12 @@ def pair_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def doc_regroup_20(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stream of all sentences in document order cut into groups of 20; a tail of one sentence is left out."""
-    return regrouped(_docs(spark, sf_dir), 20).where("sentences >= 2")
+    return regrouped(spread(_docs(spark, sf_dir)), 20).where("sentences >= 2")
 
 
 def doc_regroup_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with every tail kept, and no more than the first 500 groups."""
-    return regrouped(_docs(spark, sf_dir), 20).where("grp < 500")
+    return regrouped(spread(_docs(spark, sf_dir)), 20).where("grp < 500")
 
 
 def regrouped(docs: DataFrame, size: int) -> DataFrame:
@@ -188,7 +188,7 @@ def word_class(word: Column, n: Column) -> Column:
 
 def _class_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, pos, word, n, class of words in Devanagari, punctuation off."""
-    d = _docs(spark, sf_dir).where("lang = 'mar_Deva'").select("doc_id", F.posexplode(X.words(F.col("text"))).alias("pos", "raw"))
+    d = spread(_docs(spark, sf_dir)).where("lang = 'mar_Deva'").select("doc_id", F.posexplode(X.words(F.col("text"))).alias("pos", "raw"))
     w = d.select("doc_id", "pos", F.regexp_replace("raw", r"[^\x{0900}-\x{0963}\x{0966}-\x{097F}]", "").alias("word")).where("word <> ''")
     return w.withColumn("n", morphemes(F.col("word"))).withColumn("class", word_class(F.col("word"), F.col("n")))
 
