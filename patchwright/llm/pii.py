@@ -56,13 +56,18 @@ def mod97(digits: str) -> bool:
 
 _END = r"(?![\w@])"
 _LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
-_AT = r"(?:[ \t]?[\(\[\{<][ \t]?(?:at|AT|At)[ \t]?[\)\]\}>][ \t]?)"
-_DOT = r"(?:[ \t]?[\(\[\{<][ \t]?(?:dot|DOT|Dot)[ \t]?[\)\]\}>][ \t]?)"
+_AT_MARK = r"[\(\[\{<][ \t]?(?:at|AT|At)[ \t]?[\)\]\}>]"
+_DOT_MARK = r"[\(\[\{<][ \t]?(?:dot|DOT|Dot)[ \t]?[\)\]\}>]"
+_AT = rf"(?:[ \t]?{_AT_MARK}[ \t]?)"
+_DOT = rf"(?:[ \t]?{_DOT_MARK}[ \t]?)"
 EMAILS = [
     re.compile(rf"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*[@＠](?:{_LABEL}\.)+[A-Za-z]{{2,}}(?![\w@])"),
     re.compile(rf"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*(?:{_AT}|[@＠])(?:{_LABEL}(?:\.|{_DOT}))+[A-Za-z]{{2,}}(?![\w@])"),
     re.compile(rf"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*(?:{_AT}| at | AT ){_LABEL}(?:(?:{_DOT}| dot | DOT ){_LABEL})+(?![\w@])"),
 ]
+#: Every form of EMAILS has one of these: ' at ' and ' AT ' count only with a dot in words.
+_EMAIL_CUES = ("@", "＠", " dot ", " DOT ")
+_EMAIL_MARK = re.compile(rf"{_AT_MARK}|{_DOT_MARK}")
 PHONES = [  # numbers of known length first: what follows them may be a number of its own
     (5, re.compile(r"(?<![\w+])\+1[ .\-]?\(?\d{3}\)?[ .\-]?\d{3}[ .\-]?\d{4}(?![\w-])")),
     (5, re.compile(r"(?<![\w+])\+91[ .\-]?\d{5}[ .\-]?\d{5}(?![\w-])")),
@@ -179,7 +184,7 @@ def finds(text: str, names: Names) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the personal information in a text, in order, without overlaps."""
     plain = text.translate(_DIGITS) if _DEVA_DIGIT.search(text) else text  # one digit for one: the positions stay
     spans: list[tuple[int, int, int, str]] = []
-    if "@" in text or "＠" in text or "at)" in text or "at]" in text or " dot " in text or "AT" in text or "at}" in text or "at>" in text:
+    if any(x in text for x in _EMAIL_CUES) or _EMAIL_MARK.search(text):
         for p in EMAILS:
             for m in p.finditer(plain):
                 spans.append((9, m.start(), m.end(), "email"))

@@ -74,6 +74,24 @@ def test_finds(text):
     assert [(k, text[a:b]) for a, b, k in pii.finds(text, PEOPLE)] == CASES[text]
 
 
+@pytest.mark.parametrize("address", ["x at y [dot] com", "x at y(dot)com", "x at y DOT com", "x ( at ) y.com", "x [At] y.com"])
+def test_disguised_addresses(address):
+    text = f"Leton Likavan | {address}, please"
+    assert [(k, text[a:b]) for a, b, k in pii.finds(text, PEOPLE)] == [("name", "Leton Likavan"), ("email", address)]
+    assert pii.redacted(f"to {address}, please", PEOPLE) == "to [EMAIL], please"
+
+
+def test_no_form_of_an_address_is_skipped():
+    marks = lambda words: [f"{a}{o}{i}{w}{i}{c}{a}" for o, c in ("()", "[]", "{}", "<>") for a in ("", " ", "\t") for i in ("", " ", "\t") for w in words]
+    ats, dots = [*marks(["at", "AT", "At"]), " at ", " AT ", "@", "＠"], [*marks(["dot", "DOT", "Dot"]), " dot ", " DOT ", "."]
+    tried = 0
+    for text in (f"x{a}y{d}com" for a in ats for d in dots):
+        if any(p.fullmatch(text) for p in pii.EMAILS):
+            tried += 1
+            assert pii.finds(text, PEOPLE) == [(0, len(text), "email")], text
+    assert tried > 10_000
+
+
 def test_replacement(spark):
     text = "Hi Kivun,\r\n call +1 312 555 0143 👨‍🌾  now "
     rows = [(1, text), (2, None), (3, ""), (4, "x " * 50_000 + "a@b.org"), (1, text)]
