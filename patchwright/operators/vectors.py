@@ -95,6 +95,20 @@ def quartiles(df: DataFrame, record: str, vector: str, most: int = 200_000) -> D
     return p.select("dim", F.get("q", F.lit(1)).alias("median"), F.greatest(F.get("q", F.lit(2)) - F.get("q", F.lit(0)), F.lit(1e-6)).alias("iqr"))
 
 
+def running_quartiles(df: DataFrame, record: str, vector: str, batch: int = 50, momentum: float = 0.9) -> DataFrame:
+    """dim, median, iqr, batches: medians and ranges (at least 1e-6) of batches of ids, each blended into those before it.
+
+    The first batch starts the blend; momentum is what is kept of it. A batch's share depends only on how many follow, so
+    the blend is a weighted sum."""
+    x = df.select(F.floor(F.col(record) / batch).alias("batch"), F.posexplode(vector).alias("dim", "x")).where("x is not null")
+    q = x.groupBy("batch", "dim").agg(F.percentile(F.col("x").cast("double"), F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias("q"))
+    stats = q.select("batch", "dim", F.get("q", F.lit(1)).alias("m"), F.greatest(F.get("q", F.lit(2)) - F.get("q", F.lit(0)), F.lit(1e-6)).alias("r"))
+    w = Window.partitionBy("dim")
+    numbered = stats.withColumn("later", F.row_number().over(w.orderBy(F.desc("batch"))) - 1).withColumn("n", F.count(F.lit(1)).over(w))
+    share = F.pow(F.lit(momentum), F.col("later")) * F.when(F.col("later") == F.col("n") - 1, 1.0).otherwise(1 - momentum)
+    return numbered.groupBy("dim").agg(F.sum(share * F.col("m")).alias("median"), F.sum(share * F.col("r")).alias("iqr"), F.count(F.lit(1)).cast("int").alias("batches"))
+
+
 def scaled(df: DataFrame, vector: str, scale: DataFrame, inverse: bool = False) -> DataFrame:
     """Vectors less the medians, over the interquartile ranges; or back."""
     rows = sorted(scale.collect(), key=lambda r: r["dim"])  # one row a dimension

@@ -127,6 +127,12 @@ def running_robust_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.round("a.m", 7).alias("median"), F.col("a.n").alias("batches"))
 
 
+def running_robust_by_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Medians and interquartile ranges of batches of fifty vectors by id, blended with momentum 0.9, of every component."""
+    q = V.running_quartiles(_vecs(spark, sf_dir), "vec_id", "embedding")
+    return q.select("dim", F.round("median", 7).alias("median"), F.round("iqr", 7).alias("iqr"), "batches")
+
+
 def noise_schedules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """alpha-bar of three schedules over a hundred steps, the last with no signal left."""
     t = spark.range(1, STEPS + 1).select(F.col("id").alias("step"), (F.col("id") / STEPS).alias("t"))
@@ -208,6 +214,7 @@ SQL = {
     "mean_pool_by_label": "WITH u AS (SELECT label, unnest(range(len(embedding)))::INT AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings) SELECT label, dim, round(avg(x), 7) AS mean FROM u GROUP BY 1, 2",
     "masked_pool": "SELECT vec_id, round(coalesce(list_sum(list_filter(embedding::DOUBLE[], lambda x: x > 0)), 0) / greatest(1, len(list_filter(embedding, lambda x: x > 0))), 7) AS pooled FROM embeddings",
     "running_robust_stats": "WITH b AS (SELECT vec_id // 50 AS batch, median(embedding[1]::DOUBLE) AS m FROM embeddings GROUP BY 1), s AS (SELECT list(m ORDER BY batch) AS s FROM b) SELECT round(list_reduce(s, lambda a, x: 0.9::DOUBLE * a + 0.1::DOUBLE * x), 7) AS median, len(s)::INT AS batches FROM s",
+    "running_robust_by_dim": "WITH u AS (SELECT vec_id // 50 AS batch, unnest(range(len(embedding)))::INT AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings), b AS (SELECT batch, dim, quantile_cont(x, 0.5) AS m, greatest(quantile_cont(x, 0.75) - quantile_cont(x, 0.25), 1e-6) AS r FROM u GROUP BY 1, 2), s AS (SELECT dim, list(m ORDER BY batch) AS m, list(r ORDER BY batch) AS r FROM b GROUP BY 1) SELECT dim, round(list_reduce(m, lambda a, x: 0.9::DOUBLE * a + 0.1::DOUBLE * x), 7) AS median, round(list_reduce(r, lambda a, x: 0.9::DOUBLE * a + 0.1::DOUBLE * x), 7) AS iqr, len(m)::INT AS batches FROM s",
     "noise_schedules": f"WITH {_SCHEDULE} SELECT schedule, step, round(pow((r - l) * f / (f - l), 2), 8) AS alpha_bar FROM e",
     "parameter_counts": "WITH g AS (SELECT l AS layers, w * 64 AS width FROM range(1, 13) a(l), range(2, 17) b(w)), c AS (SELECT *, 260 * width + layers * (12 * width * width + 13 * width) + 2 * width AS parameters FROM g) SELECT layers, width::INT AS width, parameters, round(abs(parameters - 10000000) / 10000000, 8) AS error FROM c ORDER BY abs(parameters - 10000000), layers, width LIMIT 1",
     "byte_perplexity": "SELECT run_name, round(exp(avg(h)), 7) AS perplexity, round(avg(h) / ln(2.0), 7) AS bits_per_byte FROM (SELECT run_name, unnest(entropy_per_byte) AS h FROM blt_marathi_patched) GROUP BY 1",
@@ -217,6 +224,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         knn_topk, knn_top1, retrieval_decode, shift_pairs, prefix_windows, position_mse, stop_criterion, normalise, logit_entropy, robust_quartiles, robust_scale, mean_pool_by_label, masked_pool,
-        rvq_encode, running_robust_stats, noise_schedules, ngram_hash, budget_packing, parameter_counts, byte_perplexity,
+        rvq_encode, running_robust_stats, running_robust_by_dim, noise_schedules, ngram_hash, budget_packing, parameter_counts, byte_perplexity,
     )
 }

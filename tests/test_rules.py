@@ -242,6 +242,22 @@ def test_vectors(spark):
     assert err[1] < err[0]
 
 
+def test_running_quartiles(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(170, 3)).astype(np.float32)
+    x[:, 2] = 1
+    kept = [i for i in range(170) if not 50 <= i < 100]  # no vector of the second batch
+    df = spark.createDataFrame([(i, x[i].tolist()) for i in kept] + [(60, None)], "id bigint, v array<float>")
+    want = None
+    for b in (0, 2, 3):
+        q = np.quantile(x[b * 50 : b * 50 + 50].astype(float), [0.25, 0.5, 0.75], axis=0)
+        now = np.stack([q[1], np.maximum(q[2] - q[0], 1e-6)])
+        want = now if want is None else 0.9 * want + 0.1 * now
+    got = V.running_quartiles(df, "id", "v").orderBy("dim").collect()
+    assert [r["dim"] for r in got] == [0, 1, 2] and {r["batches"] for r in got} == {3}
+    assert np.allclose([[r["median"] for r in got], [r["iqr"] for r in got]], want, atol=1e-12)
+
+
 def test_schedule_errors():
     with pytest.raises(ValueError):
         V.noise_schedule("x", 10)
