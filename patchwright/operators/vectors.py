@@ -9,7 +9,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,13 +90,18 @@ def nearest(queries: DataFrame, index: DataFrame, record: str, vector: str, k: i
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "neighbour_id", "score")
 
 
-def quartiles(df: DataFrame, record: str, vector: str, most: int = 200_000) -> DataFrame:
-    """dim, median, iqr (at least 1e-6), from the first `most` vectors by id."""
-    fit = df.where(F.col(vector).isNotNull()).orderBy(record).limit(most)
-    p = fit.select(F.posexplode(vector).alias("dim", "x")).groupBy("dim").agg(F.percentile(F.col("x").cast("double"), F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias("q"))
+def quartiles(df: DataFrame, vector: str) -> DataFrame:
+    """dim, median, iqr (at least 1e-6), from all vectors."""
+    x = df.where(F.col(vector).isNotNull()).select(F.posexplode(vector).alias("dim", "x"))
+    p = x.groupBy("dim").agg(F.percentile(F.col("x").cast("double"), F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias("q"))
     return p.select("dim", F.get("q", F.lit(1)).alias("median"), F.greatest(F.get("q", F.lit(2)) - F.get("q", F.lit(0)), F.lit(1e-6)).alias("iqr"))
 
 
+def capped_quartiles(df: DataFrame, record: str, vector: str, most: int = 200_000) -> DataFrame:
+    """The same from the first `most` vectors by id."""
+    return quartiles(df.where(F.col(vector).isNotNull()).orderBy(record).limit(most), vector)
+
+
 def running_quartiles(df: DataFrame, record: str, vector: str, batch: int = 50, momentum: float = 0.9) -> DataFrame:
     """dim, median, iqr, batches: medians and ranges (at least 1e-6) of batches of ids, each blended into those before it.
 
@@ -118,22 +125,59 @@ def scaled(df: DataFrame, vector: str, scale: DataFrame, inverse: bool = False)
     return df.withColumn(vector, F.zip_with(x, m, lambda a, b: a + b) if inverse else F.zip_with(x, shift, lambda a, b: a - b))
 
 
-def codebooks(df: DataFrame, record: str, vector: str, levels: int, size: int, rounds: int, most: int = 20_000, seed: int = 1) -> np.ndarray:
-    """k-means centroids for each level of residuals, fitted on the first `most` vectors by id; an empty cluster keeps its centroid."""
-    rows = df.where(F.col(vector).isNotNull()).orderBy(record).limit(most).select(vector).toArrow()
-    x = np.array(rows.column(0).to_pylist(), np.float64)
-    rng = np.random.default_rng(seed)
-    books = []
-    for _ in range(levels):
-        c = x[np.sort(rng.choice(len(x), size, replace=len(x) < size))].copy()
+def codebooks(df: DataFrame, record: str, vector: str, levels: int, size: int, rounds: int, seed: int = 1) -> np.ndarray:
+    """k-means centroids for each level of residuals, fitted on all vectors; an empty cluster keeps its centroid.
+
+    Each level starts from the residuals of vectors drawn by a hash of their ids. A round is a pass over the vectors: every
+    partition sums its own by centroid, these sums are added by centroid in the order of the partitions, and one row a
+    centroid comes to the driver."""
+    whole = df.where(F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull()))
+    first = whole.orderBy(record, vector).select(F.size(vector)).first()
+    if first is None:
+        raise ValueError("no vectors to fit")
+    whole = whole.where(F.size(vector) == first[0])
+    books = np.zeros((0, size, first[0]))
+    for level in range(levels):
+        drawn = whole.orderBy(F.xxhash64(F.lit(seed + level), record), record, vector).limit(size).select(vector).collect()
+        c = np.resize(_residuals(np.array([r[0] for r in drawn], np.float64), books), books.shape[1:])  # fewer vectors than centroids: in turn
         for _ in range(rounds):
-            near = _nearest_centroid(x, c)
-            for j in range(size):
-                if (near == j).any():
-                    c[j] = x[near == j].mean(axis=0)
-        books.append(c)
+            for r in _sums(whole, vector, books, c).collect():
+                c[r["centroid"]] = np.array(r["total"]) / r["n"]
+        books = np.concatenate([books, c[None]])
+    return books
+
+
+def _sums(whole: DataFrame, vector: str, books: np.ndarray, c: np.ndarray) -> DataFrame:
+    """centroid, n, total: how many residuals are nearest to each centroid that has any, and their sum."""
+    held = whole.sparkSession.sparkContext.broadcast((books, c))
+    kind = "part int, centroid int, n bigint, total array<double>"
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        books, c = held.value
+        n, total = np.zeros(len(c), np.int64), np.zeros(c.shape)
+        for b in batches:
+            if b.num_rows:
+                x = _residuals(b.column(0).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1), books)
+                near = _nearest_centroid(x, c)
+                n += np.bincount(near, minlength=len(c))
+                np.add.at(total, near, x)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(at), TaskContext.get().partitionId(), np.int32)), pa.array(at.astype(np.int32)), pa.array(n[at]), pa.array(total[at].tolist(), pa.list_(pa.float64()))],
+            names=["part", "centroid", "n", "total"],
+        )
+
+    def added(frame: pd.DataFrame) -> pd.DataFrame:
+        f = frame.sort_values("part")
+        return pd.DataFrame({"centroid": [f["centroid"].iloc[0]], "n": [f["n"].sum()], "total": [np.stack(f["total"].tolist()).sum(axis=0)]})
+
+    return whole.select(vector).mapInArrow(own, kind).groupBy("centroid").applyInPandas(added, "centroid int, n bigint, total array<double>")
+
+
+def _residuals(x: np.ndarray, books: np.ndarray) -> np.ndarray:
+    for c in books:
         x = x - c[_nearest_centroid(x, c)]
-    return np.stack(books)
+    return x
 
 
 def _nearest_centroid(x: np.ndarray, c: np.ndarray) -> np.ndarray:

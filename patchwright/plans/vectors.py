@@ -85,14 +85,14 @@ def logit_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def robust_quartiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = V.quartiles(_vecs(spark, sf_dir), "vec_id", "embedding")
+    q = V.quartiles(_vecs(spark, sf_dir), "embedding")
     return q.select("dim", F.round("median", 7).alias("median"), F.round("iqr", 7).alias("iqr"))
 
 
 def robust_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first and last scaled component, and how far scaling back misses the vector."""
     v = _vecs(spark, sf_dir)
-    q = V.quartiles(v, "vec_id", "embedding")
+    q = V.quartiles(v, "embedding")
     s = V.scaled(v, "embedding", q)
     back = V.scaled(s, "embedding", q, inverse=True).select("vec_id", F.col("embedding").alias("back"))
     both = s.join(back, "vec_id").join(v.select("vec_id", F.col("embedding").alias("raw")), "vec_id")

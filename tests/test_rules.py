@@ -258,6 +258,32 @@ def test_running_quartiles(spark):
     assert np.allclose([[r["median"] for r in got], [r["iqr"] for r in got]], want, atol=1e-12)
 
 
+def test_fits_take_all_vectors(spark):
+    late = F.col("id") >= 20_000
+    df = spark.range(44_000).select("id", F.array(F.when(late, 100).otherwise(0) + F.rand(1), F.rand(2)).cast("array<float>").alias("v"))
+    books = V.codebooks(df, "id", "v", 1, 8, 3)
+    assert V.quantised(df.where(late), "id", "v", books).agg(F.max("error")).first()[0] < 2
+    scale = spark.range(300_000).select("id", F.array(F.when(F.col("id") < 200_000, 0.0).otherwise(9.0)).alias("v"))
+    assert V.quartiles(scale, "v").first()["iqr"] == 9.0 and V.capped_quartiles(scale, "id", "v").first()["iqr"] == 1e-6
+
+
+def test_codebooks_against_plain_rounds(spark):
+    x = np.random.default_rng(7).normal(size=(300, 4)).astype(np.float32).astype(float)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(400, None), (401, [1.0, None, 0.0, 0.0])], "id bigint, v array<float>").repartition(5)
+    books = V.codebooks(df, "id", "v", 2, 6, 4)
+    starts = V.codebooks(df, "id", "v", 1, 6, 0)[0]
+    assert all((x == c).all(1).any() for c in starts)
+    c = starts.copy()
+    for _ in range(4):
+        near = ((x[:, None] - c) ** 2).sum(2).argmin(1)
+        c = np.stack([x[near == j].mean(0) if (near == j).any() else c[j] for j in range(6)])
+    assert np.allclose(books[0], c, atol=1e-12) and books.shape == (2, 6, 4)
+    few = V.codebooks(df.where("id < 2"), "id", "v", 1, 5, 2)[0]
+    assert {tuple(v) for v in few} == {tuple(v) for v in x[:2]}
+    with pytest.raises(ValueError):
+        V.codebooks(df.limit(0), "id", "v", 1, 2, 1)
+
+
 def test_schedule_errors():
     with pytest.raises(ValueError):
         V.noise_schedule("x", 10)
