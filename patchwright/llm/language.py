@@ -4,9 +4,9 @@ Method: one bit-sliced Bloom filter holds the character n-grams of the sample se
 slot is a bit mask of languages, so one look-up (the AND of a few slots) gives all languages that may hold an
 n-gram. For every word the hits are counted per language and corrected for the filter's false positives; the
 share of n-grams that a language holds is the word's evidence for it. Words no language holds better than
-another (names, digits) are neutral. A text in which all words with evidence agree is done; in the others a
-Viterbi search over words, with a price for changing the language that is lower between sentences, finds the
-stretches. Evidence of a word is computed once per worker and kept in a bounded cache.
+another (names, digits) are neutral. A Viterbi search over words, with a price for changing the language that is
+lower between sentences, finds the stretches; it is left out where it can't find more than one, because the
+language with most evidence lacks less than the price. Evidence of a word is computed once per worker and kept in a bounded cache.
 
 The filter is fitted on a bounded sample: the first MOST_SAMPLES labelled rows of each language by id.
 
@@ -114,14 +114,10 @@ class Filter:
         ws = [x for x in found if x is not None]
         if not ws:
             return []
-        clear = {c for c, _ in ws if c >= 0}
-        if len(clear) == 1:
-            at = next(iter(clear))
-            return [(0, len(ws), at, self._sure([x for _, x in ws], at))]
-        langs = sorted(clear) or range(len(self.langs))
-        if not clear:
-            sums = [sum(x[i] for _, x in ws) for i in langs]
-            at = sums.index(max(sums))
+        langs = range(len(self.langs))
+        sums = [sum(x[i] for _, x in ws) for i in langs]
+        at = sums.index(max(sums))
+        if sums[at] >= -CHANGE_SENTENCE:  # a word's best language has 0: no change can win back what it costs
             return [(0, len(ws), at, self._sure([x for _, x in ws], at))]
         best = {i: 0.0 for i in langs}
         back: list[dict[int, int]] = []

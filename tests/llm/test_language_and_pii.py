@@ -1,5 +1,6 @@
 """Languages and personal information."""
 
+import itertools
 import random
 
 import pytest
@@ -45,6 +46,23 @@ def test_defined_results(spark, sf, fit):
     assert language.cases(df.limit(0), "x", "id", "t", "label", panel, fit).count() == 0
 
 
+def test_search_counts_unclear_words():
+    f = language.Filter([], ["a", "b", "c"])
+    random.seed(8)
+    f.cache = {"x": (0, [0.0, -1.0, -2.0]), **{f"u{i}": (-1, [-0.7, 0.0, -0.5]) for i in range(9)}}
+    assert [s[:3] for s in f.text(["x", *(f"u{i}" for i in range(9))])] == [(0, 10, 1)]  # nine unclear words outweigh a clear one
+    for _ in range(300):
+        n = random.randint(1, 6)
+        logs = [[-random.choice([0, 0.5, 2, 6]) * random.random() for _ in range(3)] for _ in range(n)]
+        logs = [[x - max(row) for x in row] for row in logs]
+        f.cache = {f"w{i}": (row.index(0) if sorted(row)[1] <= -language.CLEAR else -1, row) for i, row in enumerate(logs)}
+        stops = [random.random() < 0.3 for _ in range(n)]
+        price = [0.0] + [language.CHANGE_SENTENCE if e else language.CHANGE for e in stops[:-1]]
+        score = lambda path: sum(logs[i][k] - (i > 0 and path[i - 1] != k) * price[i] for i, k in enumerate(path))
+        got = [k for _, m, k, _ in f.text([t for i in range(n) for t in ([f"w{i}", "."] if stops[i] else [f"w{i}"])]) for _ in range(m)]
+        assert len(got) == n and abs(score(got) - max(map(score, itertools.product(range(3), repeat=n)))) < 1e-9
+
+
 def test_false_positives_are_rare(fit):
     assert max(fit.false) < 1e-3
 
