@@ -36,9 +36,9 @@ def bleu_by_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def edit_metrics_by_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WER, TER (with shifts) and exact-match METEOR in per cent."""
-    c = M.counted(_grid(spark, sf_dir, seeds=[42]), ["failure_id", "noise"], "hyp", "ref", ("bleu", "wer", "ter", "meteor"))
+    c = M.counted(_grid(spark, sf_dir), ["failure_id", "seed", "noise"], "hyp", "ref", ("bleu", "wer", "ter", "meteor"))
     words = F.sum(F.get("bleu", F.lit(1)))
-    return c.groupBy("noise").agg(F.round(100 * F.sum("wer") / words, 7).alias("wer"), F.round(100 * F.sum("ter") / words, 7).alias("ter"), F.round(100 * F.avg("meteor"), 7).alias("meteor"))
+    return c.groupBy("seed", "noise").agg(F.round(100 * F.sum("wer") / words, 7).alias("wer"), F.round(100 * F.sum("ter") / words, 7).alias("ter"), F.round(100 * F.avg("meteor"), 7).alias("meteor"))
 
 
 def length_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,9 +138,9 @@ def approximate_randomisation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def metric_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All scores of every cell of the grid in one pass; COMET needs a neural model and is always missing."""
-    c = M.counted(_grid(spark, sf_dir, seeds=[42]), ["noise"], "hyp", "ref", ("chrf", "bleu", "ter", "meteor"))
+    c = M.counted(_grid(spark, sf_dir), ["seed", "noise"], "hyp", "ref", ("chrf", "bleu", "ter", "meteor"))
     words = F.sum(F.get("bleu", F.lit(1)))
-    return c.groupBy("noise").agg(
+    return c.groupBy("seed", "noise").agg(
         F.round(M.bleu_score(), 6).alias("bleu"), F.round(M.chrf_score(M.chrf_sums()), 6).alias("chrfpp"), F.round(100 * F.sum("ter") / words, 6).alias("ter"),
         F.round(100 * F.avg("meteor"), 6).alias("meteor"), F.lit(None).cast("double").alias("comet"),
     )

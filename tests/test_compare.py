@@ -71,3 +71,13 @@ def test_summary_and_language(spark, tmp_path):
     for bad in ("", "xx"):
         with pytest.raises(ValueError):
             R.language(bad, panel)
+
+
+def test_suite_covers_the_grid(spark, sf):
+    from patchwright.plans import quality as Q
+
+    cells = lambda df, *cols: {(r["seed"], r["noise"]): tuple(round(r[c], 5) for c in cols) for r in df.collect()}
+    suite, edits = Q.metric_suite(spark, sf), Q.edit_metrics_by_noise(spark, sf)
+    assert set(cells(suite)) == {(s, n) for s in Q.SEEDS for n in Q.NOISES}
+    assert cells(suite, "chrfpp") == cells(Q.chrfpp_by_noise(spark, sf), "chrfpp") and cells(suite, "bleu") == cells(Q.bleu_by_noise(spark, sf), "bleu")
+    assert cells(suite, "ter", "meteor") == cells(edits, "ter", "meteor")
