@@ -11,7 +11,7 @@ split after ``MORE_ROUNDS`` is compared in blocks, spread over tasks. All pairs
 their token sets.
 
 Recall: a pair is lost only where no path of it survives, see ``expected_recall``; RUNS trees are taken
-so that at the threshold itself it is above TARGET_RECALL.
+so that at the threshold itself, with all steps of the walk and the least favourable weights, it is above TARGET_RECALL.
 
 What is gathered at one place is bounded: token frequencies are counted in SLOTS slots over all records
 (a token's slot may hold others as well; that changes which tokens are taken, alike for every record, not
@@ -51,7 +51,11 @@ LEAST_WEIGHT = 0.5
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
-def expected_recall(similarity: float = NUM / DEN, depth: int = 3, fanout: tuple[int, ...] = FANOUT, runs: int = 1) -> float:
+#: Similarity of a pair at the threshold as the walk sees it, if all shared tokens weigh least and all others most.
+LEAST_SIMILARITY = NUM * LEAST_WEIGHT / (NUM * LEAST_WEIGHT + DEN - NUM)
+
+
+def expected_recall(similarity: float = NUM / DEN, depth: int = len(FANOUT), fanout: tuple[int, ...] = FANOUT, runs: int = 1) -> float:
     """The probability that a pair of this similarity ends in a common bucket."""
     alive = 1.0
     for k in reversed(fanout[:depth]):
@@ -59,7 +63,7 @@ def expected_recall(similarity: float = NUM / DEN, depth: int = 3, fanout: tuple
     return 1 - (1 - alive) ** runs
 
 
-RUNS = next(r for r in range(1, 99) if expected_recall(runs=r) >= TARGET_RECALL)
+RUNS = next(r for r in range(1, 99) if expected_recall(LEAST_SIMILARITY, runs=r) >= TARGET_RECALL)
 
 
 def prepared(pairs: DataFrame, record: str = "pair_id", source: str = "source", target: str = "target") -> DataFrame:

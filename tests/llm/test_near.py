@@ -51,6 +51,11 @@ def test_recall_and_precision(spark):
     assert near.expected_recall(runs=near.RUNS) >= near.TARGET_RECALL
 
 
+def test_runs_reach_the_target():
+    share = near.NUM * near.LEAST_WEIGHT / (near.NUM * near.LEAST_WEIGHT + near.DEN - near.NUM)  # shared words common, the others rare
+    assert near.expected_recall(share, depth=len(near.FANOUT), runs=near.RUNS) >= near.TARGET_RECALL
+
+
 def test_edges(spark):
     rows = [
         (1, None, ""), (2, "?", None), (3, "a", None), (4, "A!", "a"), (5, "a b c d", "e"), (6, "a b c d", None), (7, "d c b a", ""), (7, "d c b a", ""),
