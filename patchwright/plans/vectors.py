@@ -150,15 +150,23 @@ def noise_schedules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ngram_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rolling hashes of the byte ids of every preview, three at a time: how many, how many are undefined, the last table index."""
+    """Rolling hashes of the byte ids of every preview, three, four and five at a time: how many, how many are undefined, the last table
+    index, and the sum of each index times its position from 1, modulo 2**61 - 1."""
 
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            hashes = [V.rolling_hashes([b + 4 for b in t.encode()], 3) for t in f["text_preview"]]
-            yield pd.DataFrame({"failure_id": f["failure_id"], "n": [len(h) for h in hashes], "undefined": [h.count(-1) for h in hashes], "last_slot": [h[-1] % 500_000 if h and h[-1] >= 0 else -1 for h in hashes]})
+            rows = []
+            for record, t in zip(f["failure_id"], f["text_preview"]):
+                ids = [b + 4 for b in t.encode()]
+                for n in (3, 4, 5):
+                    h = V.rolling_hashes(ids, n)
+                    slots = [x % 500_000 if x >= 0 else -1 for x in h]
+                    digest = sum(i * x for i, x in enumerate(slots, 1) if x >= 0) % V.PRIME
+                    rows.append((record, n, len(h), h.count(-1), slots[-1] if slots else -1, digest))
+            yield pd.DataFrame(rows, columns=["failure_id", "size", "n", "undefined", "last_slot", "slots_digest"])
 
     f = table(spark, sf_dir, "failure_sentences_100").where("text_preview is not null")
-    return f.select("failure_id", "text_preview").mapInPandas(score, "failure_id bigint, n bigint, undefined bigint, last_slot bigint")
+    return f.select("failure_id", "text_preview").mapInPandas(score, "failure_id bigint, size int, n bigint, undefined bigint, last_slot bigint, slots_digest bigint")
 
 
 def budget_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

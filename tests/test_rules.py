@@ -227,6 +227,20 @@ def test_hash_and_packing():
     assert bins == [0, 0, 0, 1, 2]
 
 
+def test_ngram_sizes(spark, sf):
+    from patchwright.plans import vectors as P
+
+    got = {(r["failure_id"], r["size"]): r for r in P.ngram_hash(spark, sf).collect()}
+    texts = spark.read.parquet(f"{sf}/failure_sentences_100.parquet").where("text_preview is not null").select("failure_id", "text_preview").limit(5).collect()
+    for record, text in texts:
+        ids = [b + 4 for b in text.encode()]
+        for n in (3, 4, 5):
+            slots = [sum(v * pow(1_000_000_007, n - 1 - k, V.PRIME) for k, v in enumerate(ids[i - n + 1 : i + 1])) % V.PRIME % 500_000 for i in range(n - 1, len(ids))]
+            r = got[record, n]
+            assert (r["n"], r["undefined"]) == (len(ids), min(n - 1, len(ids))) and r["last_slot"] == (slots[-1] if slots else -1)
+            assert r["slots_digest"] == sum(i * s for i, s in enumerate(slots, n)) % V.PRIME
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(60, 8)).astype(np.float32)
