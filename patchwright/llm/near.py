@@ -10,12 +10,20 @@ loses no pair. A bucket that came out large all the same is split further down t
 split after ``MORE_ROUNDS`` is compared in blocks, spread over tasks. All pairs left are verified on
 their token sets.
 
-Recall: a pair is lost only where no path of it survives, see ``expected_recall``; RUNS trees are taken
-so that at the threshold itself, with all steps of the walk and the least favourable weights, it is above TARGET_RECALL.
+Recall: runs (trees with other seeds) are repeated until the estimated recall reaches TARGET_RECALL. Each verified
+pair has a known probability of being met in a run (``met``, from the weights of the tokens it shares and
+doesn't, and the deepest path that any bucket of the run was split to); a pair met with probability p
+stands for 1/p pairs, so the pairs not met are estimated from all that were, whatever the corpus is like.
 
 What is gathered at one place is bounded: token frequencies are counted in SLOTS slots over all records
 (a token's slot may hold others as well; that changes which tokens are taken, alike for every record, not
-which pairs are found), and a bucket holds at most LIMIT sets.
+which pairs are found), and a bucket holds at most LIMIT sets. Paths that hold much of a run are known before
+the shuffle from one set in SAMPLE, chosen by hash: at most MOST_HOT of them, whose sets are spread over all tasks and
+split further instead of being gathered. That decides only which task a set goes to.
+
+The operator's own result are links between classes (a class is a set of words in one sequence, with all its copies)
+and the members of the linked classes; ``groups`` gives a row for every record. ``id_pairs`` expands them to pairs of
+ids, for those who need them: as many rows as there are pairs, which a class of many copies squares.
 
 Defined results: a null or empty side has no words; records without any words are similar to none;
 repeated ids and repeated rows give one link; an empty table gives no links; very long texts are taken
@@ -34,7 +42,7 @@ from pyspark.sql import functions as F
 
 from .copies import canonical
 from .forms import consistent, words
-from .workspace import written
+from .workspace import dropped, written
 
 #: A set and its partner share at least SHARED of the size of the larger.
 NUM, DEN = 4, 5
@@ -46,26 +54,23 @@ LIMIT = 512
 MORE_ROUNDS = 3
 SLOTS = 1 << 17
 STEPS = 1_500_000
+#: One set in so many shows which paths are hot: those with HOT or more of its entries, and at most MOST_HOT.
+SAMPLE, HOT, MOST_HOT = 64, 64, 20_000
 #: The weight of a token in (nearly) every set; one in 55 sets or fewer weighs 1.
 LEAST_WEIGHT = 0.5
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+#: The steps of the walk with as many further rounds as buckets may be split.
+DEEPER = FANOUT[:2]
 
 
-#: Similarity of a pair at the threshold as the walk sees it, if all shared tokens weigh least and all others most.
-LEAST_SIMILARITY = NUM * LEAST_WEIGHT / (NUM * LEAST_WEIGHT + DEN - NUM)
-
-
-def expected_recall(similarity: float = NUM / DEN, depth: int = len(FANOUT), fanout: tuple[int, ...] = FANOUT, runs: int = 1) -> float:
-    """The probability that a pair of this similarity ends in a common bucket."""
-    alive = 1.0
-    for k in reversed(fanout[:depth]):
+def met(similarity: np.ndarray | float, rounds: int = 0, runs: int = 1) -> np.ndarray:
+    """The probability that a pair of this similarity (of weights) ends in a common bucket, at the deepest path of so many rounds."""
+    alive = np.ones_like(np.asarray(similarity, np.float64))
+    for k in reversed((*FANOUT, *(DEEPER * rounds))):
         alive = 1 - (1 - similarity * alive) ** k
     return 1 - (1 - alive) ** runs
 
 
-RUNS = next(r for r in range(1, 99) if expected_recall(LEAST_SIMILARITY, runs=r) >= TARGET_RECALL)
-
-
 def prepared(pairs: DataFrame, record: str = "pair_id", source: str = "source", target: str = "target") -> DataFrame:
     """id, tokens (sorted 64-bit hashes of the distinct words), set_key, seq_key (equal for copies), written."""
     sides = pairs.select(
@@ -166,8 +171,8 @@ def _weights(counts: np.ndarray, records: int) -> tuple[np.ndarray, np.ndarray,
     return ln_f, 1 / np.clip(-ln_f / 4, LEAST_WEIGHT, 1), math.log(EXPECTED / max(records, 1))
 
 
-def entries(sets: DataFrame, counts: np.ndarray, records: int) -> DataFrame:
-    """Where the paths of every set end, with the set's sketch."""
+def entries(sets: DataFrame, counts: np.ndarray, records: int, run: int) -> DataFrame:
+    """Where the paths of every set end in one run, with the set's sketch."""
     held = sets.sparkSession.sparkContext.broadcast(counts)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,10 +188,8 @@ def entries(sets: DataFrame, counts: np.ndarray, records: int) -> DataFrame:
                 continue
             starts = np.concatenate([[0], np.cumsum(lens)[:-1]])
             bits = sketches(tokens, starts)
-            for run in range(RUNS):
-                owner = np.arange(len(lens))
-                seed = np.full(len(lens), _mix(np.array([run + 1], np.uint64) * _C1)[0])
-                yield _entries(*_walk(tokens, starts, lens, seed, owner, np.zeros(len(lens)), FANOUT, ln_f, inv_w, end), keys, lens, bits)
+            seed = np.full(len(lens), _mix(np.array([run + 1], np.uint64) * _C1)[0])
+            yield _entries(*_walk(tokens, starts, lens, seed, np.arange(len(lens)), np.zeros(len(lens)), FANOUT, ln_f, inv_w, end), keys, lens, bits)
 
     return sets.select("tokens", "set_key").mapInArrow(emit, ENTRY)
 
@@ -205,7 +208,7 @@ def _deeper(large: DataFrame, sets: DataFrame, counts: np.ndarray, records: int)
             lens = b.column(0).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
             starts = np.concatenate([[0], np.cumsum(lens)[:-1]])
             path = b.column(2).to_numpy(zero_copy_only=False).view(np.uint64)
-            walked = _walk(flat, starts, lens, path, np.arange(len(lens)), np.zeros(len(lens)), FANOUT[:2], ln_f, inv_w, -math.inf)
+            walked = _walk(flat, starts, lens, path, np.arange(len(lens)), np.zeros(len(lens)), DEEPER, ln_f, inv_w, -math.inf)
             yield _entries(*walked, b.column(1).to_numpy(zero_copy_only=False), lens, sketches(flat, starts))
 
     return large.select("path", "set_key").join(tokens, "set_key").select("tokens", "set_key", "path").mapInArrow(emit, ENTRY)
@@ -229,8 +232,8 @@ def _out(kind: int, *cols: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, names=["kind", "a", "b", "n", "bits_a", "bits_b"])
 
 
-def compared(sorted_entries: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
-    """Entries sorted by path -> kind 0: candidate pairs of sets (a < b); kind 1: the entries (path, set) of buckets beyond the limit."""
+def compared(sorted_entries: Iterator[pa.RecordBatch], limit: int, hot: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """Entries sorted by path -> kind 0: candidate pairs of sets (a < b); kind 1: the entries (path, set) of hot paths (sorted) and of buckets beyond the limit."""
     names = ["path", "set_key", "n", "bits_a", "bits_b"]
     held = None
     overflowing = None  # the path whose entries are being passed on
@@ -240,6 +243,8 @@ def compared(sorted_entries: Iterator[pa.RecordBatch], limit: int) -> Iterator[p
         bucket = np.cumsum(first) - 1
         size = np.bincount(bucket)[bucket]
         big = size > limit
+        if hot is not None and len(hot):
+            big |= hot[np.minimum(np.searchsorted(hot, c["path"]), len(hot) - 1)] == c["path"]
         if overflowing is not None:
             big |= c["path"] == overflowing
         if big.any():
@@ -282,12 +287,21 @@ def compared(sorted_entries: Iterator[pa.RecordBatch], limit: int) -> Iterator[p
         yield from work(held)
 
 
-def _bucketed(df: DataFrame) -> DataFrame:
-    return (
-        df.repartition("path")
-        .sortWithinPartitions("path", "set_key")
-        .mapInArrow(lambda batches: compared(batches, LIMIT), OUT)
-    )
+def _hot(layer: DataFrame) -> np.ndarray:
+    """The hot paths of a sampled layer, sorted; at most MOST_HOT."""
+    sizes = layer.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HOT)
+    return np.sort(sizes.orderBy(F.desc("n"), "path").limit(MOST_HOT).select("path").toPandas()["path"].to_numpy(np.int64))
+
+
+def _bucketed(layer: DataFrame, hot: np.ndarray) -> DataFrame:
+    """Buckets, compared; the sets of hot paths are spread over all tasks, by a key of their own each."""
+    held = layer.sparkSession.sparkContext.broadcast(hot)
+    placed = layer
+    if len(hot):
+        names = layer.sparkSession.createDataFrame([(int(x), True) for x in hot], "path bigint, hot boolean")
+        placed = layer.join(F.broadcast(names), "path", "left").withColumn("place", F.when(F.col("hot"), F.xxhash64("path", "set_key")).otherwise(F.col("path"))).drop("hot")
+    place = "place" if len(hot) else "path"
+    return placed.repartition(place).sortWithinPartitions("path", "set_key").select("path", "set_key", "n", "bits_a", "bits_b").mapInArrow(lambda batches: compared(batches, LIMIT, held.value), OUT)
 
 
 def _in_blocks(large: DataFrame) -> DataFrame:
@@ -300,13 +314,12 @@ def _in_blocks(large: DataFrame) -> DataFrame:
     return spread.select(path.alias("path"), "set_key", "n", "bits_a", "bits_b")
 
 
-def candidates(sets: DataFrame) -> DataFrame:
-    """a, b: pairs of set keys that met in a bucket and whose sketches allow the similarity."""
-    counts = slot_counts(sets)
-    records = sets.count()
-    found, layer = [], entries(sets, counts, records)
-    for more in range(MORE_ROUNDS + 1):
-        out = written(_bucketed(layer), f"near-buckets-{more}")
+def candidates(sets: DataFrame, counts: np.ndarray, records: int, run: int = 0) -> tuple[DataFrame, int]:
+    """(a, b: pairs of set keys that met in a bucket and whose sketches allow the similarity; rounds of splitting it took)."""
+    sampled = lambda df: df.where(F.pmod(F.xxhash64("set_key", F.lit(5)), F.lit(SAMPLE)) == 0)
+    found, grown, more = [], lambda pick: entries(pick(sets), counts, records, run), 0
+    while True:
+        out = written(_bucketed(grown(lambda df: df), _hot(grown(sampled))), f"near-buckets-{run}-{more}")
         found.append(out.where("kind = 0").select("a", "b"))
         large = out.where("kind = 1").select(F.col("a").alias("path"), F.col("b").alias("set_key"), "n", "bits_a", "bits_b")
         if large.isEmpty():
@@ -314,37 +327,82 @@ def candidates(sets: DataFrame) -> DataFrame:
         if more == MORE_ROUNDS:
             rest = _in_blocks(large).repartition("path").sortWithinPartitions("path", "set_key")
             found.append(rest.mapInArrow(lambda batches: compared(batches, 1 << 30), OUT).where("kind = 0").select("a", "b"))
-        else:
-            layer = _deeper(large, sets, counts, records)
+            break
+        more += 1
+        grown = lambda pick, large=large: _deeper(pick(large), sets, counts, records)
     pairs = found[0]
     for x in found[1:]:
         pairs = pairs.unionByName(x)
-    return pairs.distinct()
-
+    return pairs.distinct(), more
 
-def links(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(links between classes, members): a class is a set of words in one sequence, key (set_key, seq_key).
 
-    links: set_a, seq_a, set_b, seq_b, each link once; members: set_key, seq_key, id of the linked classes."""
-    pairs = written(candidates(sets), "near-candidates")
+def verified(pairs: DataFrame, sets: DataFrame, counts: np.ndarray, records: int) -> DataFrame:
+    """a, b, similarity (of weights, as the walk sees it) of the pairs that are similar on their token sets."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("set_key")).distinct()
-    orders = sets.groupBy("set_key").agg(F.min("seq_key").alias("lo"), F.max("seq_key").alias("hi")).where("lo <> hi").select("set_key")
-    members = written(sets.join(ends.unionByName(orders).distinct(), "set_key", "left_semi"), "near-members")
-    tokens = members.groupBy("set_key").agg(F.first("tokens").alias("tokens"))
-    common = F.size(F.array_intersect("tokens_a", "tokens_b"))
+    tokens = sets.join(ends, "set_key", "left_semi").groupBy("set_key").agg(F.first("tokens").alias("tokens"))
+    common = F.array_intersect("tokens_a", "tokens_b")
     sure = (
         pairs.join(tokens.select(F.col("set_key").alias("a"), F.col("tokens").alias("tokens_a")), "a")
         .join(tokens.select(F.col("set_key").alias("b"), F.col("tokens").alias("tokens_b")), "b")
-        .where((NUM + DEN) * common >= NUM * (F.size("tokens_a") + F.size("tokens_b")))
-        .select("a", "b")
+        .select("a", "b", "tokens_a", "tokens_b", common.alias("common"))
+        .where((NUM + DEN) * F.size("common") >= NUM * (F.size("tokens_a") + F.size("tokens_b")))
     )
+    held = sets.sparkSession.sparkContext.broadcast(counts)
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight = 1 / _weights(held.value, records)[1]
+
+        def total(column: pa.ListArray) -> np.ndarray:
+            flat, sizes = column.flatten().to_numpy(zero_copy_only=False).view(np.uint64), column.value_lengths().to_numpy(zero_copy_only=False)
+            return np.add.reduceat(weight[_slot(flat)], np.cumsum(sizes) - sizes)  # no set is empty
+
+        for b in batches:
+            if b.num_rows:
+                x, y, c = (total(b.column(i)) for i in (2, 3, 4))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(c / (x + y - c))], names=["a", "b", "similarity"])
+
+    return sure.mapInArrow(weigh, "a bigint, b bigint, similarity double")
+
+
+def missing(similarities: DataFrame, rounds: int, runs: int) -> tuple[int, float]:
+    """(pairs met, estimate of those that weren't): a pair met with probability p stands for (1 - p) / p others."""
+    cells = similarities.groupBy(F.floor(F.col("similarity") * 1000).cast("int").alias("s")).agg(F.count(F.lit(1)).alias("n")).collect()  # 1001 rows at most
+    s, n = np.array([r["s"] for r in cells]) / 1000, np.array([r["n"] for r in cells], np.int64)
+    p = met(s, rounds, runs)
+    return int(n.sum()), float((n * (1 - p) / p).sum())
+
+
+def similar(sets: DataFrame) -> DataFrame:
+    """a, b: the pairs of set keys that are similar, from as many runs as the target recall takes."""
+    counts, records = slot_counts(sets), sets.count()
+    known, runs, rounds = None, 0, 0
+    while True:
+        pairs, more = candidates(sets, counts, records, runs)
+        runs, rounds = runs + 1, max(rounds, more)
+        pairs = written(pairs if known is None else pairs.join(known, ["a", "b"], "left_anti"), "near-candidates")
+        found = written(verified(pairs, sets, counts, records), "near-similar")
+        dropped(pairs)
+        known = found if known is None else written(known.unionByName(found), "near-similar")
+        n, lost = missing(known, rounds, runs)
+        if lost <= (1 - TARGET_RECALL) * (n + lost):
+            return known.select("a", "b")
+
+
+def links(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(links between classes, members): a class is a set of words in one sequence, key (set_key, seq_key).
+
+    links: set_a, seq_a, set_b, seq_b, each link once; members: set_key, seq_key, id of the linked classes."""
+    sure = similar(sets)
+    ends = sure.select(F.explode(F.array("a", "b")).alias("set_key")).distinct()
+    orders = sets.groupBy("set_key").agg(F.min("seq_key").alias("lo"), F.max("seq_key").alias("hi")).where("lo <> hi").select("set_key")
+    members = written(sets.select("set_key", "seq_key", "id").join(ends.unionByName(orders).distinct(), "set_key", "left_semi"), "near-members")
     classes = members.select("set_key", "seq_key").distinct()
     left = classes.select(F.col("set_key").alias("set_a"), F.col("seq_key").alias("seq_a"))
     right = classes.select(F.col("set_key").alias("set_b"), F.col("seq_key").alias("seq_b"))
     between = sure.join(left, sure.a == left.set_a).join(right, sure.b == right.set_b)
     within = left.join(right, left.set_a == right.set_b).where("seq_a < seq_b")
     cols = ["set_a", "seq_a", "set_b", "seq_b"]
-    return written(between.select(cols).unionByName(within.select(cols)), "near-links"), members.select("set_key", "seq_key", "id")
+    return written(between.select(cols).unionByName(within.select(cols)), "near-links"), members
 
 
 def id_pairs(linked: tuple[DataFrame, DataFrame]) -> DataFrame:
@@ -355,27 +413,29 @@ def id_pairs(linked: tuple[DataFrame, DataFrame]) -> DataFrame:
     return both.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).distinct()
 
 
-def groups(sets: DataFrame, linked: tuple[DataFrame, DataFrame], most_rounds: int = 30) -> DataFrame:
+def groups(sets: DataFrame, linked: tuple[DataFrame, DataFrame]) -> DataFrame:
     """A row for every record: id, group_id (the smallest id of the group), links (classes linked to the record's).
 
     A group holds the copies of a record and what is connected to them by links, found by alternating large-star and
-    small-star steps on the links of classes; a record without any is a group of its own. Records without words are copies."""
+    small-star steps on the links of classes until nothing changes; a record without any is a group of its own. Records without words are copies."""
     pairs, _ = linked
     name = lambda x: F.struct(F.col(f"set_{x}").alias("s"), F.col(f"seq_{x}").alias("q"))
     both = pairs.select(name("a").alias("u"), name("b").alias("v"))
     degree = both.select(F.explode(F.array("u", "v")).alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("links"))
     edges, before = both, None
-    for _ in range(most_rounds):
+    while True:
         around = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = around.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u")
-        edges = written(
+        shorter = written(
             small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(),
             "near-stars",
         )
+        dropped(edges)
+        edges = shorter
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -13,10 +13,14 @@ _OWN: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests), one made here and deleted at exit."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """The folder in spark.checkpoint.dir; where that is unset on a local master (tests), one made here and deleted at exit.
+
+    With executors on other machines there is no folder to fall back on: that raises."""
+    conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     if not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="patchwright-"))
         atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
@@ -28,4 +32,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Delete a written table that nothing reads any more; other tables stay."""
+    path = getattr(df, "written_at", None)
+    if path:
+        spark = df.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

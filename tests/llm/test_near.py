@@ -48,12 +48,30 @@ def test_recall_and_precision(spark):
     rows = corpus(1, 1200)
     want, got = brute(rows), found(spark, rows)
     assert got <= want and len(got) >= 0.995 * len(want) > 300
-    assert near.expected_recall(runs=near.RUNS) >= near.TARGET_RECALL
 
 
-def test_runs_reach_the_target():
-    share = near.NUM * near.LEAST_WEIGHT / (near.NUM * near.LEAST_WEIGHT + near.DEN - near.NUM)  # shared words common, the others rare
-    assert near.expected_recall(share, depth=len(near.FANOUT), runs=near.RUNS) >= near.TARGET_RECALL
+def test_runs_are_repeated_until_the_target(spark, monkeypatch):
+    """With one child a node a run misses many pairs; the estimate says so, and more runs follow."""
+    monkeypatch.setattr(near, "FANOUT", (1, 1))
+    monkeypatch.setattr(near, "DEEPER", (1, 1))
+    sets = near.prepared(frame(spark, corpus(4, 800)))
+    counts, records = near.slot_counts(sets), sets.count()
+    one, rounds = near.candidates(sets, counts, records)
+    n, lost = near.missing(near.verified(one, sets, counts, records), rounds, 1)
+    want = len({(min(a, b), max(a, b)) for a, b in set_pairs(sets)})
+    assert n < 0.99 * want and abs(n + lost - want) < 0.1 * want
+    assert near.similar(sets).count() >= 0.99 * want
+
+
+def set_pairs(sets):
+    rows = {r["set_key"]: set(r["tokens"]) for r in sets.collect()}
+    keys = sorted(k for k in rows if rows[k])
+    return [(a, b) for i, a in enumerate(keys) for b in keys[:i] if 5 * len(rows[a] & rows[b]) >= 4 * len(rows[a] | rows[b])]
+
+
+def test_met_counts_every_step():
+    assert near.met(1.0) == 1 and near.met(0.8) > near.met(0.8, rounds=near.MORE_ROUNDS) > 0.9
+    assert near.met(0.8, runs=2) > 0.999
 
 
 def test_edges(spark):
@@ -77,6 +95,24 @@ def test_large_buckets_are_split(spark, monkeypatch):
     monkeypatch.setattr(near, "LIMIT", 8)
     want, got = brute(rows), found(spark, rows)
     assert got <= want and len(got) >= 0.999 * len(want) > 5000
+    monkeypatch.setattr(near, "SAMPLE", 1)  # and with their paths known as hot before the shuffle
+    monkeypatch.setattr(near, "HOT", 8)
+    assert found(spark, rows) == got
+
+
+def test_small_limit_keeps_the_recall(spark, monkeypatch):
+    monkeypatch.setattr(near, "LIMIT", 4)
+    rows = corpus(5, 1000, common=0.9)
+    want, got = brute(rows), found(spark, rows)
+    assert got <= want and len(got) >= 0.99 * len(want) > 200
+
+
+def test_groups_of_long_chains(spark):
+    """A chain that takes many steps comes out as one group."""
+    words = [f"c{i}" for i in range(400)]
+    rows = [(i, " ".join(words[i : i + 40]), None) for i in range(0, 300)]
+    sets = near.prepared(frame(spark, rows))
+    assert {r["group_id"] for r in near.groups(sets, near.links(sets)).collect()} == {0}
 
 
 def test_groups(spark):
