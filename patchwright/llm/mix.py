@@ -8,8 +8,8 @@ of a pattern lie on a circle in that order, each source takes the stretch that f
 and a document is taken as often as its middle lies in the stretch. So no size is off by more than half a
 document at either end of a stretch.
 
-Positions on the circle come from sums in two steps (by bucket of the seeded hash, then within a bucket), so
-no task sees more than a bucket of a pattern, however large a source is.
+Positions on the circle come from sums in two steps (by bucket of the seeded hash, then within a bucket of about
+IN_BUCKET documents), so no task sorts more than a bucket of a pattern, however large a source is.
 
 Defined results: a quota that the caps don't allow is filled as far as they go, and the shares report it; it
 is not moved to other sources. Shares count in proportion; if all are 0, nothing is selected. A source
@@ -26,54 +26,80 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 MOST_PATTERNS = 5_000
-BUCKETS = 4_096
-
-
-def flow(patterns: dict[tuple[str, ...], int], quotas: dict[str, int], caps: dict[str, int | None]) -> dict[tuple[tuple[str, ...], str], int]:
+#: Documents that a bucket of the seeded order should hold, and how many buckets there are at least.
+IN_BUCKET, LEAST_BUCKETS = 20_000, 4_096
+
+Pattern = tuple[str, ...]
+
+
+class _Flow:
+    """What flows from patterns to sources, the quotas left, and paths to a quota that isn't filled."""
+
+    def __init__(self, patterns: dict[Pattern, int], quotas: dict[str, int], caps: dict[str, int | None]):
+        self.size, self.caps = patterns, caps
+        self.out = {(p, s): 0 for p in sorted(patterns) for s in p if s in quotas}
+        self.left = dict(quotas)
+        self.into: dict[str, list[Pattern]] = {}
+        for p, s in self.out:
+            self.into.setdefault(s, []).append(p)
+
+    def room(self, p: Pattern, s: str) -> int:
+        return 1 << 62 if self.caps[s] is None else self.caps[s] * self.size[p] - self.out[p, s]
+
+    def path(self, start: Pattern) -> list[tuple[Pattern, str]] | None:
+        """A shortest way from a pattern to a source with quota left: steps forth over (pattern, source), and back from that source
+        to another pattern that flows into it."""
+        queue, how = [start], {start: None}
+        for p in queue:
+            for s in p:
+                if s in self.left and s not in how and self.room(p, s) > 0:
+                    how[s] = p
+                    if self.left[s] > 0:
+                        steps = [(p, s)]
+                        while how[p] is not None:
+                            s = how[p]
+                            p = how[s]
+                            steps.append((p, s))
+                        return steps[::-1]
+                    for q in self.into[s]:
+                        if q not in how and self.out[q, s] > 0:
+                            how[q] = s
+                            queue.append(q)
+        return None
+
+    def push(self, start: Pattern, amount: int) -> int:
+        """Send up to so many tokens of a pattern; returns how many went."""
+        sent = 0
+        while sent < amount and (steps := self.path(start)):
+            n = min(amount - sent, self.left[steps[-1][1]], *(self.room(p, s) for p, s in steps), *(self.out[q, s] for (_, s), (q, _) in zip(steps, steps[1:])))
+            for p, s in steps:
+                self.out[p, s] += n
+            for (_, s), (q, _) in zip(steps, steps[1:]):
+                self.out[q, s] -= n
+            self.left[steps[-1][1]] -= n
+            sent += n
+        return sent
+
+
+def flow(patterns: dict[Pattern, int], quotas: dict[str, int], caps: dict[str, int | None]) -> dict[tuple[Pattern, str], int]:
     """Tokens from each pattern to each source: the most that quotas and caps allow, at the least convex cost of copies.
 
-    Successive shortest paths; an augmentation ends where a pattern's next copy begins, where its cost goes up."""
-    names = sorted(patterns)
-    sources = sorted(quotas)
-    out = {(p, s): 0 for p in names for s in p if s in quotas}
-    used = dict.fromkeys(names, 0)
-    left = dict(quotas)
-
-    def room(p: tuple[str, ...], s: str) -> int:
-        return 1 << 62 if caps[s] is None else caps[s] * patterns[p] - out[p, s]
-
-    while any(left.values()):
-        # distances over patterns and sources: a path starts at a pattern's next copy and may go back over what flows
-        dist: dict = {p: used[p] // patterns[p] + 1 for p in names if patterns[p] > 0}
-        how: dict = {}
-        for _ in range(len(names) + len(sources) + 1):
-            changed = False
-            for p, s in out:
-                if p in dist and room(p, s) > 0 and dist[p] < dist.get(s, math.inf):
-                    dist[s], how[s], changed = dist[p], p, True
-                if s in dist and out[p, s] > 0 and dist[s] < dist.get(p, math.inf):
-                    dist[p], how[p], changed = dist[s], s, True
-            if not changed:
-                break
-        ends = [s for s in sources if left[s] > 0 and s in dist]
-        if not ends:
-            break
-        at = end = min(ends, key=lambda s: (dist[s], s))
-        steps = []
-        while at in how:
-            steps.append((how[at], at))
-            at = how[at]
-        amount = min(left[end], patterns[at] - used[at] % patterns[at])
-        for a, b in steps:
-            amount = min(amount, room(a, b) if isinstance(a, tuple) else out[b, a])
-        for a, b in steps:
-            if isinstance(a, tuple):
-                out[a, b] += amount
-            else:
-                out[b, a] -= amount
-        used[at] += amount
-        left[end] -= amount
-    return {k: v for k, v in out.items() if v}
+    A path's cost is the copy its pattern is at, all else is free; so successive shortest paths send all first copies that can
+    go, then all second ones, and so on, and a pattern that can't send a copy whole never can again. Levels are taken many at
+    a time, as many as all patterns can send whole (doubled while they can), so the number of copies doesn't matter."""
+    f = _Flow(patterns, quotas, caps)
+    active, copies = [p for p in sorted(patterns) if patterns[p] > 0], 1
+    while active and any(f.left.values()):
+        before = (dict(f.out), dict(f.left))
+        sent = {p: f.push(p, copies * patterns[p]) for p in active}
+        if all(n == copies * patterns[p] for p, n in sent.items()):
+            copies *= 2
+        elif copies > 1:
+            f.out, f.left = before
+            copies //= 2
+        else:
+            active = [p for p in active if sent[p] == patterns[p]]
+    return {k: v for k, v in f.out.items() if v}
 
 
 def quotas(targets: list[dict], corpus: int) -> dict[str, int]:
@@ -94,7 +120,8 @@ def mixed(docs: DataFrame, targets: DataFrame, members: str = "members", record:
         F.col(size).cast("bigint").alias("n"),
         F.xxhash64(F.lit(seed), record).alias("h"),
     )
-    base = base.withColumn("bucket", F.pmod(F.shiftrightunsigned("h", 20), F.lit(BUCKETS)).cast("int"))
+    buckets = max(LEAST_BUCKETS, -(-docs.count() // IN_BUCKET))
+    base = base.withColumn("bucket", F.pmod(F.shiftrightunsigned("h", 20), F.lit(buckets)).cast("int"))
     sums = base.groupBy("pattern", "bucket").agg(F.sum("n").alias("n"))
     sums = sums.withColumn("start", F.sum("n").over(Window.partitionBy("pattern").orderBy("bucket")) - F.col("n"))
     totals = sums.groupBy("pattern").agg(F.sum("n").alias("n")).limit(MOST_PATTERNS + 1).collect()
