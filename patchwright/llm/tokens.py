@@ -4,11 +4,12 @@ Method: merge replay. Texts are cut at white space into chunks, chunks by the to
 pieces; every distinct piece is encoded once. The distinct new pieces of a batch are laid out as one
 sequence of symbols; an inverted index from a pair's rank to its positions then applies the merges in rank
 order, touching only the neighbours of what it merged (a merge's result only takes part in later merges,
-which is checked when the vocabulary is read, so one pass over the ranks is enough). Chunks keep their ids in
+so one pass over the ranks is enough; with ranks of byte strings it may go back to a lower one). Chunks keep their ids in
 a bounded cache of the worker.
 
 The vocabulary is a parameter, read on the driver and broadcast; its size is that of the tokenizer, not of
-the corpus. No special tokens: their strings in a text are ordinary text.
+the corpus. Served are byte-level BPE files of two kinds: JSON with merges, whose pre-tokenizer has to be the byte-level one
+with its own pattern (others raise), and ranks of byte strings, where any two neighbours merge whose bytes together have a rank. No special tokens: their strings in a text are ordinary text.
 
 Defined results: null and empty texts get an empty list; texts of any length are encoded whole;
 repeated rows are encoded alike; other columns aren't read.
@@ -16,6 +17,7 @@ repeated rows are encoded alike; other columns aren't read.
 
 from __future__ import annotations
 
+import base64
 import heapq
 import json
 from collections.abc import Iterator
@@ -28,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
+VOCABULARY_OF_MANY_LANGUAGES = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 MOST_CACHED = 300_000
 #: Characters encoded at once in a worker.
 BLOCK = 1_000_000
@@ -51,6 +54,7 @@ class Merges:
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]]):
         self.bytes = [vocab[c] for c in _byte_characters()]
         self.pairs: dict[tuple[int, int], tuple[int, int]] = {}
+        self.whole: dict[bytes, int] = {}
         made: dict[str, int] = {}
         for rank, (a, b) in enumerate(merges):
             made.setdefault(a + b, rank)
@@ -63,9 +67,24 @@ class Merges:
     def forget(self) -> None:
         self.cache: dict[str, tuple[int, ...]] = {}
 
+    @classmethod
+    def of_ranks(cls, ranks: dict[bytes, int]) -> Merges:
+        """Every split of a byte string into two that have ranks may make it; a piece that has a rank as a whole is one id."""
+        own = cls.__new__(cls)
+        own.bytes = [ranks[bytes([b])] for b in range(256)]
+        own.pairs = {(ranks[t[:k]], ranks[t[k:]]): (r, r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks}
+        own.whole = ranks
+        own.forget()
+        return own
+
     @classmethod
     def read(cls, path: str = VOCABULARY) -> Merges:
-        model = json.load(open(path, encoding="utf-8"))["model"]
+        if path.endswith(".tiktoken"):
+            return cls.of_ranks({base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))})
+        file = json.load(open(path, encoding="utf-8"))
+        first, model = file["pre_tokenizer"] or {}, file["model"]
+        if first.get("type") != "ByteLevel" or not first.get("use_regex", True) or first.get("add_prefix_space") or file.get("normalizer") or model.get("end_of_word_suffix"):
+            raise ValueError(f"{path} isn't byte-level BPE with the byte-level pattern")
         return cls(model["vocab"], [tuple(m) if not isinstance(m, str) else tuple(m.split(" ")) for m in model["merges"]])
 
     def replay(self, pieces: list[str]) -> list[list[int]]:
@@ -80,7 +99,6 @@ class Merges:
         n = len(symbols)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         where: dict[int, list[int]] = {}
-        what: dict[int, tuple[int, int, int]] = {}
         for i in range(n - 1):
             found = pairs.get((symbols[i], symbols[i + 1]))
             if found:
@@ -89,17 +107,16 @@ class Merges:
                     where[rank].append(i)
                 else:
                     where[rank] = [i]
-                    what[rank] = (symbols[i], symbols[i + 1], found[1])
         ranks = list(where)
         heapq.heapify(ranks)
         while ranks:
             rank = heapq.heappop(ranks)
-            left, right, out = what[rank]
             for i in sorted(where.pop(rank)):
                 j = after[i]
-                if symbols[i] != left or j >= n or symbols[j] != right:
-                    continue  # a merge to the left took it
-                symbols[i], symbols[j] = out, -2
+                found = pairs.get((symbols[i], symbols[j])) if j < n else None
+                if found is None or found[0] != rank:
+                    continue  # another merge took one of them
+                symbols[i], symbols[j] = found[1], -2
                 k = after[i] = after[j]
                 if k < n:
                     before[k] = i
@@ -111,7 +128,6 @@ class Merges:
                                 where[found[0]].append(a)
                             else:
                                 where[found[0]] = [a]
-                                what[found[0]] = (symbols[a], symbols[b], found[1])
                                 heapq.heappush(ranks, found[0])
         out_ids, at = [], 0
         for e in ends:
@@ -128,7 +144,9 @@ class Merges:
         if new:
             cut = [_PIECES.findall(c) for c in new]
             pieces = sorted(set(chain.from_iterable(cut)))
-            ids = dict(zip(pieces, self.replay(pieces)))
+            ids = {p: [self.whole[raw]] for p in pieces if (raw := p.encode("utf-8", "surrogatepass")) in self.whole} if self.whole else {}
+            rest = [p for p in pieces if p not in ids]
+            ids |= zip(rest, self.replay(rest))
             for c, parts in zip(new, cut):
                 self.cache[c] = tuple(chain.from_iterable(ids[p] for p in parts))
         return chunks
