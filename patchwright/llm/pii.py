@@ -1,7 +1,8 @@
 """Personal information in free text: found, and replaced by a placeholder of its kind.
 
 Method: regular expressions propose spans; validators (Verhoeff, Luhn, mod 97) and formats that hardly
-occur by chance raise a span's score; context words before and after it raise or lower it. A span counts from
+occur by chance raise a span's score, and card and account numbers have to pass theirs; context words before and
+after it raise or lower it. A number counts only as a whole, never a part of a longer row of its groups. A span counts from
 a score of ACCEPT on. Where spans overlap, the one with the higher score, then the longer, stays.
 
 Names are proposed by what stands around them (a title, a greeting, a signature, a role, a verb of the desk)
@@ -54,7 +55,11 @@ def mod97(digits: str) -> bool:
     return int(digits[-2:]) == 97 - int(digits[:-2]) % 97
 
 
-_END = r"(?![\w@])"
+def iban(number: str) -> bool:
+    """The first four characters moved to the end, letters as numbers from 10: 1 modulo 97."""
+    return int("".join(str(int(c, 36)) for c in number[4:] + number[:4])) % 97 == 1
+
+
 _LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
 _AT_MARK = r"[\(\[\{<][ \t]?(?:at|AT|At)[ \t]?[\)\]\}>]"
 _DOT_MARK = r"[\(\[\{<][ \t]?(?:dot|DOT|Dot)[ \t]?[\)\]\}>]"
@@ -64,6 +69,7 @@ EMAILS = [
     re.compile(rf"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*[@＠](?:{_LABEL}\.)+[A-Za-z]{{2,}}(?![\w@])"),
     re.compile(rf"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*(?:{_AT}|[@＠])(?:{_LABEL}(?:\.|{_DOT}))+[A-Za-z]{{2,}}(?![\w@])"),
     re.compile(rf"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*(?:{_AT}| at | AT ){_LABEL}(?:(?:{_DOT}| dot | DOT ){_LABEL})+(?![\w@])"),
+    re.compile(r"(?<![\w.+-])[^\W_][\w.%+-]*[@＠](?:[^\W_][\w\u0900-\u0963-]*\.)+[^\W\d_](?:[^\W\d_]|[\u0900-\u0963])+(?![\w@\u0900-\u0963])"),  # names and domains of any script
 ]
 #: Every form of EMAILS has one of these: ' at ' and ' AT ' count only with a dot in words.
 _EMAIL_CUES = ("@", "＠", " dot ", " DOT ")
@@ -77,15 +83,21 @@ PHONES = [  # numbers of known length first: what follows them may be a number o
     (2, re.compile(r"(?<![\w.+-])0\d{2,5}[ -]\d{5,8}(?![\w-])")),
     (2, re.compile(r"(?<![\w.+-])\d{3}[-.]\d{3}[-.]\d{4}(?![\w-])")),
     (2, re.compile(r"(?<![\w.+\-/])[5-9]\d{9}(?![\w-])")),
+    (1, re.compile(r"(?<![\w.+\-/])(?<!\d[ -])[6-9]\d{4}[ -]\d{5}(?![\w-])(?! \d)")),
+    (1, re.compile(r"(?<![\w.+\-/])(?<!\d[ -])0\d{2,4}[ -]\d{3,4}[ -]\d{3,4}(?![\w-])(?! \d)")),
 ]
 IDS = [
-    (1, verhoeff, re.compile(r"(?<![\w.+-])\d{4}([ -]?)\d{4}\1\d{4}(?![\w-])")),
+    (1, verhoeff, re.compile(r"(?<![\w.+-])(?<!\d{4} )\d{4}([ -]?)\d{4}\1\d{4}(?![\w-])(?! \d{4}\b)")),
     (2, None, re.compile(r"(?<![\w-])[A-Z]{5}\d{4}[A-Z](?![\w-])")),
     (1, None, re.compile(r"(?<![\w-])[A-Z]\d{7}(?![\w-])")),
     (2, None, re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")),
     (0, luhn, re.compile(r"(?<![\w.+-])\d{3}[ -]\d{3}[ -]\d{3}(?![\w-])")),
     (0, mod97, re.compile(r"(?<![\w.+-])[12] ?\d\d ?\d\d ?\d\d ?\d{3} ?\d{3} ?\d\d(?![\w-])")),
 ]
+#: Numbers of cards and accounts: they have to pass their check, and cards without groups also need a word for them.
+CARDS = re.compile(r"(?<![\w.+-])(?<!\d[ -])(?:\d{4}([ -]?)\d{4}\1\d{4}\1\d{1,7}|3\d{3}([ -]?)\d{6}\2\d{5})(?![\w-])(?! \d)")
+CARD_CONTEXT = re.compile(r"(?i)\b(?:card|visa|mastercard|amex|rupay|credit|debit)\b|कार्ड")
+ACCOUNTS = re.compile(r"(?<![\w.+-])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![\w-])")
 ID_CONTEXT = re.compile(
     r"(?i)\b(?:ID|identity|national|passport|tax|card|aadhaar|aadhar|PAN|SSN|licen[cs]e|voter)\b|ओळख|पहचान|आधार|पासपोर्ट|ओळखपत्र|पत्र क्र|परिचय|परवाना"
 )
@@ -93,9 +105,10 @@ ID_AFTER = re.compile(r"(?i)^.{0,4}(?:copy attached|is on the form|was scanned|
 NOT_PERSONAL = re.compile(
     r"(?i)\b(?:checksum|ticket|bytes|steps?|shard|fingerprint|epoch|loss|hash|order|invoice|version|build|seed|commit|run|port|isbn|doi|section)\b[^\n.!?।]{0,24}$"
 )
+NOT_PERSONAL_AFTER = re.compile(r"(?i)^[ \t]?\(?(?:order|ticket|invoice|build|commit|bytes|steps|tokens|rows|lines|records)\b")
 PHONE_CONTEXT = re.compile(r"(?i)\b(?:tel|phone|mobile|cell|call|number|fax|whatsapp|reach|contact)\b|मो\.|दूरध्वनी|फ़ोन|फोन|मोबाईल|मोबाइल|संपर्क")
 
-_CAP = r"[A-Z][a-zé]+"
+_CAP = r"[A-Z\u00c0-\u00d6\u00d8-\u00de][a-z\u00df-\u00f6\u00f8-\u017f]+"
 _STREET = rf"(?:{_CAP} ){{1,4}}(?:Road|Rd\.?|Street|St\.?|Lane|Ln\.?|Avenue|Ave\.?|Marg|Nagar|Cross|Path|Colony|Drive|Dr\.?|Way|Close|Court|Square|Terrace)"
 _PIN = r"(?:,?[ \t]*(?:[-–][ \t]*)?\d{6}(?!\d))"
 _TOWN = rf"{_CAP}(?: {_CAP}(?={_PIN}))?"  # of two words only before a postal code, else a name may follow
@@ -104,7 +117,7 @@ _DEVA = r"[ऀ-ॣॱ-ॿ]+"
 ADDRESSES = [
     re.compile(rf"\b(?:Flat|Apt\.?|Apartment|Unit|Suite|Room)(?: No\.)? \d+[A-Z]?{_GAP}(?:{_CAP} ){{1,3}}(?:Apartments?|Towers?|Heights|Society|House|Residency){_GAP}{_STREET}{_GAP}{_TOWN}{_PIN}?"),
     re.compile(rf"\b(?:House|Plot|Flat|Bungalow)(?: No\.?)? \d+(?:[-/]\w+)?{_GAP}{_STREET}{_GAP}(?:(?:Near|Opp\.?|Behind|Off) (?:{_CAP} ?)+{_GAP})?{_TOWN}{_PIN}?"),
-    re.compile(rf"(?<![\w./-])\d{{1,4}}(?:-[A-Z]|/\d+)?,? {_STREET}{_GAP}(?:(?:Near|Opp\.?|Behind|Off) (?:{_CAP} ?)+{_GAP})?{_TOWN}{_PIN}?"),
+    re.compile(rf"(?<![\w./-])\d{{1,4}}(?:-?[A-Z]|/\d+)?,? {_STREET}{_GAP}(?:(?:Near|Opp\.?|Behind|Off) (?:{_CAP} ?)+{_GAP})?{_TOWN}{_PIN}?"),
     re.compile(
         rf"(?:(?:घर|मकान|सदनिका|प्लॉट|बंगला|फ्लॅट|फ़्लैट|फ्लैट) (?:(?:क्र|नं|क्रमांक|नंबर)\.? )?)?(?<![\w./-])\d{{1,4}}(?:[-/][\w]+)?{_GAP}{_DEVA}(?: {_DEVA}){{0,3}} ?"
         rf"(?:मार्ग|गल्ली|गली|रोड|रस्ता|पथ|अपार्टमेंट|अपार्टमेंट्स|सोसायटी|सोसाइटी|नगर|चौक|पेठ|सड़क)(?:{_GAP}{_DEVA}(?: {_DEVA}){{0,2}} (?:मार्ग|गल्ली|गली|रोड|रस्ता|पथ))?{_GAP}{_DEVA}{_PIN}?"
@@ -123,7 +136,9 @@ CUED_NAMES = [
     (("cc:", "Cc:", "CC:", "tator:", "lator:", "iewer:", "ditor:", "thor:", "peaker:", "reader:", "igned:", "ontact:", "ttn"), re.compile(rf"\b(?:[Cc]c|CC|Annotator|Translator|Reviewer|Editor|Author|Speaker|Proofreader|Signed|Contact|Attn)\.?: ({REVERSED}|{NAME})")),
     (("done by", "ed by", "itten by", "ask ", "asked ", "told ", "thank"), re.compile(rf"\b(?:done by|reviewed by|written by|checked by|translated by|ask|asked|told|thank|thanks to) ({REVERSED}|{NAME})")),
     # what a person does
-    ((" wrote", " disagree", " rejected", " reviewed", " approved", " asked", " said", " thinks", " agree", " replied", " suggested", " annotated", " translated"), re.compile(rf"(?<![\w.])({REVERSED}|{NAME})(?= (?:wrote|disagrees|disagreed|rejected|reviewed|approved the|asked|said|thinks|agrees|agreed|replied|suggested|annotated|translated the)\b)")),
+    ((" wrote", " disagree", " rejected", " reviewed", " approved", " asked", " said", " thinks", " agree", " replied", " suggested", " annotated", " translated", " signed"), re.compile(rf"(?<![\w.])({REVERSED}|{NAME})(?= (?:wrote|disagrees|disagreed|rejected|reviewed|approved the|asked|said|thinks|agrees|agreed|replied|suggested|annotated|translated the|signed)\b)")),
+    # whom somebody met or wrote to
+    ((" met ", " called ", " emailed ", " phoned ", " interviewed ", " visited "), re.compile(rf"(?<=[a-zI] )(?:met|called|emailed|phoned|interviewed|visited) ({NAME})(?= (?:yesterday|today|tomorrow|last|this|on|at|in|about|again|and|to|before|after)\b|[.,;!?]|[ \t]*(?:[\r\n]|$))")),
     # greetings and signatures; here a given name alone counts
     (("Hi", "Hello", "Dear", "Hey"), re.compile(rf"\b(?:Hi|Hello|Dear|Hey),? ({NAME}|{_CAP})(?=,|[ \t]*[\r\n])")),
     (("Thanks,", "egards,", "Best,", "Cheers,", "Sincerely,", "Yours,", "thanks,"), re.compile(rf"\b(?:Thanks|Regards|Best|Cheers|Sincerely|Yours|Best regards|Kind regards|Warm regards|Many thanks),{_NL}({REVERSED}|{NAME}|{_CAP})(?=[ \t]*(?:[\r\n]|$))")),
@@ -142,7 +157,7 @@ _NAME_BEFORE = re.compile(rf"(?:^|(?<![\w.]))({REVERSED}|{NAME})$")
 _STREETS = ("Road", "Rd", "Street", "St", "Lane", "Ln", "Avenue", "Ave", "Marg", "Nagar", "Cross", "Path", "Colony", "Drive", "Dr", "Way", "Close", "Court", "Square", "Terrace")
 _DEVA_STREETS = ("मार्ग,", "गल्ली,", "गली,", "रोड,", "रस्ता,", "पथ,", "अपार्टमेंट,", "अपार्टमेंट्स,", "सोसायटी,", "सोसाइटी,", "नगर,", "चौक,", "पेठ,", "सड़क,", "मार्ग ,", "गल्ली ,")
 #: Stretches that may hold a phone or an identity number: all their patterns need one of these.
-_NUMBERS = re.compile(r"[+(]?\d[\d().\- ]{7,}\d|[A-Z]{1,5}\d{4,}[A-Z]?")
+_NUMBERS = re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2}[A-Z0-9 ]*|[+(]?\d[\d().\- ]{7,}\d|[A-Z]{1,5}\d{4,}[A-Z]?")
 _DEVA_DIGIT = re.compile("[०-९]")
 NOT_NAMES = frozenset("The A An This That These Those There It Its We Their Our My Your Nobody Run Section Figure Table Old New Near House Flat No In On At Of And But Or".split())
 
@@ -211,10 +226,20 @@ def finds(text: str, names: Names) -> list[tuple[int, int, str]]:
                     score_now += check(re.sub(r"\D", "", m[0]))
                 if score_now >= ACCEPT + 1 or (score == 2 and score_now >= ACCEPT):
                     spans.append((score_now + 2, m.start(), m.end(), "id_number"))
+        for m in CARDS.finditer(plain, a, b):
+            digits = re.sub(r"\D", "", m[0])
+            near = plain[max(0, m.start() - 36) : m.end() + 12]
+            if 13 <= len(digits) <= 19 and luhn(digits) and (len(digits) < len(m[0]) or CARD_CONTEXT.search(near)):
+                spans.append((8, m.start(), m.end(), "id_number"))
+        for m in ACCOUNTS.finditer(plain, a, b):
+            number = m[0].replace(" ", "")
+            if 15 <= len(number) <= 34 and iban(number):
+                spans.append((8, m.start(), m.end(), "id_number"))
         for score, p in PHONES:
             for m in p.finditer(plain, a, b):
                 before = plain[max(0, m.start() - 30) : m.start()]
-                score_now = score + bool(PHONE_CONTEXT.search(before)) - 3 * bool(NOT_PERSONAL.search(before))
+                wrong = NOT_PERSONAL.search(before) or NOT_PERSONAL_AFTER.search(plain[m.end() : m.end() + 12])
+                score_now = score + bool(PHONE_CONTEXT.search(before)) - 3 * bool(wrong)
                 if 10 <= sum(c.isdigit() for c in m[0]) <= 15 and score_now >= ACCEPT:
                     spans.append((score_now, m.start(), m.end(), "phone"))
     for cues, p in CUED_NAMES:
