@@ -2,7 +2,8 @@
 
 Method: one bit-sliced Bloom filter holds the character n-grams of the sample sentences of all languages; a
 slot is a bit mask of languages, so one look-up (the AND of a few slots) gives all languages that may hold an
-n-gram. For every word the hits are counted per language and corrected for the filter's false positives; the
+n-gram. A slot has as many 64-bit words as the languages take. For every word the hits are counted per language (the words of a batch
+that are new together) and corrected for the filter's false positives; the
 share of n-grams that a language holds is the word's evidence for it. Words no language holds better than
 another (names, digits) are neutral. A Viterbi search over words, with a price for changing the language that is
 lower between sentences, finds the stretches; it is left out where it can't find more than one, because the
@@ -18,7 +19,6 @@ confidence; very long texts are taken whole; repeated rows give repeated results
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,8 +38,8 @@ MOST_CACHED = 400_000
 RUN = 5
 #: Nats for another language from one word to the next, and from one sentence to the next.
 CHANGE, CHANGE_SENTENCE = 5.0, 3.0
-#: A word's evidence is clear if its best language leads by this much.
-CLEAR = 0.8
+#: New words whose n-grams are looked up at once.
+BLOCK = 4_096
 _FLOOR = 0.02
 
 
@@ -55,58 +55,47 @@ class Filter:
 
     def __init__(self, samples: list[tuple[str, str]], langs: list[str]):
         self.langs = langs
-        self.slots = np.zeros(SLOTS, np.uint32)
+        self.slots = np.zeros((SLOTS, -(-len(langs) // 64)), np.uint64)
         for k, lang in enumerate(langs):
             found = {w for own, text in samples if own == lang for w in words_of(text) if not w.isnumeric()}
-            at = [s for g in {g for w in found for g in grams(w)} for s in self._slots(g)]
-            self.slots[at] |= np.uint32(1 << k)
-        bits = [(self.slots >> np.uint32(k)) & np.uint32(1) for k in range(len(langs))]
+            at = self._slots(sorted({g for w in found for g in grams(w)}))
+            self.slots[at.ravel(), k // 64] |= np.uint64(1 << k % 64)
         #: The chance that a filter claims an n-gram it doesn't hold.
-        self.false = [float(b.mean()) ** HASHES for b in bits]
+        self.false = np.array([(self.slots[:, k // 64] >> np.uint64(k % 64) & np.uint64(1)).mean() for k in range(len(langs))]) ** HASHES
         self.forget()
 
     def forget(self) -> None:
-        """Start with empty caches; they change no result."""
-        self.cache: dict[str, tuple[int, list[float]]] = {}
-        self.masks: dict[str, int] = {}
+        """Start with an empty cache; it changes no result."""
+        self.cache: dict[str, list[float]] = {}
 
     @staticmethod
-    def _slots(g: str) -> tuple[int, int, int]:
-        h = xxhash.xxh3_64_intdigest(g)
-        return h & (SLOTS - 1), (h >> 20) & (SLOTS - 1), (h >> 40) & (SLOTS - 1)
-
-    def mask(self, g: str) -> int:
-        """The languages that may hold an n-gram."""
-        found = self.masks.get(g)
-        if found is None:
-            if len(self.masks) >= MOST_CACHED:
-                self.masks.clear()
-            a, b, c = self._slots(g)
-            found = self.masks[g] = int(self.slots[a] & self.slots[b] & self.slots[c])
-        return found
-
-    def word(self, w: str) -> tuple[int, list[float]]:
-        """(the language the word clearly belongs to or -1, log evidence for each language)."""
-        found = self.cache.get(w)
-        if found is None:
-            if len(self.cache) >= MOST_CACHED:
-                self.cache.clear()
-            found = self.cache[w] = self._word(w)
-        return found
-
-    def _word(self, w: str) -> tuple[int, list[float]]:
-        k = len(self.langs)
-        if w.isnumeric():
-            return -1, [0.0] * k
-        masks = Counter(map(self.mask, grams(w)))
-        n = masks.total()
-        share = []
-        for i in range(k):
-            hits = sum(c for m, c in masks.items() if m >> i & 1)
-            share.append(max(0.0, (hits - n * self.false[i]) / (n * (1 - self.false[i]))))
-        logs = [math.log(_FLOOR + s) for s in share]
-        first, second = sorted(logs, reverse=True)[:2] if k > 1 else (logs[0], logs[0] - 9)
-        return (logs.index(first) if first - second >= CLEAR else -1), [x - first for x in logs]
+    def _slots(found: list[str]) -> np.ndarray:
+        h = np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
+        return np.stack([(h >> np.uint64(20 * k) & np.uint64(SLOTS - 1)).astype(np.int64) for k in range(HASHES)])
+
+    def learn(self, found: set[str]) -> None:
+        """Put the evidence of words into the cache: log shares of the n-grams each language holds, less those of the best language."""
+        if len(self.cache) + len(found) > MOST_CACHED:
+            self.forget()
+        new = sorted(found - self.cache.keys())
+        for at in range(0, len(new), BLOCK):
+            block = new[at : at + BLOCK]
+            own = [grams(w) for w in block]
+            sizes = np.array([len(g) for g in own])
+            masks = np.bitwise_and.reduce(self.slots[self._slots([g for x in own for g in x])], axis=0)
+            bits = np.unpackbits(masks.astype("<u8").view(np.uint8), axis=1, bitorder="little")[:, : len(self.langs)]
+            hits = np.add.reduceat(bits.astype(np.int32), np.cumsum(sizes) - sizes, axis=0)
+            share = np.maximum(0, (hits - sizes[:, None] * self.false) / (sizes[:, None] * (1 - self.false)))
+            logs = np.log(_FLOOR + share)
+            logs -= logs.max(axis=1, keepdims=True)
+            logs[[w.isnumeric() for w in block]] = 0
+            self.cache.update(zip(block, logs.tolist()))
+
+    def word(self, w: str) -> list[float]:
+        """Log evidence of a word for each language; 0 for the best."""
+        if w not in self.cache:
+            self.learn({w})
+        return self.cache[w]
 
     def text(self, tokens: list[str]) -> list[tuple[int, int, int, float]]:
         """(first word, words, language, confidence) of the stretches; '.' ends a sentence and is no word."""
@@ -115,10 +104,10 @@ class Filter:
         if not ws:
             return []
         langs = range(len(self.langs))
-        sums = [sum(x[i] for _, x in ws) for i in langs]
+        sums = [sum(x[i] for x in ws) for i in langs]
         at = sums.index(max(sums))
         if sums[at] >= -CHANGE_SENTENCE:  # a word's best language has 0: no change can win back what it costs
-            return [(0, len(ws), at, self._sure([x for _, x in ws], at))]
+            return [(0, len(ws), at, self._sure(ws, at))]
         best = {i: 0.0 for i in langs}
         back: list[dict[int, int]] = []
         ended = False
@@ -132,9 +121,9 @@ class Filter:
             step, now = {}, {}
             for i in langs:
                 if best[i] >= change:
-                    step[i], now[i] = i, best[i] + x[1][i]
+                    step[i], now[i] = i, best[i] + x[i]
                 else:
-                    step[i], now[i] = top, change + x[1][i]
+                    step[i], now[i] = top, change + x[i]
             back.append(step)
             best = now
         at = max(best, key=best.__getitem__)
@@ -146,7 +135,7 @@ class Filter:
         out, start = [], 0
         for j in range(1, len(path) + 1):
             if j == len(path) or path[j] != path[start]:
-                out.append((start, j - start, path[start], self._sure([x for _, x in ws[start:j]], path[start])))
+                out.append((start, j - start, path[start], self._sure(ws[start:j], path[start])))
                 start = j
         return out
 
@@ -186,7 +175,9 @@ def stretches(df: DataFrame, record: str, text: str, fit: Filter, keep: list[str
         own.forget()
         for b in batches:
             rows, out = [], []
-            for i, t in enumerate(b.column(b.num_columns - 1).to_pylist()):
+            texts = b.column(b.num_columns - 1).to_pylist()
+            own.learn({w for t in texts if t for w in t.split(" ")} - {"."})
+            for i, t in enumerate(texts):
                 found = own.text(t.split(" ")) if t else []
                 if found:
                     rows.append(i)
