@@ -114,14 +114,10 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MEASURES = (["num_bytes", "num_patches", "avg_patch_length"], ["patch_lengths"])
 
 
-def _day_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = ranks.partials(_table(spark, sf_dir, "blt_marathi_patched"), ["run_name", "shard_day"], *_MEASURES)
-    return ranks.merged(parts, ["run_name", "shard_day"])
-
-
 def p6_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Percentiles of every run and of every run's days; the days' summaries combine to those of the run."""
-    days = written(_day_summaries(spark, sf_dir), "day-summaries")
+    """Percentiles of every run and of every run's days, off by no more than ranks.EPSILON of the values; the days' summaries combine to
+    those of the run."""
+    days = ranks.summarised(_table(spark, sf_dir, "blt_marathi_patched"), ["run_name", "shard_day"], *_MEASURES)
     runs = ranks.merged(days, ["run_name"])
     by_day = ranks.percentiles(days, ["run_name", "shard_day"])
     by_run = ranks.percentiles(runs, ["run_name"]).withColumn("shard_day", F.lit(None).cast("date"))
@@ -133,6 +129,11 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encoded(_table(spark, sf_dir, "documents"))
 
 
+def p7_ids_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token ids of every document by the byte-level vocabulary of many languages."""
+    return tokens.encoded(_table(spark, sf_dir, "documents"), vocabulary=tokens.VOCABULARY_OF_MANY_LANGUAGES)
+
+
 def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     sized = written(tokens.sized(_table(spark, sf_dir, "documents"), ["doc_id", "source"]), "token-sizes")
     docs = sized.withColumn("members", F.array("source"))
@@ -149,6 +150,13 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixed(spark, sf_dir)[1]
 
 
+def p8_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares that every mix reaches if each distinct text counts once and belongs to all sources it occurs in."""
+    sized = written(tokens.sized(_table(spark, sf_dir, "documents").withColumn("key", F.md5("text")), ["doc_id", "source", "key"]), "token-sizes")
+    once = sized.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.collect_set("source").alias("members"), F.max("tokens").alias("tokens"))
+    return mix.mixed(once, _table(spark, sf_dir, "mix_targets"))[1]
+
+
 def _names(spark: SparkSession, sf_dir: str) -> pii.Names:
     people = _table(spark, sf_dir, "contributors")
     return pii.listed(people, ["given_name", "given_name_deva"], ["family_name", "family_name_deva"])
@@ -166,7 +174,7 @@ def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (p1_found, p1_stretches, p2_found, p2_consistent, p3_found, p3_spans, p3_cleaned, p4_found, p4_groups, p5_found, p5_collapsed)
-    own += (p6_percentiles, p7_ids, p8_mix, p8_shares, p9_found, p9_redacted)
+    own += (p6_percentiles, p7_ids, p7_ids_multi, p8_mix, p8_shares, p8_overlap, p9_found, p9_redacted)
     return {f.__name__: f for f in own}
 
 

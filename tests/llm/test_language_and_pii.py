@@ -46,16 +46,53 @@ def test_defined_results(spark, sf, fit):
     assert language.cases(df.limit(0), "x", "id", "t", "label", panel, fit).count() == 0
 
 
+def test_many_languages():
+    """More languages than a slot's word has bits."""
+    rng = random.Random(2)
+    langs = [f"l{i:03d}" for i in range(100)]
+    spoken = {lang: ["".join(rng.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(60)] for lang in langs}
+    f = language.Filter([(lang, " ".join(ws)) for lang, ws in spoken.items()], langs)
+    for k in (0, 31, 32, 63, 64, 99):
+        assert [s[:3] for s in f.text(rng.sample(spoken[langs[k]], 8))] == [(0, 8, k)]
+    assert [s[2] for s in f.text(spoken["l033"][:8] + spoken["l065"][:8])] == [33, 65]
+
+
+PROBES = [
+    ("my card 4111 1111 1111 1111 expires", [("id_number", "4111 1111 1111 1111")]),
+    ("numbers 4111 1111 1111 1112 in a row", []),
+    ("card: 4111111111111111.", [("id_number", "4111111111111111")]),
+    ("IBAN GB82 WEST 1234 5698 7654 32 ok", [("id_number", "GB82 WEST 1234 5698 7654 32")]),
+    ("IBAN DE89370400440532013000.", [("id_number", "DE89370400440532013000")]),
+    ("IBAN DE89370400440532013001.", []),
+    ("फोन 98765 43210", [("phone", "98765 43210")]),
+    ("phone 020 7946 0958 now", [("phone", "020 7946 0958")]),
+    ("rows 020 7946 0958 now", []),
+    ("221B Baker Street, London", [("address", "221B Baker Street, London")]),
+    ("I met John Smith yesterday", [("name", "John Smith")]),
+    ("José Álvarez signed it", [("name", "José Álvarez")]),
+    ("write to info@bücher.example now", [("email", "info@bücher.example")]),
+    ("लिहा a@उदाहरण.भारत येथे", [("email", "a@उदाहरण.भारत")]),
+    ("9876543210 order id", []),
+    ("call 9876543210 now", [("phone", "9876543210")]),
+]
+
+
+@pytest.mark.parametrize(("text", "want"), PROBES)
+def test_ordinary_text(text, want):
+    names = pii.Names(["Asha"], ["Rao"])
+    assert [(kind, text[a:b]) for a, b, kind in pii.finds(text, names)] == want
+
+
 def test_search_counts_unclear_words():
     f = language.Filter([], ["a", "b", "c"])
     random.seed(8)
-    f.cache = {"x": (0, [0.0, -1.0, -2.0]), **{f"u{i}": (-1, [-0.7, 0.0, -0.5]) for i in range(9)}}
+    f.cache = {"x": [0.0, -1.0, -2.0], **{f"u{i}": [-0.7, 0.0, -0.5] for i in range(9)}}
     assert [s[:3] for s in f.text(["x", *(f"u{i}" for i in range(9))])] == [(0, 10, 1)]  # nine unclear words outweigh a clear one
     for _ in range(300):
         n = random.randint(1, 6)
         logs = [[-random.choice([0, 0.5, 2, 6]) * random.random() for _ in range(3)] for _ in range(n)]
         logs = [[x - max(row) for x in row] for row in logs]
-        f.cache = {f"w{i}": (row.index(0) if sorted(row)[1] <= -language.CLEAR else -1, row) for i, row in enumerate(logs)}
+        f.cache = {f"w{i}": row for i, row in enumerate(logs)}
         stops = [random.random() < 0.3 for _ in range(n)]
         price = [0.0] + [language.CHANGE_SENTENCE if e else language.CHANGE for e in stops[:-1]]
         score = lambda path: sum(logs[i][k] - (i > 0 and path[i - 1] != k) * price[i] for i, k in enumerate(path))
