@@ -4,7 +4,7 @@
 
 Method: compatibility normalisation (width, ligatures, spaces) and deletion of ignorable characters
 come first; then every word whose letters come from more than one of the Latin, Greek and Cyrillic
-scripts is resolved on a lattice: each letter has itself and its look-alikes as alternatives, and a
+scripts (or Armenian, Cherokee, Coptic and Lisu, whose capitals pass for Latin ones) is resolved on a lattice: each letter has itself and its look-alikes as alternatives, and a
 Viterbi search under script-consistent character bigram scores takes the best path that stays in one
 script. Devanagari vowels, signs and eyelash ra written with other characters' pieces are put
 together last, and the result is in the standard composed form.
@@ -44,7 +44,28 @@ DEVANAGARI_PIECES = {
     "\u093e\u0945": "\u0949", "\u093e\u0946": "\u094a", "\u093e\u0947": "\u094b", "\u093e\u0948": "\u094c",
 }
 
-#: Letter frequencies by bigram come from these words; only ambiguous look-alikes depend on them.
+# Letters of further scripts and what they look like. They only count beside letters of another script.
+FURTHER = [
+    "oօ", "nո", "uս", "hհ", "gց", "qզ", "fք", "jյ", "lլ", "UՍ", "SՏ", "OՕ", "LԼ",
+    "DᎠ", "RᎡ", "TᎢ", "iᎥ", "AᎪ", "JᎫ", "EᎬ", "MᎷ", "HᎻ", "WᎳ", "GᏀ", "hᏂ", "ZᏃ", "bᏏ", "SᏚ", "VᏙ", "LᏞ", "CᏟ", "PᏢ", "KᏦ", "dᏧ", "BᏴ",
+    "oⲟ", "pⲣ", "cⲥ", "OⲞ", "PⲢ", "CⲤ", "MⲘ", "NⲚ", "TⲦ", "KⲔ", "HⲎ",
+    "BꓐPꓑDꓓTꓔGꓖKꓗJꓙCꓚZꓜFꓝMꓟNꓠLꓡSꓢRꓣVꓦHꓧWꓪXꓫYꓬAꓮEꓰIꓲOꓳUꓴ",
+]
+
+#: Letter frequencies by bigram come from frequent words of a language in each script; only ambiguous look-alikes depend on them.
+GREEK_WORDS = (
+    "και το να του η της με που την από για είναι στο δεν τα των στην οι θα τη ότι σε τον μια αυτό ήταν ο αλλά ένα όπως μας σας πως όταν "
+    "πολύ μου σου κάτι μόνο εδώ τώρα πριν μετά χρόνια κόσμος άνθρωπος ζωή ημέρα λόγος έργο πόλη χώρα σπίτι νερό γυναίκα παιδί μέρα νύχτα "
+    "φορά λέει έχει κάνει ξέρει θέλει μπορεί πρέπει βλέπει καλά μεγάλο μικρό νέο άλλο όλα πρώτο δύο τρία γλώσσα λέξη βιβλίο όμως τους στη "
+    "στον στα στους κατά προς χωρίς μέχρι γιατί ποιος τίποτα κάποιος πάντα ποτέ μαζί μέσα έξω πάνω κάτω χέρι μάτι όνομα τρόπος μέρος ώρα"
+)
+CYRILLIC_WORDS = (
+    "и в не на я что он с как а то это по но из у за вы так же от все бы о его до для мы они ни если уже или быть был была было были когда "
+    "даже нет ли её под чтобы где есть вот кто сам время год дело жизнь день рука раз человек мир дом слово место лицо друг глаз вопрос сторона "
+    "страна работа час город земля вода книга язык школа новый большой первый хороший другой последний свой наш мой твой какой такой можно надо "
+    "очень только ещё тоже там здесь теперь после перед между через без при два три один сказать знать думать видеть говорить хотеть идти жить "
+    "работать сделать дать взять понять пойти стать сила конец народ право вид начало потом несколько"
+)
 LATIN_WORDS = (
     "the of and to in that is was it for with as his on be at by had not are but from or have they which one you were "
     "all her she there would their we him been has when who will no more if out so said what up its about than into them "
@@ -89,16 +110,23 @@ def _script(c: str) -> str:
         return "L"
     if 0x370 <= cp < 0x400 or 0x1F00 <= cp < 0x2000:
         return "G"
-    if 0x400 <= cp < 0x530:
-        return "C"
+    for script, first, end in _BLOCKS:
+        if first <= cp < end:
+            return script
     return "L" if ud.name(c, "").startswith("LATIN") else "?"
 
 
+#: Cyrillic, Armenian, Cherokee, Coptic, Lisu.
+_BLOCKS = [("C", 0x400, 0x530), ("A", 0x530, 0x590), ("K", 0x13A0, 0x1400), ("K", 0xAB70, 0xABC0), ("O", 0x2C80, 0x2D00), ("S", 0xA4D0, 0xA500)]
+_SCRIPTS = "LGCAKOS"
+
+
 @lru_cache(maxsize=1)
 def _alternatives() -> dict[str, dict[str, list[str]]]:
     """letter -> script -> the letters of that script that look like it."""
     out: dict[str, dict[str, list[str]]] = {}
-    for group in LOOK_ALIKES:
+    lisu = FURTHER[-1]
+    for group in [*LOOK_ALIKES, *FURTHER[:-1], *(lisu[i : i + 2] for i in range(0, len(lisu), 2))]:
         for a in group:
             for b in group:
                 slot = out.setdefault(a, {}).setdefault(_script(b), [])
@@ -108,34 +136,41 @@ def _alternatives() -> dict[str, dict[str, list[str]]]:
 
 
 @lru_cache(maxsize=1)
-def _bigrams() -> dict[str, float]:
-    counts: dict[str, int] = {}
-    for w in LATIN_WORDS.split():
-        for a, b in zip("^" + w, w + "$"):
-            counts[a + b] = counts.get(a + b, 0) + 1
-    total = sum(counts.values())
-    return {k: math.log((n + 0.1) / (total + 70)) for k, n in counts.items()}
+def _bigrams() -> dict[str, dict[str, float]]:
+    """script -> bigram -> its log share, from the words of the script with and without their accents."""
+    out = {}
+    for script, text in (("L", LATIN_WORDS), ("G", GREEK_WORDS), ("C", CYRILLIC_WORDS)):
+        counts: dict[str, int] = {}
+        for w in text.split():
+            bare = "".join(c for c in ud.normalize("NFD", w) if not ud.combining(c))
+            for x in {w, bare} if script == "G" else {w}:
+                for a, b in zip("^" + x, x + "$"):
+                    counts[a + b] = counts.get(a + b, 0) + 1
+        total = sum(counts.values())
+        out[script] = {k: math.log((n + 0.1) / (total + 70)) for k, n in counts.items()}
+    return out
 
 
 _RARE = math.log(0.1 / 600)
 #: Scores of a path: a step in a script without a model, a letter kept, a rough look-alike, the text's main script.
-_FLAT, _KEPT, _ROUGHLY, _MAIN = -7.0, 2.0, -6.0, 6.0
+_FLAT, _KEPT, _ROUGHLY, _MAIN = -8.0, 2.0, -6.0, 6.0
 
 
 def _step(script: str, a: str, b: str) -> float:
-    if script != "L":
+    model = _bigrams().get(script)
+    if model is None:
         return _FLAT
     case = -1.0 if b.isupper() and a.islower() else 0.0
-    return case + _bigrams().get(a.lower() + b.lower(), _RARE)
+    return case + model.get(a.lower() + b.lower(), _RARE)
 
 
 def _main_script(text: str) -> str:
-    """The one of the three scripts in which most letters of a text are."""
-    counts = dict.fromkeys("LGC", 0)
+    """The one of the scripts in which most letters of a text are."""
+    counts = dict.fromkeys(_SCRIPTS, 0)
     for c in text:
         if c.isalpha() and (s := _script(c)) in counts:
             counts[s] += 1
-    return max("LGC", key=counts.__getitem__)
+    return max(_SCRIPTS, key=counts.__getitem__)
 
 
 def _resolve(word: str, main: str) -> str:
@@ -143,7 +178,7 @@ def _resolve(word: str, main: str) -> str:
 
     main: the script of most of the text's letters, preferred where a word can be read in several."""
     alts = _alternatives()
-    bases = [(i, c) for i, c in enumerate(word) if _script(c) in "LGC" and c.isalpha()]
+    bases = [(i, c) for i, c in enumerate(word) if _script(c) in _SCRIPTS and c.isalpha()]
     scripts = {_script(c) for _, c in bases}
     if len(scripts) < 2:
         return word
@@ -174,8 +209,8 @@ def _resolve(word: str, main: str) -> str:
     return best
 
 
-_MIXED_WORD = regex.compile(r"[\p{L}\p{M}\p{Nd}]*[\p{Greek}\p{Cyrillic}][\p{L}\p{M}\p{Nd}]*")
-_HAS_GREEK_CYRILLIC = re.compile("[\u0370-\u052f\u1f00-\u1fff]")
+_MIXED_WORD = regex.compile(r"[\p{L}\p{M}\p{Nd}]*[\p{Greek}\p{Cyrillic}\p{Armenian}\p{Cherokee}\p{Coptic}\p{Lisu}][\p{L}\p{M}\p{Nd}]*")
+_HAS_LOOK_ALIKES = re.compile("[\u0370-\u058f\u13a0-\u13ff\u1f00-\u1fff\u2c80-\u2cff\ua4d0-\ua4ff\uab70-\uabbf]")
 _EYELASH = re.compile("\u0930\u094d\u200d(?=[\u0915-\u0939\u0958-\u095f])")
 _COLON_SIGN = re.compile("(?<=[\u0904-\u0939\u093e-\u094c\u0958-\u0961]):(?=[\u0904-\u0939\u0958-\u0961])")
 _PIECES = re.compile("|".join(sorted(DEVANAGARI_PIECES, key=len, reverse=True)))
@@ -209,7 +244,7 @@ def to_consistent(text: str | None) -> str | None:
         text = "".join([*kept, _strip(text[at:])])
     text = compat_re.sub(lambda m: compat[ord(m[0])], text)
     text = ud.normalize("NFC", text)
-    if _HAS_GREEK_CYRILLIC.search(text):
+    if _HAS_LOOK_ALIKES.search(text):
         main = _main_script(text)
         text = ud.normalize("NFC", _MIXED_WORD.sub(lambda m: _resolve(m[0], main), text))
     text = _COLON_SIGN.sub("\u0903", text)
@@ -260,10 +295,18 @@ def patterns() -> tuple[str, str]:
                 open_range = True
             elif not gaps(cp):
                 open_range = False
-    plain = "^[ -~" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in sorted(ranges, key=lambda r: (r[0] < 0x900, r[0] - r[1]))) + "]*+\\z"
+    # a run of one block after another: the fewer ranges a class has, the faster; spaces go with Devanagari
+    by_block: dict[int, list[str]] = {}
+    for a, b in sorted(ranges, key=lambda r: (not r[0] - 1 <= 0x93C <= r[1] + 1, r[0] - r[1])):  # the two around the nukta are most of Devanagari
+        by_block.setdefault(a >> 7, []).append(f"\\x{{{a:x}}}-\\x{{{b:x}}}" if b > a else f"\\x{{{a:x}}}")
+    deva = by_block.pop(0x900 >> 7)
+    by_block.pop(0)
+    classes = [" " + "".join(deva[:2]), r"\t\n\r -~", "".join(deva[2:]), *("".join(by_block[k]) for k in sorted(by_block, key=lambda k: (k != 0x2010 >> 7, k)))]
+    plain = "^(?:" + "|".join(f"[{c}]++" for c in classes) + ")*+\\z"
     pieces = [*DEVANAGARI_PIECES, "\u094d\u0907", "\u09c7\u09be", "\u09c7\u09d7", "\u0bc6\u0bbe", "\u0bc6\u0bd7", "\u0bc7\u0bbe", "\u0b92\u0bd7"]
     firsts, seconds = ("".join(sorted({k[i] for k in pieces if len(k) == 2})) for i in (0, 1))
-    return plain, f"[{firsts}][{seconds}]|:[\u0904-\u0939]"  # a few more pairs than there are pieces: they only go to Python
+    signs = "".join(c for c in seconds if not "\u093e" <= c <= "\u094c")
+    return plain, f"[\u093e-\u094c{signs}](?<=[{firsts}].)"  # a few more pairs than there are pieces: they only go to Python
 
 
 @F.pandas_udf(T.StringType())
@@ -274,7 +317,8 @@ def _consistent_udf(texts: pd.Series) -> pd.Series:
 def needs_work(col: Column) -> Column:
     """Whether a text might differ from its consistent form; null for null."""
     plain, pieces = patterns()
-    return ~col.rlike(r"^[\t\n\r -~]*+\z") & (~col.rlike(plain) | col.rlike(pieces))
+    colon = F.contains(col, F.lit(":")) & col.rlike(":[\u0904-\u0939]")
+    return (F.length(col) < F.octet_length(col)) & (~col.rlike(plain) | colon | col.rlike(pieces))  # ASCII is as it should be
 
 
 def consistent(col: Column) -> Column:

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .copies import canonical
+from .bits import BITS, is_set, marked
 from .forms import consistent, words
 from .workspace import dropped, written
 
@@ -76,11 +76,11 @@ def prepared(pairs: DataFrame, record: str = "pair_id", source: str = "source",
     sides = pairs.select(
         F.col(record).cast("bigint").alias("id"), words(consistent(F.col(source))).alias("s"), words(consistent(F.col(target))).alias("t")
     )
-    form = canonical(F.array_join("s", " "), F.array_join("t", " "))
+    one, other = F.xxhash64(F.lit(7), "s"), F.xxhash64(F.lit(7), "t")
     out = sides.select(  # a filter here, or the set key, would bring the words in twice
         "id",
         F.array_sort(F.transform(F.array_distinct(F.concat("s", "t")), lambda w: F.xxhash64(w))).alias("tokens"),
-        F.xxhash64(F.lit(7), form).alias("seq_key"),
+        F.xxhash64(F.least(one, other), F.greatest(one, other)).alias("seq_key"),
     )
     return written(out, "near-sets").withColumn("set_key", F.xxhash64("tokens"))
 
@@ -197,7 +197,8 @@ def entries(sets: DataFrame, counts: np.ndarray, records: int, run: int) -> Data
 def _deeper(large: DataFrame, sets: DataFrame, counts: np.ndarray, records: int) -> DataFrame:
     """The entries of large buckets, two more steps down the tree."""
     held = sets.sparkSession.sparkContext.broadcast(counts)
-    tokens = sets.join(large.select("set_key").distinct(), "set_key", "left_semi").groupBy("set_key").agg(F.first("tokens").alias("tokens"))
+    wanted = large.select("set_key").distinct()
+    tokens = _among(sets.select("set_key", "tokens"), wanted).join(wanted, "set_key", "left_semi").groupBy("set_key").agg(F.first("tokens").alias("tokens"))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ln_f, inv_w, _ = _weights(held.value, records)
@@ -336,10 +337,23 @@ def candidates(sets: DataFrame, counts: np.ndarray, records: int, run: int = 0)
     return pairs.distinct(), more
 
 
+def _among(sets: DataFrame, ends: DataFrame) -> DataFrame:
+    """The sets whose keys may be among the ends: most of those that aren't stay out of the shuffle that finds out."""
+    held = sets.sparkSession.sparkContext.broadcast(marked(ends, F.shiftrightunsigned("set_key", 64 - (BITS.bit_length() - 1))))
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = held.value
+        for b in batches:
+            bit = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - (BITS.bit_length() - 1))
+            yield b.filter(pa.array(is_set(own, bit.astype(np.int64))))
+
+    return sets.mapInArrow(look, sets.schema)
+
+
 def verified(pairs: DataFrame, sets: DataFrame, counts: np.ndarray, records: int) -> DataFrame:
     """a, b, similarity (of weights, as the walk sees it) of the pairs that are similar on their token sets."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("set_key")).distinct()
-    tokens = sets.join(ends, "set_key", "left_semi").groupBy("set_key").agg(F.first("tokens").alias("tokens"))
+    tokens = _among(sets.select("set_key", "tokens"), ends).join(ends, "set_key", "left_semi").groupBy("set_key").agg(F.first("tokens").alias("tokens"))
     common = F.array_intersect("tokens_a", "tokens_b")
     sure = (
         pairs.join(tokens.select(F.col("set_key").alias("a"), F.col("tokens").alias("tokens_a")), "a")
@@ -395,7 +409,7 @@ def links(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     sure = similar(sets)
     ends = sure.select(F.explode(F.array("a", "b")).alias("set_key")).distinct()
     orders = sets.groupBy("set_key").agg(F.min("seq_key").alias("lo"), F.max("seq_key").alias("hi")).where("lo <> hi").select("set_key")
-    members = written(sets.select("set_key", "seq_key", "id").join(ends.unionByName(orders).distinct(), "set_key", "left_semi"), "near-members")
+    members = written(_among(sets.select("set_key", "seq_key", "id"), ends.unionByName(orders)).join(ends.unionByName(orders).distinct(), "set_key", "left_semi"), "near-members")
     classes = members.select("set_key", "seq_key").distinct()
     left = classes.select(F.col("set_key").alias("set_a"), F.col("seq_key").alias("seq_a"))
     right = classes.select(F.col("set_key").alias("set_b"), F.col("seq_key").alias("seq_b"))

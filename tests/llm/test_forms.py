@@ -129,3 +129,19 @@ def test_leaks(spark, monkeypatch):
     assert {r["record"]: r["source"] for r in leak.cleaned(*args).collect()}[1] is None
     assert leak.leaks(corpus.limit(0), *args[1:]).count() == 0
     assert leak.leaks(corpus, "pair_id", ["source"], items.limit(0), "item_id", ["a"]).count() == 0
+
+
+def test_many_automata(spark, monkeypatch):
+    """Test items of many automata: one scan of the corpus, the same leaks, the same cuts."""
+    words = [f"w{i}" for i in range(900)]
+    items = spark.createDataFrame([(i, " ".join(words[20 * i : 20 * i + 20]), None) for i in range(45)], "item_id bigint, a string, b string")
+    rows = [(i, " ".join(["x", "y"] * 6 + words[20 * i + 3 : 20 * i + 3 + 6 + i % 5] + ["z"] * 9), " ".join(words[20 * i : 20 * i + 20]) if i % 3 else None) for i in range(45)]
+    corpus = spark.createDataFrame(rows, "pair_id bigint, source string, target string")
+    args = (corpus, "pair_id", ["source", "target"], items, "item_id", ["a", "b"])
+    spans = lambda: sorted(map(tuple, leak.leaks(*args).collect()))
+    clean = lambda: sorted(map(tuple, leak.cleaned(*args).select("record", F.coalesce("source", F.lit("")), F.coalesce("target", F.lit("")), "cut_words").collect()))
+    one, cut = spans(), clean()
+    assert len(one) == 27 + 30 and {r[3] for r in one} == {8, 9, 10, 20}
+    monkeypatch.setattr(leak, "MOST_WORDS", 100)
+    assert leak._coded(*args[3:])[1] >= 10
+    assert spans() == one and clean() == cut
