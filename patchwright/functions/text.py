@@ -44,13 +44,11 @@ SECRETS = [
     (r"\b(gh[pousr]_[A-Za-z0-9]{16,})", "***redacted-token***"),
     (r"\bgithub_pat_[A-Za-z0-9_]{20,}", "***redacted-token***"),
     (r"\bhf_[A-Za-z0-9]{20,}", "***redacted-token***"),
+    (r"(?i)\b[0-9a-f]{40}\b(?=[^\n]*wandb)", "***redacted-token***"),
     (r"(?i)\b(token|password|passwd|secret|api[-_]?key)\b(\"?\s*[:=]\s*\"?)([^\s\"',]{6,})", "$1$2***redacted***"),
 ]
 
 
-WHITE_CHARACTERS = [chr(c) for c in (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
-
-
 def stripped(col: Column) -> Column:
     """Without outer white space of any kind."""
     return F.regexp_replace(col, f"^{WHITE}+|{WHITE}+$", "")
@@ -155,18 +153,16 @@ def text_of_tokens(tokens: Column, offset: int = 4) -> Column:
     return F.make_valid_utf8(F.unhex(digits).cast("string"))
 
 
-def byte_offsets(col: Column) -> Column:
-    """Where each character begins in the text's bytes."""
-    sizes = F.transform(F.regexp_extract_all(col, F.lit("(?s)."), F.lit(0)), lambda c: F.octet_length(c))
-    start = F.struct(F.array().cast("array<int>").alias("o"), F.lit(0).alias("n"))
-    return F.aggregate(sizes, start, lambda a, n: F.struct(F.array_append(a["o"], a["n"]).alias("o"), (a["n"] + n).alias("n")), lambda a: a["o"])
-
-
 def sentence_seed(doc: Column, position: Column) -> Column:
     """The seed of a sentence's noise: a document has a thousand of them."""
     return doc * 1000 + position
 
 
+def string_seed(label: str, seed: Column, noise: Column, position: Column) -> Column:
+    """A seed that is drawn from a label, a run's seed, the noise and the position: 31 bits of an MD5 sum."""
+    return draw(F.lit(label), seed.cast("string"), noise.cast("string"), position.cast("string")) % (1 << 31)
+
+
 def model_name(col: Column) -> Column:
     """Lower case, underscores for spaces and hyphens."""
     return F.translate(F.lower(F.trim(col)), "- ", "__")
@@ -179,27 +175,3 @@ def metric_name(col: Column) -> Column:
 def draw(*parts: Column) -> Column:
     """A number from 0 to 2**32 - 1 that only depends on the parts: the first eight hexadecimal digits of an MD5 sum."""
     return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8), 16, 10).cast("bigint")
-
-
-# Devanagari signs that noise may delete, and the characters it puts in.
-MATRAS = "ािीुूृेैोौ्ंँः"
-DEVANAGARI_NOISE = "अआइईउऊएऐओऔकखगघचछजझटठडढणतथदधनपफबभमयरलवशषसह"
-ASCII_NOISE = "abcdefghijklmnopqrstuvwxyz0123456789"
-
-
-def noised(col: Column, key: Column, share: float, seed: int) -> Column:
-    """Characters other than spaces are corrupted with the given probability: signs are deleted in half of the
-    cases, the others replaced by one of their script. Draws depend on seed, key and position only."""
-    if share <= 0:
-        return col
-    limit = int(share * 2**32)
-
-    def one(c: Column, i: Column) -> Column:
-        digits = F.md5(F.concat_ws("|", F.lit(str(seed)), key.cast("string"), i.cast("string")))
-        part = lambda k: F.conv(F.substring(digits, 1 + 8 * k, 8), 16, 10).cast("bigint")
-        pick = lambda letters: F.substring(F.lit(letters), (part(2) % len(letters)).cast("int") + 1, F.lit(1))
-        deva = F.when((F.instr(F.lit(MATRAS), c) > 0) & (part(1) % 2 == 0), F.lit("")).otherwise(pick(DEVANAGARI_NOISE))
-        inside = (c >= F.lit("\u0900")) & (c <= F.lit("\u097f"))  # of one character: cheaper than a pattern
-        return F.when((part(0) >= limit) | c.isin(WHITE_CHARACTERS), c).when(inside, deva).otherwise(pick(ASCII_NOISE))
-
-    return F.array_join(F.transform(F.regexp_extract_all(col, F.lit("(?s)."), F.lit(0)), one), "")

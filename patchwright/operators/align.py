@@ -1,8 +1,9 @@
 """Alignment of predicted boundaries with a proxy of the linguistic ones, in one pass over the texts.
 
 Gold boundaries are byte offsets: 0, every word start, and the start of every listed suffix of a word that is
-longer than the suffix by more than one character. Predictions: bytes whose entropy is above a threshold, or
-fixed chunks. A boundary matches if one of the other side lies within the tolerance; one may serve many.
+longer than the suffix by more than one character. Words are cut at white space of any kind and before every danda.
+Predictions: bytes whose entropy is above a threshold, or fixed chunks. A boundary matches if one of the other side
+lies within the tolerance; one may serve many.
 
 Null and empty texts give no row.
 """
@@ -20,21 +21,51 @@ from pyspark.sql import functions as F
 from .entropy import UNSEEN, texts_bytes
 
 # Suffixes of the gold proxy.
-SUFFIXES = ["च्या", "साठी", "बद्दल", "पासून", "ला", "ने", "ची", "चे", "ing", "ed", "s"]
-_SPACES = np.zeros(256, bool)
-_SPACES[[9, 10, 11, 12, 13, 32]] = True
+SUFFIXES = [
+    "ों", "ें", "याँ", "ियाँ", "ता", "ती", "ते", "ना", "ने", "कर", "करना",
+    "वाला", "वाली", "वाले", "पन", "कारी", "कार", "ई", "आई", "ता है", "ती है",
+]
+#: Suffixes that the stand-in for a morphological analyzer takes off.
+ANALYZER_SUFFIXES = ["च्या", "साठी", "बद्दल", "पासून", "ला", "ने", "ची", "चे", "ing", "ed", "s"]
+_SINGLE = np.zeros(256, bool)
+_SINGLE[[*range(9, 14), *range(28, 33)]] = True
+
+
+def _at(data: np.ndarray, *wanted: int | range) -> np.ndarray:
+    """Where a sequence of bytes begins, each one of a value or a range of values."""
+    n = max(0, len(data) - len(wanted) + 1)
+    ok = np.ones(n, bool)
+    for k, w in enumerate(wanted):
+        part = data[k : k + n]
+        ok &= (part == w) if isinstance(w, int) else (part >= w.start) & (part < w.stop)
+    return np.flatnonzero(ok)
+
+
+def spaces(data: np.ndarray) -> np.ndarray:
+    """Marks the bytes of white space of any kind."""
+    mask = _SINGLE[data]
+    for size, found in (
+        (2, (_at(data, 0xC2, 0x85), _at(data, 0xC2, 0xA0))),
+        (3, (_at(data, 0xE1, 0x9A, 0x80), _at(data, 0xE2, 0x80, range(0x80, 0x8B)), _at(data, 0xE2, 0x80, range(0xA8, 0xAA)), _at(data, 0xE2, 0x80, 0xAF), _at(data, 0xE2, 0x81, 0x9F), _at(data, 0xE3, 0x80, 0x80))),
+    ):
+        at = np.concatenate(found)
+        for k in range(size):
+            mask[at + k] = True
+    return mask
 
 
 def gold_mask(data: np.ndarray, at: np.ndarray, suffixes: list[str]) -> np.ndarray:
     """Marks the gold boundaries of a batch of texts."""
     n = len(data)
-    space = _SPACES[data]
+    space = spaces(data)
+    danda = np.zeros(n + 1, bool)
+    danda[_at(data, 0xE0, 0xA5, 0xA4)] = True
     first = np.zeros(n, bool)
     first[at[:-1][np.diff(at) > 0]] = True
-    starts = np.flatnonzero(~space & (first | np.concatenate([[True], space[:-1]])))
+    starts = np.flatnonzero(~space & (first | danda[:n] | np.concatenate([[True], space[:-1]])))
     last = np.zeros(n, bool)
     last[at[1:][np.diff(at) > 0] - 1] = True
-    ends = np.flatnonzero(~space & (last | np.concatenate([space[1:], [True]]))) + 1
+    ends = np.flatnonzero(~space & (last | danda[1:] | np.concatenate([space[1:], [True]]))) + 1
     mask = first.copy()
     mask[starts] = True
     points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
@@ -106,7 +137,7 @@ def with_prf(df: DataFrame, both_empty: float = 1.0) -> DataFrame:
 
 def split_suffix(word: str) -> list[str]:
     """A stand-in for a morphological analyzer: a listed suffix comes off a word longer by two characters or more."""
-    for s in sorted(SUFFIXES, key=len, reverse=True):
+    for s in sorted(ANALYZER_SUFFIXES, key=len, reverse=True):
         if word.endswith(s) and len(word) > len(s) + 1:
             return [word[: -len(s)], s]
     return [word]
@@ -154,18 +185,6 @@ def four_places(col: Column) -> Column:
     return F.floor(col * 10000 + 0.5) / 10000
 
 
-def greedy_match(pred: list[int], gold: list[int], tolerance: int) -> int:
-    """How many predictions, in ascending order, find the nearest gold boundary that is still free."""
-    free = sorted(set(gold))
-    hits = 0
-    for p in sorted(set(pred)):
-        near = [g for g in free if abs(p - g) <= tolerance]
-        if near:
-            free.remove(min(near, key=lambda g: abs(p - g)))
-            hits += 1
-    return hits
-
-
 def greedy(df: DataFrame, record: str, text: str, table: np.ndarray, tau: float, tolerance: int, suffixes: list[str] = SUFFIXES) -> DataFrame:
     """record, n_pred, n_gold, hits of the one-to-one match."""
     kind = dict(df.dtypes)[record]
@@ -189,7 +208,8 @@ def greedy(df: DataFrame, record: str, text: str, table: np.ndarray, tau: float,
 
 
 def _greedy_sorted(pred: list[int], gold: list[int], tolerance: int) -> int:
-    """greedy_match for ascending lists, looking only at the gold boundaries near each prediction."""
+    """How many predictions, in ascending order, find the nearest gold boundary that is still free, the first of equals; of ascending lists
+    only what is near each prediction is looked at."""
     used = [False] * len(gold)
     lo = hits = 0
     for p in pred:

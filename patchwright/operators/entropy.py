@@ -85,6 +85,8 @@ def sweep(df: DataFrame, record: str, text: str, table: np.ndarray, taus: list[f
 
     The last byte always closes one, so the number is one more than the bytes before it that are above."""
     limits = np.array(taus)
+    passed = np.searchsorted(np.sort(limits), table, side="left")  # how many thresholds each byte's entropy is above
+    place = np.searchsorted(np.sort(limits), limits) + 1
     kind = dict(df.dtypes)[record]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,11 +94,11 @@ def sweep(df: DataFrame, record: str, text: str, table: np.ndarray, taus: list[f
             data, at = texts_bytes(b.column(1))
             n = np.diff(at)
             rows = np.repeat(np.arange(len(n)), len(limits))
-            above = []
-            for tau in limits:
-                sums = np.concatenate([[0], np.cumsum(table[data] > tau)])
-                ends = np.maximum(at[1:] - 1, at[:-1])
-                above.append(np.where(n > 0, 1 + sums[ends] - sums[at[:-1]], 0))
+            inner = np.ones(len(data), bool)
+            inner[at[1:][n > 0] - 1] = False  # the last byte closes a patch whatever its entropy
+            owner = np.repeat(np.arange(len(n)), n)[inner]
+            hits = np.bincount(owner * (len(limits) + 1) + passed[data[inner]], minlength=len(n) * (len(limits) + 1)).reshape(len(n), -1)
+            above = [np.where(n > 0, 1 + hits[:, k:].sum(axis=1), 0) for k in place]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).take(pa.array(rows)), pa.array(np.repeat(n, len(limits))), pa.array(np.tile(limits, len(n))), pa.array(np.stack(above, 1).ravel().astype(np.int64))],
                 names=[record, "n_bytes", "tau", "num_patches"],
@@ -118,3 +120,49 @@ def entropies(df: DataFrame, record: str, text: str, table: np.ndarray) -> DataF
             yield pa.RecordBatch.from_arrays([b.column(0), lists], names=[record, "entropies"])
 
     return df.select(record, text).mapInArrow(score, f"`{record}` {kind}, entropies array<double>")
+
+
+def character_offsets(df: DataFrame, record: str, text: str) -> DataFrame:
+    """record, offsets: where each character of a text begins in its bytes; null for null."""
+    kind = dict(df.dtypes)[record]
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, at = texts_bytes(b.column(1))
+            first = np.flatnonzero((data & 0xC0) != 0x80)
+            owner = np.searchsorted(at, first, side="right") - 1
+            ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=b.num_rows))]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array((first - at[owner]).astype(np.int32)), mask=b.column(1).is_null())
+            yield pa.RecordBatch.from_arrays([b.column(0), lists], names=[record, "offsets"])
+
+    return df.select(record, text).mapInArrow(find, f"`{record}` {kind}, offsets array<int>")
+
+
+def reset_entropies(df: DataFrame, record: str, text: str, table: np.ndarray) -> DataFrame:
+    """record, entropies: as `entropies`, but with the context reset at each newline: the byte that ends a line, as the last one, is
+    followed by nothing. Lines are scored apart and put together again, one value for each byte."""
+    kind = dict(df.dtypes)[record]
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, at = texts_bytes(b.column(1))
+            h = table[data]
+            h[at[1:][np.diff(at) > 0] - 1] = UNSEEN
+            h[data == 10] = UNSEEN
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(h))], names=[record, "entropies"])
+
+    return df.select(record, text).mapInArrow(score, f"`{record}` {kind}, entropies array<double>")
+
+
+def group_bits(df: DataFrame, group: str, text: str, table: np.ndarray) -> DataFrame:
+    """group, bits: the entropies of all bytes of a group's texts, summed in each partition first."""
+    kind = dict(df.dtypes)[group]
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, at = texts_bytes(b.column(1))
+            h = table[data]
+            h[at[1:][np.diff(at) > 0] - 1] = UNSEEN
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.bincount(np.repeat(np.arange(b.num_rows), np.diff(at)), weights=h, minlength=b.num_rows))], names=[group, "bits"])
+
+    return df.select(group, text).mapInArrow(add, f"`{group}` {kind}, bits double").groupBy(group).agg(F.sum("bits").alias("bits"))

@@ -1,11 +1,14 @@
 """Quality of hypotheses against references: corpus BLEU, chrF++, TER, WER and exact-match METEOR.
 
 Everything a score needs is counted by segment in one pass over (hyp, ref) rows; corpus scores are sums of those
-counts, so no n-gram is ever shuffled; n-grams of a batch are compared as 64-bit hashes. A null side makes a segment null; it isn't counted.
+counts, so no n-gram is ever shuffled; n-grams of a batch are compared as 64-bit hashes. For a grid of noise the cells are made
+and counted within the batch, and the references' n-grams are found once for all cells. A null side makes a segment null; it isn't
+counted.
 
 BLEU follows Papineni et al. 2002 with the 13a word splitting and exponential smoothing of zero counts; chrF++
 follows Popovic 2017 (characters to order 6 without white space, words to order 2, beta 2, precision and recall averaged over
-the orders both sides have). METEOR matches words exactly only, without stems or synonyms.
+the orders both sides have). TER follows Snover et al. 2006 with the shifts that tercom tries, on lower-case words. METEOR matches
+lower-case words exactly only, without stems or synonyms, each with the last free one from the end on.
 """
 
 from __future__ import annotations
@@ -18,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import noise as N
+
 CHARS, WORDS, BETA = 6, 2, 2
 GRAMS = 4
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -30,11 +35,14 @@ SPLITTING = [
 ]
 
 
-def split_13a(col: Column) -> Column:
-    """Words by spaces after punctuation is set apart."""
-    for pattern, stand_in in SPLITTING:
-        col = F.regexp_replace(col, pattern, stand_in.format("$1", "$2"))
-    return F.filter(F.split(col, r"\s+"), lambda w: w != "")
+_SPLITTING = [(re.compile(p), stand_in.format("\\1", "\\2")) for p, stand_in in SPLITTING]
+
+
+def words_13a(text: str) -> list[str]:
+    """Words by white space after punctuation is set apart."""
+    for pattern, stand_in in _SPLITTING:
+        text = pattern.sub(stand_in, text)
+    return text.split()
 
 
 _PUNCT = frozenset("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
@@ -65,48 +73,68 @@ def _hashed(codes: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray,
     return h ^ (h >> np.uint64(32)), row[at]
 
 
-def overlaps(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For rows of codes (flat, offsets) on two sides: n-grams of each side, and in both (each as often as in the side with fewer)."""
-    rows = len(a[1]) - 1
-    (ha, ra), (hb, rb) = _hashed(*a, n), _hashed(*b, n)
-    ua, first, ca = np.unique(ha, return_index=True, return_counts=True)
-    ub, cb = np.unique(hb, return_counts=True)
-    _, ia, ib = np.intersect1d(ua, ub, assume_unique=True, return_indices=True)
-    both = np.bincount(ra[first[ia]], weights=np.minimum(ca[ia], cb[ib]), minlength=rows).astype(np.int64)
-    return np.bincount(ra, minlength=rows), np.bincount(rb, minlength=rows), both
+Codes = tuple[np.ndarray, np.ndarray]
+
+
+class Grams:
+    """The n-grams of some rows of codes (flat, offsets): the distinct ones with their row and number, and how many a row has."""
+
+    def __init__(self, codes: Codes, n: int):
+        h, row = _hashed(*codes, n)
+        self.hashes, first, self.times = np.unique(h, return_index=True, return_counts=True)
+        self.rows = row[first]
+        self.all = np.bincount(row, minlength=len(codes[1]) - 1)
+
+    def shared(self, other: Grams) -> np.ndarray:
+        """By row, the n-grams in both (each as often as in the side with fewer)."""
+        _, a, b = np.intersect1d(self.hashes, other.hashes, assume_unique=True, return_indices=True)
+        return np.bincount(self.rows[a], weights=np.minimum(self.times[a], other.times[b]), minlength=len(self.all)).astype(np.int64)
 
 
 def _offsets(sizes: list[int]) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]).astype(np.int64)
 
 
-def _points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def _points(texts: list[str]) -> Codes:
     return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64), _offsets([len(t) for t in texts])
 
 
-def _coded(sides: tuple[list[list[str]], list[list[str]]]) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
-    """Lists of words on two sides as numbers, the same number for the same word."""
-    known: dict[str, int] = {}
-    out = [(np.array([known.setdefault(w, len(known)) for ws in side for w in ws], np.uint64), _offsets([len(ws) for ws in side])) for side in sides]
-    return out[0], out[1]
+def _coded(rows: list[list[str]], known: dict[str, int]) -> Codes:
+    """Lists of words as numbers, the same number for the same word."""
+    return np.array([known.setdefault(w, len(known)) for ws in rows for w in ws], np.uint64), _offsets([len(ws) for ws in rows])
 
 
-def chrf_counts(hyps: list[str], refs: list[str]) -> np.ndarray:
+_GAPS = re.compile(r"\s+")
+
+
+class Side:
+    """What the metrics need of the texts of one side; words get their numbers from a table that both sides share."""
+
+    def __init__(self, texts: list[str], what: tuple[str, ...], known: dict[str, int]):
+        self.texts = texts
+        if "chrf" in what:
+            flat, words = _points([_GAPS.sub("", t) for t in texts]), _coded([chrf_words(t) for t in texts], known)
+            self.chrf = [Grams(flat, n) for n in range(1, CHARS + 1)] + [Grams(words, n) for n in range(1, WORDS + 1)]
+        if "bleu" in what:
+            words = _coded([words_13a(t) for t in texts], known)
+            self.size, self.bleu = np.diff(words[1]), [Grams(words, n) for n in range(1, GRAMS + 1)]
+        if {"wer", "ter", "meteor"} & set(what):
+            self.words = [t.lower().split() for t in texts]
+
+
+def _chrf(h: Side, r: Side) -> np.ndarray:
     """rows x orders x (in hyp, in ref, in both): orders of characters, then of words."""
-    flat = [_points([re.sub(r"\s+", "", t) for t in side]) for side in (hyps, refs)]
-    words = _coded(([chrf_words(t) for t in hyps], [chrf_words(t) for t in refs]))
-    parts = [overlaps(*flat, n) for n in range(1, CHARS + 1)] + [overlaps(*words, n) for n in range(1, WORDS + 1)]
-    return np.stack([np.stack(p, 1) for p in parts], 1)
+    return np.stack([np.stack([a.all, b.all, a.shared(b)], 1) for a, b in zip(h.chrf, r.chrf)], 1)
 
 
-def bleu_counts(hyps: list[list[str]], refs: list[list[str]]) -> np.ndarray:
+def _bleu(h: Side, r: Side) -> np.ndarray:
     """rows x (words of hyp, of ref, then for each order the n-grams of hyp and those in both)."""
-    a, b = _coded((hyps, refs))
-    cols = [np.diff(a[1]), np.diff(b[1])]
-    for n in range(1, GRAMS + 1):
-        of_hyp, _, both = overlaps(a, b, n)
-        cols += [of_hyp, both]
-    return np.stack(cols, 1)
+    return np.stack([h.size, r.size, *(c for a, b in zip(h.bleu, r.bleu) for c in (a.all, a.shared(b)))], 1)
+
+
+def chrf_counts(hyps: list[str], refs: list[str]) -> np.ndarray:
+    known: dict[str, int] = {}
+    return _chrf(Side(hyps, ("chrf",), known), Side(refs, ("chrf",), known))
 
 
 def edits(hyp: list[str], ref: list[str]) -> int:
@@ -119,26 +147,94 @@ def edits(hyp: list[str], ref: list[str]) -> int:
     return row[-1]
 
 
-def ter_edits(hyp: list[str], ref: list[str], longest: int = 10, farthest: int = 50) -> int:
-    """Edits with shifts of stretches that occur in the reference, taken greedily while they save edits."""
-    hyp, shifts, best = list(hyp), 0, edits(hyp, ref)
-    stretches = {tuple(ref[i : i + n]): i for n in range(1, longest + 1) for i in range(len(ref) - n + 1)}
-    while best > 0:
-        gain, found = 0, None
-        for i in range(len(hyp)):
-            for n in range(min(longest, len(hyp) - i), 0, -1):
-                to = stretches.get(tuple(hyp[i : i + n]))
-                if to is None or to == i or abs(to - i) > farthest or hyp[i : i + n] == ref[i : i + n]:
+def _traced(hyp: list[int], ref: list[int]) -> tuple[int, dict[int, int], list[bool], list[bool]]:
+    """(edits, ref place -> the hyp place it stands at or after, whether each hyp word and each ref word is in an edit)."""
+    n, m = len(hyp), len(ref)
+    cost, came = [list(range(m + 1))], [[2] * (m + 1)]
+    for i in range(1, n + 1):
+        last, row, how, h = cost[-1], [i], [1], hyp[i - 1]
+        for j in range(1, m + 1):
+            best, op = last[j - 1] + (h != ref[j - 1]), 0  # of equals a match or substitution, then a deletion
+            if last[j] + 1 < best:
+                best, op = last[j] + 1, 1
+            if row[j - 1] + 1 < best:
+                best, op = row[j - 1] + 1, 2
+            row.append(best)
+            how.append(op)
+        cost.append(row)
+        came.append(how)
+    at: dict[int, int] = {}
+    wrong_h, wrong_r = [True] * n, [True] * m
+    i, j = n, m
+    while i or j:
+        op = came[i][j] if i else 2
+        if op == 0:
+            i, j = i - 1, j - 1
+            at[j] = i
+            wrong_h[i] = wrong_r[j] = hyp[i] != ref[j]
+        elif op == 1:
+            i -= 1
+        else:
+            j -= 1
+            at[j] = i - 1
+    return cost[n][m], at, wrong_h, wrong_r
+
+
+def _shifted(words: list[int], start: int, n: int, to: int) -> list[int]:
+    """Words with a stretch moved to before the place `to` (of the words as they are); into the stretch itself: past what follows it."""
+    part = words[start : start + n]
+    if to < start:
+        return words[:to] + part + words[to:start] + words[start + n :]
+    if to > start + n:
+        return words[:start] + words[start + n : to] + part + words[to:]
+    return words[:start] + words[start + n : n + to] + part + words[n + to :]
+
+
+def ter_edits(hyp: list, ref: list, longest: int = 10, farthest: int = 50, most_tries: int = 1000) -> int:
+    """Edits with shifts. In each round the shift that saves most is made, of equals the longest, the one from furthest in front, and the one
+    to furthest in front, as long as one saves anything. Tried are stretches of up to `longest` words that stand elsewhere in the reference,
+    no farther than `farthest` away, where neither place is right already. After `most_tries` tries no more shift is made."""
+    known: dict = {}
+    ref = [known.setdefault(w, len(known)) for w in ref]
+    words = [known.setdefault(w, len(known)) for w in hyp]
+    if not ref or not words:
+        return len(words) + len(ref)
+    places: dict[int, list[int]] = {}
+    for j, r in enumerate(ref):
+        places.setdefault(r, []).append(j)
+    shifts = tries = 0
+    while True:
+        before, at, wrong_h, wrong_r = _traced(words, ref)
+        if not before:
+            return shifts
+        best = None
+        for i, w in enumerate(words):
+            for j in places.get(w, ()):
+                if abs(j - i) > farthest:
                     continue
-                rest = hyp[:i] + hyp[i + n :]
-                moved = rest[:to] + hyp[i : i + n] + rest[to:]
-                saved = best - edits(moved, ref) - 1
-                if saved > gain:
-                    gain, found = saved, moved
-        if found is None:
-            break
-        hyp, shifts, best = found, shifts + 1, edits(found, ref)
-    return best + shifts
+                n = 0
+                while n < longest and i + n < len(words) and j + n < len(ref) and words[i + n] == ref[j + n]:
+                    n += 1
+                    if not any(wrong_h[i : i + n]) or not any(wrong_r[j : j + n]) or i <= at[j] < i + n:
+                        continue
+                    seen = -1
+                    for k in range(j - 1, j + n):
+                        if k >= 0 and k not in at:
+                            break
+                        to = at[k] + 1 if k >= 0 else 0
+                        if to == seen:
+                            continue
+                        seen = to
+                        moved = _shifted(words, i, n, to)
+                        option = (before - edits(moved, ref), n, -i, -to, moved)
+                        tries += 1
+                        if best is None or option[:4] > best[:4]:
+                            best = option
+            if tries >= most_tries:
+                break
+        if tries >= most_tries or best is None or best[0] <= 0:
+            return before + shifts
+        words, shifts = best[4], shifts + 1
 
 
 def meteor_exact(hyp: list[str], ref: list[str]) -> float:
@@ -146,13 +242,14 @@ def meteor_exact(hyp: list[str], ref: list[str]) -> float:
     if not hyp or not ref:
         return 0.0
     places: dict[str, list[int]] = {}
-    for j in range(len(ref) - 1, -1, -1):
-        places.setdefault(ref[j], []).append(j)
-    at = [places[w].pop() if places.get(w) else -1 for w in hyp]
-    m = sum(j >= 0 for j in at)
-    if not m:
+    for j, w in enumerate(ref):
+        places.setdefault(w, []).append(j)
+    at = [places[w].pop() if places.get(w) else -1 for w in reversed(hyp)][::-1]
+    matched = [(i, j) for i, j in enumerate(at) if j >= 0]
+    if not matched:
         return 0.0
-    chunks = sum(j >= 0 and not (i and at[i - 1] >= 0 and at[i - 1] == j - 1) for i, j in enumerate(at))
+    m = len(matched)
+    chunks = 1 + sum(b != (a[0] + 1, a[1] + 1) for a, b in zip(matched, matched[1:]))
     p, r = m / len(hyp), m / len(ref)
     return 10 * p * r / (r + 9 * p) * (1 - 0.5 * (chunks / m) ** 3)
 
@@ -162,6 +259,7 @@ COUNTS = {
     "bleu": "array<bigint>",
     "wer": "bigint",
     "ter": "bigint",
+    "ref_words": "bigint",
     "meteor": "double",
 }
 #: Characters counted at once in a worker.
@@ -188,30 +286,53 @@ def _lists(counts: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(flat[:, i].copy()) for i in range(3)], ["hyp", "ref", "both"]))
 
 
+def _counts(h: Side, r: Side, what: tuple[str, ...]) -> list[pa.Array]:
+    made = {
+        "chrf": lambda: _lists(_chrf(h, r)),
+        "bleu": lambda: _lists(_bleu(h, r)),
+        "wer": lambda: pa.array([edits(x, y) for x, y in zip(h.words, r.words)], pa.int64()),
+        "ter": lambda: pa.array([ter_edits(x, y) for x, y in zip(h.words, r.words)], pa.int64()),
+        "ref_words": lambda: pa.array([len(y) for y in r.words], pa.int64()),
+        "meteor": lambda: pa.array([meteor_exact(x, y) for x, y in zip(h.words, r.words)], pa.float64()),
+    }
+    return [made[w]() for w in what]
+
+
 def counted(df: DataFrame, keep: list[str], hyp: str, ref: str, what: tuple[str, ...] = ("chrf",)) -> DataFrame:
-    """The columns kept, and the counts asked for: chrf and bleu by order, wer and ter (edits), meteor."""
+    """The columns kept, and the counts asked for: chrf and bleu by order, wer and ter (edits), ref_words (what they are divided by), meteor."""
     kinds = dict(df.dtypes)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             k = len(keep)
-            hyps, refs, hyp_words, ref_words = (b.column(k + i).to_pylist() for i in range(4))
+            hyps, refs = b.column(k).to_pylist(), b.column(k + 1).to_pylist()
             for s in _blocks(hyps):
-                h, r, hw, rw = hyps[s], refs[s], hyp_words[s], ref_words[s]
-                made = {
-                    "chrf": lambda: _lists(chrf_counts(h, r)),  # noqa: B023
-                    "bleu": lambda: _lists(bleu_counts(hw, rw)),  # noqa: B023
-                    "wer": lambda: pa.array([edits(x, y) for x, y in zip(hw, rw)], pa.int64()),  # noqa: B023
-                    "ter": lambda: pa.array([ter_edits(x, y) for x, y in zip(hw, rw)], pa.int64()),  # noqa: B023
-                    "meteor": lambda: pa.array([meteor_exact(x, y) for x, y in zip(hw, rw)], pa.float64()),  # noqa: B023
-                }
-                yield pa.RecordBatch.from_arrays([*(c.slice(s.start, s.stop - s.start) for c in b.columns[:k]), *(made[w]() for w in what)], names=[*keep, *what])
-
-    both = df.where(F.col(hyp).isNotNull() & F.col(ref).isNotNull())
-    split = any(w != "chrf" for w in what)
-    words = lambda c: split_13a(F.col(c)) if split else F.array().cast("array<string>")
-    texts = both.select(*keep, F.col(hyp).alias("_h"), F.col(ref).alias("_r"), words(hyp).alias("_hw"), words(ref).alias("_rw"))
-    return texts.mapInArrow(count, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), *(f"{w} {COUNTS[w]}" for w in what)]))
+                known: dict[str, int] = {}
+                counts = _counts(Side(hyps[s], what, known), Side(refs[s], what, known), what)
+                yield pa.RecordBatch.from_arrays([*(c.slice(s.start, s.stop - s.start) for c in b.columns[:k]), *counts], names=[*keep, *what])
+
+    both = df.where(F.col(hyp).isNotNull() & F.col(ref).isNotNull()).select(*keep, F.col(hyp).alias("_h"), F.col(ref).alias("_r"))
+    return both.mapInArrow(count, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), *(f"{w} {COUNTS[w]}" for w in what)]))
+
+
+def noised_counts(df: DataFrame, key: str, text: str, cells: list[tuple[int, float]], what: tuple[str, ...] = ("chrf",)) -> DataFrame:
+    """key, seed, noise, and the counts of every text, noised for each cell (seed, noise), against itself."""
+    kind = dict(df.dtypes)[key]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, keys = b.column(1).to_pylist(), b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for s in _blocks(texts):
+                known: dict[str, int] = {}
+                ref, (points, at) = Side(texts[s], what, known), N.decoded(texts[s])
+                own = b.column(0).slice(s.start, s.stop - s.start)
+                for seed, noise in cells:
+                    hyp = Side(N.encoded(*N.noised(points, at, keys[s], noise, seed)), what, known) if noise > 0 else ref
+                    cell = [pa.array(np.full(len(own), seed, np.int32)), pa.array(np.full(len(own), noise))]
+                    yield pa.RecordBatch.from_arrays([own, *cell, *_counts(hyp, ref, what)], names=[key, "seed", "noise", *what])
+
+    schema = f"`{key}` {kind}, seed int, noise double, " + ", ".join(f"{w} {COUNTS[w]}" for w in what)
+    return df.where(F.col(text).isNotNull()).select(key, text).mapInArrow(count, schema)
 
 
 def chrf_score(sums: list[tuple[Column, Column, Column]]) -> Column:
@@ -230,9 +351,8 @@ def chrf_sums(col: str = "chrf", weight: Column | None = None) -> list[tuple[Col
     return [tuple(F.sum(F.get(col, F.lit(i))[part] * w) for part in ("hyp", "ref", "both")) for i in range(CHARS + WORDS)]
 
 
-def bleu_score(col: str = "bleu") -> Column:
-    """Corpus BLEU from the segments' counts."""
-    s = [F.sum(F.get(col, F.lit(i))) for i in range(2 + 2 * GRAMS)]
+def bleu_of(s: list[Column]) -> Column:
+    """Corpus BLEU from sums: words of hyp, of ref, then for each order the n-grams of hyp and those in both."""
     logs, zeros = F.lit(0.0), F.lit(0)
     for n in range(GRAMS):
         total, both = s[2 + 2 * n], s[3 + 2 * n]
@@ -242,3 +362,8 @@ def bleu_score(col: str = "bleu") -> Column:
     short = s[8] == 0  # no n-grams of the highest order at all
     brevity = F.when(s[0] < s[1], F.exp(1 - s[1] / s[0])).otherwise(1.0)
     return F.when(none | short, 0.0).otherwise(brevity * F.exp(logs / GRAMS))
+
+
+def bleu_score(col: str = "bleu") -> Column:
+    """Corpus BLEU from the segments' counts."""
+    return bleu_of([F.sum(F.get(col, F.lit(i))) for i in range(2 + 2 * GRAMS)])

@@ -15,6 +15,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import positions, quantiles
+
 #: Queries held by a task at once; more of them take more passes over the index.
 MOST_QUERIES = 8_192
 
@@ -90,11 +92,14 @@ def nearest(queries: DataFrame, index: DataFrame, record: str, vector: str, k: i
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "neighbour_id", "score")
 
 
+def _iqr(q: DataFrame, keep: list[str]) -> DataFrame:
+    return q.select(*keep, F.get("q", F.lit(1)).alias("median"), F.greatest(F.get("q", F.lit(2)) - F.get("q", F.lit(0)), F.lit(1e-6)).alias("iqr"))
+
+
 def quartiles(df: DataFrame, vector: str) -> DataFrame:
-    """dim, median, iqr (at least 1e-6), from all vectors."""
+    """dim, median, iqr (at least 1e-6), exact, from all vectors."""
     x = df.where(F.col(vector).isNotNull()).select(F.posexplode(vector).alias("dim", "x"))
-    p = x.groupBy("dim").agg(F.percentile(F.col("x").cast("double"), F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias("q"))
-    return p.select("dim", F.get("q", F.lit(1)).alias("median"), F.greatest(F.get("q", F.lit(2)) - F.get("q", F.lit(0)), F.lit(1e-6)).alias("iqr"))
+    return _iqr(quantiles(x, ["dim"], "x", [0.25, 0.5, 0.75]), ["dim"])
 
 
 def capped_quartiles(df: DataFrame, record: str, vector: str, most: int = 200_000) -> DataFrame:
@@ -106,14 +111,32 @@ def running_quartiles(df: DataFrame, record: str, vector: str, batch: int = 50,
     """dim, median, iqr, batches: medians and ranges (at least 1e-6) of batches of ids, each blended into those before it.
 
     The first batch starts the blend; momentum is what is kept of it. A batch's share depends only on how many follow, so
-    the blend is a weighted sum."""
-    x = df.select(F.floor(F.col(record) / batch).alias("batch"), F.posexplode(vector).alias("dim", "x")).where("x is not null")
-    q = x.groupBy("batch", "dim").agg(F.percentile(F.col("x").cast("double"), F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias("q"))
-    stats = q.select("batch", "dim", F.get("q", F.lit(1)).alias("m"), F.greatest(F.get("q", F.lit(2)) - F.get("q", F.lit(0)), F.lit(1e-6)).alias("r"))
-    w = Window.partitionBy("dim")
-    numbered = stats.withColumn("later", F.row_number().over(w.orderBy(F.desc("batch"))) - 1).withColumn("n", F.count(F.lit(1)).over(w))
+    the blend is a weighted sum, and batches are numbered from the last by ranges, never in one window."""
+    x = df.where(F.col(vector).isNotNull()).select(F.floor(F.col(record) / batch).alias("batch"), F.posexplode(vector).alias("dim", "x")).where("x is not null")
+    q = x.groupBy("batch", "dim").agg(F.percentile(F.col("x").cast("double"), F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias("q"))  # a batch is small
+    batches = x.select((-F.col("batch")).alias("key")).distinct()
+    later = positions(batches, "key", out="later").select((-F.col("key")).alias("batch"), "later")
+    n = later.agg(F.count(F.lit(1)).alias("n"))
     share = F.pow(F.lit(momentum), F.col("later")) * F.when(F.col("later") == F.col("n") - 1, 1.0).otherwise(1 - momentum)
-    return numbered.groupBy("dim").agg(F.sum(share * F.col("m")).alias("median"), F.sum(share * F.col("r")).alias("iqr"), F.count(F.lit(1)).cast("int").alias("batches"))
+    out = _iqr(q, ["batch", "dim"]).join(later.crossJoin(F.broadcast(n)), "batch")  # n is one row
+    return out.groupBy("dim").agg(F.sum(share * F.col("median")).alias("median"), F.sum(share * F.col("iqr")).alias("iqr"), F.count(F.lit(1)).cast("int").alias("batches"))
+
+
+def masked_mean(df: DataFrame, group: str, mask: Column, vector: str) -> DataFrame:
+    """group, dim, mean: the mean of a group's vectors where the mask (0 or 1) is set, component by component; 0 where it is set nowhere."""
+    x = df.select(group, mask.cast("double").alias("_m"), F.posexplode(vector).alias("dim", "x"))
+    return x.groupBy(group, "dim").agg((F.sum(F.col("_m") * F.col("x")) / F.greatest(F.lit(1.0), F.sum("_m"))).alias("mean"))
+
+
+def stops(df: DataFrame, sequence: str, order: str, vector: str, end: Column, most: float = 0.9) -> DataFrame:
+    """sequence, kept, reason: how many vectors of a generated sequence are kept before the first that is like the end vector (`end`), or
+    like the one before it (`loop`), by a cosine above `most`; all, and no reason, if none is."""
+    w = Window.partitionBy(sequence).orderBy(order)
+    seen = df.select(sequence, F.row_number().over(w).alias("_i"), F.lag(vector).over(w).alias("_before"), vector)
+    why = F.when(cosine(F.col(vector), end) > most, "end").when(F.col("_before").isNotNull() & (cosine(F.col(vector), F.col("_before")) > most), "loop")
+    first = F.min(F.when(F.col("_why").isNotNull(), F.struct(F.col("_i"), F.col("_why"))))
+    g = seen.withColumn("_why", why).groupBy(sequence).agg(F.count(F.lit(1)).alias("_n"), first.alias("_f"))
+    return g.select(sequence, F.coalesce(F.col("_f._i") - 1, F.col("_n")).cast("int").alias("kept"), F.col("_f._why").alias("reason"))
 
 
 def scaled(df: DataFrame, vector: str, scale: DataFrame, inverse: bool = False) -> DataFrame:
@@ -203,6 +226,21 @@ def quantised(df: DataFrame, record: str, vector: str, books: np.ndarray) -> Dat
     return df.where(F.col(vector).isNotNull()).select(record, vector).mapInArrow(encode, f"`{record}` {kind}, codes array<int>, error double")
 
 
+def decoded(codes: DataFrame, record: str, books: np.ndarray, levels: int | None = None) -> DataFrame:
+    """record, vector: the sum of the centroids of the first `levels` codes (all by default); an unknown code raises."""
+    held = codes.sparkSession.sparkContext.broadcast(books)
+    kind, n = dict(codes.dtypes)[record], len(books) if levels is None else levels
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) if b.num_rows else np.zeros((0, n), np.int32)
+            total = sum((held.value[k][at[:, k]] for k in range(n)), np.zeros((len(at), books.shape[2])))
+            offsets = pa.array(np.arange(len(at) + 1, dtype=np.int32) * books.shape[2])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(offsets, pa.array(total.ravel()))], names=[record, "vector"])
+
+    return codes.select(record, "codes").mapInArrow(decode, f"`{record}` {kind}, vector array<double>")
+
+
 PRIME = (1 << 61) - 1
 
 
@@ -218,15 +256,29 @@ def rolling_hashes(values: list[int], n: int, base: int = 1_000_000_007) -> list
     return out
 
 
-def packed(lengths: list[int], budget: int, most_rows: int) -> list[int]:
-    """The bin of each length, ascending: a bin's rows times its greatest length stay within the budget."""
-    out, rows, bin_ = [], 0, 0
-    for n in lengths:
-        if rows and ((rows + 1) * n > budget or rows >= most_rows):
-            bin_, rows = bin_ + 1, 0
-        rows += 1
-        out.append(bin_)
-    return out
+def packed(df: DataFrame, record: str, length: str, budget: int, most_rows: int) -> DataFrame:
+    """record, length, bin: rows by length, then record, in bins whose rows times their greatest length stay within the budget, and that
+    have no more than `most_rows`; a row longer than the budget is alone.
+
+    What comes before a length only matters by how full the last bin is, so the bins are found on the number of rows of each
+    length (a row for each length that occurs, on the driver), and a row's bin follows from its place among those of its length."""
+    rows = df.where(F.col(length).isNotNull()).select(record, F.col(length).cast("bigint").alias("_l"))
+    plan, bin_, filled = [], 0, 0
+    for l, n in rows.groupBy("_l").agg(F.count(F.lit(1)).alias("n")).orderBy("_l").toLocalIterator():
+        room = max(1, min(most_rows, budget // max(l, 1)))
+        if filled >= room:
+            bin_, filled = bin_ + 1, 0
+        fits = room - filled
+        plan.append((l, bin_, fits, room))
+        if n <= fits:
+            filled += n
+        else:
+            more = -(-(n - fits) // room)
+            bin_, filled = bin_ + more, n - fits - (more - 1) * room
+    bins = df.sparkSession.createDataFrame(plan, "_l bigint, _bin bigint, _fits bigint, _room bigint")
+    placed = positions(rows, record, by=["_l"], out="_at").join(bins, "_l")
+    after = F.floor((F.col("_at") - F.col("_fits")) / F.col("_room")) + 1
+    return placed.select(record, F.col("_l").alias(length), F.when(F.col("_at") < F.col("_fits"), F.col("_bin")).otherwise(F.col("_bin") + after).alias("bin"))
 
 
 def noise_schedule(name: str, steps: int, gamma: float = 1.5, delta: float = -1.0, first: float = 0.001, last: float = 0.0012) -> Column:

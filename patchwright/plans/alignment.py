@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..operators import align as A
 from ..operators import entropy as E
 from .entropy import _H, _TAUS, SQL as ENTROPY_SQL, TAUS, _docs, _swept, _totals
@@ -81,16 +82,17 @@ def _list(values: list) -> str:
     return "[" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in values) + "]"
 
 
-_SUFFIX = f"suffix AS (SELECT x AS s, hex(encode(x)) AS hx, strlen(x) AS nb, length(x) AS nc FROM (SELECT unnest({_list(A.SUFFIXES)}) AS x))"
+_HINDI = "['ों', 'ें', 'याँ', 'ियाँ', 'ता', 'ती', 'ते', 'ना', 'ने', 'कर', 'करना', 'वाला', 'वाली', 'वाले', 'पन', 'कारी', 'कार', 'ई', 'आई', 'ता है', 'ती है']"
+_WORDS = (
+    "ch AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?s).')) AS c, unnest(range(length(text))) AS i FROM documents WHERE text <> '')"
+    ", co AS (SELECT *, sum(strlen(c)) OVER w - strlen(c) AS o, regexp_matches(c, '^" + X.WHITE + "$') AS space, lag(regexp_matches(c, '^" + X.WHITE + "$'), 1, true) OVER w AS before FROM ch WINDOW w AS (PARTITION BY doc_id ORDER BY i))"
+    ", wd AS (SELECT *, sum(CASE WHEN before OR c = '\u0964' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS w FROM co WHERE NOT space)"
+    ", ws AS (SELECT doc_id, min(o)::BIGINT AS first, string_agg(c, '' ORDER BY i) AS word FROM wd GROUP BY doc_id, w)"
+)
 _GOLD = _H + (
-    ", y AS (SELECT doc_id, unnest(b) AS byte, unnest(range(len(b))) AS i, len(b) AS n FROM d)"
-    ", sp AS (SELECT *, byte IN ('09', '0A', '0B', '0C', '0D', '20') AS space, lag(byte IN ('09', '0A', '0B', '0C', '0D', '20'), 1, true) OVER w AS before,"
-    " lead(byte IN ('09', '0A', '0B', '0C', '0D', '20'), 1, true) OVER w AS after FROM y WINDOW w AS (PARTITION BY doc_id ORDER BY i))"
-    ", wd AS (SELECT doc_id, sum(CASE WHEN NOT space AND before THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS w, i, byte FROM sp WHERE NOT space)"
-    ", ws AS (SELECT doc_id, min(i) AS first, max(i) + 1 AS past, string_agg(byte, '' ORDER BY i) AS hx, count(*) FILTER (WHERE byte < '80' OR byte >= 'C0') AS nc FROM wd GROUP BY doc_id, w)"
-    f", {_SUFFIX}"
-    ", gold AS (SELECT doc_id, 0 AS i FROM d UNION SELECT doc_id, first FROM ws UNION SELECT doc_id, past - nb FROM ws JOIN suffix ON ends_with(ws.hx, suffix.hx) AND ws.nc > suffix.nc + 1)"
-    ", ent AS (SELECT y.doc_id, y.i, CASE WHEN y.i = y.n - 1 THEN 8.0 ELSE coalesce(h.h, 8.0) END AS e FROM y LEFT JOIN h ON h.prev = y.byte)"
+    f", y AS MATERIALIZED (SELECT doc_id, unnest(b) AS byte, unnest(range(len(b))) AS i, len(b) AS n FROM d), {_WORDS}, suffix AS (SELECT unnest({_HINDI}) AS s)"
+    ", gold AS MATERIALIZED (SELECT doc_id, 0 AS i FROM d UNION SELECT doc_id, first FROM ws UNION SELECT doc_id, first + strlen(word) - strlen(s) FROM ws JOIN suffix ON ends_with(word, s) AND length(word) > length(s) + 1)"
+    ", ent AS MATERIALIZED (SELECT y.doc_id, y.i, CASE WHEN y.i = y.n - 1 THEN 8.0 ELSE coalesce(h.h, 8.0) END AS e FROM y LEFT JOIN h ON h.prev = y.byte)"
 )
 
 
@@ -99,11 +101,12 @@ def _aligned_sql(taus: list[float], chunks: list[int], tolerances: list[int]) ->
     parts += [f"SELECT doc_id, 'fixed_{k}' AS method, i FROM y WHERE i > 0 AND i % {k} = 0" for k in chunks]
     methods = _list([*(f"tau_{t}" for t in taus), *(f"fixed_{k}" for k in chunks)])
     return _GOLD + (
-        f", pred AS ({' UNION ALL '.join(parts)}), tol AS (SELECT unnest({_list(tolerances)})::INT AS tolerance), off AS (SELECT tolerance, unnest(range(-tolerance, tolerance + 1)) AS o FROM tol)"
+        f", pred AS MATERIALIZED ({' UNION ALL '.join(parts)}), tol AS (SELECT unnest({_list(tolerances)})::INT AS tolerance), off AS (SELECT tolerance, unnest(range(-tolerance, tolerance + 1)) AS o FROM tol)"
         ", cells AS (SELECT d.doc_id, len(b)::BIGINT AS n_bytes, m.method, tolerance FROM d CROSS JOIN (SELECT unnest(" + methods + ") AS method) m CROSS JOIN tol)"
         ", np AS (SELECT doc_id, method, count(*) AS n FROM pred GROUP BY 1, 2), ng AS (SELECT doc_id, count(*) AS n FROM gold GROUP BY 1)"
-        ", hp AS (SELECT p.doc_id, p.method, off.tolerance, count(DISTINCT p.i) AS n FROM gold g JOIN off ON true JOIN pred p ON p.doc_id = g.doc_id AND p.i = g.i + off.o GROUP BY 1, 2, 3)"
-        ", hg AS (SELECT p.doc_id, p.method, off.tolerance, count(DISTINCT g.i) AS n FROM gold g JOIN off ON true JOIN pred p ON p.doc_id = g.doc_id AND p.i = g.i + off.o GROUP BY 1, 2, 3)"
+        ", gx AS MATERIALIZED (SELECT doc_id, i AS gi, tolerance, i + o AS i FROM gold CROSS JOIN off), gn AS MATERIALIZED (SELECT DISTINCT doc_id, tolerance, i FROM gx)"
+        ", hp AS (SELECT p.doc_id, p.method, gn.tolerance, count(*) AS n FROM gn JOIN pred p ON p.doc_id = gn.doc_id AND p.i = gn.i GROUP BY 1, 2, 3)"
+        ", hg AS (SELECT doc_id, method, tolerance, count(*) AS n FROM (SELECT DISTINCT p.doc_id, p.method, gx.tolerance, gx.gi FROM gx JOIN pred p ON p.doc_id = gx.doc_id AND p.i = gx.i) GROUP BY 1, 2, 3)"
         ", raw AS (SELECT c.doc_id, c.method, c.tolerance, n_bytes, coalesce(np.n, 0) AS n_pred, coalesce(ng.n, 0) AS n_gold, coalesce(hp.n, 0) AS hit_pred, coalesce(hg.n, 0) AS hit_gold FROM cells c"
         " LEFT JOIN np ON np.doc_id = c.doc_id AND np.method = c.method LEFT JOIN ng ON ng.doc_id = c.doc_id"
         " LEFT JOIN hp ON hp.doc_id = c.doc_id AND hp.method = c.method AND hp.tolerance = c.tolerance LEFT JOIN hg ON hg.doc_id = c.doc_id AND hg.method = c.method AND hg.tolerance = c.tolerance)"
@@ -126,6 +129,21 @@ SQL = {
     "best_tau": f"WITH {_FIVE} SELECT method, f1 FROM macro ORDER BY f1 DESC, method LIMIT 1",
     "tolerance_sensitivity": f"WITH {_aligned_sql([1.0], CHUNKS, TOLERANCES)} SELECT method, tolerance, round(avg(precision), 8) AS precision, round(avg(recall), 8) AS recall, round(avg(f1), 8) AS f1 FROM f GROUP BY 1, 2",
     "boundary_efficiency": f"WITH {_THREE} SELECT method, f1, mean_pred, round(100 * f1 / mean_pred, 8) AS efficiency, round(f1 - max(CASE WHEN method = 'tau_1.0' THEN f1 END) OVER (), 8) AS delta FROM macro",
+    "greedy_boundary_f1": f"WITH RECURSIVE {_GOLD.replace('h AS (SELECT', 'h AS MATERIALIZED (SELECT')}, pr AS MATERIALIZED (SELECT doc_id, i FROM ent WHERE e > 1.5)"
+    ", ca AS (SELECT p.doc_id, p.i, g.i AS g, abs(g.i - p.i) AS far FROM (SELECT doc_id, i, unnest(range(i - 2, i + 3)) AS at FROM pr) p JOIN gold g ON g.doc_id = p.doc_id AND g.i = p.at)"
+    ", li AS MATERIALIZED (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k, c FROM (SELECT doc_id, i, list(g ORDER BY far, g) AS c FROM ca GROUP BY 1, 2))"
+    ", st AS (SELECT doc_id, k, [c[1]] AS used, 1 AS hits FROM li WHERE k = 1 UNION ALL SELECT l.doc_id, l.k, CASE WHEN f IS NULL THEN used ELSE list_append(used[-5:], f) END, hits + CASE WHEN f IS NULL THEN 0 ELSE 1 END"
+    " FROM (SELECT st.doc_id, li.k, used, hits, list_filter(c, lambda x: NOT list_contains(used, x))[1] AS f FROM st JOIN li ON li.doc_id = st.doc_id AND li.k = st.k + 1) l)"
+    ", en AS (SELECT doc_id, max(hits) AS hits FROM st GROUP BY 1), z AS (SELECT d.doc_id, coalesce(p.n, 0) AS n_pred, g.n AS n_gold, coalesce(en.hits, 0) AS hits FROM d LEFT JOIN (SELECT doc_id, count(*) AS n FROM pr GROUP BY 1) p USING (doc_id)"
+    " JOIN (SELECT doc_id, count(*) AS n FROM gold GROUP BY 1) g USING (doc_id) LEFT JOIN en USING (doc_id)), q AS (SELECT *, coalesce(hits / nullif(n_pred, 0), 0) AS precision, coalesce(hits / nullif(n_gold, 0), 0) AS recall FROM z)"
+    " SELECT doc_id, n_pred, n_gold, hits::BIGINT AS hits, precision, recall, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) AS f1 FROM q",
+    "morpheme_gold": "WITH ch AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?s).')) AS c, unnest(range(length(text))) AS i, strlen(text) AS total FROM documents WHERE text <> '')"
+    ", k AS (SELECT *, sum(strlen(c)) OVER (PARTITION BY doc_id ORDER BY i) AS past, CASE WHEN regexp_matches(c, '^" + X.WHITE + "$') THEN 's' WHEN regexp_matches(c, '^[\\p{L}\\p{N}_\u0900-\u0963]$') THEN 'w' ELSE 'o' END AS kind FROM ch)"
+    ", t AS (SELECT *, CASE WHEN kind = 'o' OR lag(kind, 1, 's') OVER (PARTITION BY doc_id ORDER BY i) <> kind THEN 1 ELSE 0 END AS new FROM k)"
+    ", n AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS token FROM t), w AS (SELECT doc_id, string_agg(c, '' ORDER BY i) AS word, max(past) AS past, any_value(total) AS total FROM n WHERE kind <> 's' GROUP BY doc_id, token)"
+    ", sx AS (SELECT unnest(['च्या', 'साठी', 'बद्दल', 'पासून', 'ला', 'ने', 'ची', 'चे', 'ing', 'ed', 's']) AS s), cut AS (SELECT doc_id, past, word, max_by(s, length(s)) AS s FROM w JOIN sx ON ends_with(word, s) AND length(word) > length(s) + 1 GROUP BY doc_id, past, word)"
+    ", b AS (SELECT doc_id, past AS x FROM w WHERE past < total UNION SELECT doc_id, past - strlen(s) FROM cut)"
+    " SELECT d.doc_id, count(x)::INT AS n_gold, max(x)::INT AS last FROM (SELECT doc_id FROM documents WHERE text <> '') d LEFT JOIN b ON b.doc_id = d.doc_id GROUP BY 1",
     "sweep_alignment_table": f"{_T_PART}, al AS (WITH {_FIVE} SELECT method[5:]::DOUBLE AS tau, precision, recall, f1 FROM macro) SELECT t.tau, patches, bytes_per_patch, precision, recall, f1, f1 = max(f1) OVER () AS best FROM t JOIN al ON al.tau = t.tau",
 }
 

@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules of this package, each with QUERIES and SQL.
-MODULES: list[str] = ["entropy", "alignment", "patches", "texts", "quality", "vectors", "logs"]
+MODULES: list[str] = ["entropy", "alignment", "patches", "texts", "quality", "vectors", "logs", "files"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import entropy as E
+from ..sources.shared import written
 from ..sources.tables import spread, table
 
 TAUS = [0.5, 1.0, 1.5, 2.0, 2.5]
@@ -91,12 +92,11 @@ def tau_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """entropy, n: bytes by their entropy; at most 257 rows."""
+    """entropy, n: bytes by their entropy; at most 257 rows, from one pass over the texts for the counts of pairs (65 536 rows at most)."""
     docs = _docs(spark, sf_dir)
-    inner = E.bigrams(docs, "text").groupBy("prev").agg(F.sum("n").alias("n"))
-    h = E.conditional_entropy(E.bigrams(docs, "text")).select("prev", F.round(F.abs("entropy"), 8).alias("entropy"))
+    h = E.conditional_entropy(written(E.bigrams(docs, "text"), "bigrams")).select(F.round(F.abs("entropy"), 8).alias("entropy"), "n")
     last = docs.agg(F.count(F.lit(1)).alias("n")).select(F.lit(E.UNSEEN).alias("entropy"), "n")
-    return inner.join(h, "prev").select("entropy", "n").unionByName(last).groupBy("entropy").agg(F.sum("n").alias("n"))
+    return h.unionByName(last).groupBy("entropy").agg(F.sum("n").alias("n"))
 
 
 def entropy_cdf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,13 +112,16 @@ def share_above_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def language_transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bytes a patch and bits a byte by language, and their ratio to English."""
+    """Bytes a patch and bits a byte by language, and the ratio of the former to English. A byte's entropy is in bits already; the last byte
+    of a text has none of its own and counts as unseen."""
     docs = _docs(spark, sf_dir).withColumn("lang", F.coalesce("lang", F.lit("unknown")))
     table_ = E.entropy_table(docs, "text")
-    counts = E.sweep(docs, "doc_id", "text", table_, [1.5]).join(docs.select("doc_id", "lang"), "doc_id")
-    by = counts.groupBy("lang").agg(F.count(F.lit(1)).alias("sentences"), F.sum("n_bytes").alias("bytes"), F.sum("num_patches").alias("patches"))
-    base = F.max(F.when(F.col("lang") == "eng_Latn", F.col("bytes") / F.col("patches"))).over(Window.partitionBy())
-    return by.select("lang", "sentences", "bytes", "patches", F.round(F.col("bytes") / F.col("patches"), 6).alias("bytes_per_patch"), F.round(F.col("bytes") / F.col("patches") / base, 6).alias("ratio"))
+    named = docs.select(F.struct("doc_id", "lang").alias("key"), "text")
+    counts = E.sweep(named, "key", "text", table_, [1.5])
+    by = counts.groupBy("key.lang").agg(F.count(F.lit(1)).alias("sentences"), F.sum("n_bytes").alias("bytes"), F.sum("num_patches").alias("patches"))
+    bits = E.group_bits(docs, "lang", "text", table_)
+    base = F.max(F.when(F.col("lang") == "eng_Latn", F.col("bytes") / F.col("patches"))).over(Window.partitionBy())  # a row for each language
+    return by.join(bits, "lang").select("lang", "sentences", "bytes", "patches", F.round(F.col("bytes") / F.col("patches"), 6).alias("bytes_per_patch"), F.round(F.col("bits") / F.col("bytes"), 6).alias("bits_per_byte"), F.round(F.col("bytes") / F.col("patches") / base, 6).alias("ratio"))
 
 
 # The SQL works on pairs of hexadecimal digits.
@@ -155,7 +158,7 @@ SQL = {
     "tau_compression": f"WITH {_T} SELECT tau, bytes_per_patch, round(1 - patches / bytes, 6) AS reduction, first_value(patches) OVER (ORDER BY tau) - patches AS saved FROM t",
     "entropy_cdf": f"WITH {_G} SELECT entropy, n, round(sum(n) OVER (ORDER BY entropy) / sum(n) OVER (), 9) AS share FROM g",
     "share_above_threshold": f"WITH {_G}, {_TAUS} SELECT tau, round(sum(CASE WHEN entropy > tau THEN n ELSE 0 END) / sum(n), 9) AS share FROM g CROSS JOIN taus GROUP BY tau",
-    "language_transfer": f"WITH {_S}, l AS (SELECT lang, count(*) AS sentences, sum(n_bytes)::BIGINT AS bytes, sum(num_patches)::BIGINT AS patches FROM s WHERE tau = 1.5 GROUP BY lang) SELECT lang, sentences, bytes, patches, round(bytes / patches, 6) AS bytes_per_patch, round(bytes / patches / max(CASE WHEN lang = 'eng_Latn' THEN bytes / patches END) OVER (), 6) AS ratio FROM l",
+    "language_transfer": f"WITH {_S}, l AS (SELECT lang, count(*) AS sentences, sum(n_bytes)::BIGINT AS bytes, sum(num_patches)::BIGINT AS patches FROM s WHERE tau = 1.5 GROUP BY lang), bi AS (SELECT lang, sum(h.h) AS b FROM (SELECT lang, unnest(b[:-2]) AS byte FROM d) JOIN h ON h.prev = byte GROUP BY lang), li AS (SELECT l.*, coalesce(bi.b, 0) + 8.0 * sentences AS bits FROM l LEFT JOIN bi USING (lang)) SELECT lang, sentences, bytes, patches, round(bytes / patches, 6) AS bytes_per_patch, round(bits / bytes, 6) AS bits_per_byte, round(bytes / patches / max(CASE WHEN lang = 'eng_Latn' THEN bytes / patches END) OVER (), 6) AS ratio FROM li",
 }
 
 QUERIES = {

@@ -57,8 +57,19 @@ def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def epoch_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first hundred of epoch 3 after 50 are skipped."""
-    return L.epoch_order(_events(spark, sf_dir).select("event_id"), "event_id", 42, 3, 50).limit(100)
+    """The order of epoch 3 after 50 are skipped."""
+    return L.epoch_order(_events(spark, sf_dir).select("event_id"), "event_id", 42, 3, 50)
+
+
+def shuffled_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of a cap of 1000 events, in a shuffled order."""
+    return L.shuffled_cap(_events(spark, sf_dir).select("event_id"), "event_id", 42, 1000, 0.25)
+
+
+def scan_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary of a scan of patch records, by run."""
+    s = L.finished_summary(L.scan_summary(table(spark, sf_dir, "blt_marathi_patched").where("num_bytes is not null and num_patches is not null"), "run_name"))
+    return s.select("run_name", "sentences", "bytes", "patches", "least", "most", "empty", *(F.round(c, 6).alias(c) for c in ("mean_patches", "std_patches", "bytes_per_patch")))
 
 
 def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,7 +148,13 @@ SQL = {
     "resume_anti_join": "SELECT event_type, count(*) AS pending FROM events e WHERE NOT EXISTS (SELECT 1 FROM events f WHERE f.event_id = e.event_id AND f.ts < TIMESTAMP '2024-01-16') GROUP BY 1",
     "adopted_records": "SELECT user_id, event_id, round(value, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events WHERE event_type = 'purchase' AND value IS NOT NULL) WHERE r = 1",
     "retention": "SELECT user_id, 'epoch' || event_id || '.pth' AS name FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r <= 3",
-    "epoch_order": "SELECT event_id FROM events ORDER BY md5('42|3|' || event_id), event_id LIMIT 100 OFFSET 50",
+    "epoch_order": "SELECT event_id, r AS position FROM (SELECT event_id, row_number() OVER (ORDER BY md5('42|3|' || event_id)[1:15], event_id) - 1 AS r FROM events) WHERE r >= 50",
+    "shuffled_cap": "SELECT event_id FROM events ORDER BY md5('42|0|' || event_id)[1:15], event_id LIMIT 250",
+    "scan_summary": "SELECT run_name, count(*) AS sentences, sum(num_bytes)::BIGINT AS bytes, sum(num_patches)::BIGINT AS patches, min(num_patches) AS least, max(num_patches) AS most, count(*) FILTER (WHERE num_patches = 0) AS empty, round(avg(num_patches), 6) AS mean_patches, round(stddev_pop(num_patches), 6) AS std_patches, round(sum(num_bytes) / nullif(sum(num_patches), 0), 6) AS bytes_per_patch FROM blt_marathi_patched WHERE num_bytes IS NOT NULL AND num_patches IS NOT NULL GROUP BY 1",
+    "plateau_stop": f"WITH RECURSIVE {_DAILY}, n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY day) AS i FROM d), r AS (SELECT user_id, i, day, loss AS best, day AS best_at, 0 AS since, NULL::DATE AS stopped_at FROM n WHERE i = 1 UNION ALL"
+    " SELECT n.user_id, n.i, n.day, CASE WHEN stopped_at IS NULL AND n.loss < best - 0.5 THEN n.loss ELSE best END, CASE WHEN stopped_at IS NULL AND n.loss < best - 0.5 THEN n.day ELSE best_at END, CASE WHEN n.loss < best - 0.5 THEN 0 ELSE since + 1 END,"
+    " CASE WHEN stopped_at IS NOT NULL THEN stopped_at WHEN n.loss >= best - 0.5 AND since + 1 >= 4 THEN n.day END FROM r JOIN n ON n.user_id = r.user_id AND n.i = r.i + 1)"
+    " SELECT user_id, best, best_at, stopped_at FROM r QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY i DESC) = 1",
     "ema_series": f"WITH {_DAILY}, s AS (SELECT user_id, list(loss ORDER BY day) AS s FROM d GROUP BY 1) SELECT user_id, len(s)::INT AS n, round(list_reduce(s, lambda a, x: 0.1::DOUBLE * x + 0.9::DOUBLE * a), 7) AS ema FROM s",
     "running_best": f"WITH {_DAILY}, b AS (SELECT user_id, day, loss, min(loss) OVER w AS best, row_number() OVER w AS nth FROM d WINDOW w AS (PARTITION BY user_id ORDER BY day)) SELECT user_id, day, best, (nth - max(CASE WHEN loss = best THEN nth END) OVER (PARTITION BY user_id ORDER BY day))::INT AS since FROM b",
     "events_tumbling": "SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
@@ -152,7 +169,7 @@ SQL = {
 QUERIES = {
     f.__name__: f
     for f in (
-        latest_event_per_user, status_counts, upsert_by_key, mirror_prune, resume_anti_join, adopted_records, retention, epoch_order, plateau_stop, ema_series, running_best, events_tumbling, events_sliding,
+        latest_event_per_user, status_counts, upsert_by_key, mirror_prune, resume_anti_join, adopted_records, retention, epoch_order, shuffled_cap, scan_summary, plateau_stop, ema_series, running_best, events_tumbling, events_sliding,
         events_session, props_json, finite_values, summary_union, set_operations,
     )
 }

@@ -1,29 +1,34 @@
-"""Noise grids and their scores, comparison tables, significance."""
+"""Noise grids and their scores over the targets of pairs, comparison tables, significance."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from math import exp
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats as S
 from ..functions import text as X
 from ..operators import compare as C
 from ..operators import metrics as M
+from ..operators import noise as N
+from ..operators import order as O
+from ..operators import significance as G
 from ..sources.tables import spread, table
-from .texts import _noise_sql
+from .texts import _draws_sql, _labels_sql, _noise_sql
 
-NOISES, SEEDS, REPLICATES = [0.0, 0.1, 0.2], [42, 43, 44], 100
+NOISES, SEEDS, REPLICATES = [0.0, 0.1, 0.2], [42, 43, 44], 1000
+CELLS = [(s, p) for s in SEEDS for p in NOISES]
+#: The cell of the grid that the completeness queries take for missing.
+LOST = "not (seed = 44 and noise = 0.2)"
 
 
-def _grid(spark: SparkSession, sf_dir: str, seeds: list[int] = SEEDS, noises: list[float] = NOISES) -> DataFrame:
-    """failure_id, seed, noise, hyp, ref: every preview, noised for each cell of the grid."""
-    f = spread(table(spark, sf_dir, "failure_sentences_100").where("text_preview is not null").select("failure_id", "text_preview"))
-    cells = [F.struct(F.lit(s).alias("seed"), F.lit(p).alias("noise"), X.noised(F.col("text_preview"), F.col("failure_id"), p, s).alias("hyp")) for s in seeds for p in noises]
-    return f.select("failure_id", F.explode(F.array(*cells)).alias("c"), F.col("text_preview").alias("ref")).select("failure_id", "c.seed", "c.noise", "c.hyp", "ref")
+def _targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "parallel_examples").select("pair_id", "target"))
 
 
-def _counts(spark: SparkSession, sf_dir: str, what: str = "chrf", **kw) -> DataFrame:
-    return M.counted(_grid(spark, sf_dir, **kw), ["failure_id", "seed", "noise"], "hyp", "ref", (what,))
+def _counts(spark: SparkSession, sf_dir: str, what: tuple[str, ...] = ("chrf",), cells: list[tuple[int, float]] = CELLS) -> DataFrame:
+    return M.noised_counts(_targets(spark, sf_dir), "pair_id", "target", cells, what)
 
 
 def chrfpp_by_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,24 +36,26 @@ def chrfpp_by_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bleu_by_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _counts(spark, sf_dir, "bleu").groupBy("seed", "noise").agg(F.round(M.bleu_score(), 7).alias("bleu"))
+    return _counts(spark, sf_dir, ("bleu",)).groupBy("seed", "noise").agg(F.round(M.bleu_score(), 7).alias("bleu"))
 
 
 def edit_metrics_by_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WER, TER (with shifts) and exact-match METEOR in per cent."""
-    c = M.counted(_grid(spark, sf_dir), ["failure_id", "seed", "noise"], "hyp", "ref", ("bleu", "wer", "ter", "meteor"))
-    words = F.sum(F.get("bleu", F.lit(1)))
+    c = _counts(spark, sf_dir, ("ref_words", "wer", "ter", "meteor"))
+    words = F.sum("ref_words")
     return c.groupBy("seed", "noise").agg(F.round(100 * F.sum("wer") / words, 7).alias("wer"), F.round(100 * F.sum("ter") / words, 7).alias("ter"), F.round(100 * F.avg("meteor"), 7).alias("meteor"))
 
 
 def length_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many hypotheses are so much longer than their references, in characters."""
-    return _grid(spark, sf_dir, seeds=[42]).groupBy("noise", (F.length("hyp") - F.length("ref")).alias("delta")).agg(F.count(F.lit(1)).alias("n"))
+    """How many noised documents are so much longer than they were, in characters, in each cell."""
+    g = N.grid(spread(table(spark, sf_dir, "documents")), "doc_id", "text", CELLS)
+    return g.groupBy("seed", "noise", (F.length("hyp") - F.length("ref")).alias("delta")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def identical_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether all hypotheses of a cell are the references."""
-    return _grid(spark, sf_dir).groupBy("seed", "noise").agg(F.bool_and(F.col("hyp").eqNullSafe(F.col("ref"))).alias("identical"))
+    g = N.grid(_targets(spark, sf_dir), "pair_id", "target", CELLS)
+    return g.groupBy("seed", "noise").agg(F.bool_and(F.col("hyp") == F.col("ref")).alias("identical"))
 
 
 def seed_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,19 +65,36 @@ def seed_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("noise", "n", *(F.round(c, 6).alias(a) for c, a in ((F.col("mean"), "mean"), (F.col("std"), "std"), (F.col("mean") - half, "low"), (F.col("mean") + half, "high"))))
 
 
+def _metric_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """model, fraction, noise, BLEU, chrF++, written: the scores as the rows of three models, with a copy of one row that was written again."""
+    c = _counts(spark, sf_dir, ("chrf", "bleu")).where(LOST).groupBy("seed", "noise").agg(M.bleu_score().alias("BLEU"), M.chrf_score(M.chrf_sums()).alias("chrF++"))
+    rows = c.select(F.element_at(F.create_map(*(F.lit(x) for x in (42, "BLT LCM", 43, "bpe-lcm", 44, "Base LCM"))), F.col("seed")).alias("model"), F.lit("0.5").alias("fraction"), "noise", "BLEU", "chrF++", F.lit(1).alias("written"))
+    again = rows.where("model = 'BLT LCM' and noise = 0.1").select("model", "fraction", "noise", (F.col("BLEU") + 1).alias("BLEU"), (F.col("`chrF++`") + 1).alias("chrF++"), F.lit(2).alias("written"))
+    other = rows.where("noise = 0").withColumn("fraction", F.lit("0.25"))
+    return rows.unionByName(again).unionByName(other)
+
+
 def metric_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row for each noise, a column for each seed's chrF++ (seeds stand for models), and which of the models are there."""
-    models = [f"seed_{s}" for s in SEEDS]
-    c = chrfpp_by_noise(spark, sf_dir).withColumn("model", F.concat(F.lit("seed_"), F.col("seed").cast("string"))).where("not (seed = 44 and noise = 0.2)")
-    p = c.groupBy("noise").pivot("model", models).agg(F.max("chrfpp"))
-    return p.withColumn("models_present", F.concat_ws(";", *(F.when(F.col(m).isNotNull(), F.lit(m)) for m in models)))
+    """Three models at one fraction: a row for each noise, a column for each model and metric, and which models are there; the last row
+    written counts, a missing one is null."""
+    p = C.metric_pivot(_metric_rows(spark, sf_dir), 0.5, ["base_lcm", "blt_lcm", "bpe_lcm"], ["BLEU", "chrF++"], "written")
+    scores = [c for c in p.columns if c not in ("noise", "models_present")]
+    return p.select("noise", "models_present", *(F.round(F.col(f"`{c}`"), 6).alias(c.replace("++", "pp").lower()) for c in scores))
+
+
+def metric_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The degradation curves of two models at one fraction: one row for each model and noise, with its place in the requested order."""
+    rows = _metric_rows(spark, sf_dir).where(C.near(F.col("fraction").cast("double"), 0.5))
+    curve = C.curve(rows, ["bpe_lcm", "blt_lcm"], NOISES, "chrF++", "written")
+    place = F.array_position(F.array(F.lit("bpe_lcm"), F.lit("blt_lcm")), F.col("model")).cast("int")
+    return curve.select(place.alias("place"), "model", "noise", F.round("value", 6).alias("value"))
 
 
 def missing_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells of the grid that should be there and aren't, as model@noise."""
-    have = chrfpp_by_noise(spark, sf_dir).where("not (seed = 44 and noise = 0.2)").select("seed", "noise")
-    want = spark.createDataFrame([(s, p) for s in SEEDS for p in NOISES], "seed int, noise double")
-    return want.join(have, ["seed", "noise"], "left_anti").select(F.format_string("seed_%d@%.1f", "seed", "noise").alias("cell"))
+    """Cells of the grid that should be there and aren't, as model@noise: the grid has them as soon as it has a segment."""
+    have = _targets(spark, sf_dir).where("target is not null").limit(1).select(F.explode(F.array(*(F.struct(F.lit(s).alias("seed"), F.lit(p).alias("noise")) for s, p in CELLS))).alias("c"))
+    want = spark.createDataFrame(CELLS, "seed int, noise double")
+    return want.join(have.select("c.seed", "c.noise").where(LOST), ["seed", "noise"], "left_anti").select(F.format_string("seed_%d@%.1f", "seed", "noise").alias("cell"))
 
 
 def noise_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,16 +105,18 @@ def noise_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def class_gain_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each category: scores of two systems (noise 0.2 and 0.1) on its sentences, errors, the factor of its fertility, and whether the bound holds."""
-    c = _counts(spark, sf_dir, seeds=[42], noises=[0.1, 0.2])
-    f = table(spark, sf_dir, "failure_sentences_100").select("failure_id", "blt_fertility", F.explode(F.split("categories", "; ")).alias("class"))
+    """For each category of a sentence and each seed: scores of two systems (noise 0.2 and 0.1) on its sentences, errors, the factor of its
+    fertility (patches a word of the reports), and whether the bound holds."""
+    c = _counts(spark, sf_dir, cells=[(s, p) for s in SEEDS for p in (0.1, 0.2)])
+    labels = _targets(spark, sf_dir).where("target is not null").select("pair_id", F.explode(X.categories(F.col("target"))).alias("class"))
+    f = table(spark, sf_dir, "failure_sentences_100").select("blt_fertility", F.explode(F.split("categories", "; ")).alias("class"))
     lam = f.groupBy("class").agg(F.avg("blt_fertility").alias("lam"))
-    score = c.join(f.select("failure_id", "class"), "failure_id").groupBy("class", "noise").agg(M.chrf_score(M.chrf_sums()).alias("s"))
-    two = score.groupBy("class").agg(F.max(F.when(F.col("noise") == 0.2, F.col("s"))).alias("a"), F.max(F.when(F.col("noise") == 0.1, F.col("s"))).alias("b"))
+    score = c.join(labels, "pair_id").groupBy("class", "seed", "noise").agg(M.chrf_score(M.chrf_sums()).alias("s"))
+    two = score.groupBy("class", "seed").agg(F.max(F.when(F.col("noise") == 0.2, F.col("s"))).alias("a"), F.max(F.when(F.col("noise") == 0.1, F.col("s"))).alias("b"))
     ea, eb = F.greatest(F.lit(0.0), 100 - F.col("a")), F.greatest(F.lit(0.0), 100 - F.col("b"))
     factor = F.when(F.col("lam") > 0, F.pow("lam", F.lit(-1.0)))
     out = two.join(lam, "class")
-    return out.select("class", *(F.round(x, 6).alias(n) for x, n in ((F.col("a"), "score_a"), (F.col("b"), "score_b"), (F.col("b") - F.col("a"), "gain"), (factor, "factor"), (F.try_divide(eb, ea), "error_ratio"))), (eb <= factor * ea).alias("satisfied"))
+    return out.select("class", "seed", *(F.round(x, 6).alias(n) for x, n in ((F.col("a"), "score_a"), (F.col("b"), "score_b"), (F.col("b") - F.col("a"), "gain"), (factor, "factor"), (F.try_divide(eb, ea), "error_ratio"))), (eb <= factor * ea).alias("satisfied"))
 
 
 def bound_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,47 +128,75 @@ def bound_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pearson_spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Correlation of words with patches over the previews, of values and of their average ranks; null without variance."""
     f = table(spark, sf_dir, "failure_sentences_100").where("n_words is not null and n_patches is not null").select(F.col("n_words").cast("double").alias("x"), F.col("n_patches").cast("double").alias("y"))
-    ranked = S.average_rank(S.average_rank(f, "x", "rx"), "y", "ry")
+    ranked = O.average_rank(O.average_rank(f, "x", "rx"), "y", "ry")
     return ranked.agg(F.count(F.lit(1)).alias("n"), F.round(S.pearson(F.col("x"), F.col("y")), 7).alias("pearson"), F.round(S.pearson(F.col("rx"), F.col("ry")), 7).alias("spearman"))
 
 
+_CHRF, _BLEU_N = 3 * (M.CHARS + M.WORDS), 2 + 2 * M.GRAMS
+
+
+def _chrf_of(s: list[Column]) -> Column:
+    return M.chrf_score([tuple(s[3 * i : 3 * i + 3]) for i in range(_CHRF // 3)])
+
+
+def _significance(spark: SparkSession, sf_dir: str, metrics: list[str], kind: str) -> DataFrame:
+    """metric, seed, replicates, delta, p_value, significant, note: does the system of noise 0.1 differ from that of 0.2, for each seed?"""
+    flat = {
+        "chrF++": F.flatten(F.transform("chrf", lambda x: F.array(x["hyp"], x["ref"], x["both"]))),
+        "BLEU": F.col("bleu"),
+        "TER": F.array("ter", "ref_words"),
+    }
+    scores = {"chrF++": (_chrf_of, _CHRF), "BLEU": (M.bleu_of, _BLEU_N), "TER": (lambda s: 100 * F.try_divide(s[0], s[1]), 2)}
+    needs = {"chrF++": ("chrf",), "BLEU": ("bleu",), "TER": ("ter", "ref_words")}
+    what = tuple(w for m in metrics for w in needs[m])
+    parts = []
+    for seed in SEEDS:
+        two = _counts(spark, sf_dir, what, [(seed, 0.1), (seed, 0.2)]).select("pair_id", "noise", *(flat[m].alias(m.strip("+")) for m in metrics))
+        both = two.groupBy("pair_id").agg(*(F.max(F.when(F.col("noise") == p, F.struct(F.col(m.strip("+"))))).alias(f"{m.strip('+')}_{k}") for m in metrics for k, p in enumerate((0.1, 0.2))))
+        for m in metrics:
+            score, width = scores[m]
+            name = m.strip("+")
+            pair = both.select("pair_id", F.col(f"{name}_0.{name}").alias("x"), F.col(f"{name}_1.{name}").alias("y"))
+            r = G.p_values(G.resampled(pair, "pair_id", "x", "y", width, REPLICATES, kind), score, width, kind)
+            verdict = C.significance(F.col("delta"), F.col("p_value"), F.col("first") == F.col("second"))
+            parts.append(r.select(X.metric_name(F.lit({"chrF++": "chrF2++"}.get(m, m))).alias("metric"), F.lit(seed).alias("seed"), "replicates", F.round("delta", 6).alias("delta"), F.round("p_value", 9).alias("p_value"), verdict["significant"].alias("significant"), verdict["note"].alias("note")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether noise 0.1 scores better than 0.2: both are scored on the same resampled segments, drawn by MD5 sums."""
-    c = _counts(spark, sf_dir, seeds=[42], noises=[0.1, 0.2])
-    ids = c.where("noise = 0.1").select("failure_id")
-    numbered = _numbered(ids, "failure_id")
-    n = F.max(F.col("i")).over(Window.partitionBy()) + 1
-    draws = numbered.select("i", n.alias("n"), F.explode(F.sequence(F.lit(0), F.lit(REPLICATES - 1))).alias("rep"))
-    picked = draws.select("rep", (X.draw(F.col("rep").cast("string"), F.col("i").cast("string")) % F.col("n")).alias("i")).groupBy("rep", "i").agg(F.count(F.lit(1)).alias("times"))
-    weighted = picked.join(numbered, "i").join(c, "failure_id")
-    per = weighted.groupBy("rep", "noise").agg(M.chrf_score(M.chrf_sums(weight=F.col("times"))).alias("s"))
-    delta = per.groupBy("rep").agg((F.max(F.when(F.col("noise") == 0.1, F.col("s"))) - F.max(F.when(F.col("noise") == 0.2, F.col("s")))).alias("d"))
-    p = (F.count_if(F.col("d") <= 0) + 1) / (F.count(F.lit(1)) + 1)
-    out = delta.agg(F.count(F.lit(1)).alias("replicates"), F.round(F.avg("d"), 6).alias("delta"), F.round(p, 9).alias("p_value"))
-    return out.withColumn("significant", (F.col("p_value") < 0.05) & (F.abs("delta") >= 1e-6))
+    """chrF++ and BLEU on resampled segments."""
+    return _significance(spark, sf_dir, ["chrF++", "BLEU"], "bootstrap")
+
+
+def paired_bootstrap_ter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _significance(spark, sf_dir, ["TER"], "bootstrap")
 
 
 def approximate_randomisation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same question by swapping the two systems' outputs of segments at random: how often is the gap as large as it is?"""
-    c = _counts(spark, sf_dir, seeds=[42], noises=[0.1, 0.2])
-    reps = c.select("failure_id", "noise", "chrf", F.explode(F.sequence(F.lit(-1), F.lit(REPLICATES - 1))).alias("rep"))
-    swap = (F.col("rep") >= 0) & (X.draw(F.lit("ar"), F.col("rep").cast("string"), F.col("failure_id").cast("string")) % 2 == 1)
-    first = F.when(swap, F.col("noise") == 0.2).otherwise(F.col("noise") == 0.1)
-    s = reps.groupBy("rep", first.alias("first")).agg(M.chrf_score(M.chrf_sums()).alias("s"))
-    d = s.groupBy("rep").agg(F.abs(F.max(F.when(F.col("first"), F.col("s"))) - F.max(F.when(~F.col("first"), F.col("s")))).alias("d"))
-    real = F.max(F.when(F.col("rep") == -1, F.col("d"))).over(Window.partitionBy())
-    g = d.withColumn("real", real).where("rep >= 0").agg(F.count(F.lit(1)).alias("replicates"), F.round(F.max("real"), 6).alias("delta"), F.round((F.count_if(F.col("d") >= F.col("real")) + 1) / (F.count(F.lit(1)) + 1), 9).alias("p_value"))
-    verdict = C.significance(F.col("delta"), F.col("p_value"), F.lit(False))
-    return g.select("replicates", "delta", "p_value", verdict["significant"].alias("significant"), verdict["note"].alias("note"))
+    """chrF++ and BLEU with the outputs of segments exchanged at random."""
+    return _significance(spark, sf_dir, ["chrF++", "BLEU"], "randomised")
+
+
+def approximate_randomisation_ter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _significance(spark, sf_dir, ["TER"], "randomised")
 
 
 def metric_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All scores of every cell of the grid in one pass; COMET needs a neural model and is always missing."""
-    c = M.counted(_grid(spark, sf_dir), ["seed", "noise"], "hyp", "ref", ("chrf", "bleu", "ter", "meteor"))
-    words = F.sum(F.get("bleu", F.lit(1)))
-    return c.groupBy("seed", "noise").agg(
-        F.round(M.bleu_score(), 6).alias("bleu"), F.round(M.chrf_score(M.chrf_sums()), 6).alias("chrfpp"), F.round(100 * F.sum("ter") / words, 6).alias("ter"),
-        F.round(100 * F.avg("meteor"), 6).alias("meteor"), F.lit(None).cast("double").alias("comet"),
+    return suite(_counts(spark, sf_dir, SUITE), ["seed", "noise"])
+
+
+SUITE = ("chrf", "bleu", "ref_words", "ter", "meteor")
+
+
+def suite(counts: DataFrame, by: list[str]) -> DataFrame:
+    """The scores of each group of segments, from their counts."""
+    return counts.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("num_sentences"), F.round(M.bleu_score(), 6).alias("bleu"), F.round(M.chrf_score(M.chrf_sums()), 6).alias("chrfpp"),
+        F.round(100 * F.try_divide(F.sum("ter"), F.sum("ref_words")), 6).alias("ter"), F.round(100 * F.avg("meteor"), 6).alias("meteor"), F.lit(None).cast("double").alias("comet"),
     )
 
 
@@ -156,30 +210,22 @@ def ablation_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.history_rollup(r, "entropy_per_byte").drop("entropy_per_byte")
 
 
-def _numbered(df: DataFrame, key: str) -> DataFrame:
-    """key, i: consecutive numbers from 0 in key order, by blocks of keys and then within a block."""
-    d = df.select(key, F.floor(F.col(key) / 10000).alias("block"))
-    sizes = d.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.select("block", (F.sum("n").over(Window.orderBy("block")) - F.col("n")).alias("before"))
-    return d.join(before, "block").select(key, (F.col("before") + F.row_number().over(Window.partitionBy("block").orderBy(key)) - 1).alias("i"))
-
-
 def formatted_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean and deviation as text: no deviation for one value, a dash for none."""
     s = seed_summary(spark, sf_dir)
     return s.select("noise", F.when(F.col("n") == 0, "—").when(F.col("n") == 1, F.format_string("%.2f", "mean")).otherwise(F.format_string("%.2f ± %.2f", "mean", "std")).alias("cell"))
 
 
-_CELLS = lambda seeds, noises: " UNION ALL ".join(
-    f"SELECT failure_id, {s} AS seed, {p}::DOUBLE AS noise, text_preview AS ref, {_noise_sql(p).replace('42|', f'{s}|')} AS hyp FROM failure_sentences_100 WHERE text_preview IS NOT NULL" for s in seeds for p in noises
-)
+def _cells_sql(cells: list[tuple[int, float]], tbl: str = "parallel_examples", key: str = "pair_id", text: str = "target") -> str:
+    one = lambda s, p: f"SELECT {key}, {s} AS seed, {p}::DOUBLE AS noise, {text} AS ref, {_noise_sql(p, s, text, key)} AS hyp FROM {tbl} WHERE {text} IS NOT NULL"
+    return " UNION ALL ".join(one(s, p) for s, p in cells)
 
 
 def _w13(t: str) -> str:
     out = t
     for pattern, stand_in in M.SPLITTING:
         out = f"regexp_replace({out}, '{pattern}', '{stand_in.format(chr(92) + '1', chr(92) + '2')}', 'g')"
-    return f"list_filter(regexp_split_to_array({out}, '\\s+'), lambda w: w <> '')"
+    return f"list_filter(regexp_split_to_array({out}, '{X.WHITE}+'), lambda w: w <> '')"
 
 
 def _chrf_words_sql(t: str) -> str:
@@ -190,22 +236,29 @@ def _chrf_words_sql(t: str) -> str:
     )
 
 
-def _grams_sql(seeds: list[int], noises: list[float]) -> str:
-    """Tables g (cells) and k: failure_id, seed, noise, o (order), h, r, m."""
-    parts = []
-    for o in range(1, 7):
-        grams = lambda c, o=o: f"list_transform(range(len({c}) - {o - 1}), lambda i: array_to_string({c}[i + 1:i + {o}], ''))"
-        parts.append(f"SELECT failure_id, seed, noise, {o} AS o, {grams('hc')} AS hg, {grams('rc')} AS rg FROM t")
-    for o in (1, 2):
-        grams = lambda c, o=o: f"list_transform(range(len({c}) - {o - 1}), lambda i: array_to_string({c}[i + 1:i + {o}], chr(1)))"
-        parts.append(f"SELECT failure_id, seed, noise, {6 + o} AS o, {grams('hw')} AS hg, {grams('rw')} AS rg FROM t")
+def _overlap_sql(x: str, orders: list[tuple[int, str, int]]) -> str:
+    """Tables {x}k: pair_id, seed, noise, o, h, r, m: n-grams of each side and in both, from {x}h (pair_id, seed, noise, lists of units) and
+    {x}r (pair_id, the same lists), for each (order's number, list, n)."""
+    grams = lambda c, n: f"list_transform(range(len({c}) - {n - 1}), lambda i: hash({c}[i + 1:i + {n}]))"
+    hq = " UNION ALL ".join(f"SELECT pair_id, seed, noise, {o} AS o, {grams(c, n)} AS v FROM {x}h" for o, c, n in orders)
+    rq = " UNION ALL ".join(f"SELECT pair_id, {o} AS o, {grams(c, n)} AS v FROM {x}r" for o, c, n in orders)
+    return (
+        f"{x}hq AS MATERIALIZED ({hq}), {x}rq AS MATERIALIZED ({rq})"
+        f", {x}hx AS (SELECT pair_id * 10 + o AS ro, seed * 10 + (noise * 10)::INT AS cell, v, count(*) AS n FROM (SELECT pair_id, seed, noise, o, unnest(v) AS v FROM {x}hq) GROUP BY ALL)"
+        f", {x}rx AS (SELECT pair_id * 10 + o AS ro, v, count(*) AS n FROM (SELECT pair_id, o, unnest(v) AS v FROM {x}rq) GROUP BY ALL)"
+        f", {x}mx AS (SELECT a.ro, a.cell, sum(least(a.n, b.n)) AS m FROM {x}hx a JOIN {x}rx b ON a.ro = b.ro AND a.v = b.v GROUP BY ALL)"
+        f", {x}k AS MATERIALIZED (SELECT h.pair_id, h.seed, h.noise, h.o, len(h.v) AS h, len(r.v) AS r, coalesce(m, 0) AS m FROM {x}hq h JOIN {x}rq r ON r.pair_id = h.pair_id AND r.o = h.o"
+        f" LEFT JOIN {x}mx ON {x}mx.ro = h.pair_id * 10 + h.o AND {x}mx.cell = h.seed * 10 + (h.noise * 10)::INT)"
+    )
+
+
+def _grams_sql(cells: list[tuple[int, float]]) -> str:
+    """Tables g (cells) and k: pair_id, seed, noise, o (order), h, r, m."""
     chars = lambda c: f"regexp_extract_all(regexp_replace({c}, '{X.WHITE}+', '', 'g'), '(?s).')"
+    orders = [*((o, "c", o) for o in range(1, 7)), (7, "w", 1), (8, "w", 2)]
     return (
-        f"g AS ({_CELLS(seeds, noises)}), t AS (SELECT failure_id, seed, noise, {chars('hyp')} AS hc, {chars('ref')} AS rc, {_chrf_words_sql('hyp')} AS hw, {_chrf_words_sql('ref')} AS rw FROM g),"
-        f" q AS ({' UNION ALL '.join(parts)}), hx AS (SELECT failure_id, seed, noise, o, x, count(*) AS n FROM (SELECT failure_id, seed, noise, o, unnest(hg) AS x FROM q) GROUP BY ALL),"
-        " rx AS (SELECT failure_id, seed, noise, o, x, count(*) AS n FROM (SELECT failure_id, seed, noise, o, unnest(rg) AS x FROM q) GROUP BY ALL),"
-        " mx AS (SELECT hx.failure_id, hx.seed, hx.noise, hx.o, sum(least(hx.n, rx.n)) AS m FROM hx JOIN rx USING (failure_id, seed, noise, o, x) GROUP BY ALL),"
-        " k AS (SELECT q.failure_id, q.seed, q.noise, q.o, len(hg) AS h, len(rg) AS r, coalesce(m, 0) AS m FROM q LEFT JOIN mx USING (failure_id, seed, noise, o))"
+        f"g AS MATERIALIZED ({_cells_sql(cells)}), ch AS MATERIALIZED (SELECT pair_id, seed, noise, {chars('hyp')} AS c, {_chrf_words_sql('hyp')} AS w FROM g)"
+        f", cr AS MATERIALIZED (SELECT pair_id, {chars('ref')} AS c, {_chrf_words_sql('ref')} AS w FROM (SELECT DISTINCT pair_id, ref FROM g)), {_overlap_sql('c', orders)}, k AS (SELECT * FROM ck)"
     )
 
 
@@ -218,36 +271,100 @@ def _chrf_sql(source: str, by: str, out: str) -> str:
     )
 
 
-_BY = _grams_sql(SEEDS, NOISES) + ", " + _chrf_sql("k", "seed, noise", "cs")
-_TWO = _grams_sql([42], [0.1, 0.2])
-_BLEU = f"WITH g AS ({_CELLS(SEEDS, NOISES)}), t AS (SELECT failure_id, seed, noise, {_w13('hyp')} AS hw, {_w13('ref')} AS rw FROM g), " + (
-    "q AS (" + " UNION ALL ".join(f"SELECT failure_id, seed, noise, {o} AS o, list_transform(range(len(hw) - {o - 1}), lambda i: array_to_string(hw[i + 1:i + {o}], chr(1))) AS hg, list_transform(range(len(rw) - {o - 1}), lambda i: array_to_string(rw[i + 1:i + {o}], chr(1))) AS rg FROM t" for o in range(1, 5)) + ")"
-    ", hx AS (SELECT failure_id, seed, noise, o, x, count(*) AS n FROM (SELECT failure_id, seed, noise, o, unnest(hg) AS x FROM q) GROUP BY ALL)"
-    ", rx AS (SELECT failure_id, seed, noise, o, x, count(*) AS n FROM (SELECT failure_id, seed, noise, o, unnest(rg) AS x FROM q) GROUP BY ALL)"
-    ", hm AS (SELECT seed, noise, o, sum(hx.n) AS h FROM hx GROUP BY ALL), mm AS (SELECT hx.seed, hx.noise, hx.o, sum(least(hx.n, rx.n)) AS m FROM hx JOIN rx USING (failure_id, seed, noise, o, x) GROUP BY ALL)"
-    ", l AS (SELECT seed, noise, sum(len(hw)) AS hl, sum(len(rw)) AS rl FROM t GROUP BY ALL)"
-    ", z AS (SELECT hm.seed, hm.noise, hm.o, h, coalesce(m, 0) AS m, sum(CASE WHEN coalesce(m, 0) = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY hm.seed, hm.noise ORDER BY hm.o) AS k FROM hm LEFT JOIN mm USING (seed, noise, o))"
-    " SELECT z.seed, z.noise, round(any_value(CASE WHEN hl < rl THEN exp(1 - rl / hl) ELSE 1.0 END) * exp(sum(CASE WHEN m = 0 THEN ln(100 / (pow(2.0, k) * h)) ELSE ln(100 * m / h) END) / 4), 7) AS bleu FROM z JOIN l USING (seed, noise) GROUP BY 1, 2"
+_BY = _grams_sql(CELLS) + ", " + _chrf_sql("k", "seed, noise", "cs")
+_TWO = _grams_sql([(s, p) for s in SEEDS for p in (0.1, 0.2)])
+
+
+def _bleu_grams_sql(cells: list[tuple[int, float]]) -> str:
+    """Tables bk (pair_id, seed, noise, o, h, r, m) and lb (pair_id, seed, noise, hl, rl)."""
+    return (
+        f"gb AS MATERIALIZED ({_cells_sql(cells)}), bh AS MATERIALIZED (SELECT pair_id, seed, noise, {_w13('hyp')} AS w FROM gb)"
+        f", br AS MATERIALIZED (SELECT pair_id, {_w13('ref')} AS w FROM (SELECT DISTINCT pair_id, ref FROM gb)), {_overlap_sql('b', [(o, 'w', o) for o in range(1, 5)])}"
+        ", lb AS (SELECT bh.pair_id, seed, noise, len(bh.w) AS hl, len(br.w) AS rl FROM bh JOIN br ON br.pair_id = bh.pair_id)"
+    )
+
+
+def _bleu_sql(h: list[str], m: list[str], hl: str, rl: str) -> str:
+    """The score of sums by order."""
+    logs, zeros = [], "0"
+    for x, y in zip(h, m):
+        zeros = f"({zeros} + CASE WHEN {y} = 0 THEN 1 ELSE 0 END)"
+        logs.append(f"CASE WHEN {y} = 0 THEN ln(100 / (pow(2.0, {zeros}) * {x})) ELSE ln(100 * {y} / {x}) END")
+    return f"CASE WHEN {m[0]} = 0 OR {h[3]} = 0 THEN 0.0 ELSE CASE WHEN {hl} < {rl} THEN exp(1 - {rl} / {hl}) ELSE 1.0 END * exp(({' + '.join(logs)}) / 4) END"
+
+
+_BLEU = _bleu_grams_sql(CELLS) + (
+    ", wb AS (SELECT seed, noise, " + ", ".join(f"sum({x}) FILTER (WHERE o = {o}) AS {x}{o}" for x in "hm" for o in range(1, 5)) + " FROM bk GROUP BY 1, 2)"
+    ", ll AS (SELECT seed, noise, sum(hl) AS hl, sum(rl) AS rl FROM lb GROUP BY 1, 2)"
+    f", bl AS (SELECT seed, noise, {_bleu_sql(['h1', 'h2', 'h3', 'h4'], ['m1', 'm2', 'm3', 'm4'], 'hl', 'rl')} AS s FROM wb JOIN ll USING (seed, noise))"
 )
+
+
+def _wide_chrf_sql(x: str) -> str:
+    used = [f"({x}h{o} > 0 AND {x}r{o} > 0)" for o in range(1, 9)]
+    n, p, r = (
+        "(" + " + ".join(c) + ")"
+        for c in ([f"{u}::INT" for u in used], [f"CASE WHEN {u} THEN {x}m{o} / {x}h{o} ELSE 0.0 END" for o, u in enumerate(used, 1)], [f"CASE WHEN {u} THEN {x}m{o} / {x}r{o} ELSE 0.0 END" for o, u in enumerate(used, 1)])
+    )
+    return f"CASE WHEN {n} = 0 OR {p} + {r} = 0 THEN 0.0 ELSE 100 * 5 * ({p} / {n}) * ({r} / {n}) / (4 * ({p} / {n}) + {r} / {n}) END"
+
+
+def _test_sql(kind: str) -> str:
+    """The paired test on sums of counts, a column for each: replicates x pairs x columns."""
+    cells = [(s, p) for s in SEEDS for p in (0.1, 0.2)]
+    side = {"a": 0.1, "b": 0.2}
+    wide_c = ", ".join(f"max({c}) FILTER (WHERE o = {o} AND noise = {p}) AS {x}{c}{o}" for x, p in side.items() for c in "hrm" for o in range(1, 9))
+    wide_b = ", ".join(f"max({c}) FILTER (WHERE o = {o} AND noise = {p}) AS {x}n{c}{o}" for x, p in side.items() for c in "hm" for o in range(1, 5))
+    wide_l = ", ".join(f"max({c}) FILTER (WHERE noise = {p}) AS {x}{c}" for x, p in side.items() for c in ("hl", "rl"))
+    names = [f"{c}{o}" for c in "hrm" for o in range(1, 9)] + [f"n{c}{o}" for c in "hm" for o in range(1, 5)] + ["hl", "rl"]
+    draw = _draws_sql("rep", "pair_id", "0") + "[1]"
+    if kind == "bootstrap":
+        steps, total, part = [], 0.0, 1.0
+        for k in range(9):  # the distribution function of a Poisson variable of mean 1
+            part = part / k if k else 1.0
+            total += part
+            steps.append(int(total * exp(-1) * 2147483647))
+        weight = "CASE WHEN rep < 0 THEN 1 ELSE " + " + ".join(f"(d >= {t})::INT" for t in steps) + " END"
+        sums = ", ".join(f"sum(w * {x}{n}) AS {x}{n}" for x in "ab" for n in names)
+        off = "abs(d - mean)"
+    else:
+        weight = "CASE WHEN rep < 0 THEN 0 ELSE d % 2 END"
+        sums = ", ".join(f"sum(CASE WHEN w = 1 THEN {y}{n} ELSE {x}{n} END) AS {x}{n}" for x, y in ("ab", "ba") for n in names)
+        off = "abs(d)"
+    bleu = lambda x: _bleu_sql([f"{x}nh{o}" for o in range(1, 5)], [f"{x}nm{o}" for o in range(1, 5)], f"{x}hl", f"{x}rl")
+    return (
+        f"WITH {_grams_sql(cells)}, {_bleu_grams_sql(cells)}, wc AS (SELECT pair_id, seed, {wide_c} FROM k GROUP BY 1, 2), wn AS (SELECT pair_id, seed, {wide_b} FROM bk GROUP BY 1, 2), wl AS (SELECT pair_id, seed, {wide_l} FROM lb GROUP BY 1, 2)"
+        f", ww AS (SELECT * FROM wc JOIN wn USING (pair_id, seed) JOIN wl USING (pair_id, seed)), ids AS (SELECT DISTINCT pair_id FROM ww)"
+        f", dr AS (SELECT rep, pair_id, {weight} AS w FROM (SELECT rep, pair_id, {draw} AS d FROM ids CROSS JOIN (SELECT unnest(range(-1, {REPLICATES})) AS rep)))"
+        f", su AS (SELECT rep, seed, {sums} FROM dr JOIN ww USING (pair_id) GROUP BY 1, 2)"
+        f", sc AS (SELECT rep, seed, 'chrF++' AS metric, {_wide_chrf_sql('a')} AS a, {_wide_chrf_sql('b')} AS b FROM su UNION ALL SELECT rep, seed, 'BLEU', {bleu('a')}, {bleu('b')} FROM su)"
+        ", de AS (SELECT *, a - b AS d FROM sc), re AS (SELECT *, max(CASE WHEN rep = -1 THEN d END) OVER w AS real, avg(CASE WHEN rep >= 0 THEN d END) OVER w AS mean FROM de WINDOW w AS (PARTITION BY seed, metric))"
+        f", pv AS (SELECT metric, seed, count(*) FILTER (WHERE rep >= 0) AS replicates, any_value(real) AS delta, (count(*) FILTER (WHERE rep >= 0 AND {off} > abs(real)) + 1) / (count(*) FILTER (WHERE rep >= 0) + 1) AS p, bool_or(rep = -1 AND a = b) AS same FROM re GROUP BY 1, 2)"
+        " SELECT metric, seed, replicates, round(delta, 6) AS delta, round(p, 9) AS p_value, abs(delta) >= 1e-6 AND p < 0.05 AS significant, CASE WHEN same THEN 'identical output to the baseline' WHEN abs(delta) < 1e-6 THEN 'no measurable difference; p-value not meaningful' ELSE '' END AS note FROM pv"
+    )
+
+
 _TC = "CASE WHEN n < 2 THEN 0.0 ELSE " + "CASE n - 1 WHEN 1 THEN 12.706 WHEN 2 THEN 4.303 END * std / sqrt(n) END"
 _SUM = f"{_BY}, ss AS (SELECT noise, count(*) AS n, avg(round(s, 7)) AS mean, coalesce(stddev_samp(round(s, 7)), 0) AS std FROM cs GROUP BY 1)"
 
 SQL = {
-    "chrfpp_by_noise": f"WITH {_BY} SELECT seed, noise, round(s, 7) AS chrfpp, (SELECT count(DISTINCT failure_id) FROM g) AS segments FROM cs",
-    "bleu_by_noise": _BLEU,
-    "length_delta": f"WITH g AS ({_CELLS([42], NOISES)}) SELECT noise, (length(hyp) - length(ref))::INT AS delta, count(*) AS n FROM g GROUP BY 1, 2",
-    "identical_outputs": f"WITH g AS ({_CELLS(SEEDS, NOISES)}) SELECT seed, noise, bool_and(hyp = ref) AS identical FROM g GROUP BY 1, 2",
+    "chrfpp_by_noise": f"WITH {_BY} SELECT seed, noise, round(s, 7) AS chrfpp, (SELECT count(DISTINCT pair_id) FROM g) AS segments FROM cs",
+    "bleu_by_noise": f"WITH {_BLEU} SELECT seed, noise, round(s, 7) AS bleu FROM bl",
+    "length_delta": f"WITH g AS ({_cells_sql(CELLS, 'documents', 'doc_id', 'text')}) SELECT seed, noise, (length(hyp) - length(ref))::INT AS delta, count(*) AS n FROM g GROUP BY 1, 2, 3",
+    "identical_outputs": f"WITH g AS ({_cells_sql(CELLS)}) SELECT seed, noise, bool_and(hyp = ref) AS identical FROM g GROUP BY 1, 2",
     "seed_summary": f"WITH {_SUM} SELECT noise, n, round(mean, 6) AS mean, round(std, 6) AS std, round(mean - {_TC}, 6) AS low, round(mean + {_TC}, 6) AS high FROM ss",
     "formatted_cells": f"WITH {_SUM} SELECT noise, printf('%.2f ± %.2f', round(mean, 6), round(std, 6)) AS cell FROM ss",
-    "metric_pivot": f"WITH {_BY} SELECT noise, max(CASE WHEN seed = 42 THEN round(s, 7) END) AS seed_42, max(CASE WHEN seed = 43 THEN round(s, 7) END) AS seed_43, max(CASE WHEN seed = 44 AND noise <> 0.2 THEN round(s, 7) END) AS seed_44, string_agg('seed_' || seed, ';' ORDER BY seed) FILTER (WHERE NOT (seed = 44 AND noise = 0.2)) AS models_present FROM cs GROUP BY noise",
-    "missing_cells": f"WITH g AS ({_CELLS(SEEDS, NOISES)}), have AS (SELECT DISTINCT seed, noise FROM g WHERE NOT (seed = 44 AND noise = 0.2)), want AS (SELECT seed, noise FROM (SELECT unnest({SEEDS}) AS seed) CROSS JOIN (SELECT unnest({NOISES})::DOUBLE AS noise)) SELECT printf('seed_%d@%.1f', seed, noise) AS cell FROM want ANTI JOIN have USING (seed, noise)",
+    "metric_pivot": f"WITH {_BY}, {_BLEU}, mr AS (SELECT CASE seed WHEN 42 THEN 'blt_lcm' WHEN 43 THEN 'bpe_lcm' ELSE 'base_lcm' END AS model, noise, bl.s + CASE WHEN seed = 42 AND noise = 0.1 THEN 1 ELSE 0 END AS bleu, cs.s + CASE WHEN seed = 42 AND noise = 0.1 THEN 1 ELSE 0 END AS chrf FROM cs JOIN bl USING (seed, noise) WHERE NOT (seed = 44 AND noise = 0.2)) SELECT noise, string_agg(model, ';' ORDER BY model) AS models_present, " + ", ".join(f"round(max({c}) FILTER (WHERE model = '{m}'), 6) AS {m}_{n}" for m in ("base_lcm", "blt_lcm", "bpe_lcm") for c, n in (("bleu", "bleu"), ("chrf", "chrfpp"))) + " FROM mr GROUP BY 1",
+    "metric_curve": f"WITH {_BY}, {_BLEU}, mr AS (SELECT CASE seed WHEN 42 THEN 'blt_lcm' WHEN 43 THEN 'bpe_lcm' ELSE 'base_lcm' END AS model, noise, bl.s + CASE WHEN seed = 42 AND noise = 0.1 THEN 1 ELSE 0 END AS bleu, cs.s + CASE WHEN seed = 42 AND noise = 0.1 THEN 1 ELSE 0 END AS chrf FROM cs JOIN bl USING (seed, noise) WHERE NOT (seed = 44 AND noise = 0.2)) SELECT CASE model WHEN 'bpe_lcm' THEN 1 ELSE 2 END::INT AS place, model, noise, round(chrf, 6) AS value FROM mr WHERE model IN ('bpe_lcm', 'blt_lcm')",
+    "missing_cells": "WITH want AS (SELECT seed, noise FROM (SELECT unnest([42, 43, 44]) AS seed) CROSS JOIN (SELECT unnest([0.0, 0.1, 0.2])::DOUBLE AS noise)), have AS (SELECT w.* FROM want w WHERE EXISTS (SELECT 1 FROM parallel_examples WHERE target IS NOT NULL) AND NOT (seed = 44 AND noise = 0.2)) SELECT printf('seed_%d@%.1f', seed, noise) AS cell FROM want ANTI JOIN have USING (seed, noise)",
     "noise_curve": f"WITH {_BY}, m AS (SELECT noise, avg(round(s, 7)) AS m FROM cs GROUP BY 1) SELECT noise, round(m, 6) AS chrfpp, round(max(CASE WHEN noise = 0 THEN m END) OVER () - m, 6) AS lost FROM m",
-    "class_gain_bound": f"WITH {_TWO}, f AS (SELECT failure_id, blt_fertility, unnest(string_split(categories, '; ')) AS class FROM failure_sentences_100), lam AS (SELECT class, avg(blt_fertility) AS lam FROM f GROUP BY 1), kc AS (SELECT k.*, class FROM k JOIN f USING (failure_id)), {_chrf_sql('kc', 'class, noise', 'cc')}, two AS (SELECT class, max(CASE WHEN noise = 0.2 THEN s END) AS a, max(CASE WHEN noise = 0.1 THEN s END) AS b FROM cc GROUP BY 1) SELECT class, round(a, 6) AS score_a, round(b, 6) AS score_b, round(b - a, 6) AS gain, round(CASE WHEN lam > 0 THEN pow(lam, -1.0) END, 6) AS factor, round(greatest(0, 100 - b) / nullif(greatest(0, 100 - a), 0), 6) AS error_ratio, greatest(0, 100 - b) <= pow(lam, -1.0) * greatest(0, 100 - a) AS satisfied FROM two JOIN lam USING (class)",
+    "class_gain_bound": f"WITH {_TWO}, lab AS (SELECT pair_id, unnest({_labels_sql('target')}) AS class FROM parallel_examples WHERE target IS NOT NULL), f AS (SELECT blt_fertility, unnest(string_split(categories, '; ')) AS class FROM failure_sentences_100), lam AS (SELECT class, avg(blt_fertility) AS lam FROM f GROUP BY 1), kc AS (SELECT k.*, class FROM k JOIN lab USING (pair_id)), {_chrf_sql('kc', 'class, seed, noise', 'cc')}, two AS (SELECT class, seed, max(CASE WHEN noise = 0.2 THEN s END) AS a, max(CASE WHEN noise = 0.1 THEN s END) AS b FROM cc GROUP BY 1, 2)"
+    " SELECT class, seed, round(a, 6) AS score_a, round(b, 6) AS score_b, round(b - a, 6) AS gain, round(CASE WHEN lam > 0 THEN pow(lam, -1.0) END, 6) AS factor, round(greatest(0.0, 100 - b) / nullif(greatest(0.0, 100 - a), 0), 6) AS error_ratio, greatest(0.0, 100 - b) <= CASE WHEN lam > 0 THEN pow(lam, -1.0) END * greatest(0.0, 100 - a) AS satisfied FROM two JOIN lam USING (class)",
     "best_cell": f"WITH {_BY} SELECT seed, noise, round(s, 7) AS chrfpp FROM cs WHERE noise > 0 ORDER BY round(s, 7) DESC, seed, noise LIMIT 1",
     "ablation_rollup": "SELECT run_name, sentence_index, written_at, entropy_per_byte[-1] AS final_loss, list_min(entropy_per_byte) AS best_loss, len(entropy_per_byte)::INT AS epochs FROM blt_marathi_patched",
-    "approximate_randomisation": f"WITH {_TWO}, x AS (SELECT rep, o, h, r, m, CASE WHEN rep >= 0 AND ('0x' || md5('ar|' || rep || '|' || failure_id)[1:8])::BIGINT % 2 = 1 THEN noise = 0.2 ELSE noise = 0.1 END AS first FROM k CROSS JOIN (SELECT unnest(range(-1, {REPLICATES})) AS rep)), {_chrf_sql('x', 'rep, first', 'cx')}, d AS (SELECT rep, abs(max(CASE WHEN first THEN s END) - max(CASE WHEN NOT first THEN s END)) AS d FROM cx GROUP BY 1), z AS (SELECT rep, d, max(CASE WHEN rep = -1 THEN d END) OVER () AS real FROM d), a AS (SELECT count(*) AS replicates, round(max(real), 6) AS delta, round((count(*) FILTER (WHERE d >= real) + 1) / (count(*) + 1), 9) AS p_value FROM z WHERE rep >= 0) SELECT *, abs(delta) >= 1e-6 AND p_value < 0.05 AS significant, CASE WHEN abs(delta) < 1e-6 THEN 'no measurable difference; p-value not meaningful' ELSE '' END AS note FROM a",
+    "approximate_randomisation": _test_sql("randomised"),
     "pearson_spearman": "WITH f AS (SELECT n_words::DOUBLE AS x, n_patches::DOUBLE AS y FROM failure_sentences_100 WHERE n_words IS NOT NULL AND n_patches IS NOT NULL), r AS (SELECT x, y, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2 AS ry FROM f) SELECT count(*) AS n, round(corr(x, y), 7) AS pearson, round(corr(rx, ry), 7) AS spearman FROM r",
-    "paired_bootstrap": f"WITH {_TWO}, ids AS (SELECT failure_id, row_number() OVER (ORDER BY failure_id) - 1 AS i, count(*) OVER () AS n FROM failure_sentences_100 WHERE text_preview IS NOT NULL), dr AS (SELECT rep, ('0x' || md5(rep || '|' || i)[1:8])::BIGINT % n AS i FROM ids CROSS JOIN (SELECT unnest(range({REPLICATES})) AS rep)), pk AS (SELECT rep, i, count(*) AS times FROM dr GROUP BY 1, 2), kw AS (SELECT rep, noise, o, h * times AS h, r * times AS r, m * times AS m FROM pk JOIN ids USING (i) JOIN k USING (failure_id)), {_chrf_sql('kw', 'rep, noise', 'cr')}, de AS (SELECT rep, max(CASE WHEN noise = 0.1 THEN s END) - max(CASE WHEN noise = 0.2 THEN s END) AS d FROM cr GROUP BY 1), o AS (SELECT count(*) AS replicates, round(avg(d), 6) AS delta, round((count(*) FILTER (WHERE d <= 0) + 1) / (count(*) + 1), 9) AS p_value FROM de) SELECT *, p_value < 0.05 AND abs(delta) >= 1e-6 AS significant FROM o",
+    "paired_bootstrap": _test_sql("bootstrap"),
 }
 
 SQL["bound_summary"] = f"SELECT count(*) AS classes, count(*) FILTER (WHERE satisfied) AS satisfied, round(avg(satisfied::INT), 9) AS share FROM ({SQL['class_gain_bound']})"
@@ -255,7 +372,7 @@ SQL["bound_summary"] = f"SELECT count(*) AS classes, count(*) FILTER (WHERE sati
 QUERIES = {
     f.__name__: f
     for f in (
-        chrfpp_by_noise, bleu_by_noise, edit_metrics_by_noise, length_delta, identical_outputs, seed_summary, formatted_cells, metric_pivot, missing_cells, noise_curve, class_gain_bound, bound_summary,
-        pearson_spearman, paired_bootstrap, approximate_randomisation, metric_suite, best_cell, ablation_rollup,
+        chrfpp_by_noise, bleu_by_noise, edit_metrics_by_noise, length_delta, identical_outputs, seed_summary, formatted_cells, metric_pivot, metric_curve, missing_cells, noise_curve, class_gain_bound, bound_summary,
+        pearson_spearman, paired_bootstrap, paired_bootstrap_ter, approximate_randomisation, approximate_randomisation_ter, metric_suite, best_cell, ablation_rollup,
     )
 }

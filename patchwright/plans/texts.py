@@ -6,12 +6,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import entropy as E
+from ..operators import noise as N
+from ..operators import order as O
 from ..sources.tables import spread, table
 
-# Suffixes that the default morpheme splitter takes off, and words it takes for postpositions.
+#: What the stand-ins for an analyzer and a tagger know: suffixes that come off, postpositions, verb endings, other function words.
 SUFFIXES = ["च्या", "साठी", "बद्दल", "पासून", "पर्यंत", "खाली", "मागे", "जवळ", "समोर", "मुळे", "ला", "ने", "ची", "चे", "चा", "वर", "कडे", "शी", "तून", "त"]
 POSTPOSITIONS = ["येथील", "तिथे", "इथे", "यांच्यामुळे", "यांनी"]
 VERBS = ["ले", "आहे", "आहेत", "होते", "होता", "नाही", "वाटते"]
+FUNCTION_WORDS = ["आणि", "व", "पण", "किंवा", "की", "हा", "ही", "हे", "तो", "ती", "ते", "मी", "आम्ही", "तुम्ही", "जर", "तर", "म्हणून", "खूप"]
 CLASSES = ["compound", "noun_root", "verb_inflection", "postposition", "other"]
 
 
@@ -56,15 +60,9 @@ def doc_regroup_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
 def regrouped(docs: DataFrame, size: int) -> DataFrame:
     """grp, sentences, documents, first_doc: the sentences of all documents by id, in groups of `size`.
 
-    Positions come from running totals of sentences by document, so only those totals are ordered globally, in
-    two steps: by blocks of ids, then within a block."""
+    Positions come from running totals of sentences by document; a document adds its part to each group it reaches."""
     s = docs.withColumn("x", X.sentences(F.col("text"))).where("size(x) > 0").select("doc_id", F.size("x").alias("n"))
-    s = s.withColumn("block", F.floor(F.col("doc_id") / 1000))
-    blocks = s.groupBy("block").agg(F.sum("n").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = blocks.select("block", before.alias("before"))  # one row for a thousand ids
-    upto = F.coalesce(F.sum("n").over(Window.partitionBy("block").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = s.join(starts, "block").withColumn("first", F.col("before") + upto)
+    placed = O.positions(s, "doc_id", weight=F.col("n").cast("bigint"), out="first")
     groups = placed.select("doc_id", "first", "n", F.explode(F.sequence(F.floor(F.col("first") / size), F.floor((F.col("first") + F.col("n") - 1) / size))).alias("grp"))
     part = F.least(F.col("first") + F.col("n"), (F.col("grp") + 1) * size) - F.greatest(F.col("first"), F.col("grp") * size)
     return groups.groupBy("grp").agg(F.sum(part).alias("sentences"), F.count(F.lit(1)).alias("documents"), F.min("doc_id").alias("first_doc"))
@@ -101,11 +99,8 @@ def tail(df: DataFrame, key: str, k: int) -> DataFrame:
 def positional_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many of each language are in the first 80 % by id, how many in the rest; the cut is found on ids alone."""
     d = _docs(spark, sf_dir).select("doc_id", "lang")
-    blocks = d.groupBy(F.floor(F.col("doc_id") / 1000).alias("block")).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy("block")
-    cut = blocks.select("block", (F.sum("n").over(w) - F.col("n")).alias("before"), F.floor(F.sum("n").over(Window.partitionBy()) * 0.8).alias("wanted"))
-    rank = F.col("before") + F.row_number().over(Window.partitionBy("block").orderBy("doc_id"))
-    placed = d.withColumn("block", F.floor(F.col("doc_id") / 1000)).join(cut, "block").withColumn("train", rank <= F.col("wanted"))
+    cut = (d.count() * 8) // 10
+    placed = O.positions(d, "doc_id").withColumn("train", F.col("position") < cut)
     return placed.groupBy("lang").agg(F.count_if("train").alias("train"), F.count_if(~F.col("train")).alias("test"))
 
 
@@ -121,13 +116,16 @@ def _failures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = _failures(spark, sf_dir).where("text_preview is not null")
-    return f.select("failure_id", F.array_join(X.categories(F.col("text_preview")), "; ").alias("labels"), X.script_count(F.col("text_preview")).alias("devanagari"))
+    d = spread(_docs(spark, sf_dir)).where("text is not null")
+    return d.select("doc_id", F.array_join(X.categories(F.col("text")), "; ").alias("labels"), X.script_count(F.col("text")).alias("devanagari"))
 
 
 def category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = F.explode(F.split("categories", "; ")).alias("category")
-    return _failures(spark, sf_dir).select("delta", labels).groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.round(F.median("delta"), 8).alias("median_delta"))
+    """Reports of each category and their median delta."""
+    f = _failures(spark, sf_dir).select("delta", F.explode(F.split("categories", "; ")).alias("category"))
+    counts = f.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+    medians = O.quantiles(f, ["category"], "delta", [0.5]).select("category", F.round(F.get("q", F.lit(0)), 8).alias("median_delta"))
+    return counts.join(medians, "category", "left")
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,19 +176,29 @@ def morphemes(word: Column) -> Column:
     return F.when(hit, 2).otherwise(1)
 
 
-def word_class(word: Column, n: Column) -> Column:
-    virama = F.contains(word, F.lit("्")) & (F.length(word) >= 6)
+def word_class(upos: Column, word: Column, n: Column) -> Column:
+    """The class of a word by its part of speech, its letters and its number of morphemes; the first that holds."""
+    noun, several = upos.isin("NOUN", "PROPN"), n >= 2
+    joined = F.contains(word, F.lit("्")) & (F.length(word) >= 6)
+    return (
+        F.when(several & (F.coalesce(noun, F.lit(False)) | joined), "compound").when(noun, "noun_root").when(upos.isin("VERB", "AUX"), "verb_inflection").when(upos == "ADP", "postposition").otherwise("other")
+    )
+
+
+def part_of_speech(word: Column) -> Column:
+    """A stand-in for a tagger, whose tags any other column may replace."""
     verb = F.lit(False)
     for v in VERBS:
         verb = verb | F.endswith(word, F.lit(v))
-    return F.when((n >= 2) & virama, "compound").when(word.isin(POSTPOSITIONS), "postposition").when(verb, "verb_inflection").when(n == 1, "noun_root").otherwise("other")
+    return F.when(word.isin(POSTPOSITIONS), "ADP").when(verb, "VERB").when(word.isin(FUNCTION_WORDS), "PRON").otherwise("NOUN")
 
 
 def _class_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, pos, word, n, class of words in Devanagari, punctuation off."""
+    """doc_id, pos, word, n, upos, class of words in Devanagari, punctuation off."""
     d = spread(_docs(spark, sf_dir)).where("lang = 'mar_Deva'").select("doc_id", F.posexplode(X.words(F.col("text"))).alias("pos", "raw"))
     w = d.select("doc_id", "pos", F.regexp_replace("raw", r"[^\x{0900}-\x{0963}\x{0966}-\x{097F}]", "").alias("word")).where("word <> ''")
-    return w.withColumn("n", morphemes(F.col("word"))).withColumn("class", word_class(F.col("word"), F.col("n")))
+    tagged = w.withColumn("n", morphemes(F.col("word"))).withColumn("upos", part_of_speech(F.col("word")))
+    return tagged.withColumn("class", word_class(F.col("upos"), F.col("word"), F.col("n")))
 
 
 def class_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -213,9 +221,9 @@ def class_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def capped_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words by length, lengths above 6 together, in per cent of their class."""
-    h = _class_words(spark, sf_dir).groupBy("class", F.least(F.length("word"), F.lit(6)).alias("length")).agg(F.count(F.lit(1)).alias("n"))
-    return h.withColumn("percent", F.round(100 * F.col("n") / F.sum("n").over(Window.partitionBy("class")), 8))
+    """Words by their number of morphemes, those of 6 and more together, in per cent of their class."""
+    h = _class_words(spark, sf_dir).groupBy("class", F.least("n", F.lit(6)).alias("morphemes")).agg(F.count(F.lit(1)).alias("words"))
+    return h.withColumn("percent", F.round(100 * F.col("words") / F.sum("words").over(Window.partitionBy("class")), 8))
 
 
 def patch_vs_token(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -242,28 +250,31 @@ def class_words_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def char_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = _failures(spark, sf_dir).where("text_preview is not null")
-    return f.select("failure_id", *(X.noised(F.col("text_preview"), F.col("failure_id"), p, 42).alias(f"noise_{round(100 * p)}") for p in (0.0, 0.1, 0.2)))
+    """Every document with no, a tenth and a fifth of its characters struck."""
+    return N.characters(spread(_docs(spark, sf_dir)), "doc_id", "text", {"noise_0": 0.0, "noise_10": 0.1, "noise_20": 0.2}, 42)
 
 
 def token_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Byte ids of the previews with a tenth replaced by the unknown id 3; padding (0) never is."""
-    ids = X.byte_tokens(F.col("text_preview"))
-    hit = lambda i: X.draw(F.lit("7"), F.col("failure_id").cast("string"), i.cast("string")) < int(0.1 * 2**32)
-    noisy = F.transform(ids, lambda t, i: F.when((t != 0) & hit(i), 3).otherwise(t))
-    f = _failures(spark, sf_dir).where("text_preview is not null").withColumn("noisy", noisy)
-    return f.select("failure_id", F.size("noisy").alias("n"), F.size(F.filter("noisy", lambda t: t == 3)).alias("replaced"), F.aggregate("noisy", F.lit(0).cast("bigint"), lambda a, t: a + t).alias("total"))
+    """Byte ids of the documents with a tenth replaced by the unknown id 3: how many there are, how many were replaced, their sum."""
+    ids = N.byte_ids(spread(_docs(spark, sf_dir)).where("text is not null"), "doc_id", "text", 0.1, 7)
+    return ids.select("doc_id", F.size("ids").alias("n"), F.size(F.filter("ids", lambda t: t == 3)).alias("replaced"), F.aggregate("ids", F.lit(0).cast("bigint"), lambda a, t: a + t).alias("total"))
+
+
+def sentence_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The seeds of a sentence's noise by the three rules: of its document and place, of its place, of a string."""
+    s = spread(_docs(spark, sf_dir)).select("doc_id", F.posexplode(X.sentences(F.col("text"))).alias("pos", "sentence"))
+    return s.select("doc_id", "pos", X.sentence_seed(F.col("doc_id"), F.col("pos")).alias("by_document"), F.col("pos").cast("bigint").alias("by_place"), X.string_seed("noise", F.lit(42), F.lit("0.1"), F.col("pos")).alias("by_string"))
 
 
 def byte_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where the characters of every preview begin in its bytes: how many, the last, and their sum."""
-    o = _failures(spark, sf_dir).where("text_preview <> ''").withColumn("o", X.byte_offsets(F.col("text_preview")))
-    return o.select("failure_id", F.size("o").alias("n"), F.element_at("o", -1).alias("last"), F.aggregate("o", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"))
+    """Where the characters of every document begin in its bytes: how many, the last, and their sum."""
+    o = E.character_offsets(spread(_docs(spark, sf_dir)).where("text <> ''"), "doc_id", "text")
+    return o.select("doc_id", F.size("offsets").alias("n"), F.element_at("offsets", -1).alias("last"), F.aggregate("offsets", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"))
 
 
 def redact_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Credentials masked in documents with three planted lines, and how many; the hash stands for the text."""
-    planted = F.concat(F.col("text"), F.lit("\napi_key = abcdef123456\nhttps://me:secret@host/x\nghp_0123456789abcdefXYZ"))
+    """Credentials masked in documents with five planted lines, and how many; the hash stands for the text."""
+    planted = F.concat(F.col("text"), F.lit("\napi_key = abcdef123456\nhttps://me:secret@host/x\nghp_0123456789abcdefXYZ\nrun 0123456789ABCDEF0123456789abcdef01234567 of wandb\nsha 0123456789abcdef0123456789abcdef01234567 of git"))
     d = _docs(spark, sf_dir).where("text is not null").withColumn("t", planted)
     return d.select("doc_id", X.secrets(F.col("t")).alias("hits"), F.md5(X.redacted(F.col("t"))).alias("digest"))
 
@@ -322,40 +333,68 @@ def _sentences_sql(text: str, end: str) -> str:
 
 _SFULL = _sentences_sql("translate(text, chr(10), ' ')", X.SENTENCE_END)
 _MORPH = "CASE WHEN " + " OR ".join(f"(ends_with(word, '{s}') AND length(word) > {len(s) + 1})" for s in SUFFIXES) + " THEN 2 ELSE 1 END"
-_CLASS = (
-    "CASE WHEN n >= 2 AND contains(word, '्') AND length(word) >= 6 THEN 'compound' WHEN word IN (" + ", ".join(f"'{w}'" for w in POSTPOSITIONS) + ") THEN 'postposition' WHEN "
-    + " OR ".join(f"ends_with(word, '{v}')" for v in VERBS) + " THEN 'verb_inflection' WHEN n = 1 THEN 'noun_root' ELSE 'other' END"
+_UPOS = (
+    "CASE WHEN word IN ('येथील', 'तिथे', 'इथे', 'यांच्यामुळे', 'यांनी') THEN 'ADP' WHEN " + " OR ".join(f"ends_with(word, '{v}')" for v in VERBS)
+    + " THEN 'VERB' WHEN word IN (" + ", ".join(f"'{w}'" for w in FUNCTION_WORDS) + ") THEN 'PRON' ELSE 'NOUN' END"
 )
+_CLASS = (
+    "CASE WHEN upos IN ('NOUN', 'PROPN') AND n >= 2 THEN 'compound' WHEN n >= 2 AND contains(word, '्') AND length(word) >= 6 THEN 'compound' WHEN upos IN ('NOUN', 'PROPN') THEN 'noun_root'"
+    " WHEN upos IN ('VERB', 'AUX') THEN 'verb_inflection' WHEN upos = 'ADP' THEN 'postposition' ELSE 'other' END"
+)
 _CW = (
     f"a AS (SELECT doc_id, {_words_sql('text')} AS w FROM documents WHERE lang = 'mar_Deva' AND text IS NOT NULL), b AS (SELECT doc_id, unnest(w) AS raw, unnest(range(len(w))) AS pos FROM a),"
     " c AS (SELECT doc_id, pos, regexp_replace(raw, '[^\\x{0900}-\\x{0963}\\x{0966}-\\x{097F}]', '', 'g') AS word FROM b),"
-    f" m AS (SELECT *, {_MORPH} AS n FROM c WHERE word <> ''), cw AS (SELECT *, {_CLASS} AS class FROM m)"
+    f" m AS (SELECT *, {_MORPH} AS n, {_UPOS} AS upos FROM c WHERE word <> ''), cw AS (SELECT *, {_CLASS} AS class FROM m)"
 )
 _SCORED = "s AS (SELECT *, CASE WHEN fert_augmented IS NOT NULL AND fert_retrained IS NOT NULL THEN round(blt_fertility - least(fert_augmented, fert_retrained), 9) END AS gain FROM failure_sentences_100)"
 
 
-def _noise_sql(share: float) -> str:
+def _draws_sql(seed: int, key: str, pos: str) -> str:
+    """A list of three draws, by the arithmetic of operators.noise written out."""
+    q = lambda a: f"lambda x: (x * x + {a} * x + 1) % 2147483647"
+    start = f"[({key} % 2147483647 * 1103515245 + {pos} * 12345 + {seed} * 69069) % 2147483647]"
+    x = f"list_transform(list_transform({start}, {q(40014)}), {q(40692)})"
+    a = f"list_transform({x}, {q(48271)})"
+    b = f"list_transform({a}, {q(48271)})"
+    return f"list_concat({a}, list_concat({b}, list_transform({b}, {q(48271)})))"
+
+
+_DEVA_POOL = "अआइईउऊएऐओऔकखगघचछजझटठडढतथदधनपफबभमयरलवशषसहािीुूृॄॅॆेैॉॊोौ्ॎॏंँः"
+_SIGNS = "ािीुूृॄॅॆेैॉॊोौ्ॎॏंँः"
+_ASCII_POOL = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+
+
+def _noise_sql(share: float, seed: str | int = 42, text: str = "text", key: str = "doc_id") -> str:
     if share <= 0:
-        return "text_preview"
-    part = lambda k: f"('0x' || md5('42|' || failure_id || '|' || (i - 1))[{1 + 8 * k}:{8 + 8 * k}])::BIGINT"
-    pick = lambda letters: f"substring('{letters}', ({part(2)} % {len(letters)} + 1)::INT, 1)"
-    return (
-        "array_to_string(list_transform(regexp_extract_all(text_preview, '(?s).'), lambda c, i: "
-        f"CASE WHEN regexp_matches(c, '^{_W}$') OR {part(0)} >= {int(share * 2**32)} THEN c WHEN regexp_matches(c, '{_U}') THEN "
-        f"CASE WHEN contains('{X.MATRAS}', c) AND {part(1)} % 2 = 0 THEN '' ELSE {pick(X.DEVANAGARI_NOISE)} END ELSE {pick(X.ASCII_NOISE)} END), '')"
+        return text
+    pick = lambda letters: f"substring('{letters}', (d[3] % {len(letters)} + 1)::INT, 1)"
+    one = (
+        f"CASE WHEN regexp_matches(c, '^{_W}$') OR d[1] >= {int(share * 2147483647)} THEN c WHEN c BETWEEN '\u0900' AND '\u097f' THEN"
+        f" CASE WHEN contains('{_SIGNS}', c) AND d[2] % 2 = 0 THEN '' ELSE {pick(_DEVA_POOL)} END ELSE {pick(_ASCII_POOL)} END"
     )
+    return f"array_to_string(list_transform(regexp_extract_all({text}, '(?s).'), lambda c, i: list_transform([{_draws_sql(seed, key, '(i - 1)')}], lambda d: {one})[1]), '')"
 
 
-_PLANT = "text || chr(10) || 'api_key = abcdef123456' || chr(10) || 'https://me:secret@host/x' || chr(10) || 'ghp_0123456789abcdefXYZ'"
+_PLANT = "text || chr(10) || 'api_key = abcdef123456' || chr(10) || 'https://me:secret@host/x' || chr(10) || 'ghp_0123456789abcdefXYZ' || chr(10) || 'run 0123456789ABCDEF0123456789abcdef01234567 of wandb' || chr(10) || 'sha 0123456789abcdef0123456789abcdef01234567 of git'"
 
 
 def _redact_sql() -> tuple[str, str]:
+    """(the masked text, how many masks): pattern after pattern; the one with a look-ahead goes line by line up to the last word it looks for."""
+    whole = [
+        (r"(https://)[^/\s:@]+:[^/\s@]+(@)", r"\1***:***\2"), (r"\b(gh[pousr]_[A-Za-z0-9]{16,})", "***redacted-token***"),
+        (r"\bgithub_pat_[A-Za-z0-9_]{20,}", "***redacted-token***"), (r"\bhf_[A-Za-z0-9]{20,}", "***redacted-token***"),
+    ]
     text, hits = "t", []
-    for pattern, stand_in in X.SECRETS:
-        p = pattern.replace("'", "''")
-        hits.append(f"len(regexp_extract_all({text}, '{p}'))")
-        text = f"regexp_replace({text}, '{p}', '{stand_in.replace('$', chr(92))}', 'g')"
-    return text, " + ".join(hits)
+    for pattern, stand_in in whole:
+        hits.append(f"len(regexp_extract_all({text}, '{pattern}'))")
+        text = f"regexp_replace({text}, '{pattern}', '{stand_in}', 'g')"
+    hexes, lines = r"(?i)\b[0-9a-f]{40}\b", f"string_split({text}, chr(10))"
+    head, rest = "regexp_extract(l, '(?i)^(.*)wandb', 1)", "substring(l, length(regexp_extract(l, '(?i)^(.*)wandb', 1)) + 1)"
+    hits.append(f"list_sum(list_transform({lines}, lambda l: len(regexp_extract_all({head}, '{hexes}'))))")
+    text = f"array_to_string(list_transform({lines}, lambda l: regexp_replace({head}, '{hexes}', '***redacted-token***', 'g') || {rest}), chr(10))"
+    named = r"(?i)\b(token|password|passwd|secret|api[-_]?key)\b(\"?\s*[:=]\s*\"?)([^\s\"'',]{6,})"
+    hits.append(f"len(regexp_extract_all({text}, '{named}'))")
+    return f"regexp_replace({text}, '{named}', '\\1\\2***redacted***', 'g')", " + ".join(hits)
 
 
 _REDACTED, _HITS = _redact_sql()
@@ -371,7 +410,7 @@ SQL = {
     "tail_split": "SELECT doc_id FROM documents ORDER BY doc_id DESC LIMIT 50",
     "positional_split": "SELECT lang, count(*) FILTER (WHERE r <= floor(n * 0.8)) AS train, count(*) FILTER (WHERE r > floor(n * 0.8)) AS test FROM (SELECT lang, row_number() OVER (ORDER BY doc_id) AS r, count(*) OVER () AS n FROM documents) GROUP BY lang",
     "leakage_guard": "WITH i AS (SELECT item_id, trim(unnest([eng_latn, mar_deva, hin_deva])) AS t FROM eval_nway), p AS (SELECT pair_id, trim(unnest([source, target])) AS t FROM parallel_examples) SELECT DISTINCT pair_id, item_id FROM p JOIN i ON p.t = i.t",
-    "text_categories": f"SELECT failure_id, array_to_string({_labels_sql('text_preview')}, '; ') AS labels, len(regexp_extract_all(text_preview, '{_U}'))::INT AS devanagari FROM failure_sentences_100 WHERE text_preview IS NOT NULL",
+    "text_categories": f"SELECT doc_id, array_to_string({_labels_sql('text')}, '; ') AS labels, len(regexp_extract_all(text, '{_U}'))::INT AS devanagari FROM documents WHERE text IS NOT NULL",
     "category_counts": "SELECT category, count(*) AS n, round(median(delta), 8) AS median_delta FROM (SELECT delta, unnest(string_split(categories, '; ')) AS category FROM failure_sentences_100) GROUP BY 1",
     "top_regressions": f"WITH {_SCORED}, u AS (SELECT *, row_number() OVER (PARTITION BY {_strip_sql('text_preview')} ORDER BY gain DESC, failure_id) AS c FROM s WHERE gain > 0 AND text_preview IS NOT NULL) SELECT row_number() OVER (ORDER BY gain DESC, failure_id)::INT AS rank, failure_id, gain, CASE WHEN fert_augmented <= fert_retrained THEN 'augmented' ELSE 'retrained' END AS source, substring(text_preview, 1, 100) AS preview FROM u WHERE c = 1 ORDER BY gain DESC, failure_id LIMIT 100",
     "win_tie_loss": "SELECT *, n - augmented - retrained - blt AS ties FROM (SELECT count(*) AS n, count(*) FILTER (WHERE a < r AND a < b) AS augmented, count(*) FILTER (WHERE r < a AND r < b) AS retrained, count(*) FILTER (WHERE b < a AND b < r) AS blt, count(*) FILTER (WHERE b < r) AS blt_beats_retrained, count(*) FILTER (WHERE b > r) AS retrained_beats_blt FROM (SELECT fert_augmented AS a, fert_retrained AS r, blt_fertility AS b FROM failure_sentences_100) WHERE a IS NOT NULL AND r IS NOT NULL AND b IS NOT NULL)",
@@ -380,13 +419,14 @@ SQL = {
     "class_fertility": f"WITH {_CW}, st AS (SELECT class, count(*) AS words, sum(n)::BIGINT AS morphemes, round(avg(n), 8) AS mean, round(stddev_pop(n), 8) AS std, min(n) AS least, max(n) AS most FROM cw GROUP BY 1) SELECT c.class, coalesce(words, 0) AS words, coalesce(morphemes, 0) AS morphemes, coalesce(mean, 0) AS mean, coalesce(std, 0) AS std, coalesce(least, 0) AS least, coalesce(most, 0) AS most FROM (SELECT unnest({CLASSES}) AS class) c LEFT JOIN st ON st.class = c.class",
     "global_fertility": f"WITH {_CW} SELECT count(*) AS words, round(coalesce(sum(n), 0) / greatest(1, count(*)), 8) AS fertility FROM cw",
     "class_examples": f"WITH {_CW} SELECT class, rank::INT AS rank, word FROM (SELECT class, word, row_number() OVER (PARTITION BY class ORDER BY doc_id, pos) AS rank FROM cw) WHERE rank <= 5",
-    "capped_histogram": f"WITH {_CW}, h AS (SELECT class, least(length(word), 6)::INT AS length, count(*) AS n FROM cw GROUP BY 1, 2) SELECT *, round(100 * n / sum(n) OVER (PARTITION BY class), 8) AS percent FROM h",
+    "capped_histogram": f"WITH {_CW}, h AS (SELECT class, least(n, 6)::INT AS morphemes, count(*) AS words FROM cw GROUP BY 1, 2) SELECT *, round(100 * words / sum(words) OVER (PARTITION BY class), 8) AS percent FROM h",
     "patch_vs_token": f"WITH t AS (SELECT run_name, num_patches, {_TOKENS.format(w=_words_sql('marathi_text'))} AS tokens FROM blt_marathi_patched WHERE num_patches IS NOT NULL) SELECT run_name, sum(tokens)::BIGINT AS tokens, sum(num_patches - tokens)::BIGINT AS delta, round(avg(num_patches / nullif(tokens, 0)), 8) AS ratio, round(avg(CASE WHEN tokens = 0 THEN 0.0 ELSE 100 * (1 - num_patches / tokens) END), 8) AS savings FROM t GROUP BY 1",
     "class_compression": f"WITH r AS (SELECT num_bytes, num_patches, {_labels_sql('marathi_text')} AS l FROM blt_marathi_patched WHERE num_patches IS NOT NULL AND num_bytes IS NOT NULL), e AS (SELECT num_bytes, num_patches, unnest(list_concat(l, ['overall'])) AS class FROM r WHERE l IS NOT NULL) SELECT class, count(*) AS sentences, sum(num_bytes)::BIGINT AS bytes, sum(num_patches)::BIGINT AS patches, round(sum(num_bytes) / nullif(sum(num_patches), 0), 8) AS ratio FROM e GROUP BY 1",
     "class_words_json": f"WITH {_CW}, c2 AS (SELECT doc_id, class, count(*) AS k FROM cw GROUP BY 1, 2) SELECT doc_id, '{{' || string_agg('\"' || class || '\":' || k, ',' ORDER BY class) || '}}' AS classes FROM c2 GROUP BY 1",
-    "char_noise": "SELECT failure_id, " + ", ".join(f"{_noise_sql(p)} AS noise_{round(100 * p)}" for p in (0.0, 0.1, 0.2)) + " FROM failure_sentences_100 WHERE text_preview IS NOT NULL",
-    "token_noise": f"WITH f AS (SELECT failure_id, list_transform(regexp_extract_all(hex(encode(text_preview)), '..'), lambda x, i: CASE WHEN ('0x' || md5('7|' || failure_id || '|' || (i - 1))[1:8])::BIGINT < {int(0.1 * 2**32)} THEN 3 ELSE ('0x' || x)::INT + 4 END) AS t FROM failure_sentences_100 WHERE text_preview IS NOT NULL) SELECT failure_id, len(t)::INT AS n, len(list_filter(t, lambda x: x = 3))::INT AS replaced, coalesce(list_sum(t), 0)::BIGINT AS total FROM f",
-    "byte_offsets": "WITH c AS (SELECT failure_id, unnest(regexp_extract_all(text_preview, '(?s).')) AS c, unnest(range(length(text_preview))) AS i FROM failure_sentences_100 WHERE text_preview <> ''), o AS (SELECT failure_id, i, sum(strlen(c)) OVER (PARTITION BY failure_id ORDER BY i) - strlen(c) AS o FROM c) SELECT failure_id, count(*)::INT AS n, max(o)::INT AS last, sum(o)::BIGINT AS total FROM o GROUP BY 1",
+    "char_noise": "SELECT doc_id, " + ", ".join(f"{_noise_sql(p)} AS noise_{round(100 * p)}" for p in (0.0, 0.1, 0.2)) + " FROM documents",
+    "token_noise": f"WITH f AS (SELECT doc_id, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x, i: CASE WHEN ({_draws_sql(7, 'doc_id', '(i - 1)')})[1] < {int(0.1 * 2147483647)} THEN 3 ELSE ('0x' || x)::INT + 4 END) AS t FROM documents WHERE text IS NOT NULL) SELECT doc_id, len(t)::INT AS n, len(list_filter(t, lambda x: x = 3))::INT AS replaced, coalesce(list_sum(t), 0)::BIGINT AS total FROM f",
+    "sentence_seeds": f"WITH s AS (SELECT doc_id, unnest(range(len({_SFULL})))::INT AS pos FROM documents WHERE text IS NOT NULL) SELECT doc_id, pos, doc_id * 1000 + pos AS by_document, pos::BIGINT AS by_place, ('0x' || md5('noise|42|0.1|' || pos)[1:8])::BIGINT % 2147483648 AS by_string FROM s",
+    "byte_offsets": "WITH c AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?s).')) AS c, unnest(range(length(text))) AS i FROM documents WHERE text <> ''), o AS (SELECT doc_id, i, sum(strlen(c)) OVER (PARTITION BY doc_id ORDER BY i) - strlen(c) AS o FROM c) SELECT doc_id, count(*)::INT AS n, max(o)::INT AS last, sum(o)::BIGINT AS total FROM o GROUP BY 1",
     "redact_counts": f"WITH d AS (SELECT doc_id, {_PLANT} AS t FROM documents WHERE text IS NOT NULL) SELECT doc_id, ({_HITS})::INT AS hits, md5({_REDACTED}) AS digest FROM d",
     "tail_lines": "SELECT doc_id, md5(array_to_string(string_split(text, chr(10))[-3:], chr(10))) AS digest FROM documents WHERE text IS NOT NULL",
     "language_aliases": "WITH n AS (SELECT lang_code, display_name, lower(unnest(list_concat([lang_code], aliases))) AS name FROM language_panel), c AS (SELECT lower(trim(target_lang)) AS name, count(*) AS n FROM parallel_examples GROUP BY 1) SELECT c.name, lang_code, display_name, split_part(lang_code, '_', 2) AS script, c.n FROM c LEFT JOIN n ON n.name = c.name",
@@ -397,6 +437,6 @@ QUERIES = {
     for f in (
         sentence_split, sentence_split_variants, long_texts, pair_filters, doc_regroup_20, doc_regroup_kept, hash_fraction, tail_split, positional_split, leakage_guard, text_categories, category_counts,
         top_regressions, win_tie_loss, length_buckets, fertility, class_fertility, global_fertility, class_examples, capped_histogram, patch_vs_token, class_compression, class_words_json,
-        char_noise, token_noise, byte_offsets, redact_counts, tail_lines, language_aliases,
+        char_noise, token_noise, sentence_seeds, byte_offsets, redact_counts, tail_lines, language_aliases,
     )
 }

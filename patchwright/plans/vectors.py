@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import vectors as V
-from ..sources.tables import table
+from ..sources.tables import spread, table
 
 STEPS = 100
 
@@ -66,9 +66,14 @@ def position_mse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stop_criterion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first position of a sequence where the vector is like the one before it (cosine above 0.2 here); null if none is."""
-    s = _shifted(_vecs(spark, sf_dir)).withColumn("stop", V.cosine(F.col("embedding"), F.col("next")) > 0.2)
-    return s.groupBy("seq").agg(F.min(F.when(F.col("stop"), F.col("next_id"))).alias("stops_at"))
+    """How many of each ten vectors come before one like the end vector (the first of all, which stands for an end of text) or like the one
+    before it, by a cosine above 0.9; and the same at 0.2, which these vectors reach more often."""
+    v = _vecs(spark, sf_dir).withColumn("seq", F.floor(F.col("vec_id") / 10))
+    end = v.orderBy("vec_id").limit(1).select(F.col("embedding").alias("end"))
+    ends = end.first()
+    fixed = F.array(*(F.lit(float(x)) for x in ends[0])) if ends else F.array().cast("array<double>")
+    strict, loose = (V.stops(v, "seq", "vec_id", "embedding", fixed, m) for m in (0.9, 0.2))
+    return strict.join(loose.select("seq", F.col("kept").alias("kept_loose"), F.col("reason").alias("reason_loose")), "seq")
 
 
 def normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,13 +96,12 @@ def robust_quartiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def robust_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first and last scaled component, and how far scaling back misses the vector."""
-    v = _vecs(spark, sf_dir)
-    q = V.quartiles(v, "embedding")
-    s = V.scaled(v, "embedding", q)
-    back = V.scaled(s, "embedding", q, inverse=True).select("vec_id", F.col("embedding").alias("back"))
-    both = s.join(back, "vec_id").join(v.select("vec_id", F.col("embedding").alias("raw")), "vec_id")
-    off = F.array_max(F.zip_with("back", "raw", lambda a, b: F.abs(a - b.cast("double"))))
-    return both.select("vec_id", F.round(F.get("embedding", F.lit(0)), 6).alias("first"), F.round(F.element_at("embedding", -1), 6).alias("last"), (off < 1e-6).alias("returns"))
+    v = _vecs(spark, sf_dir).withColumn("raw", F.col("embedding"))
+    q = V.quartiles(v, "embedding").persist()
+    s = V.scaled(v, "embedding", q).withColumn("scaled", F.col("embedding"))
+    off = F.array_max(F.zip_with("embedding", "raw", lambda a, b: F.abs(a - b.cast("double"))))
+    back = V.scaled(s, "embedding", q, inverse=True)
+    return back.select("vec_id", F.round(F.get("scaled", F.lit(0)), 6).alias("first"), F.round(F.element_at("scaled", -1), 6).alias("last"), (off < 1e-6).alias("returns"))
 
 
 def mean_pool_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,28 +110,32 @@ def mean_pool_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def masked_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mean of the positive components only; 0 where there are none."""
-    kept = F.filter("embedding", lambda x: x > 0)
-    total = F.aggregate(kept, F.lit(0.0), lambda s, x: s + x.cast("double"))
-    return _vecs(spark, sf_dir).select("vec_id", F.round(total / F.greatest(F.lit(1), F.size(kept)), 7).alias("pooled"))
+    """The mean of each ten vectors without those whose id is divisible by 3, which stand for padding."""
+    v = _vecs(spark, sf_dir).withColumn("seq", F.floor(F.col("vec_id") / 10))
+    return V.masked_mean(v, "seq", F.col("vec_id") % 3 != 0, "embedding").select("seq", "dim", F.round("mean", 7).alias("mean"))
+
+
+def _books(v: DataFrame):
+    return V.codebooks(v, "vec_id", "embedding", 2, 16, 8)
 
 
 def rvq_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codes on two levels of sixteen centroids, and the error left."""
     v = _vecs(spark, sf_dir)
-    return V.quantised(v, "vec_id", "embedding", V.codebooks(v, "vec_id", "embedding", 2, 16, 8))
+    return V.quantised(v, "vec_id", "embedding", _books(v))
 
 
-def running_robust_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Medians of batches of fifty vectors by id (of the first component), blended with momentum 0.9."""
-    b = _vecs(spark, sf_dir).select(F.floor(F.col("vec_id") / 50).alias("batch"), F.get("embedding", F.lit(0)).cast("double").alias("x")).groupBy("batch").agg(F.median("x").alias("m"))
-    series = b.agg(F.array_sort(F.collect_list(F.struct("batch", "m"))).alias("s"))  # one row for fifty vectors of the fit
-    step = lambda a, x: F.struct(F.when(a["n"] == 0, x["m"]).otherwise(0.9 * a["m"] + 0.1 * x["m"]).alias("m"), (a["n"] + 1).alias("n"))
-    out = series.select(F.aggregate("s", F.struct(F.lit(0.0).alias("m"), F.lit(0).alias("n")), step).alias("a"))
-    return out.select(F.round("a.m", 7).alias("median"), F.col("a.n").alias("batches"))
+def rvq_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the codes of one level and of both give back: the squared distance to the vector."""
+    v = _vecs(spark, sf_dir)
+    books = _books(v)
+    codes = V.quantised(v, "vec_id", "embedding", books)
+    one, two = (V.decoded(codes, "vec_id", books, n).withColumnRenamed("vector", f"v{n}") for n in (1, 2))
+    far = lambda c: F.round(F.aggregate(F.zip_with("embedding", c, lambda a, b: F.pow(a.cast("double") - b, F.lit(2.0))), F.lit(0.0), lambda x, y: x + y), 6)
+    return v.join(one, "vec_id").join(two, "vec_id").select("vec_id", far("v1").alias("error_one"), far("v2").alias("error_two"))
 
 
-def running_robust_by_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
+def running_robust_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Medians and interquartile ranges of batches of fifty vectors by id, blended with momentum 0.9, of every component."""
     q = V.running_quartiles(_vecs(spark, sf_dir), "vec_id", "embedding")
     return q.select("dim", F.round("median", 7).alias("median"), F.round("iqr", 7).alias("iqr"), "batches")
@@ -150,35 +158,29 @@ def noise_schedules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ngram_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rolling hashes of the byte ids of every preview, three, four and five at a time: how many, how many are undefined, the last table
+    """Rolling hashes of the byte ids of every document, three, four and five at a time: how many, how many are undefined, the last table
     index, and the sum of each index times its position from 1, modulo 2**61 - 1."""
 
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = []
-            for record, t in zip(f["failure_id"], f["text_preview"]):
+            for record, t in zip(f["doc_id"], f["text"]):
                 ids = [b + 4 for b in t.encode()]
                 for n in (3, 4, 5):
                     h = V.rolling_hashes(ids, n)
                     slots = [x % 500_000 if x >= 0 else -1 for x in h]
                     digest = sum(i * x for i, x in enumerate(slots, 1) if x >= 0) % V.PRIME
                     rows.append((record, n, len(h), h.count(-1), slots[-1] if slots else -1, digest))
-            yield pd.DataFrame(rows, columns=["failure_id", "size", "n", "undefined", "last_slot", "slots_digest"])
+            yield pd.DataFrame(rows, columns=["doc_id", "size", "n", "undefined", "last_slot", "slots_digest"])
 
-    f = table(spark, sf_dir, "failure_sentences_100").where("text_preview is not null")
-    return f.select("failure_id", "text_preview").mapInPandas(score, "failure_id bigint, size int, n bigint, undefined bigint, last_slot bigint, slots_digest bigint")
+    d = spread(table(spark, sf_dir, "documents")).where("text is not null")
+    return d.select("doc_id", "text").mapInPandas(score, "doc_id bigint, size int, n bigint, undefined bigint, last_slot bigint, slots_digest bigint")
 
 
 def budget_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Previews by length into bins of a padded size of at most 8192 bytes and 64 rows, within buckets of the id's hash."""
-
-    def pack(frame: pd.DataFrame) -> pd.DataFrame:
-        f = frame.sort_values(["n", "failure_id"])
-        return f.assign(bin=V.packed(f["n"].tolist(), 8192, 64))
-
-    f = table(spark, sf_dir, "failure_sentences_100").where("text_preview is not null").select("failure_id", F.octet_length("text_preview").alias("n"))
-    grouped = f.withColumn("bucket", F.pmod(F.xxhash64("failure_id"), F.lit(64)).cast("int"))
-    return grouped.groupBy("bucket").applyInPandas(pack, "failure_id bigint, n int, bucket int, bin int")
+    """Documents by length into bins of a padded size of at most 65536 bytes and 64 rows."""
+    d = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"))
+    return V.packed(d, "doc_id", "n_bytes", 65_536, 64)
 
 
 def parameter_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,15 +216,24 @@ SQL = {
     "shift_pairs": f"WITH {_SEQ} SELECT vec_id, next_id, round(list_cosine_similarity(e, nx), 6) AS cosine FROM s WHERE nx IS NOT NULL",
     "prefix_windows": "WITH p AS (SELECT vec_id, list(vec_id) OVER (PARTITION BY vec_id // 10 ORDER BY vec_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prefix FROM embeddings) SELECT * FROM p WHERE len(prefix) >= 3",
     "position_mse": f"WITH {_SEQ} SELECT vec_id % 10 AS pos, count(*) AS n, round(avg(pow(list_distance(e, nx), 2) / len(e)), 7) AS mse FROM s WHERE nx IS NOT NULL GROUP BY 1",
-    "stop_criterion": f"WITH {_SEQ} SELECT seq, min(CASE WHEN list_cosine_similarity(e, nx) > 0.2 THEN next_id END) AS stops_at FROM s GROUP BY 1",
+    "stop_criterion": "WITH z AS (SELECT embedding::DOUBLE[] AS z FROM embeddings ORDER BY vec_id LIMIT 1), s AS (SELECT vec_id // 10 AS seq, row_number() OVER w AS i, list_cosine_similarity(embedding::DOUBLE[], z) AS e, coalesce(list_cosine_similarity(embedding::DOUBLE[], lag(embedding::DOUBLE[]) OVER w), -1) AS p FROM embeddings CROSS JOIN z WINDOW w AS (PARTITION BY vec_id // 10 ORDER BY vec_id)), g AS (SELECT seq, count(*) AS n"
+    + "".join(f", min(i) FILTER (WHERE e > {m} OR p > {m}) AS f{k}" for k, m in ((1, 0.9), (2, 0.2))) + " FROM s GROUP BY 1) SELECT g.seq"
+    + "".join(f", coalesce(f{k} - 1, n)::INT AS kept{x}, (SELECT CASE WHEN e > {m} THEN 'end' ELSE 'loop' END FROM s WHERE s.seq = g.seq AND s.i = g.f{k}) AS reason{x}" for k, m, x in ((1, 0.9, ""), (2, 0.2, "_loose"))) + " FROM g",
     "normalise": "SELECT vec_id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm, round(embedding[1]::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS first FROM embeddings",
     "logit_entropy": "WITH z AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE - list_max(embedding)::DOUBLE) AS z FROM embeddings), t AS (SELECT vec_id, z, list_sum(list_transform(z, lambda x: exp(x))) AS t FROM z) SELECT vec_id, round(list_sum(list_transform(z, lambda x: exp(x) / t * (ln(t) - x))), 7) AS entropy FROM t",
     "robust_quartiles": f"WITH {_Q} SELECT dim, round(median, 7) AS median, round(iqr, 7) AS iqr FROM q",
     "robust_scale": f"WITH {_Q} SELECT vec_id, round(max(CASE WHEN u.dim = 0 THEN (x - median) / iqr END), 6) AS first, round(max(CASE WHEN u.dim = 63 THEN (x - median) / iqr END), 6) AS last, max(abs((x - median) / iqr * iqr + median - x)) < 1e-6 AS returns FROM u JOIN q ON u.dim = q.dim GROUP BY 1",
     "mean_pool_by_label": "WITH u AS (SELECT label, unnest(range(len(embedding)))::INT AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings) SELECT label, dim, round(avg(x), 7) AS mean FROM u GROUP BY 1, 2",
-    "masked_pool": "SELECT vec_id, round(coalesce(list_sum(list_filter(embedding::DOUBLE[], lambda x: x > 0)), 0) / greatest(1, len(list_filter(embedding, lambda x: x > 0))), 7) AS pooled FROM embeddings",
-    "running_robust_stats": "WITH b AS (SELECT vec_id // 50 AS batch, median(embedding[1]::DOUBLE) AS m FROM embeddings GROUP BY 1), s AS (SELECT list(m ORDER BY batch) AS s FROM b) SELECT round(list_reduce(s, lambda a, x: 0.9::DOUBLE * a + 0.1::DOUBLE * x), 7) AS median, len(s)::INT AS batches FROM s",
-    "running_robust_by_dim": "WITH u AS (SELECT vec_id // 50 AS batch, unnest(range(len(embedding)))::INT AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings), b AS (SELECT batch, dim, quantile_cont(x, 0.5) AS m, greatest(quantile_cont(x, 0.75) - quantile_cont(x, 0.25), 1e-6) AS r FROM u GROUP BY 1, 2), s AS (SELECT dim, list(m ORDER BY batch) AS m, list(r ORDER BY batch) AS r FROM b GROUP BY 1) SELECT dim, round(list_reduce(m, lambda a, x: 0.9::DOUBLE * a + 0.1::DOUBLE * x), 7) AS median, round(list_reduce(r, lambda a, x: 0.9::DOUBLE * a + 0.1::DOUBLE * x), 7) AS iqr, len(m)::INT AS batches FROM s",
+    "masked_pool": "WITH u AS (SELECT vec_id, vec_id // 10 AS seq, unnest(range(len(embedding)))::INT AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings) SELECT seq, dim, round(coalesce(sum(x) FILTER (WHERE vec_id % 3 <> 0), 0) / greatest(1, count(*) FILTER (WHERE vec_id % 3 <> 0)), 7) AS mean FROM u GROUP BY 1, 2",
+    "running_robust_stats": "WITH u AS (SELECT vec_id // 50 AS batch, unnest(range(len(embedding)))::INT AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings), b AS (SELECT batch, dim, quantile_cont(x, 0.5) AS m, greatest(quantile_cont(x, 0.75) - quantile_cont(x, 0.25), 1e-6) AS r FROM u GROUP BY 1, 2), s AS (SELECT dim, list(m ORDER BY batch) AS m, list(r ORDER BY batch) AS r FROM b GROUP BY 1) SELECT dim, round(list_reduce(m, lambda a, x: 0.9::DOUBLE * a + 0.1::DOUBLE * x), 7) AS median, round(list_reduce(r, lambda a, x: 0.9::DOUBLE * a + 0.1::DOUBLE * x), 7) AS iqr, len(m)::INT AS batches FROM s",
+    "ngram_hash": "WITH d AS (SELECT doc_id, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::HUGEINT + 4) AS b FROM documents WHERE text IS NOT NULL), s AS (SELECT doc_id, b, unnest([3, 4, 5]) AS size FROM d)"
+    ", h AS (SELECT doc_id, size, len(b) AS n, list_transform(range(size, len(b) + 1), lambda e: (b[e] + b[e - 1] * 1000000007 + b[e - 2] * 1000000014000000049 % 2305843009213693951"
+    " + CASE WHEN size > 3 THEN b[e - 3] * ((1000000014000000049::HUGEINT * 1000000007) % 2305843009213693951) ELSE 0 END"
+    " + CASE WHEN size > 4 THEN b[e - 4] * ((((1000000014000000049::HUGEINT * 1000000007) % 2305843009213693951) * 1000000007) % 2305843009213693951) ELSE 0 END) % 2305843009213693951 % 500000) AS slots FROM s)"
+    " SELECT doc_id, size, n, least(n, size - 1)::BIGINT AS undefined, coalesce(slots[-1], -1)::BIGINT AS last_slot, (coalesce(list_sum(list_transform(slots, lambda x, i: x * (i + size - 1))), 0) % 2305843009213693951)::BIGINT AS slots_digest FROM h",
+    "budget_packing": "WITH RECURSIVE r AS (SELECT doc_id, strlen(text)::BIGINT AS n, row_number() OVER (ORDER BY strlen(text), doc_id) AS i FROM documents WHERE text IS NOT NULL)"
+    ", p AS (SELECT i, doc_id, n, 0::BIGINT AS bin, 1 AS held FROM r WHERE i = 1 UNION ALL SELECT r.i, r.doc_id, r.n, CASE WHEN (held + 1) * r.n > 65536 OR held >= 64 THEN bin + 1 ELSE bin END, CASE WHEN (held + 1) * r.n > 65536 OR held >= 64 THEN 1 ELSE held + 1 END FROM p JOIN r ON r.i = p.i + 1)"
+    " SELECT doc_id, n AS n_bytes, bin FROM p",
     "noise_schedules": f"WITH {_SCHEDULE} SELECT schedule, step, round(pow((r - l) * f / (f - l), 2), 8) AS alpha_bar FROM e",
     "parameter_counts": "WITH g AS (SELECT l AS layers, w * 64 AS width FROM range(1, 13) a(l), range(2, 17) b(w)), c AS (SELECT *, 260 * width + layers * (12 * width * width + 13 * width) + 2 * width AS parameters FROM g) SELECT layers, width::INT AS width, parameters, round(abs(parameters - 10000000) / 10000000, 8) AS error FROM c ORDER BY abs(parameters - 10000000), layers, width LIMIT 1",
     "byte_perplexity": "SELECT run_name, round(exp(avg(h)), 7) AS perplexity, round(avg(h) / ln(2.0), 7) AS bits_per_byte FROM (SELECT run_name, unnest(entropy_per_byte) AS h FROM blt_marathi_patched) GROUP BY 1",
@@ -232,6 +243,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         knn_topk, knn_top1, retrieval_decode, shift_pairs, prefix_windows, position_mse, stop_criterion, normalise, logit_entropy, robust_quartiles, robust_scale, mean_pool_by_label, masked_pool,
-        rvq_encode, running_robust_stats, running_robust_by_dim, noise_schedules, ngram_hash, budget_packing, parameter_counts, byte_perplexity,
+        rvq_encode, rvq_decode, running_robust_stats, noise_schedules, ngram_hash, budget_packing, parameter_counts, byte_perplexity,
     )
 }

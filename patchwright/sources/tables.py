@@ -1,7 +1,7 @@
 """Readers and writers of the file forms in use, each with an explicit schema.
 
-Line numbers: Spark has no order of lines, so ``lines`` numbers them within their file as the file is read;
-every other reader keeps a key that the rows bring along.
+Line numbers: Spark has no order of lines, so ``lines`` numbers them by file, block and place in the block: a file
+of any size is read in as many tasks as it has blocks. Every other reader keeps a key that the rows bring along.
 """
 
 from __future__ import annotations
@@ -10,10 +10,12 @@ import hashlib
 import json
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import stripped
+
 # Column names under which the sides of a pair may come, in order of preference.
 SOURCE_NAMES = ["source", "src", "input", "english", "en", "hindi", "hi"]
 TARGET_NAMES = ["target", "tgt", "output", "marathi", "mr", "translation"]
@@ -31,7 +33,8 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def json_array(spark: SparkSession, path: str) -> DataFrame:
-    """sentence_id, text: a file that is one JSON array of strings; the position is the key."""
+    """sentence_id, text: a file that is one JSON array of strings; the position is the key. Such a file can't be split: it may have 2 GB at
+    most, larger corpora come as JSON lines."""
     whole = spark.read.text(path, wholetext=True)
     texts = F.from_json("value", T.ArrayType(T.StringType()))
     return whole.select(F.posexplode(texts).alias("sentence_id", "text")).select(F.col("sentence_id").cast("bigint"), "text")
@@ -48,17 +51,23 @@ def tolerant_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, path: str, expected: int | None = None) -> DataFrame:
-    """segment_id (from 0), text: the lines of one text file, blank ones too. Raises if there aren't as many as expected."""
-    whole = spark.read.option("lineSep", "\n").text(path, wholetext=True).select(F.regexp_replace("value", r"\n\z", "").alias("value"))
-    out = whole.select(F.posexplode(F.split("value", "\n")).alias("segment_id", "text")).select(F.col("segment_id").cast("bigint"), "text")
-    if expected is not None and (n := out.count()) != expected:
+    """segment_id (from 0), text: the lines of a text file (or of a folder's files by name), blank ones too. Raises if there aren't as many
+    as expected."""
+    raw = spark.read.option("lineSep", "\n").text(path)
+    rows = raw.select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
+    blocks = rows.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_file", "_block")) - F.col("_n")  # a row for each block of a file
+    placed = rows.join(blocks.select("_file", "_block", before.alias("_before")), ["_file", "_block"])
+    inside = F.row_number().over(Window.partitionBy("_file", "_block").orderBy("_at"))
+    out = placed.select((F.col("_before") + inside - 1).alias("segment_id"), "text")
+    if expected is not None and (n := raw.count()) != expected:
         raise ValueError(f"{path} has {n} lines, not {expected}")
     return out
 
 
 def csv_with_origin(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """A CSV file's columns as strings, and source_csv: the file a row is from. Empty fields are null."""
-    return spark.read.option("header", True).csv(path).withColumn("source_csv", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1))
+    """A CSV file's columns as strings with their spaces, and source_csv: the file a row is from. Empty fields are null."""
+    return spark.read.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path).withColumn("source_csv", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1))
 
 
 def named(df: DataFrame, candidates: Iterable[str]) -> str | None:
@@ -67,14 +76,16 @@ def named(df: DataFrame, candidates: Iterable[str]) -> str | None:
     return next((have[c.lower()] for c in candidates if c.lower() in have), None)
 
 
-def metric_csv(spark: SparkSession, path: str | list[str], columns: dict[str, list[str]]) -> DataFrame:
-    """The wanted columns of a CSV with flexible headers, as numbers where they are ones; incomplete rows are left out."""
+def metric_csv(spark: SparkSession, path: str | list[str], columns: dict[str, list[str]], texts: tuple[str, ...] = ("model",)) -> DataFrame:
+    """The wanted columns of a CSV with flexible headers, all but `texts` as numbers; incomplete rows are left out, a value that isn't a
+    number raises."""
     raw = csv_with_origin(spark, path)
     found = {out: named(raw, names) for out, names in columns.items()}
     if missing := [out for out, c in found.items() if c is None]:
         raise ValueError(f"no column for {', '.join(missing)}")
-    out = raw.select(*(F.col(f"`{c}`").alias(o) for o, c in found.items()), "source_csv")
-    return out.na.drop(subset=list(found))
+    whole = raw.select(*(F.nullif(F.trim(F.col(f"`{c}`")), F.lit("")).alias(o) for o, c in found.items()), "source_csv").na.drop(subset=list(found))
+    number = lambda o: F.coalesce(F.col(f"`{o}`").try_cast("double"), F.raise_error(F.concat(F.lit(f"{o} isn't a number: "), F.col(f"`{o}`"))).cast("double"))
+    return whole.select(*(F.col(f"`{o}`") if o in texts else number(o).alias(o) for o in found), "source_csv")
 
 
 def first_that_loads(readers: list[Callable[[], DataFrame]]) -> DataFrame:
@@ -95,27 +106,48 @@ def available(df: DataFrame) -> list[str]:
 
 
 def side(df: DataFrame, explicit: str | None, candidates: list[str], other: str | None = None) -> str:
-    """The column of a side: the explicit one, else the first candidate that isn't the other side's."""
-    if explicit:
+    """The column of a side: the explicit one if it is there, else the first candidate that isn't the other side's and has a value that isn't
+    blank in any row."""
+    if explicit in df.columns:
         return explicit
-    found = named(df, [c for c in candidates if c != other])
+    have = [c for c in candidates if c in df.columns and c != other]
+    filled = df.agg(*(F.max(F.coalesce(stripped(F.col(c).cast("string")), F.lit("")) != "").alias(c) for c in have)).first() if have else {}
+    found = next((c for c in have if filled[c]), None)
     if found is None:
         raise ValueError(f"no column among {', '.join(candidates)}")
     return found
 
 
-def pairs(df: DataFrame, source: str | None = None, target: str | None = None) -> DataFrame:
-    """source, target: trimmed, from flat columns or a nested `translation`; empty and equal sides are left out."""
-    fields = {f.name: f.dataType for f in df.schema.fields}
-    nested = [f.name for f in fields["translation"].fields] if isinstance(fields.get("translation"), T.StructType) else []
-    filled = lambda c: F.nullif(F.trim(c), F.lit(""))
+# Which field of a nested value counts, in order of preference; and the fields of a nested pair.
+NESTED_VALUE = ["mr", "marathi", "target", "tgt", "en", "english", "hi", "hindi", "source", "src"]
+NESTED_SOURCE, NESTED_TARGET = ["en", "english", "hi", "hindi"], ["mr", "marathi"]
 
-    def value(explicit: str | None, candidates: list[str]) -> Column:
-        cols = [filled(F.col(f"translation.{c}")) for c in candidates if c in nested]
-        flat = [explicit] if explicit else [c for c in candidates if isinstance(fields.get(c), T.StringType)]
-        return F.coalesce(*cols, *(filled(F.col(c)) for c in flat), F.lit(None).cast("string"))
 
-    out = df.select(value(source, SOURCE_NAMES).alias("source"), value(target, TARGET_NAMES).alias("target"))
+def pairs(df: DataFrame, source: str | None = None, target: str | None = None) -> DataFrame:
+    """source, target: trimmed. A nested `translation` comes first, if both its sides are filled; else each row takes the first of its own
+    columns that is filled, of a nested one the preferred field. Empty and equal sides are left out."""
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    none = F.lit(None).cast("string")
+    filled = lambda c: F.nullif(stripped(c.cast("string")), F.lit(""))
+
+    def value(name: str) -> Column:
+        if isinstance(kinds[name], T.StructType):
+            have = {f.name for f in kinds[name].fields}
+            return F.coalesce(*(filled(F.col(f"`{name}`.`{x}`")) for x in NESTED_VALUE if x in have), none)
+        return filled(F.col(f"`{name}`"))
+
+    def flat(explicit: str | None, candidates: list[str]) -> Column:
+        names = [explicit] if explicit in kinds else [c for c in candidates if c in kinds]
+        return F.coalesce(*(value(c) for c in names), none)
+
+    def nested(explicit: str | None, candidates: list[str]) -> Column:
+        have = {f.name for f in kinds["translation"].fields} if isinstance(kinds.get("translation"), T.StructType) else set()
+        name = next((c for c in ([explicit] if explicit else candidates) if c in have), None)
+        return filled(F.col(f"translation.`{name}`")) if name else none
+
+    s, t = nested(source, NESTED_SOURCE), nested(target, NESTED_TARGET)
+    both = s.isNotNull() & t.isNotNull()
+    out = df.select(F.when(both, s).otherwise(flat(source, SOURCE_NAMES)).alias("source"), F.when(both, t).otherwise(flat(target, TARGET_NAMES)).alias("target"))
     return out.where("source <> target")
 
 
@@ -132,7 +164,7 @@ def hypothesis_path(col: Column) -> Column:
 
 def write_csv(df: DataFrame, columns: list[str], path: str) -> None:
     """A CSV with a fixed header; other columns are left out."""
-    df.select(*columns).write.mode("overwrite").option("header", True).csv(path)
+    df.select(*columns).write.mode("overwrite").option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def write_summary(df: DataFrame, path: str) -> None:
@@ -140,11 +172,24 @@ def write_summary(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct(*sorted(df.columns))).alias("value")).write.mode("overwrite").text(path)
 
 
+def write_report(spark: SparkSession, parts: dict[str, DataFrame | str | float | int], path: str) -> None:
+    """One JSON object: a value, or the rows of a table as an array of objects (sorted as JSON), for each name. Report tables are small."""
+    out = spark.range(1).select()
+    for name, part in sorted(parts.items()):
+        if isinstance(part, DataFrame):
+            rows = part.select(F.struct(*sorted(part.columns)).alias("r")).agg(F.array_sort(F.collect_list("r")).alias(name))
+            out = out.crossJoin(F.broadcast(rows))  # one row
+        else:
+            out = out.withColumn(name, F.lit(part))
+    out.select(F.to_json(F.struct(*sorted(parts))).alias("value")).write.mode("overwrite").text(path)
+
+
 def write_parallel(df: DataFrame, order: str, source: str, target: str, source_path: str, target_path: str) -> None:
-    """Two aligned text files, a line for each row in the given order; newlines become spaces."""
+    """Two aligned texts, a line for each row in the given order; newlines become spaces. Each is a folder of files, a file for each range of
+    the order, that make the text by name."""
     flat = df.orderBy(order)
     for column, path in ((source, source_path), (target, target_path)):
-        flat.select(F.translate(F.coalesce(column, F.lit("")), "\n", " ").alias("value")).coalesce(1).write.mode("overwrite").text(path)
+        flat.select(F.translate(F.coalesce(column, F.lit("")), "\n", " ").alias("value")).write.mode("overwrite").text(path)
 
 
 def fingerprint(config: dict, ignore: Iterable[str] = ()) -> str:
@@ -153,6 +198,13 @@ def fingerprint(config: dict, ignore: Iterable[str] = ()) -> str:
     return hashlib.sha1(json.dumps(kept, sort_keys=True, default=str).encode()).hexdigest()[:16]
 
 
+def fingerprint_of(**values: Column) -> Column:
+    """The same of a row's columns, which have to be strings or whole numbers."""
+    text = lambda c: F.coalesce(F.when(F.typeof(c) == "string", F.to_json(F.struct(c.alias("x"))).substr(F.lit(6), F.length(F.to_json(F.struct(c.alias("x")))) - 6)).otherwise(c.cast("string")), F.lit("null"))
+    parts = [x for i, (k, c) in enumerate(sorted(values.items())) for x in (F.lit(f"{', ' if i else ''}\"{k}\": "), text(c))]
+    return F.substring(F.sha1(F.concat(F.lit("{"), *parts, F.lit("}")).cast("binary")), 1, 16)
+
+
 # Suffixes that tell text from other files.
 TEXT_SUFFIXES = [".txt", ".md", ".json", ".jsonl", ".csv", ".py", ".sh", ".log", ".yaml", ".yml", ".tex"]
 BINARY_SUFFIXES = [".pth", ".pt", ".png", ".pdf", ".gz", ".zip", ".parquet", ".bin"]

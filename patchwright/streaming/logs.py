@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.order import positions
+from ..sources.shared import exists
 from ..sources.tables import fingerprint
 
 
@@ -23,12 +25,12 @@ class Log:
         self.path = f"{folder}/{fingerprint(config, ignore)}"
 
     def exists(self) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path + "/_SUCCESS")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        return exists(self.spark, self.path + "/_SUCCESS")
 
     def pending(self, df: DataFrame) -> DataFrame:
-        """The rows whose key isn't written yet; of rows with the same key one."""
-        df = df.dropDuplicates([self.key])
+        """The rows whose key isn't written yet; of rows with the same key the one with the least hash."""
+        w = Window.partitionBy(self.key).orderBy(F.xxhash64(*(F.col(c).cast("string") for c in df.columns)))
+        df = df.withColumn("_copy", F.row_number().over(w)).where("_copy = 1").drop("_copy")
         if not self.exists():
             return df
         return df.join(self.spark.read.parquet(self.path).select(self.key), self.key, "left_anti")
@@ -49,12 +51,10 @@ class Log:
 def memo(spark: SparkSession, folder: str, stage: str, config: dict, build: Callable[[], DataFrame], valid: Callable[[DataFrame], bool] | None = None) -> DataFrame:
     """The table of a stage: read if it was built under this configuration and is valid, built and written otherwise."""
     path = f"{folder}/{fingerprint(config)}/{stage}"
-    try:
+    if exists(spark, path + "/_SUCCESS"):  # a table that can't be read raises; it isn't built over
         df = spark.read.parquet(path)
         if valid is None or valid(df):
             return df
-    except Exception:  # noqa: BLE001  missing or unreadable: build it
-        pass
     build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
@@ -83,9 +83,31 @@ def kept_checkpoints(df: DataFrame, group: str, name: str, keep: int) -> DataFra
 
 
 def epoch_order(df: DataFrame, key: str, seed: int, epoch: int, skip: int = 0) -> DataFrame:
-    """Rows in an order that depends on seed, epoch and key only, without the first `skip`."""
-    h = F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(str(epoch)), F.col(key).cast("string")))
-    return df.withColumn("_h", h).orderBy("_h", key).offset(skip).drop("_h")
+    """The rows with their position in an order that depends on seed, epoch and key only, from `skip` on."""
+    h = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(str(epoch)), F.col(key).cast("string"))), 1, 15), 16, 10).cast("bigint")
+    return positions(df.withColumn("_h", h), "_h", ties=[key]).where(F.col("position") >= skip).drop("_h")
+
+
+def shuffled_cap(df: DataFrame, key: str, seed: int, limit: int, fraction: float) -> DataFrame:
+    """The first int(limit * fraction) rows of a shuffled order."""
+    return epoch_order(df, key, seed, 0).where(F.col("position") < int(limit * fraction)).drop("position")
+
+
+def scan_summary(df: DataFrame, group: str) -> DataFrame:
+    """What a scan of patch records adds up to by group: sentences, bytes, patches, the least and greatest of each, how many were empty. Sums
+    and extremes only, so it takes the same memory over a stream (complete or update mode) as over what is already written."""
+    n, p = F.col("num_bytes"), F.col("num_patches")
+    return df.groupBy(group).agg(
+        F.count(F.lit(1)).alias("sentences"), F.sum(n).alias("bytes"), F.sum(p).alias("patches"), F.min(p).alias("least"), F.max(p).alias("most"), F.count_if(p == 0).alias("empty"),
+        F.sum(p.cast("double") * p).alias("squares"),
+    )
+
+
+def finished_summary(sums: DataFrame) -> DataFrame:
+    """Means, the population deviation and the bytes a patch of what `scan_summary` added up."""
+    k = F.col("sentences")
+    mean = F.col("patches") / k
+    return sums.withColumn("mean_patches", mean).withColumn("std_patches", F.sqrt(F.greatest(F.col("squares") / k - mean * mean, F.lit(0.0)))).withColumn("bytes_per_patch", F.try_divide("bytes", "patches")).drop("squares")
 
 
 def ema(series: Column, alpha: float = 0.1) -> Column:
