@@ -79,5 +79,7 @@ def test_suite_covers_the_grid(spark, sf):
     cells = lambda df, *cols: {(r["seed"], r["noise"]): tuple(round(r[c], 5) for c in cols) for r in df.collect()}
     suite, edits = Q.metric_suite(spark, sf), Q.edit_metrics_by_noise(spark, sf)
     assert set(cells(suite)) == {(s, n) for s in Q.SEEDS for n in Q.NOISES}
-    assert cells(suite, "chrfpp") == cells(Q.chrfpp_by_noise(spark, sf), "chrfpp") and cells(suite, "bleu") == cells(Q.bleu_by_noise(spark, sf), "bleu")
+    for name, other in (("chrfpp", Q.chrfpp_by_noise), ("bleu", Q.bleu_by_noise)):
+        want = cells(other(spark, sf), name)
+        assert all(abs(v[0] - want[k][0]) < 2e-5 for k, v in cells(suite, name).items())
     assert cells(suite, "ter", "meteor") == cells(edits, "ter", "meteor")
