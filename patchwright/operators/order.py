@@ -19,12 +19,14 @@ IN_RANGE, MOST_RANGES = 200_000, 4_096
 
 
 def ranged(df: DataFrame, key: str, out: str = "_range") -> DataFrame:
-    """The rows with the number of the range their key is in; null keys and NaN come last."""
-    size = df.agg(F.count(F.lit(1)), F.percentile_approx(key, [i / MOST_RANGES for i in range(1, MOST_RANGES)], 4 * MOST_RANGES)).first()
-    ranges = min(MOST_RANGES, -(-size[0] // IN_RANGE))
-    if ranges <= 1 or not size[1]:
+    """The rows with the number of the range their key is in; null keys and NaN come last. What is costly to compute should be written first:
+    the rows are read to count them, to find the cut points, and to place them."""
+    ranges = min(MOST_RANGES, -(-df.count() // IN_RANGE))
+    if ranges <= 1:
+        return df.withColumn(out, F.lit(0))
+    cuts = df.agg(F.percentile_approx(key, [i / ranges for i in range(1, ranges)], 4 * MOST_RANGES)).first()[0]
+    if not cuts:
         return df.withColumn(out, F.lit(0))
-    cuts = np.array([size[1][MOST_RANGES * i // ranges - 1] for i in range(1, ranges)])
     held = df.sparkSession.sparkContext.broadcast(np.unique(cuts))
     at = df.columns.index(key)
 

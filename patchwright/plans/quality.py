@@ -14,6 +14,7 @@ from ..operators import metrics as M
 from ..operators import noise as N
 from ..operators import order as O
 from ..operators import significance as G
+from ..sources.shared import written
 from ..sources.tables import spread, table
 from .texts import _draws_sql, _labels_sql, _noise_sql
 
@@ -149,17 +150,23 @@ def _significance(spark: SparkSession, sf_dir: str, metrics: list[str], kind: st
     scores = {"chrF++": (_chrf_of, _CHRF), "BLEU": (M.bleu_of, _BLEU_N), "TER": (lambda s: 100 * F.try_divide(s[0], s[1]), 2)}
     needs = {"chrF++": ("chrf",), "BLEU": ("bleu",), "TER": ("ter", "ref_words")}
     what = tuple(w for m in metrics for w in needs[m])
-    parts = []
+    counts = _counts(spark, sf_dir, what, [(s, p) for s in SEEDS for p in (0.1, 0.2)])
+    all_of = F.concat(*(flat[m].cast("array<bigint>") for m in metrics))
+    of = lambda s, p: F.max(F.when((F.col("seed") == s) & (F.col("noise") == p), F.struct(all_of.alias("v"))))["v"]
+    side = lambda p, name: F.concat(*(of(s, p) for s in SEEDS)).alias(name)
+    width = sum(scores[m][1] for m in metrics)
+    both = counts.groupBy("pair_id").agg(side(0.1, "x"), side(0.2, "y"))
+    sums = written(G.resampled(both, "pair_id", "x", "y", width * len(SEEDS), REPLICATES, kind), "replicates")  # a row for each replicate
+    parts, at = [], 0
     for seed in SEEDS:
-        two = _counts(spark, sf_dir, what, [(seed, 0.1), (seed, 0.2)]).select("pair_id", "noise", *(flat[m].alias(m.strip("+")) for m in metrics))
-        both = two.groupBy("pair_id").agg(*(F.max(F.when(F.col("noise") == p, F.struct(F.col(m.strip("+"))))).alias(f"{m.strip('+')}_{k}") for m in metrics for k, p in enumerate((0.1, 0.2))))
         for m in metrics:
-            score, width = scores[m]
-            name = m.strip("+")
-            pair = both.select("pair_id", F.col(f"{name}_0.{name}").alias("x"), F.col(f"{name}_1.{name}").alias("y"))
-            r = G.p_values(G.resampled(pair, "pair_id", "x", "y", width, REPLICATES, kind), score, width, kind)
+            score, n = scores[m]
+            own = sums.select("rep", *(F.col(f"{x}{at + i}").alias(f"{x}{i}") for x in "ab" for i in range(n)))
+            at += n
+            r = G.p_values(own, score, n, kind)
             verdict = C.significance(F.col("delta"), F.col("p_value"), F.col("first") == F.col("second"))
-            parts.append(r.select(X.metric_name(F.lit({"chrF++": "chrF2++"}.get(m, m))).alias("metric"), F.lit(seed).alias("seed"), "replicates", F.round("delta", 6).alias("delta"), F.round("p_value", 9).alias("p_value"), verdict["significant"].alias("significant"), verdict["note"].alias("note")))
+            label = X.metric_name(F.lit({"chrF++": "chrF2++"}.get(m, m))).alias("metric")
+            parts.append(r.select(label, F.lit(seed).alias("seed"), "replicates", F.round("delta", 6).alias("delta"), F.round("p_value", 9).alias("p_value"), verdict["significant"].alias("significant"), verdict["note"].alias("note")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

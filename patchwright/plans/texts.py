@@ -9,6 +9,7 @@ from ..functions import text as X
 from ..operators import entropy as E
 from ..operators import noise as N
 from ..operators import order as O
+from ..sources.shared import written
 from ..sources.tables import spread, table
 
 #: What the stand-ins for an analyzer and a tagger know: suffixes that come off, postpositions, verb endings, other function words.
@@ -62,7 +63,7 @@ def regrouped(docs: DataFrame, size: int) -> DataFrame:
 
     Positions come from running totals of sentences by document; a document adds its part to each group it reaches."""
     s = docs.withColumn("x", X.sentences(F.col("text"))).where("size(x) > 0").select("doc_id", F.size("x").alias("n"))
-    placed = O.positions(s, "doc_id", weight=F.col("n").cast("bigint"), out="first")
+    placed = O.positions(written(s, "sentence-counts"), "doc_id", weight=F.col("n").cast("bigint"), out="first")
     groups = placed.select("doc_id", "first", "n", F.explode(F.sequence(F.floor(F.col("first") / size), F.floor((F.col("first") + F.col("n") - 1) / size))).alias("grp"))
     part = F.least(F.col("first") + F.col("n"), (F.col("grp") + 1) * size) - F.greatest(F.col("first"), F.col("grp") * size)
     return groups.groupBy("grp").agg(F.sum(part).alias("sentences"), F.count(F.lit(1)).alias("documents"), F.min("doc_id").alias("first_doc"))
