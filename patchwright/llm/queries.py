@@ -101,6 +101,11 @@ def p5_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies.collapsed(copies.keyed(_table(spark, sf_dir, "parallel_examples")))
 
 
+def p5_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of 128 bits that different canonical forms share: no rows, but for a collision."""
+    return copies.collisions(copies.keyed(_table(spark, sf_dir, "parallel_examples"))).select(F.hex("key").alias("key"), "forms")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.id_pairs(near.links(near.prepared(_table(spark, sf_dir, "parallel_examples"))))
 
@@ -173,7 +178,7 @@ def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (p1_found, p1_stretches, p2_found, p2_consistent, p3_found, p3_spans, p3_cleaned, p4_found, p4_groups, p5_found, p5_collapsed)
+    own = (p1_found, p1_stretches, p2_found, p2_consistent, p3_found, p3_spans, p3_cleaned, p4_found, p4_groups, p5_found, p5_collapsed, p5_collisions)
     own += (p6_percentiles, p7_ids, p7_ids_multi, p8_mix, p8_shares, p8_overlap, p9_found, p9_redacted)
     return {f.__name__: f for f in own}
 
