@@ -1,9 +1,9 @@
 """Quality of hypotheses against references: corpus BLEU, chrF++, TER, WER and exact-match METEOR.
 
 Everything a score needs is counted by segment in one pass over (hyp, ref) rows; corpus scores are sums of those
-counts, so no n-gram is ever shuffled; n-grams of a batch are compared as 64-bit hashes. For a grid of noise the cells are made
-and counted within the batch, and the references' n-grams are found once for all cells. A null side makes a segment null; it isn't
-counted.
+counts, so no n-gram is ever shuffled; n-grams of a batch are compared as 64-bit hashes (for chrF++ of noised texts the bits are shared
+by the row's number, the hash and the side). For a grid of noise the cells are made and counted within the batch, and the references'
+n-grams are found once for all cells. A null side makes a segment null; it isn't counted.
 
 BLEU follows Papineni et al. 2002 with the 13a word splitting and exponential smoothing of zero counts; chrF++
 follows Popovic 2017 (characters to order 6 without white space, words to order 2, beta 2, precision and recall averaged over
@@ -46,6 +46,7 @@ def words_13a(text: str) -> list[str]:
 
 
 _PUNCT = frozenset("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+_IS_PUNCT = np.array([chr(i) in _PUNCT for i in range(128)])
 
 
 def chrf_words(text: str) -> list[str]:
@@ -122,6 +123,111 @@ class Side:
             self.words = [t.lower().split() for t in texts]
 
 
+_MIX = np.uint64(0xD6E8FEB86659FD93)
+
+
+class Units:
+    """Characters or words of some rows as codes, flat with their row: the hashes of their n-grams by order."""
+
+    def __init__(self, codes: np.ndarray, row: np.ndarray, rows: int, orders: int):
+        self.row, self.sizes = row, np.bincount(row, minlength=rows)
+        self.left = np.cumsum(self.sizes)[row] - np.arange(len(row))  # the longest n-gram of the row that begins here
+        self.hashes, h = [codes], codes
+        for n in range(1, orders):
+            h = h[:-1]
+            h = (h ^ (h >> np.uint64(29))) * _ODD + codes[n:]
+            self.hashes.append(h)
+
+    def all(self, n: int) -> np.ndarray:
+        """By row, how many n-grams there are."""
+        return np.maximum(self.sizes - (n - 1), 0)
+
+    def keys(self, n: int, at: np.ndarray, bits: int, side: int) -> np.ndarray:
+        """For the n-grams at some places: the row in the highest bits, then a hash, then the side."""
+        h = self.hashes[n - 1][at]
+        h = (h ^ (h >> np.uint64(32))) * _MIX
+        h = (h ^ (h >> np.uint64(29))) * _ODD
+        return (self.row[at].astype(np.uint64) << np.uint64(64 - bits)) | (h >> np.uint64(bits + 1) << np.uint64(1)) | np.uint64(side)
+
+
+def _in_both(h: Units, r: Units, n: int, h_at: np.ndarray, r_at: np.ndarray) -> np.ndarray:
+    """By row, the n-grams that stand at the given places of both sides (each as often as in the side with fewer). Sorted together, the
+    places with equal n-grams are neighbours, those of the reference first."""
+    rows = len(r.sizes)
+    bits = max(1, (rows - 1).bit_length())
+    keys = np.concatenate([r.keys(n, r_at, bits, 0), h.keys(n, h_at, bits, 1)])
+    keys.sort()
+    at = np.flatnonzero(keys[1:] ^ keys[:-1] == 1)
+    here, there = at + 1 - np.searchsorted(keys, keys[at]), np.searchsorted(keys, keys[at + 1], "right") - at - 1
+    return np.bincount((keys[at] >> np.uint64(64 - bits)).astype(np.int64), weights=np.minimum(here, there), minlength=rows).astype(np.int64)
+
+
+def _word_units(points: np.ndarray, gap: np.ndarray, row: np.ndarray, rows: int) -> Units:
+    """The words (as `chrf_words` has them) of rows of characters without white space; gap: whether a word begins there."""
+    if not len(points):
+        return Units(np.zeros(0, np.uint64), row, rows, WORDS)
+    punct = (points < 128) & _IS_PUNCT[np.minimum(points, 127)]
+    first = np.flatnonzero(gap)
+    last = np.append(first[1:], len(points)) - 1
+    long, ends, begins = last > first, punct[last], punct[first]
+    starts = gap.copy()
+    starts[last[long & ends]] = True
+    starts[first[long & ~ends & begins] + 1] = True
+    first = np.flatnonzero(starts)
+    place = np.arange(len(points)) - np.repeat(first, np.diff(np.append(first, len(points))))
+    v = (points.astype(np.uint64) + (place.astype(np.uint64) << np.uint64(21))) * _ODD
+    v = (v ^ (v >> np.uint64(29))) * _MIX
+    return Units(np.add.reduceat(v ^ (v >> np.uint64(32)), first), row[first], rows, WORDS)
+
+
+class Noised:
+    """Texts whose chrF counts are wanted against themselves under noise.
+
+    An n-gram of characters that noise left alone stands at its place on both sides and is counted as a match without looking: taking the
+    same from both sides takes as much from the lesser of two counts. Only n-grams with a changed character or a gap are compared."""
+
+    def __init__(self, points: np.ndarray, at: np.ndarray):
+        self.points, self.at, self.rows = points, at, len(at) - 1
+        white = np.isin(points, N.WHITE)
+        self.kept = np.flatnonzero(~white)  # characters that count
+        self.row = np.repeat(np.arange(self.rows), np.diff(at))[self.kept]
+        self.word = np.cumsum(white)[self.kept] + self.row  # a number for each word
+        flat = points[self.kept]
+        self.chars, self.words = Units(flat.astype(np.uint64), self.row, self.rows, CHARS), _word_units(flat, self._gap(self.word), self.row, self.rows)
+
+    @staticmethod
+    def _gap(word: np.ndarray) -> np.ndarray:
+        return np.concatenate([[True], word[1:] != word[:-1]])[: len(word)]
+
+    def same(self) -> np.ndarray:
+        """The counts without noise."""
+        both = [u.all(n) for u, orders in ((self.chars, CHARS), (self.words, WORDS)) for n in range(1, orders + 1)]
+        return np.stack([np.stack([x, x, x], 1) for x in both], 1)
+
+    def counts(self, hit: np.ndarray, share: float) -> np.ndarray:
+        """rows x orders x (in hyp, in ref, in both), for noise of a share with the given first draws."""
+        out, gone = N.struck(self.points, hit, share)
+        gone, out = gone[self.kept], out[self.kept]
+        stays = np.flatnonzero(~gone)
+        flat, row = out[stays], self.row[stays]
+        h, r = Units(flat.astype(np.uint64), row, self.rows, CHARS), self.chars
+        r_odd = gone | (out != self.points[self.kept])
+        changed = r_odd[stays]
+        h_odd, broken = changed, changed | np.concatenate([[False], np.diff(stays) > 1])[: len(stays)]
+        lost, orders = r_odd, []
+        for n in range(1, CHARS + 1):
+            if n > 1:
+                h_odd, r_odd = h_odd[:-1] | broken[n - 1 :], r_odd[:-1] | lost[n - 1 :]
+            h_at, r_at = (np.flatnonzero(odd & (u.left[: len(odd)] >= n)) for odd, u in ((h_odd, h), (r_odd, r)))
+            alone = r.all(n) - np.bincount(self.row[r_at], minlength=self.rows)
+            orders.append((h.all(n), r.all(n), alone + _in_both(h, r, n, h_at, r_at)))
+        h, r = _word_units(flat, self._gap(self.word[stays]), row, self.rows), self.words
+        for n in range(1, WORDS + 1):
+            h_at, r_at = (np.flatnonzero(u.left >= n) for u in (h, r))
+            orders.append((h.all(n), r.all(n), _in_both(h, r, n, h_at, r_at)))
+        return np.stack([np.stack(x, 1) for x in orders], 1)
+
+
 def _chrf(h: Side, r: Side) -> np.ndarray:
     """rows x orders x (in hyp, in ref, in both): orders of characters, then of words."""
     return np.stack([np.stack([a.all, b.all, a.shared(b)], 1) for a, b in zip(h.chrf, r.chrf)], 1)
@@ -262,15 +368,15 @@ COUNTS = {
     "ref_words": "bigint",
     "meteor": "double",
 }
-#: Characters counted at once in a worker.
-BLOCK = 2_000_000
+#: Characters counted at once in a worker; of noised texts, so many that what is sorted stays in the cache.
+BLOCK, NOISED_BLOCK = 2_000_000, 100_000
 
 
-def _blocks(texts: list[str]) -> Iterator[slice]:
+def _blocks(texts: list[str], most: int = BLOCK) -> Iterator[slice]:
     start = n = 0
     for i, t in enumerate(texts):
         n += len(t)
-        if n >= BLOCK:
+        if n >= most:
             yield slice(start, i + 1)
             start, n = i + 1, 0
     if start < len(texts):
@@ -315,26 +421,62 @@ def counted(df: DataFrame, keep: list[str], hyp: str, ref: str, what: tuple[str,
     return both.mapInArrow(count, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), *(f"{w} {COUNTS[w]}" for w in what)]))
 
 
+def _noised(texts: list[str], keys: np.ndarray, cells: list[tuple[int, float]], what: tuple[str, ...]) -> Iterator[tuple[slice, int, float, np.ndarray | None, Side, Side]]:
+    """(texts, seed, noise, chrF counts if wanted, both sides for what else is wanted) for each cell of some texts at once."""
+    listed = tuple(w for w in what if w != "chrf")
+    for s in _blocks(texts, BLOCK if listed else NOISED_BLOCK):
+        known: dict[str, int] = {}
+        ref, (points, at) = Side(texts[s], listed, known), N.decoded(texts[s])
+        chars = Noised(points, at) if "chrf" in what else None
+        hits: dict[int, np.ndarray] = {}
+        for seed, noise in cells:
+            if noise > 0 and seed not in hits:
+                hits = {seed: N.hits(at, keys[s], seed)}
+            chrf = chars and (chars.counts(hits[seed], noise) if noise > 0 else chars.same())
+            hyp = Side(N.encoded(*N.noised(points, at, keys[s], noise, seed)), listed, known) if listed and noise > 0 else ref
+            yield s, seed, noise, chrf, hyp, ref
+
+
 def noised_counts(df: DataFrame, key: str, text: str, cells: list[tuple[int, float]], what: tuple[str, ...] = ("chrf",)) -> DataFrame:
     """key, seed, noise, and the counts of every text, noised for each cell (seed, noise), against itself."""
     kind = dict(df.dtypes)[key]
+    listed = tuple(w for w in what if w != "chrf")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, keys = b.column(1).to_pylist(), b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for s in _blocks(texts):
-                known: dict[str, int] = {}
-                ref, (points, at) = Side(texts[s], what, known), N.decoded(texts[s])
+            for s, seed, noise, chrf, hyp, ref in _noised(texts, keys, cells, what):
                 own = b.column(0).slice(s.start, s.stop - s.start)
-                for seed, noise in cells:
-                    hyp = Side(N.encoded(*N.noised(points, at, keys[s], noise, seed)), what, known) if noise > 0 else ref
-                    cell = [pa.array(np.full(len(own), seed, np.int32)), pa.array(np.full(len(own), noise))]
-                    yield pa.RecordBatch.from_arrays([own, *cell, *_counts(hyp, ref, what)], names=[key, "seed", "noise", *what])
+                counts = dict(zip(listed, _counts(hyp, ref, listed)))
+                if chrf is not None:
+                    counts["chrf"] = _lists(chrf)
+                cell = [pa.array(np.full(len(own), seed, np.int32)), pa.array(np.full(len(own), noise))]
+                yield pa.RecordBatch.from_arrays([own, *cell, *(counts[w] for w in what)], names=[key, "seed", "noise", *what])
 
     schema = f"`{key}` {kind}, seed int, noise double, " + ", ".join(f"{w} {COUNTS[w]}" for w in what)
     return df.where(F.col(text).isNotNull()).select(key, text).mapInArrow(count, schema)
 
 
+def noised_sums(df: DataFrame, key: str, text: str, cells: list[tuple[int, float]], what: tuple[str, ...] = ("chrf",)) -> DataFrame:
+    """seed, noise, and the counts (chrf, bleu) of the same, summed over the texts of each partition: enough for corpus scores, and a row for
+    each partition and cell instead of each text and cell."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[int, float], dict[str, np.ndarray]] = {}
+        for b in batches:
+            texts, keys = b.column(1).to_pylist(), b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for _, seed, noise, chrf, hyp, ref in _noised(texts, keys, cells, what):
+                own = sums.setdefault((seed, noise), dict.fromkeys(what, 0))
+                for w in what:
+                    own[w] = own[w] + (chrf if w == "chrf" else _bleu(hyp, ref)).sum(0, dtype=np.int64)
+        if sums:
+            cell = [pa.array([s for s, _ in sums], pa.int32()), pa.array([p for _, p in sums], pa.float64())]
+            yield pa.RecordBatch.from_arrays([*cell, *(_lists(np.stack([x[w] for x in sums.values()])) for w in what)], names=["seed", "noise", *what])
+
+    schema = "seed int, noise double, " + ", ".join(f"{w} {COUNTS[w]}" for w in what)
+    return df.where(F.col(text).isNotNull()).select(key, text).mapInArrow(count, schema)
+
+
 def chrf_score(sums: list[tuple[Column, Column, Column]]) -> Column:
     """chrF++ from sums of (hyp, ref, both) by order."""
     used = [F.when((h > 0) & (r > 0), 1).otherwise(0) for h, r, _ in sums]

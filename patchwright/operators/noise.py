@@ -32,7 +32,11 @@ _MATRAS, _DEVANAGARI, _ASCII, _WHITE = _points(MATRAS), _points(DEVANAGARI), _po
 
 
 def squared(x: np.ndarray, a: int) -> np.ndarray:
-    return (x * x + a * x + 1) % PRIME
+    """x * x + a * x + 1 modulo PRIME, for 0 <= x < PRIME; what is beyond 31 bits is added to them, as 2 ** 31 is 1 there."""
+    y = (x + a) * x + 1
+    y = (y & PRIME) + (y >> 31)
+    y = (y & PRIME) + (y >> 31)
+    return np.where(y >= PRIME, y - PRIME, y)
 
 
 def draws(seed: int, key: np.ndarray, position: np.ndarray, n: int) -> list[np.ndarray]:
@@ -56,21 +60,31 @@ def decoded(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32), np.concatenate([[0], np.cumsum(sizes)])
 
 
+def hits(at: np.ndarray, keys: np.ndarray, seed: int) -> np.ndarray:
+    """The first draw of each character of the texts: noise of any share changes those whose draw is below its limit."""
+    sizes = np.diff(at)
+    return draws(seed, np.repeat(keys, sizes), np.arange(at[-1]) - np.repeat(at[:-1], sizes), 1)[0]
+
+
+def struck(points: np.ndarray, hit: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """(code points, whether each is deleted) under noise: of the characters that a draw hits, signs are deleted in half of the cases, all
+    others (and these else) replaced by one of their script."""
+    out, gone = points.copy(), np.zeros(len(points), bool)
+    at = np.flatnonzero(hit < limit(share))
+    at = at[~np.isin(points[at], _WHITE)]
+    was, half = points[at], squared(hit[at], 48271)
+    pick = squared(half, 48271)
+    out[at] = np.where((was >= 0x900) & (was <= 0x97F), _DEVANAGARI[pick % len(_DEVANAGARI)], _ASCII[pick % len(_ASCII)])
+    gone[at] = (half % 2 == 0) & np.isin(was, _MATRAS)
+    return out, gone
+
+
 def noised(points: np.ndarray, at: np.ndarray, keys: np.ndarray, share: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """The same with noise: of the characters that a draw hits, signs are deleted in half of the cases, all others (and these else)
-    replaced by one of their script."""
+    """The same with noise."""
     if share <= 0 or not len(points):
         return points, at
-    sizes = np.diff(at)
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    hit, half, pick = draws(seed, keys[owner], np.arange(len(points)) - at[owner], 3)
-    struck = (hit < limit(share)) & ~np.isin(points, _WHITE)
-    deva = (points >= 0x900) & (points <= 0x97F)
-    gone = struck & (half % 2 == 0) & np.isin(points, _MATRAS)
-    out = points.copy()
-    out[struck] = np.where(deva[struck], _DEVANAGARI[pick[struck] % len(_DEVANAGARI)], _ASCII[pick[struck] % len(_ASCII)])
-    left = np.bincount(owner[~gone], minlength=len(sizes))
-    return out[~gone], np.concatenate([[0], np.cumsum(left)])
+    out, gone = struck(points, hits(at, keys, seed), share)
+    return out[~gone], at - np.concatenate([[0], np.cumsum(gone)])[at]
 
 
 def encoded(points: np.ndarray, at: np.ndarray) -> list[str]:

@@ -66,11 +66,15 @@ def seed_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("noise", "n", *(F.round(c, 6).alias(a) for c, a in ((F.col("mean"), "mean"), (F.col("std"), "std"), (F.col("mean") - half, "low"), (F.col("mean") + half, "high"))))
 
 
-def _metric_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """model, fraction, noise, BLEU, chrF++, written: the scores as the rows of three models, with a copy of one row that was written again."""
-    c = _counts(spark, sf_dir, ("chrf", "bleu")).where(LOST).groupBy("seed", "noise").agg(M.bleu_score().alias("BLEU"), M.chrf_score(M.chrf_sums()).alias("chrF++"))
-    rows = c.select(F.element_at(F.create_map(*(F.lit(x) for x in (42, "BLT LCM", 43, "bpe-lcm", 44, "Base LCM"))), F.col("seed")).alias("model"), F.lit("0.5").alias("fraction"), "noise", "BLEU", "chrF++", F.lit(1).alias("written"))
-    again = rows.where("model = 'BLT LCM' and noise = 0.1").select("model", "fraction", "noise", (F.col("BLEU") + 1).alias("BLEU"), (F.col("`chrF++`") + 1).alias("chrF++"), F.lit(2).alias("written"))
+def _metric_rows(spark: SparkSession, sf_dir: str, metrics: tuple[str, ...] = ("BLEU", "chrF++")) -> DataFrame:
+    """model, fraction, noise, metrics, written: the scores as the rows of three models, with a copy of one row that was written again. The
+    scores (a row for each cell) are written once: every reader of the rows would count all texts again."""
+    of = {"BLEU": ("bleu", M.bleu_score()), "chrF++": ("chrf", M.chrf_score(M.chrf_sums()))}
+    sums = M.noised_sums(_targets(spark, sf_dir), "pair_id", "target", CELLS, tuple(of[m][0] for m in metrics))
+    scores = sums.where(LOST).groupBy("seed", "noise").agg(*(of[m][1].alias(m) for m in metrics))
+    c = written(scores, "metric-rows")
+    rows = c.select(F.element_at(F.create_map(*(F.lit(x) for x in (42, "BLT LCM", 43, "bpe-lcm", 44, "Base LCM"))), F.col("seed")).alias("model"), F.lit("0.5").alias("fraction"), "noise", *metrics, F.lit(1).alias("written"))
+    again = rows.where("model = 'BLT LCM' and noise = 0.1").select("model", "fraction", "noise", *((F.col(f"`{m}`") + 1).alias(m) for m in metrics), F.lit(2).alias("written"))
     other = rows.where("noise = 0").withColumn("fraction", F.lit("0.25"))
     return rows.unionByName(again).unionByName(other)
 
@@ -85,7 +89,7 @@ def metric_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def metric_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The degradation curves of two models at one fraction: one row for each model and noise, with its place in the requested order."""
-    rows = _metric_rows(spark, sf_dir).where(C.near(F.col("fraction").cast("double"), 0.5))
+    rows = _metric_rows(spark, sf_dir, ("chrF++",)).where(C.near(F.col("fraction").cast("double"), 0.5))
     curve = C.curve(rows, ["bpe_lcm", "blt_lcm"], NOISES, "chrF++", "written")
     place = F.array_position(F.array(F.lit("bpe_lcm"), F.lit("blt_lcm")), F.col("model")).cast("int")
     return curve.select(place.alias("place"), "model", "noise", F.round("value", 6).alias("value"))
